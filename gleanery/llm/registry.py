@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from gleanery.llm import mixing, simhash
+from gleanery.llm import license_scan, mixing, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_license_scan": license_scan.op2_license_scan,
+    "op5_warc": warc.op5_warc,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
 
-SQL = {"op9_mix_sources": mixing.SQL}
+SQL = {
+    "op2_license_scan": license_scan.SQL,
+    "op5_warc": warc.SQL,
+    "op9_mix_sources": mixing.SQL,
+}
