@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a window and of the step from one to the next; zstandard level.
-WINDOW, STEP, LEVEL = 64, 48, 3
+WINDOW, STEP, LEVEL = 48, 32, 3
 #: Bound on the labelled rows that the fit may see, by class, and on their length.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 3000, 32_768
 #: Bytes of the trained dictionary; windows it is trained on.
@@ -57,8 +57,9 @@ def features(text: str | None, toxic, ordinary) -> list[float]:
     """Figures of the bytes that the toxic dictionary saves, window by window."""
     raw = (text or "").lower().encode("utf-8", "replace")
     saved = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(raw)], float) if raw else np.zeros(1)
-    strong = saved >= 3
-    return [saved.max(), math.log1p(strong.sum()), strong.mean(), np.clip(saved - 2, 0, None).mean(), np.clip(saved, 0, None).mean(), (saved >= 4).mean()]
+    at_least = [saved >= k for k in (2, 3, 4, 5)]
+    counts, shares = [math.log1p(x.sum()) for x in at_least], [math.sqrt(x.mean()) for x in at_least[:3]]
+    return [min(saved.max(), 8.0), *counts, *shares, np.clip(saved, 0, None).mean(), saved.mean()]
 
 
 def _stems(word: bytes) -> list[bytes]:
