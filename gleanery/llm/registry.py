@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from gleanery.llm import license_scan, mixing, simhash, toxicity, warc
+from gleanery.llm import chat, decontam, embedding_dedup, langid, license_scan, mixing, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_warc": warc.op5_warc,
+    "op6_language_id": langid.op6_language_id,
+    "op7_chat_format": chat.op7_chat_format,
+    "op8_decontaminate": decontam.op8_decontaminate,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
 
 SQL = {
     "op2_license_scan": license_scan.SQL,
+    "op4_embedding_dedup": embedding_dedup.SQL,
     "op5_warc": warc.SQL,
+    "op7_chat_format": chat.SQL,
     "op9_mix_sources": mixing.SQL,
 }
