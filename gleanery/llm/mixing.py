@@ -80,6 +80,18 @@ def hash_thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return plan.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "budget")
 
 
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: str) -> DataFrame:
+    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).substr(1, DIGITS * LEVELS)
+    return docs.select(*more, F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
+
+
+def _taken(rows: DataFrame, plan: DataFrame, *more: str) -> DataFrame:
+    """Rows of ``_sizes`` with their source's figures and the words taken."""
+    again = F.col("threshold").isNull() | (F.col("h") < F.col("threshold")) | ((F.col("h") == F.col("threshold")) & F.col("whole"))
+    joined = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    return joined.select(*more, "id", "size", "source_size", "target", (F.col("size") * (F.col("repeats") + again.cast("long"))).alias("taken"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """What the mix takes of each row: (id, size, source_size, target, taken).
 
@@ -87,19 +99,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     id share one decision, rows without id too. A source of no words takes
     none. An empty table gives no rows. Other columns are not looked at.
     """
-    sizes = cut(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).substr(1, DIGITS * LEVELS).alias("h"),
-        )
-    )
-    plan = cut(hash_thresholds(sizes, source_targets(sizes))).withColumnRenamed("source", "s")
-    more = F.col("threshold").isNull() | (F.col("h") < F.col("threshold")) | ((F.col("h") == F.col("threshold")) & F.col("whole"))
-    return sizes.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("repeats") + more.cast("long"))).alias("taken")
-    )
+    sizes = cut(_sizes(docs, id_col, text_col, source_col))
+    plan = cut(hash_thresholds(sizes, source_targets(sizes)))
+    return _taken(sizes, plan).withColumnRenamed("id", id_col)
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents that the mix takes, with ``copies``, how often, beside their columns.
+
+    Only the plan, one row a source, meets the texts; they are not shuffled.
+    """
+    sizes = cut(_sizes(docs, id_col, text_col, source_col))
+    plan = cut(hash_thresholds(sizes, source_targets(sizes)))
+    whole = docs.withColumn("__row", F.struct(*docs.columns))
+    rows = _taken(_sizes(whole, id_col, text_col, source_col, "__row"), plan, "__row").where(F.col("taken") > 0)
+    return rows.select("__row.*", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:

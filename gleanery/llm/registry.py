@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gleanery.llm import chat, decontam, embedding_dedup, langid, license_scan, mixing, simhash, toxicity, warc
+from gleanery.llm import chat, decontam, embedding_dedup, langid, license_scan, mixing, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_warc": warc.op5_warc,
     "op6_language_id": langid.op6_language_id,
@@ -18,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op2_license_scan": license_scan.SQL,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_embedding_dedup": embedding_dedup.SQL,
     "op5_warc": warc.SQL,
     "op7_chat_format": chat.SQL,
