@@ -19,7 +19,7 @@ QUERIES = {
 
 SQL = {
     "op2_license_scan": license_scan.SQL,
-    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op3_suffix_dedup": suffix_dedup.SQL,
     "op4_embedding_dedup": embedding_dedup.SQL,
     "op5_warc": warc.SQL,
     "op7_chat_format": chat.SQL,

@@ -483,3 +483,17 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Repeats of 50 bytes in all documents."""
     left = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return left.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, row_number() OVER () AS r FROM documents),
+w AS (SELECT r, doc_id, s, substr(x, 2 * s + 1, {2 * LENGTH}) AS k FROM (SELECT r, doc_id, x, unnest(range(0, greatest(len(x) // 2 - {LENGTH - 1}, 0))) AS s FROM d WHERE doc_id IS NOT NULL)),
+f AS (SELECT k, min(doc_id) AS m FROM w GROUP BY k),
+hit AS (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + {LENGTH}, true)::INT AS fresh FROM w JOIN f USING (k) WHERE m < doc_id),
+run AS (SELECT r, min(s) AS a, max(s) + {LENGTH} AS b FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS g FROM hit) GROUP BY r, g),
+gap AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS c FROM run),
+cut AS (SELECT r, count(*) AS n, sum(b - a) AS gone, max(b) AS last, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS kept FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
