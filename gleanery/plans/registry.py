@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-QUERIES = {}
-SQL = {}
+from gleanery.operators.aggregates import rank_by_size
+from gleanery.plans import scans
+from gleanery.plans.base import table
+
+BOOKS = [scans.BOOK]
+QUERIES = {name: q for book in BOOKS for name, q in book.queries.items()}
+SQL = {name: s for book in BOOKS for name, s in book.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of each event type, ranked by the number of their events."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    sizes = events.groupBy("event_type", "user_id").agg(F.count("*").alias("n_events"))
-    return sizes.withColumn("rank", F.dense_rank().over(Window.partitionBy("event_type").orderBy(F.desc("n_events"))))
+    sizes = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n_events"))
+    return rank_by_size(sizes, "n_events")
