@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators.aggregates import rank_by_size
-from gleanery.plans import scans
+from gleanery.plans import joining, scans, summing
 from gleanery.plans.base import table
 
-BOOKS = [scans.BOOK]
+BOOKS = [scans.BOOK, joining.BOOK, summing.BOOK]
 QUERIES = {name: q for book in BOOKS for name, q in book.queries.items()}
 SQL = {name: s for book in BOOKS for name, s in book.sql.items()}
 
