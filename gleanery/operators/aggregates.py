@@ -185,13 +185,15 @@ def distance(df: DataFrame, slot: str, module: str, value: str) -> DataFrame:
     Only values that a module has are joined; those it lacks add the square
     of their mean share, which is a sum over the slot less what the module has.
     """
-    counts = df.groupBy(slot, module, value).agg(F.count("*").alias("c"))
-    shares = counts.join(counts.groupBy(slot, module).agg(F.sum("c").alias("t")), [slot, module]).withColumn("p", F.col("c") / F.col("t"))
-    modules = counts.groupBy(slot).agg(F.count_distinct(module).alias("m"))
-    mean = shares.groupBy(slot, value).agg(F.sum("p").alias("s")).join(modules, slot).withColumn("q", F.col("s") / F.col("m"))
-    square = mean.groupBy(slot).agg(F.sum(F.col("q") * F.col("q")).alias("qq"))
-    own = shares.join(mean.select(slot, value, "q"), [slot, value]).groupBy(slot, module).agg(F.sum((F.col("p") - F.col("q")) * (F.col("p") - F.col("q")) - F.col("q") * F.col("q")).alias("d"))
-    return own.join(square, slot).select(slot, module, F.sqrt(F.greatest(F.col("qq") + F.col("d"), F.lit(0.0))).alias("distance"))
+    counts = df.groupBy(F.col(slot).alias("slot_"), F.col(module).alias("module_"), F.col(value).alias("value_")).agg(F.count("*").alias("c"))
+    shares = counts.join(counts.groupBy("slot_", "module_").agg(F.sum("c").alias("t")), ["slot_", "module_"]).withColumn("p", F.col("c") / F.col("t"))
+    modules = counts.groupBy("slot_").agg(F.count_distinct("module_").alias("m"))
+    mean = shares.groupBy("slot_", "value_").agg(F.sum("p").alias("s")).join(modules, "slot_").withColumn("q", F.col("s") / F.col("m"))
+    square = mean.groupBy("slot_").agg(F.sum(F.col("q") * F.col("q")).alias("qq"))
+    less = (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")) - F.col("q") * F.col("q")
+    own = shares.join(mean.select("slot_", "value_", "q"), ["slot_", "value_"]).groupBy("slot_", "module_").agg(F.sum(less).alias("d"))
+    away = F.sqrt(F.greatest(F.col("qq") + F.col("d"), F.lit(0.0)))
+    return own.join(square, "slot_").select(F.col("slot_").alias(slot), F.col("module_").alias(module), away.alias("distance"))
 
 
 def entropy_rank(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -247,12 +247,12 @@ def w9_live_total(spark, sf):
 
 def _weighted(group: pd.DataFrame) -> pd.DataFrame:
     w, cents = group["l_quantity"].astype("int64"), (group["l_extendedprice"] * 100).round().astype("int64")
-    return pd.DataFrame({"l_orderkey": [group["l_orderkey"].iloc[0]], "weight": [int(w.sum())], "cents": [int((w * cents).sum())]})
+    return pd.DataFrame({"l_suppkey": [group["l_suppkey"].iloc[0]], "weight": [int(w.sum())], "cents": [int((w * cents).sum())]})
 
 
-@query("SELECT l_orderkey, sum(l_quantity)::BIGINT AS weight, sum(l_quantity::BIGINT * round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey, sum(l_quantity)::BIGINT AS weight, sum(l_quantity::BIGINT * round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM lineitem GROUP BY 1")
 def x1_reduce(spark, sf):
-    return user_code.reduce_groups(table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice"), ["l_orderkey"], _weighted, "l_orderkey long, weight long, cents long")
+    return user_code.reduce_groups(table(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice"), ["l_suppkey"], _weighted, "l_suppkey long, weight long, cents long")
 
 
 @query("""SELECT user_id AS key, count(DISTINCT event_type)::DOUBLE AS score, 'types' AS checker FROM events GROUP BY 1 UNION ALL SELECT user_id, round(max(value), 2), 'top' FROM events GROUP BY 1""")

@@ -223,9 +223,13 @@ def latest_file(spark: SparkSession, glob: str) -> DataFrame:
 RESULTS = "`__version__` array<int>, elapsed double, tests array<struct<code:string,elapsed:double,metrics:map<string,double>,name:string,output:string>>"
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Test results: (suite, test, code, elapsed, metrics, output)."""
-    tests = spark.read.schema(RESULTS).json(path, multiLine=True).select(F.explode("tests").alias("t")).select("t.*")
+def read_results(spark: SparkSession, path: str, one_a_file: bool = False) -> DataFrame:
+    """Test results: (suite, test, code, elapsed, metrics, output).
+
+    A record a line, which Spark can split; ``one_a_file`` reads records that
+    run over lines, one in each file.
+    """
+    tests = spark.read.schema(RESULTS).json(path, multiLine=one_a_file).select(F.explode("tests").alias("t")).select("t.*")
     suite, test = F.split("name", " :: ", 2)[0], F.try_element_at(F.split("name", " :: ", 2), F.lit(2))
     return tests.select(suite.alias("suite"), test.alias("test"), "code", "elapsed", "metrics", "output")
 
