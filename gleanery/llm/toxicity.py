@@ -104,8 +104,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model | None:
-    """Dictionaries from even rows, calibration on odd ones; None without both classes."""
+def fit(rows: list[tuple[str | None, int]], ordinary_share: float | None = None) -> Model | None:
+    """Dictionaries from even rows, calibration on odd ones; None without both classes.
+
+    The cut has the best F1 that it would have where ordinary texts have
+    ``ordinary_share`` of all, which the sample's classes do not show.
+    """
     known = list(dict.fromkeys(((t or "").lower().encode("utf-8", "replace"), int(y)) for t, y in rows))
     learn, tune = known[::2], known[1::2]
     toxic, ordinary = ([t for t, y in learn if y == k] for k in (1, 0))
@@ -121,7 +125,9 @@ def fit(rows: list[tuple[str | None, int]]) -> Model | None:
     w = _logistic((x - mean) / scale, y)
     z = np.c_[(x - mean) / scale, np.ones(len(x))] @ w
     tried = np.unique(np.quantile(z, np.linspace(0, 1, 400)))
-    hits = [(2 * ((z >= c) & (y == 1)).sum() / ((z >= c).sum() + y.sum()), c) for c in tried]
+    share = ordinary_share or 1 - y.mean()
+    times = share / (1 - share) * y.sum() / (1 - y).sum()  # texts that an ordinary one of the sample stands for
+    hits = [(2 * ((z >= c) & (y == 1)).sum() / (((z >= c) * np.where(y == 1, 1, times)).sum() + y.sum()), c) for c in tried]
     return Model(base, base + words, tuple(mean), tuple(scale), tuple(w), float(max(hits)[1]))
 
 
@@ -155,9 +161,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most SAMPLE_TOXIC + SAMPLE_ORDINARY rows
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
+    share = counts.get(0, 0) / (counts[0] + counts[1]) if len(counts) == 2 else None
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(sample, "doc_id")
     texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_TOXIC + SAMPLE_ORDINARY)
-    return fit([(r["text"], r["toxic"]) for r in texts.collect()])
+    return fit([(r["text"], r["toxic"]) for r in texts.collect()], share)
 
 
 def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
