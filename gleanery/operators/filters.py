@@ -47,7 +47,7 @@ def nonzero(df: DataFrame, col: str = "value") -> DataFrame:
     return df.where(F.col(col) > 0)
 
 
-def drop_intrinsics(edges: DataFrame, prefix: str = "llvm.", col: str = "callee") -> DataFrame:
+def drop_intrinsics(edges: DataFrame, prefix: str, col: str = "callee") -> DataFrame:
     return edges.where(~F.startswith(F.col(col), F.lit(prefix)))
 
 

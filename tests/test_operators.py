@@ -72,8 +72,8 @@ def test_small_joins(spark):
 def test_suppressions(spark):
     from gleanery.sources.readers import parse_suppressions
 
-    rules = parse_suppressions(spark.createDataFrame([("leak:*LSanTestLeakingFunc*",), ("deadlock:zzzz",)], "value string"))
-    reports = spark.createDataFrame([("leak", "f LSanTestLeakingFunc g", 666), ("leak", "main", 1337), ("deadlock", "main", 0)], "kind string, name string, size int")
+    rules = parse_suppressions(spark.createDataFrame([("leak:*LeakingFunc*",), ("deadlock:zzzz",)], "value string"))
+    reports = spark.createDataFrame([("leak", "f LeakingFunc g", 666), ("leak", "main", 1337), ("deadlock", "main", 0)], "kind string, name string, size int")
     kept, hits = joins.suppress(reports, rules, "kind", "name")
     assert [(r.hits, r.bytes) for r in aggregates.suppression_hits(hits, "size").collect()] == [(1, 666)]
     assert tuple(aggregates.leak_summary(kept.where("kind = 'leak'"), "size").first()) == (1337, 1)
