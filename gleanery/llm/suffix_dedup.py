@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 
 #: Bytes of a string whose repeats go, and of the gram that files it.
 LENGTH, GRAM = 50, 20
-#: Bytes that must agree on one side of the gram, whatever the window.
-SIDE = (LENGTH - GRAM) // 2
+#: Step of the sides looked at around a gram, and the bytes on both sides that must agree then.
+STEP = 5
+SIDES = LENGTH - GRAM - STEP + 1
 #: Text bytes of a block, of a bucket's share, of what numpy works on at once and of one suffix array.
-BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES, SORT_BYTES = 4 << 20, 8 << 20, 1 << 17, 1 << 18
+BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES, SORT_BYTES = 4 << 20, 4 << 20, 1 << 17, 1 << 17
 #: Low bits of the number that ranks a gram that hold its place; the rest are hash bits.
 PLACE_BITS = 24
 
@@ -56,16 +58,11 @@ def suffix_array(text: list[int]) -> list[int]:
         fill[x] += 1
         size[starts[x]] += 1
 
-    def to_back(i: int, last: int) -> None:
-        other, at = order[last], place[i]
-        order[at], place[other] = other, at
-        order[last], place[i] = i, last
-
     end = n
     while end > 0:
         now = group[order[end - 1]]
         hits: dict[int, int] = {}
-        for s in sorted(order[now:end]) if end - now > 1 else order[now:end]:
+        for s in sorted(order[now:end]) if end - now > 1 else (order[now],):
             p = s - 1
             while p >= 0 and group[p] >= now:
                 p = smaller[p]
@@ -75,14 +72,20 @@ def suffix_array(text: list[int]) -> list[int]:
         end = now
         by_count: dict[int, list[int]] = {}
         for p, count in hits.items():
-            by_count.setdefault(count, []).append(p)
-        for count in sorted(by_count, reverse=True):
+            if count in by_count:
+                by_count[count].append(p)
+            else:
+                by_count[count] = [p]
+        for count in sorted(by_count, reverse=True) if len(by_count) > 1 else by_count:
             leaving: dict[int, int] = {}
-            for p in by_count[count]:
-                old, gone = group[p], leaving.get(group[p], 0)
-                to_back(p, old + size[old] - 1 - gone)
+            for p in by_count[count]:  # to the back of their groups
+                old = group[p]
+                gone = leaving.get(old, 0)
                 leaving[old] = gone + 1
-            for old, gone in leaving.items():
+                last, at = old + size[old] - 1 - gone, place[p]
+                other = order[last]
+                order[at], place[other], order[last], place[p] = other, at, p, last
+            for old, gone in leaving.items():  # and out, as groups of their own behind them
                 if stay := size[old] - gone:
                     size[old], size[old + stay] = stay, gone
                     for at in range(old + stay, old + stay + gone):
@@ -102,7 +105,7 @@ def suffix_array(text: list[int]) -> list[int]:
 
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place on, built by doubling."""
-    part, size, base = raw.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    part, size, base = raw.astype(np.uint64) + np.uint64(1), 1, _BASE
     whole, have, left = None, 0, GRAM
     power = {1: base}
     while True:
@@ -123,15 +126,23 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     return whole ^ (whole >> np.uint64(29))
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
 def stretches(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first window, last window, minimizer's hash, its place, text number) of each stretch.
+    """(start, length, minimizer's hash, hash of the whole, gram's offset, text number) of each stretch.
 
     ``bounds`` are the places where texts begin in ``raw``, with the end. No
     window crosses one.
     """
-    none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
-        return none, none, none.astype(np.uint64), none, none
+        return tuple(np.zeros(0, t) for t in KINDS)
     hashes = _gram_hashes(raw)
     rank = hashes >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
     least, width, wide = rank, 1, LENGTH - GRAM + 1
@@ -148,7 +159,17 @@ def stretches(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     fresh[1:] &= change | ~inside[:-1]
     final[:-1] &= change | ~inside[1:]
     first = np.flatnonzero(fresh)
-    return first, np.flatnonzero(final), hashes[at[first]], at[first], text[first]
+    end = np.flatnonzero(final) + LENGTH
+    filed = hashes[at[first]] * np.uint64(0x94D049BB133111EB)  # least hashes are small ones; spread them over all buckets
+    filed ^= filed >> np.uint64(32)
+    up, down = _powers(1 << (len(raw) - 1).bit_length())
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
+    whole = (sums[end] - sums[first]) * down[first]
+    return first, end - first, filed * np.uint64(_BASE), whole ^ (whole >> np.uint64(32)), at[first] - first, text[first]
+
+
+#: Types of the six columns of ``stretches``.
+KINDS = (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -161,40 +182,70 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(-1, n).T).reshape(-1).view(t) if n else np.zeros(0, t) for t, n, b in pickle.loads(zstandard.decompress(blob))]
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of pieces given by start and size, one piece after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else starts, sizes)
+
+
+def _differ(raw: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For pairs of pieces of one size: whether their bytes differ."""
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
+        unequal = raw[_spread(a[part], sizes[part])] != raw[_spread(b[part], sizes[part])]
+        out[part] = np.logical_or.reduceat(unequal, np.concatenate([[0], np.cumsum(sizes[part])[:-1]]))
+    return out
+
+
+def distinct(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by minimizer that puts equal stretches together, and where each distinct one begins in it.
+
+    Hashes bring them together and bytes are compared; stretches that only
+    share their hashes are told apart.
+    """
+    whole = whole.copy()
+    while True:
+        order = np.lexsort((sizes, whole, h))
+        head = np.ones(len(order), bool)
+        x, y = order[1:], order[:-1]
+        head[1:] = (h[x] != h[y]) | (whole[x] != whole[y]) | (sizes[x] != sizes[y])
+        first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        rest = np.flatnonzero(~head)
+        wrong = order[rest][_differ(raw, starts[order[rest]], starts[first[rest]], sizes[order[rest]])]
+        if not len(wrong):
+            return order, np.flatnonzero(head)
+        whole[wrong] += np.uint64(1)
+
+
 class Block:
-    """The texts of a block in canonical order, and their stretches."""
+    """The texts of a block in canonical order, and their stretches. Rows without id come last and have none."""
 
     def __init__(self, table: pa.Table):
         ids, texts = table["__id"].to_pylist(), table["__text"].to_pylist()
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-        self.ids = [ids[i] for i in self.order]
         self.texts = [texts[i] for i in self.order]
-
-    def pieces(self) -> Iterator[tuple[int, bytes, tuple[np.ndarray, ...]]]:
-        """(first text, bytes, stretches) over texts put together; rows without id are left out."""
-        lo, size = 0, 0
-        for i in range(len(self.ids) + 1):
-            whole = i == len(self.ids) or self.ids[i] is None
-            if i > lo and (whole or size + len(self.texts[i]) > PIECE_BYTES):
-                raw = b"".join(self.texts[lo:i])
-                bounds = np.concatenate([[0], np.cumsum([len(t) for t in self.texts[lo:i]])])
-                for a, b, part, cut_bounds in _slices(raw, bounds):
-                    yield lo, part, tuple(x for x in stretches(np.frombuffer(part, np.uint8), cut_bounds)) + (a,)
-                lo, size = i, 0
-            if whole:
-                return
-            size += len(self.texts[i])
-
-
-def _slices(raw: bytes, bounds: np.ndarray) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-    """A text far beyond PIECE_BYTES in overlapping parts, so that places fit their bits and memory stays small."""
-    step = 8 * PIECE_BYTES
-    if len(raw) <= step or len(bounds) > 2:
-        yield 0, len(raw), raw, bounds
-        return
-    for a in range(0, len(raw) - LENGTH + 1, step):
-        part = raw[a : a + step + LENGTH - 1]
-        yield a, a + len(part), part, np.array([0, len(part)])
+        self.ids = np.array([ids[i] for i in self.order if ids[i] is not None], np.int64)
+        named = self.texts[: len(self.ids)]
+        self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in named], dtype=np.int64)])
+        self.raw = np.frombuffer(b"".join(named), np.uint8)
+        parts = [tuple(np.zeros(0, t) for t in KINDS), *self._pieces()]
+        self.start, self.size, self.h, self.whole, self.offset, self.text = (np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def _pieces(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """Stretches of texts put together, and of parts of a long text that overlap by one window less a byte."""
+        step, lo = 8 * PIECE_BYTES, 0
+        for i in range(1, len(self.bounds)):
+            a, b = int(self.bounds[lo]), int(self.bounds[i])
+            if i + 1 < len(self.bounds) and int(self.bounds[i + 1]) - a <= PIECE_BYTES:
+                continue
+            if i - lo > 1 or b - a <= step:
+                spans = [(a, b, self.bounds[lo : i + 1] - a)]
+            else:
+                spans = [(x, y := min(b, x + step + LENGTH - 1), np.array([0, y - x])) for x in range(a, b - LENGTH + 1, step)]
+            for x, y, bounds in spans:
+                start, *rest, text = stretches(self.raw[x:y], bounds)
+                yield start + x, *rest, text + lo
+            lo = i
 
 
 def _minimizers(buckets: int):
@@ -202,13 +253,8 @@ def _minimizers(buckets: int):
 
     def run(key, table):
         block = Block(table)
-        hashes, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for lo, _, (_, _, h, _, text, _) in block.pieces():
-            hashes.append(h)
-            ids.append(np.array(block.ids[lo : lo + int(text.max(initial=0)) + 1], np.int64)[text])
-        h, d = np.concatenate(hashes), np.concatenate(ids)
-        by = np.argsort(h, kind="stable")
-        h, d = h[by], d[by]
+        by = np.argsort(block.h, kind="stable")
+        h, d = block.h[by], block.ids[block.text[by]]
         new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
         several = np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new) if len(h) else np.zeros(0, bool)
         h = h[new]
@@ -228,6 +274,15 @@ def _dealt(block: int, h: np.ndarray, buckets: int, blob) -> pa.Table:
 DEALT = "bucket int, block int, blob binary"
 
 
+def _among(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which hashes stand in a sorted array."""
+    if not len(wanted):
+        return np.zeros(len(h), bool)
+    near = np.searchsorted(wanted, h)
+    near[near == len(wanted)] = 0
+    return wanted[near] == h
+
+
 def _shared(key, table):
     """Bucket to (block, blob): the block's minimizers that more than one id has."""
     blocks, own, several = table["block"].to_pylist(), [], []
@@ -241,7 +296,7 @@ def _shared(key, table):
     repeated = np.zeros(len(by), bool)
     repeated[1:] |= sorted_h[1:] == sorted_h[:-1]
     wanted = np.unique(np.concatenate([sorted_h[repeated], every[which]]))
-    rows = [(b, pack(np.diff(x, prepend=np.uint64(0)))) for b, h in zip(blocks, own, strict=True) if len(x := h[np.isin(h, wanted, assume_unique=False)])]
+    rows = [(b, pack(np.diff(x, prepend=np.uint64(0)))) for b, h in zip(blocks, own, strict=True) if len(x := h[_among(h, wanted)])]
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -250,32 +305,22 @@ def _senders(buckets: int):
 
     def run(key, table, shared):
         wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(unpack(b)[0], dtype=np.uint64) for b in shared["blob"].to_pylist())]))
-        seen: dict[bytes, list] = {}
-        if len(wanted) and table.num_rows:
-            block, base = Block(table), 0
-            for lo, raw, (first, last, h, at, text, _) in block.pieces():
-                near = np.searchsorted(wanted, h)
-                near[near == len(wanted)] = 0
-                pick = np.flatnonzero(wanted[near] == h)
-                for j, s, e, x, a, t in zip((base + pick).tolist(), first[pick].tolist(), last[pick].tolist(), h[pick].tolist(), at[pick].tolist(), text[pick].tolist(), strict=True):
-                    who, stretch = block.ids[lo + t], raw[s : e + LENGTH]
-                    known = seen.get(stretch)
-                    if known is None:
-                        seen[stretch] = [x, j, a - s, who, False]
-                    elif known[3] != who:
-                        known[3], known[4] = min(known[3], who), True
-                base += len(h)
-        rows = sorted(seen.items(), key=lambda r: (r[1][0], r[1][1]))
-        h = np.array([v[0] for _, v in rows], np.uint64)
-        number, offset = np.array([v[1] for _, v in rows], np.int64), np.array([v[2] for _, v in rows], np.uint8)
-        least, several = np.array([v[3] for _, v in rows], np.int64), np.array([v[4] for _, v in rows], bool)
-        size = np.array([len(s) for s, _ in rows], np.uint8)
+        if not len(wanted) or not table.num_rows:
+            return _dealt(-1, np.zeros(0, np.uint64), buckets, None)
+        block = Block(table)
+        pick = np.flatnonzero(_among(block.h, wanted))
+        if not len(pick):
+            return _dealt(-1, np.zeros(0, np.uint64), buckets, None)
+        order, heads = distinct(block.raw, block.start[pick], block.size[pick], block.h[pick], block.whole[pick])
+        one, ids = pick[order[heads]], block.ids[block.text[pick[order]]]
+        least, several = np.minimum.reduceat(ids, heads), np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
 
         def blob(a: int, b: int) -> bytes:
-            text = np.frombuffer(b"".join(s for s, _ in rows[a:b]), np.uint8)
-            return pack(np.diff(h[a:b], prepend=np.uint64(0)), number[a:b], offset[a:b], least[a:b], several[a:b], size[a:b], text)
+            i = one[a:b]
+            columns = (i, block.offset[i].astype(np.uint8), least[a:b], several[a:b], block.size[i].astype(np.uint8), block.whole[i])
+            return pack(np.diff(block.h[i], prepend=np.uint64(0)), *columns, block.raw[_spread(block.start[i], block.size[i])])
 
-        return _dealt(key[0].as_py() if key[0].is_valid else -1, h, buckets, blob)
+        return _dealt(key[0].as_py(), block.h[one], buckets, blob)
 
     return run
 
@@ -283,21 +328,22 @@ def _senders(buckets: int):
 def _may_share(group: list[tuple[bytes, int]]) -> list[tuple[int, int] | None]:
     """For each (stretch, gram's offset): the part that could hold a window of another one, or None.
 
-    A common window has SIDE bytes in common with both on the left of the gram
-    or on its right; if only one side agrees with any other stretch, what lies
-    farther off on the other side is in no common window.
+    A window that begins ``a`` bytes before the gram has, for the multiple i of
+    STEP below a, the i bytes on the left of the gram and the SIDES - i on its
+    right in common with every other such window. What lies outside of all
+    windows for which another stretch agrees so far is in no common window.
     """
-    right, left = {}, {}
+    seen: dict[tuple[int, bytes], int] = {}
     for s, o in group:
-        for d, k in ((right, s[o : o + GRAM + SIDE] if len(s) >= o + GRAM + SIDE else None), (left, s[o - SIDE : o + GRAM] if o >= SIDE else None)):
-            if k is not None:
-                d[k] = d.get(k, 0) + 1
+        for i in range(0, min(o, LENGTH - GRAM) + 1, STEP):
+            if len(s) >= o + GRAM + SIDES - i:
+                key = (i, s[o - i : o + GRAM + SIDES - i])
+                seen[key] = seen.get(key, 0) + 1
     parts = []
     for s, o in group:
-        r = right.get(s[o : o + GRAM + SIDE], 0) > 1 and len(s) >= o + GRAM + SIDE
-        q = o >= SIDE and left.get(s[o - SIDE : o + GRAM], 0) > 1
-        lo, hi = 0 if q else max(0, o - SIDE), len(s) if r else min(len(s), o + GRAM + SIDE)
-        parts.append((lo, hi) if (r or q) and hi - lo >= LENGTH else None)
+        fits = [i for i in range(0, min(o, LENGTH - GRAM) + 1, STEP) if seen.get((i, s[o - i : o + GRAM + SIDES - i]), 0) > 1]
+        lo, hi = (max(0, o - fits[-1] - STEP + 1), min(len(s), o + LENGTH - fits[0])) if fits else (0, 0)
+        parts.append((lo, hi) if hi - lo >= LENGTH else None)
     return parts
 
 
@@ -328,99 +374,106 @@ def least_ids(parts: list[bytes], ids: list[int]) -> list[np.ndarray]:
     return [found[b : b + c] for b, c in zip(begin, counts.tolist(), strict=True)]
 
 
-def _resolve(key, table):
-    """Bucket to (block, blob): for each sent stretch the smallest id of each of its windows."""
-    entries = []  # (hash, stretch, offset, least, several, block, number)
-    for block, blob in zip(table["block"].to_pylist(), table["blob"].to_pylist(), strict=True):
-        h, number, offset, least, several, size, text = unpack(blob)
-        ends = np.cumsum(size, dtype=np.int64).tolist()
-        raw = text.tobytes()
-        strings = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        n = len(strings)
-        entries += zip(np.cumsum(h, dtype=np.uint64).tolist(), strings, offset.tolist(), least.tolist(), several.tolist(), [block] * n, number.tolist(), strict=True)
-    entries.sort(key=lambda e: e[0])
-    known: dict[bytes, list] = {}  # stretch: smallest id, then runs of windows (first, last, id)
-    waiting, size = [], 0
+def _runs(stretch: list[bytes], offset: list[int], least: np.ndarray, groups: list[tuple[int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+    """Runs of windows (first, last, smallest id) of stretches in groups that share a minimizer.
+
+    Stretches without any window in common with another one are left out.
+    """
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    waiting: list[tuple[int, int, int]] = []
+    parts_of: dict[bytes, int] = {}  # part of a waiting stretch: smallest id
+    size = 0
 
     def sort_waiting() -> None:
         nonlocal size
-        for (s, lo, hi), mins in zip(waiting, least_ids([s[lo:hi] for s, lo, hi in waiting], [known[s][0] for s, _, _ in waiting]), strict=True):
+        mins_of = dict(zip(parts_of, least_ids(list(parts_of), list(parts_of.values())), strict=True))
+        for i, lo, hi in waiting:
+            mins = mins_of[stretch[i][lo:hi]]
             heads = np.flatnonzero(np.r_[True, mins[1:] != mins[:-1]]).tolist()
             runs = [(lo + a, lo + b - 1, int(mins[a])) for a, b in zip(heads, [*heads[1:], len(mins)], strict=True)]
-            last = len(s) - LENGTH
-            known[s] += [r for r in ((0, lo - 1, known[s][0]), *runs, (hi - LENGTH + 1, last, known[s][0])) if r[0] <= r[1]]
+            own, last = int(least[i]), len(stretch[i]) - LENGTH
+            found[i] = [r for r in ((0, lo - 1, own), *runs, (hi - LENGTH + 1, last, own)) if r[0] <= r[1]]
         waiting.clear()
+        parts_of.clear()
         size = 0
 
-    i = 0
-    while i < len(entries):
-        j, group = i, {}
-        while j < len(entries) and entries[j][0] == entries[i][0]:
-            _, s, o, least, *_ = entries[j]
-            if s in known:
-                known[s][0] = min(known[s][0], least)
-            else:
-                known[s] = [least]
-                group[s] = o
-            j += 1
-        parts = _may_share(list(group.items())) if len(group) > 1 else [None] * len(group)
-        for s, part in zip(group, parts, strict=True):
-            if part is None:
-                known[s].append((0, len(s) - LENGTH, known[s][0]))
-            else:
-                waiting.append((s, *part))
-                size += part[1] - part[0]
+    for a, b in groups:
+        for i, part in enumerate(_may_share(list(zip(stretch[a:b], offset[a:b], strict=True))), a):
+            if part is not None:
+                waiting.append((i, *part))
+                text = stretch[i][part[0] : part[1]]
+                size += 0 if text in parts_of else len(text)
+                parts_of[text] = min(parts_of.get(text, int(least[i])), int(least[i]))
         if size >= SORT_BYTES:
             sort_waiting()
-        i = j
     if waiting:
         sort_waiting()
-    out: dict[int, list] = {}
-    for _, s, _, least, several, block, number in entries:
-        for a, b, m in known[s][1:]:
-            if m < least or several:
-                out.setdefault(block, []).append((number, a, b, m))
-    rows = [(b, pack(*(np.array(c, t) for c, t in zip(zip(*v, strict=True), (np.int64, np.uint8, np.uint8, np.int64), strict=True)))) for b, v in out.items()]
+    return found
+
+
+def _resolve(key, table):
+    """Bucket to (block, blob): for each sent stretch the smallest id of each of its windows."""
+    blocks = table["block"].to_pylist()
+    columns = [unpack(b) for b in table["blob"].to_pylist()]
+    h = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in columns])
+    number, offset, least, several, size, whole, raw = (np.concatenate([c[k] for c in columns]) for k in range(1, 8))
+    owner = np.repeat(np.arange(len(blocks)), [len(c[0]) for c in columns])
+    size = size.astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    order, heads = distinct(raw, starts, size, h, whole)
+    one = order[heads]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(order)]))
+    smallest = np.minimum.reduceat(least[order], heads)
+    edges = np.flatnonzero(np.r_[True, h[one][1:] != h[one][:-1], True])
+    crowd = np.diff(edges) > 1
+    mixed = [(int(a), int(b)) for a, b in zip(edges[:-1][crowd], edges[1:][crowd], strict=True)]
+    flat = np.concatenate([np.arange(a, b) for a, b in mixed] or [np.zeros(0, np.int64)])
+    text = raw.tobytes()
+    strings = [text[s : s + n] for s, n in zip(starts[one[flat]].tolist(), size[one[flat]].tolist(), strict=True)]
+    cuts = np.concatenate([[0], np.cumsum([b - a for a, b in mixed], dtype=np.int64)]).tolist()
+    found = _runs(strings, offset[one[flat]].tolist(), smallest[flat], list(zip(cuts[:-1], cuts[1:], strict=True)))
+
+    count = np.ones(len(one), np.int64)
+    special = sorted(found)
+    count[flat[special]] = [len(found[i]) for i in special]
+    begin = np.concatenate([[0], np.cumsum(count)])
+    first, last, lowest = np.zeros(begin[-1], np.int64), np.repeat(size[one] - LENGTH, count), np.repeat(smallest, count)
+    if special:
+        at = _spread(begin[flat[special]], count[flat[special]])
+        first[at], last[at], lowest[at] = np.array([r for i in special for r in found[i]], np.int64).T
+
+    run = _spread(begin[which], count[which])
+    entry = np.repeat(np.arange(len(which)), count[which])
+    keep = (lowest[run] < least[entry]) | several[entry]
+    run, entry = run[keep], entry[keep]
+    ends = np.searchsorted(owner[entry], np.arange(len(blocks) + 1)).tolist()
+    rows = [(b, pack(number[entry[x:y]], first[run[x:y]].astype(np.uint8), last[run[x:y]].astype(np.uint8), lowest[run[x:y]])) for b, x, y in zip(blocks, ends, ends[1:], strict=False) if y > x]
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _removed(block: Block, answers: list[bytes]) -> list[np.ndarray | None]:
-    """For each text of the block: which of its bytes go (None: none)."""
-    runs: dict[int, list] = {}
-    for blob in answers:
-        for number, a, b, m in zip(*(x.tolist() for x in unpack(blob)), strict=True):
-            runs.setdefault(number, []).append((a, b, m))
-    edges: list[list[tuple[int, int]]] = [[] for _ in block.ids]
-    if runs:
-        numbers, base, wanted, hashes = np.array(sorted(runs)), 0, {}, []
-        for lo, raw, (first, last, h, *_) in block.pieces():  # what was sent, by its first place
-            for j in numbers[np.searchsorted(numbers, base) : np.searchsorted(numbers, base + len(h))].tolist():
-                wanted[raw[first[j - base] : last[j - base] + LENGTH]] = runs[j]
-                hashes.append(h[j - base])
-            base += len(h)
-        hashes = np.unique(np.array(hashes, np.uint64))
-        for lo, raw, (first, last, h, _, text, shift) in block.pieces():
-            near = np.searchsorted(hashes, h)
-            near[near == len(hashes)] = 0
-            pick = np.flatnonzero(hashes[near] == h)
-            starts = _text_starts(block, lo, text)
-            for s, e, t in zip(first[pick].tolist(), last[pick].tolist(), text[pick].tolist(), strict=True):
-                for a, b, m in wanted.get(raw[s : e + LENGTH], ()):
-                    if m < block.ids[lo + t]:
-                        edges[lo + t].append((shift + s + a - starts[t], shift + s + b + LENGTH - starts[t]))
-    return [_mask(len(t), e) if e else None for t, e in zip(block.texts, edges, strict=True)]
-
-
-def _text_starts(block: Block, lo: int, text: np.ndarray) -> list[int]:
-    sizes = [len(t) for t in block.texts[lo : lo + int(text.max(initial=0)) + 1]]
-    return np.concatenate([[0], np.cumsum(sizes)]).tolist()
-
-
-def _mask(size: int, edges: list[tuple[int, int]]) -> np.ndarray:
-    depth = np.zeros(size + 1, np.int64)
-    a, b = np.array(edges).T
-    np.add.at(depth, a, 1)
-    np.subtract.at(depth, b, 1)
+def _removed(block: Block, answers: list[bytes]) -> np.ndarray:
+    """Which bytes of the block's texts go."""
+    depth = np.zeros(len(block.raw) + 1, np.int32)
+    if answers:
+        number, first, last, lowest = (np.concatenate(c) for c in zip(*map(unpack, answers), strict=True))
+        order = np.argsort(number, kind="stable")
+        number, first, last, lowest = number[order], first[order].astype(np.int64), last[order].astype(np.int64), lowest[order]
+        reps, begin, count = np.unique(number, return_index=True, return_counts=True)
+        by = np.argsort(block.whole[reps], kind="stable")
+        marks = block.whole[reps[by]]
+        pick = np.flatnonzero(_among(block.whole, np.unique(marks)))
+        lo, hi = np.searchsorted(marks, block.whole[pick], "left"), np.searchsorted(marks, block.whole[pick], "right")
+        pick, like = np.repeat(pick, hi - lo), by[_spread(lo, hi - lo)]  # hashes that two distinct stretches share give both
+        fits = block.size[pick] == block.size[reps[like]]
+        pick, like = pick[fits], like[fits]
+        fits = ~_differ(block.raw, block.start[pick], block.start[reps[like]], block.size[pick])
+        pick, like = pick[fits], like[fits]
+        run, pick = _spread(begin[like], count[like]), np.repeat(pick, count[like])
+        goes = lowest[run] < block.ids[block.text[pick]]
+        run, pick = run[goes], pick[goes]
+        np.add.at(depth, block.start[pick] + first[run], 1)
+        np.subtract.at(depth, block.start[pick] + last[run] + LENGTH, 1)
     return np.cumsum(depth[:-1]) > 0
 
 
@@ -429,12 +482,14 @@ def _apply(others: list[str]):
 
     def run(key, table, answers):
         block = Block(table)
-        masks = _removed(block, answers["blob"].to_pylist())
+        gone = _removed(block, answers["blob"].to_pylist())
         kept, removed, spans = [], [], []
-        for text, mask in zip(block.texts, masks, strict=True):
-            kept.append(text if mask is None else np.frombuffer(text, np.uint8)[~mask].tobytes())
-            removed.append(0 if mask is None else int(mask.sum()))
-            spans.append(0 if mask is None else int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()))
+        for i, text in enumerate(block.texts):
+            mask = gone[block.bounds[i] : block.bounds[i + 1]] if i < len(block.ids) else gone[:0]
+            n = int(np.count_nonzero(mask))
+            kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes() if n else text)
+            removed.append(n)
+            spans.append(int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])) if n else 0)
         out = table.take(pa.array(block.order, pa.int64())).select(others)
         for name, values, kind in (("n_bytes", [len(t) for t in block.texts], pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", spans, pa.int64()), ("kept", kept, pa.binary())):
             out = out.append_column("__" + name, pa.array(values, kind))
