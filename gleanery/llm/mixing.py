@@ -17,6 +17,8 @@ from gleanery.session import cut
 #: Hex digits of the hash that one level looks at, and the number of levels.
 DIGITS, LEVELS = 3, 4
 MAX_REPEATS = 3
+#: Sources up to which their figures, a row each, are broadcast; more are joined by source.
+BROADCAST_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -85,6 +87,12 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more:
     return docs.select(*more, F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
 
 
+def _mix_plan(sizes: DataFrame) -> DataFrame:
+    """Figures of each source, marked for broadcast if they are few, so that texts stay where they are."""
+    plan = cut(hash_thresholds(sizes, source_targets(sizes)))
+    return F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
+
+
 def _taken(rows: DataFrame, plan: DataFrame, *more: str) -> DataFrame:
     """Rows of ``_sizes`` with their source's figures and the words taken."""
     again = F.col("threshold").isNull() | (F.col("h") < F.col("threshold")) | ((F.col("h") == F.col("threshold")) & F.col("whole"))
@@ -100,17 +108,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     none. An empty table gives no rows. Other columns are not looked at.
     """
     sizes = cut(_sizes(docs, id_col, text_col, source_col))
-    plan = cut(hash_thresholds(sizes, source_targets(sizes)))
+    plan = _mix_plan(sizes)
     return _taken(sizes, plan).withColumnRenamed("id", id_col)
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that the mix takes, with ``copies``, how often, beside their columns.
 
-    Only the plan, one row a source, meets the texts; they are not shuffled.
+    Only the plan, one row a source, meets the texts. Up to BROADCAST_SOURCES
+    sources it is broadcast and no text is shuffled.
     """
     sizes = cut(_sizes(docs, id_col, text_col, source_col))
-    plan = cut(hash_thresholds(sizes, source_targets(sizes)))
+    plan = _mix_plan(sizes)
     whole = docs.withColumn("__row", F.struct(*docs.columns))
     rows = _taken(_sizes(whole, id_col, text_col, source_col, "__row"), plan, "__row").where(F.col("taken") > 0)
     return rows.select("__row.*", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
