@@ -26,6 +26,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 400, 16_384
 BUCKETS, MOST_EVIDENCE = 1 << 15, 60.0
 #: Pages that the level above counts as.
 PRIOR_PAGES, DECLARED_PAGES = 5.0, 20.0
+#: Rows up to which the sums of a level are broadcast; a longer level is joined by its key.
+BROADCAST_KEYS = 10_000
 UNKNOWN = "und"
 
 _TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-zA-Z#0-9]+;")
@@ -125,10 +127,12 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         ).withColumn("text_posterior", _posterior(F.col("logs")))
     )
     own, even = F.col("text_posterior"), F.array(*[F.lit(1.0 / n)] * n)
-    whole = _sums(rows, [], n, "all_n")
+    whole, wide = _sums(rows, [], n, "all_n"), rows
     for keys, name in ((["suffix"], "suffix_n"), (["domain"], "domain_n"), (["host"], "host_n"), (["declared"], "declared_n")):
-        rows = rows.join(_sums(rows, keys, n, name), keys)
-    rows = rows.crossJoin(F.broadcast(whole))  # one row: the sum over all pages
+        sums = cut(_sums(rows, keys, n, name))
+        few = sums.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        wide = wide.join(F.broadcast(sums) if few else sums, keys)
+    rows = wide.crossJoin(F.broadcast(whole))  # one row: the sum over all pages
     rows = rows.withColumn("prior", _smoothed(F.col("all_n"), even, own, 1.0))
     for name in ("suffix_n", "domain_n", "host_n"):
         rows = rows.withColumn("prior", _smoothed(F.col(name), F.col("prior"), own, PRIOR_PAGES))
