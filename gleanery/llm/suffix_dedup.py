@@ -20,6 +20,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ STEP = 5
 SIDES = LENGTH - GRAM - STEP + 1
 #: Text bytes of a block, of a bucket's share, of what numpy works on at once and of one suffix array.
 BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES, SORT_BYTES = 4 << 20, 4 << 20, 1 << 17, 1 << 17
+#: Blocks that have a minimizer beyond which its stretches are filed in parts.
+SPLIT_BLOCKS = 1024
 #: Low bits of the number that ranks a gram that hold its place; the rest are hash bits.
 PLACE_BITS = 24
 
@@ -197,6 +200,18 @@ def _differ(raw: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) ->
     return out
 
 
+def _hash(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of short pieces, byte by byte."""
+    out, by = sizes.astype(np.uint64), np.argsort(-sizes, kind="stable")
+    starts, sizes, hashes = starts[by], sizes[by], out[by]
+    for k in range(int(sizes.max(initial=0))):
+        n = int(np.searchsorted(-sizes, -k, "left"))  # pieces of more than k bytes come first
+        hashes[:n] = (hashes[:n] ^ raw[starts[:n] + k]) * np.uint64(_BASE)
+        hashes[:n] ^= hashes[:n] >> np.uint64(32)
+    out[by] = hashes
+    return out
+
+
 def distinct(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by minimizer that puts equal stretches together, and where each distinct one begins in it.
 
@@ -217,6 +232,22 @@ def distinct(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: np.ndarr
         whole[wrong] += np.uint64(1)
 
 
+class Filed(NamedTuple):
+    """What of a block is filed where; ``code`` names a stretch, or a part of one, within its block."""
+
+    start: np.ndarray
+    size: np.ndarray
+    h: np.ndarray
+    whole: np.ndarray
+    offset: np.ndarray
+    text: np.ndarray
+    code: np.ndarray
+
+
+#: Codes that a stretch has: its own and one for each part.
+CODES = 8
+
+
 class Block:
     """The texts of a block in canonical order, and their stretches. Rows without id come last and have none."""
 
@@ -231,6 +262,29 @@ class Block:
         parts = [tuple(np.zeros(0, t) for t in KINDS), *self._pieces()]
         self.start, self.size, self.h, self.whole, self.offset, self.text = (np.concatenate(c) for c in zip(*parts, strict=True))
 
+    def filed(self, wanted: np.ndarray | None, hot: np.ndarray) -> "Filed":
+        """Stretches under the wanted minimizers (None: all), those under hot ones in parts.
+
+        One very common gram would bring countless stretches together. A part
+        has the windows that begin i to i + STEP - 1 bytes before the gram and
+        is filed under the bytes that all such windows share, so that each
+        window of the stretch is in one part and meets its equals there.
+        """
+        split = _among(self.h, hot)
+        plain = np.flatnonzero(~split if wanted is None else ~split & _among(self.h, wanted))
+        rows = [(self.start[plain], self.size[plain], self.h[plain], self.whole[plain], self.offset[plain], self.text[plain], plain * CODES)]
+        for k, i in enumerate(range(0, LENGTH - GRAM + 1, STEP), 1):
+            if not split.any():
+                break
+            at, gram, size = np.flatnonzero(split), self.offset[split], self.size[split]
+            lo, hi = np.maximum(0, gram - min(i + STEP - 1, LENGTH - GRAM)), np.minimum(size, gram + LENGTH - i)
+            fits = hi - lo >= LENGTH
+            at, gram, lo, hi = at[fits], gram[fits], lo[fits], hi[fits]
+            start, size = self.start[at] + lo, hi - lo
+            shared = _hash(self.raw, self.start[at] + gram - i, np.full(len(at), GRAM + SIDES))
+            rows.append((start, size, shared ^ (self.h[at] * np.uint64(2 * k + 1)), _hash(self.raw, start, size), gram - lo, self.text[at], at * CODES + k))
+        return Filed(*(np.concatenate(c) for c in zip(*rows, strict=True)))
+
     def _pieces(self) -> Iterator[tuple[np.ndarray, ...]]:
         """Stretches of texts put together, and of parts of a long text that overlap by one window less a byte."""
         step, lo = 8 * PIECE_BYTES, 0
@@ -283,44 +337,44 @@ def _among(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[near] == h
 
 
-def _shared(key, table):
-    """Bucket to (block, blob): the block's minimizers that more than one id has."""
-    blocks, own, several = table["block"].to_pylist(), [], []
-    for blob in table["blob"].to_pylist():
-        h, s = unpack(blob)
-        own.append(np.cumsum(h, dtype=np.uint64))
-        several.append(s)
-    every, which = np.concatenate(own), np.concatenate(several)
-    by = np.argsort(every, kind="stable")
-    sorted_h = every[by]
-    repeated = np.zeros(len(by), bool)
-    repeated[1:] |= sorted_h[1:] == sorted_h[:-1]
-    wanted = np.unique(np.concatenate([sorted_h[repeated], every[which]]))
-    rows = [(b, pack(np.diff(x, prepend=np.uint64(0)))) for b, h in zip(blocks, own, strict=True) if len(x := h[_among(h, wanted)])]
-    return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+def _sharer(split_blocks: int):
+    """Bucket to (block, blob): the block's minimizers that more than one id has, and which of them very many blocks have."""
+
+    def run(key, table):
+        blocks, own, several = table["block"].to_pylist(), [], []
+        for blob in table["blob"].to_pylist():
+            h, s = unpack(blob)
+            own.append(np.cumsum(h, dtype=np.uint64))
+            several.append(s)
+        every, which = np.sort(np.concatenate(own)), np.unique(np.concatenate([h[s] for h, s in zip(own, several, strict=True)]))
+        heads = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        times, every = np.diff(np.r_[heads, len(every)]), every[heads]
+        wanted, hot = every[(times > 1) | _among(every, which)], every[times > split_blocks]
+        rows = [(b, pack(np.diff(x, prepend=np.uint64(0)), _among(x, hot))) for b, h in zip(blocks, own, strict=True) if len(x := h[_among(h, wanted)])]
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
 
 
 def _senders(buckets: int):
     """Block and its shared minimizers to (bucket, block, blob): the distinct stretches under those."""
 
     def run(key, table, shared):
-        wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(unpack(b)[0], dtype=np.uint64) for b in shared["blob"].to_pylist())]))
-        if not len(wanted) or not table.num_rows:
-            return _dealt(-1, np.zeros(0, np.uint64), buckets, None)
-        block = Block(table)
-        pick = np.flatnonzero(_among(block.h, wanted))
-        if not len(pick):
+        if not table.num_rows or not shared.num_rows:
             return _dealt(-1, np.zeros(0, np.uint64), buckets, None)
-        order, heads = distinct(block.raw, block.start[pick], block.size[pick], block.h[pick], block.whole[pick])
-        one, ids = pick[order[heads]], block.ids[block.text[pick[order]]]
+        h, hot = (np.concatenate(c) for c in zip(*((np.cumsum(d, dtype=np.uint64), flag) for d, flag in map(unpack, shared["blob"].to_pylist())), strict=True))
+        by, block = np.argsort(h), Block(table)
+        f = block.filed(h[by], np.sort(h[hot]))
+        order, heads = distinct(block.raw, f.start, f.size, f.h, f.whole)
+        one, ids = order[heads], block.ids[f.text[order]]
         least, several = np.minimum.reduceat(ids, heads), np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
 
         def blob(a: int, b: int) -> bytes:
             i = one[a:b]
-            columns = (i, block.offset[i].astype(np.uint8), least[a:b], several[a:b], block.size[i].astype(np.uint8), block.whole[i])
-            return pack(np.diff(block.h[i], prepend=np.uint64(0)), *columns, block.raw[_spread(block.start[i], block.size[i])])
+            columns = (f.code[i], f.offset[i].astype(np.uint8), least[a:b], several[a:b], f.size[i].astype(np.uint8))
+            return pack(np.diff(f.h[i], prepend=np.uint64(0)), *columns, block.raw[_spread(f.start[i], f.size[i])])
 
-        return _dealt(key[0].as_py(), block.h[one], buckets, blob)
+        return _dealt(key[0].as_py(), f.h[one], buckets, blob)
 
     return run
 
@@ -416,11 +470,11 @@ def _resolve(key, table):
     blocks = table["block"].to_pylist()
     columns = [unpack(b) for b in table["blob"].to_pylist()]
     h = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in columns])
-    number, offset, least, several, size, whole, raw = (np.concatenate([c[k] for c in columns]) for k in range(1, 8))
+    number, offset, least, several, size, raw = (np.concatenate([c[k] for c in columns]) for k in range(1, 7))
     owner = np.repeat(np.arange(len(blocks)), [len(c[0]) for c in columns])
     size = size.astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    order, heads = distinct(raw, starts, size, h, whole)
+    order, heads = distinct(raw, starts, size, h, _hash(raw, starts, size))
     one = order[heads]
     which = np.empty(len(order), np.int64)
     which[order] = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(order)]))
@@ -459,21 +513,24 @@ def _removed(block: Block, answers: list[bytes]) -> np.ndarray:
         number, first, last, lowest = (np.concatenate(c) for c in zip(*map(unpack, answers), strict=True))
         order = np.argsort(number, kind="stable")
         number, first, last, lowest = number[order], first[order].astype(np.int64), last[order].astype(np.int64), lowest[order]
-        reps, begin, count = np.unique(number, return_index=True, return_counts=True)
-        by = np.argsort(block.whole[reps], kind="stable")
-        marks = block.whole[reps[by]]
-        pick = np.flatnonzero(_among(block.whole, np.unique(marks)))
-        lo, hi = np.searchsorted(marks, block.whole[pick], "left"), np.searchsorted(marks, block.whole[pick], "right")
+        codes, begin, count = np.unique(number, return_index=True, return_counts=True)
+        f = block.filed(None, np.unique(block.h[codes[codes % CODES > 0] // CODES]))
+        place = np.argsort(f.code)
+        reps = place[np.searchsorted(f.code[place], codes)]
+        by = np.argsort(f.whole[reps], kind="stable")
+        marks = f.whole[reps[by]]
+        pick = np.flatnonzero(_among(f.whole, np.unique(marks)))
+        lo, hi = np.searchsorted(marks, f.whole[pick], "left"), np.searchsorted(marks, f.whole[pick], "right")
         pick, like = np.repeat(pick, hi - lo), by[_spread(lo, hi - lo)]  # hashes that two distinct stretches share give both
-        fits = block.size[pick] == block.size[reps[like]]
+        fits = (f.size[pick] == f.size[reps[like]]) & (f.h[pick] == f.h[reps[like]])
         pick, like = pick[fits], like[fits]
-        fits = ~_differ(block.raw, block.start[pick], block.start[reps[like]], block.size[pick])
+        fits = ~_differ(block.raw, f.start[pick], f.start[reps[like]], f.size[pick])
         pick, like = pick[fits], like[fits]
         run, pick = _spread(begin[like], count[like]), np.repeat(pick, count[like])
-        goes = lowest[run] < block.ids[block.text[pick]]
+        goes = lowest[run] < block.ids[f.text[pick]]
         run, pick = run[goes], pick[goes]
-        np.add.at(depth, block.start[pick] + first[run], 1)
-        np.subtract.at(depth, block.start[pick] + last[run] + LENGTH, 1)
+        np.add.at(depth, f.start[pick] + first[run], 1)
+        np.subtract.at(depth, f.start[pick] + last[run] + LENGTH, 1)
     return np.cumsum(depth[:-1]) > 0
 
 
@@ -498,7 +555,7 @@ def _apply(others: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, split_blocks: int = SPLIT_BLOCKS) -> DataFrame:
     """All rows with ``__n_bytes``, ``__n_removed``, ``__n_spans`` and ``__kept`` (binary) beside their columns.
 
     Ids are integers. Null text counts as empty; texts of fewer than LENGTH
@@ -506,17 +563,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows without id neither lose bytes nor cost others any. The text column
     itself is left out. The shuffles of the texts are one and the same; what
     is sent between blocks and buckets is bounded by the number of blocks for
-    any one stretch, however many documents have it.
+    any one stretch, however many documents have it; a minimizer that more
+    than ``split_blocks`` blocks have is split by the bytes around it.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
+    blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // BUCKET_BYTES))
     others = [c for c in docs.columns if c != text_col]
     kinds = dict(docs.dtypes)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     dealt = docs.select(*others, F.col(id_col).cast("long").alias("__id"), text.alias("__text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("__block"))
     texts = dealt.groupBy("__block")
     own = texts.applyInArrow(_minimizers(buckets), DEALT)
-    shared = own.groupBy("bucket").applyInArrow(_shared, "block int, blob binary")
+    shared = own.groupBy("bucket").applyInArrow(_sharer(split_blocks), "block int, blob binary")
     sent = texts.cogroup(shared.groupBy("block")).applyInArrow(_senders(buckets), DEALT)
     answers = sent.groupBy("bucket").applyInArrow(_resolve, "block int, blob binary")
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "__n_bytes long, __n_removed long, __n_spans long, __kept binary"])

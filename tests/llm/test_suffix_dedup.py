@@ -27,9 +27,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def got(spark, rows):
+def got(spark, rows, **how):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, block string")
-    return sorted(((r["doc_id"], r["__n_bytes"], r["__n_removed"], r["__n_spans"], hashlib.sha256(r["__kept"]).hexdigest()) for r in remove_repeats(df).collect()), key=str)
+    return sorted(((r["doc_id"], r["__n_bytes"], r["__n_removed"], r["__n_spans"], hashlib.sha256(r["__kept"]).hexdigest()) for r in remove_repeats(df, **how).collect()), key=str)
 
 
 def test_suffix_array():
@@ -48,7 +48,10 @@ def test_against_brute_force(spark):
         parts = [rng.choice(passages)[rng.randint(0, 20) :] if rng.random() < 0.5 else " ".join(word() for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(0, 6))]
         rows.append((i, " ".join(parts)))
     rows += [(200, rows[3][1]), (201, rows[3][1]), (202, "a" * 300), (203, "b" * 49 + "a" * 120), (204, "ab" * 200), (205, None), (206, ""), (None, rows[3][1]), (207, rows[4][1]), (207, rows[4][1]), (208, "x" * 3_000_000 + passages[0]), (209, "y" + passages[0])]
-    assert got(spark, rows) == brute(rows)
+    want = brute(rows)
+    assert got(spark, rows) == want
+    rows = [r for r in rows if len(r[1] or "") < 10**6]
+    assert got(spark, rows, block_bytes=1500, split_blocks=1) == brute(rows)
 
 
 def test_empty_and_stage(spark):
