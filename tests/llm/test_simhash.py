@@ -5,7 +5,7 @@ import random
 import numpy as np
 import xxhash
 
-from gleanery.llm.simhash import covering_links, covering_masks, fingerprint, keep_one, near_duplicates
+from gleanery.llm.simhash import covering_links, covering_masks, fingerprint, keep_one, near_duplicates, similar
 
 
 def plain(text, width):
@@ -97,3 +97,30 @@ def test_rows(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(303) == 1 and ids.count(None) == 2 and 101 not in ids and 301 not in ids and 302 not in ids and 300 in ids
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_near_copies_against_exact_jaccard(spark):
+    """Random edits down to Jaccard 0.8, where fingerprints differ in far more than three bits."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for n in (60, 120, 300, 700) * 15:
+        base = rng.choices(words, k=n)
+        texts.append(" ".join(base))
+        for edits in (1, n // 60, n // 40, n // 25):
+            other = list(base)
+            for at in rng.sample(range(n), edits):
+                other[at] = rng.choice(words)
+            texts.append(" ".join(other))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want, far = list(range(len(texts))), 0
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i - i % 5, i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    for _ in range(5):
+        for i, j in pairs:
+            want[i] = want[j] = min(want[i], want[j])
+    far = sum((plain(texts[i], 5) ^ plain(texts[j], 5)).bit_count() > 3 for i, j in pairs)
+    assert far > len(pairs) // 2
+    assert len(set(want)) > len(texts) // 5  # some edits are below 0.8 and stay
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component for r in similar(df).collect()} == dict(enumerate(want))
+    assert {r.doc_id for r in keep_one(df).collect()} == set(want)
