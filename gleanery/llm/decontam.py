@@ -1,18 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Five-word grams of the benchmark are counted over all documents. A gram is a
-rare seed of an item if it is not far more frequent than that item's median
-gram, so a passage that leaked into very many documents keeps its seeds and
-only wording that is common by itself loses them. A document in which a seed
-of an item stands is aligned with the item around that place, word by word,
-which also scores edited and paraphrased copies.
+"""Benchmark decontamination: Smith-Waterman alignment wherever it can reach the threshold.
+
+Words of the benchmark are counted over all documents. An alignment of score
+0.6 holds at least that share of its item's words within 1.8 times the item's
+length. Of each item the commonest words, a fifth at most, are taken as
+present; a document is aligned with the item around the places where the
+others are dense enough for the score. That is an upper bound of the score,
+so no alignment is missed, however the edits fall.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import median
 
 import numpy as np
 import pandas as pd
@@ -22,17 +21,16 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.license_scan import words
 
-#: Words of a seed. Items of fewer words are too short to be told from chance and are not searched.
-SEED_WORDS = 5
+#: Items of fewer words must stand in a text exactly.
+EXACT_BELOW = 5
 #: Alignment points; the score is the best sum over the item's number of words.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SCORE = 0.6
 #: Benchmark text that one pass over the documents looks for. A larger benchmark takes more passes.
 BLOCK_BYTES = 2 << 20
-#: A seed may be this many times as frequent as its item's median gram.
-RARE_TIMES, RARE_PLUS = 8, 8
+#: Share of an item's words, the commonest, that are not looked up.
+COMMON = 0.2
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "array<struct<item_id:{kind},score:double,end_word:long>>"
 
 
@@ -43,22 +41,17 @@ class Block:
     ids: list
     items: list[np.ndarray]
     vocabulary: dict[bytes, int]
-    grams: np.ndarray  # sorted gram hashes
-    owners: list[list[int]]  # by gram: items
 
-    @property
-    def reach(self) -> int:
-        return 2 * max(len(x) for x in self.items)
 
+@dataclass
+class Index:
+    """Which items a word is looked up for, and what each item needs."""
 
-def gram_hashes(ids: np.ndarray) -> np.ndarray:
-    """Hash of each run of SEED_WORDS word numbers."""
-    n = len(ids) - SEED_WORDS + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for k in range(SEED_WORDS):
-        out = (out ^ ids[k : k + len(out)].astype(np.uint64)) * _MIX
-        out ^= out >> np.uint64(29)
-    return out
+    starts: np.ndarray  # by word number: its part of owners
+    owners: np.ndarray
+    least: np.ndarray  # by item: points needed
+    common: np.ndarray  # by item: words not looked up
+    span: np.ndarray  # by item: words of the longest passage
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[Block]:
@@ -72,58 +65,91 @@ def blocks_of(benchmark: DataFrame) -> Iterator[Block]:
         ids, items = [], []
         for row in part:
             tokens = words(row["text"].encode())
-            if len(tokens) >= SEED_WORDS:
+            if tokens:
                 ids.append(row["item_id"])
                 items.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in tokens], np.int64))
-        owners: dict[int, list[int]] = {}
-        for i, item in enumerate(items):
-            for g in dict.fromkeys(gram_hashes(item).tolist()):
-                owners.setdefault(g, []).append(i)
-        grams = np.array(sorted(owners), np.uint64)
         if ids:
-            yield Block(ids, items, vocabulary, grams, [owners[g] for g in grams.tolist()])
+            yield Block(ids, items, vocabulary)
 
 
-def _hits(text: bytes, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of the text, places of benchmark grams and which these are."""
+def _numbers(text: bytes, block: Block) -> np.ndarray:
+    """Word numbers of the text; 0 for words that no item has."""
     known = block.vocabulary.get
-    ids = np.array([known(w, 0) for w in words(text)], np.int64)
-    hashes = gram_hashes(ids)
-    if not len(hashes):
-        return ids, np.zeros(0, int), np.zeros(0, int)
-    unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-    places = np.flatnonzero(unknown[SEED_WORDS:] == unknown[:-SEED_WORDS])
-    which = np.searchsorted(block.grams, hashes[places])
-    which[which == len(block.grams)] = 0
-    ok = block.grams[which] == hashes[places]
-    return ids, places[ok], which[ok]
+    return np.array([known(w, 0) for w in words(text)], np.int64)
 
 
 def document_frequencies(docs: DataFrame, block: Block, text_col: str = "text") -> dict[int, int]:
-    """In how many rows each gram of the block stands, over all rows.
+    """In how many rows each word of the block stands, over all rows.
 
-    One row for each gram of the block at most comes back.
+    One row for each word of the block at most comes back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [np.unique(_hits(t.as_py(), block)[2]) for t in batch.column(0)]
+            seen = [np.unique(_numbers(t.as_py(), block)) for t in batch.column(0)]
             which, counts = np.unique(np.concatenate(seen or [np.zeros(0, int)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(counts, pa.int64())], ["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(counts, pa.int64())], ["word", "n"])
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    counts = texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counts.collect()}
-
-
-def rare_seeds(block: Block, frequency: dict[int, int]) -> list[list[int]]:
-    """By gram: the items it is a rare seed of."""
-    of_item: list[list[int]] = [[] for _ in block.items]
-    for g, owners in enumerate(block.owners):
-        for i in owners:
-            of_item[i].append(frequency.get(g, 0))
-    limit = [RARE_TIMES * median(x) + RARE_PLUS for x in of_item]
-    return [[i for i in owners if frequency.get(g, 0) <= limit[i]] for g, owners in enumerate(block.owners)]
+    counts = texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r["word"]: r["n"] for r in counts.collect()}
+
+
+def index_of(block: Block, frequency: dict[int, int], least: float) -> Index:
+    """The words of each item that are looked up: all but the commonest."""
+    owners: list[list[int]] = [[] for _ in range(len(block.vocabulary) + 1)]
+    common, points = [], []
+    for i, item in enumerate(block.items):
+        share = least if len(item) >= EXACT_BELOW else max(least, 1.0)
+        known, times = np.unique(item, return_counts=True)
+        left, skipped = (int(min(COMMON, share / 2) * len(item)) if len(item) >= EXACT_BELOW else 0), 0
+        for w, n in sorted(zip(known.tolist(), times.tolist(), strict=True), key=lambda x: (-frequency.get(x[0], 0), x[0])):
+            if skipped + n <= left:
+                skipped += n
+            else:
+                owners[w].append(i)
+        common.append(skipped)
+        points.append(share * MATCH * len(item))
+    sizes = np.array([len(x) for x in owners])
+    length = np.array([len(x) for x in block.items])
+    # At most all words match, and what they have too many pays for words between.
+    span = np.floor(length + (length * MATCH - points) / -max(MISMATCH, GAP)).astype(np.int64)
+    return Index(np.concatenate([[0], np.cumsum(sizes)]), np.array([i for x in owners for i in x], np.int32), np.array(points), np.array(common), span)
+
+
+def _runs(places: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
+    """For each place: the best sum of a run that ends there, by segment, if each place matches and each word between costs."""
+    cost = -max(MISMATCH, GAP)
+    rise = (MATCH + cost) * np.arange(len(places)) - cost * places
+    if segment is not None:  # later segments far lower, so that a running minimum starts anew
+        rise = rise - segment * (np.ptp(rise) + 1.0)
+    return rise - np.minimum.accumulate(rise) + MATCH
+
+
+def _dense(ids: np.ndarray, index: Index) -> np.ndarray:
+    """Items whose words are dense enough somewhere in the text."""
+    first = index.starts[ids]
+    counts = index.starts[ids + 1] - first
+    total = int(counts.sum())
+    if not total:
+        return np.zeros(0, int)
+    at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(total)
+    own, places = index.owners[at], np.repeat(np.arange(len(ids)), counts)
+    order = np.argsort(own, kind="stable")
+    own, places = own[order], places[order]
+    # That many looked-up words must stand within the longest passage.
+    need = np.maximum(np.ceil(index.least / MATCH - index.common - 1e-9), 1).astype(np.int64)[own]
+    back = np.arange(total) - need + 1
+    start, back = back < 0, np.maximum(back, 0)
+    near = ~start & (own[back] == own) & (places - places[back] < index.span[own])
+    maybe = np.unique(own[near])
+    if not len(maybe):
+        return maybe
+    chosen = np.isin(own, maybe)
+    own, places = own[chosen], places[chosen]
+    sums = _runs(places, np.cumsum(np.r_[False, own[1:] != own[:-1]]))
+    bonus = (MATCH - max(MISMATCH, GAP)) * index.common[own]
+    return np.unique(own[sums + bonus >= index.least[own] - 1e-6])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -142,19 +168,17 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def _matches(text: bytes, block: Block, seeds: list[list[int]], least: float) -> list[tuple]:
-    ids, places, which = _hits(text, block)
-    wanted: dict[int, list[int]] = {}
-    for at, g in zip(places.tolist(), which.tolist(), strict=True):
-        for i in seeds[g]:
-            wanted.setdefault(i, []).append(at)
+def _matches(text: bytes, block: Block, index: Index) -> list[tuple]:
+    ids = _numbers(text, block)
     found = []
-    for i, at in wanted.items():
-        item, reach = block.items[i], len(block.items[i]) + len(block.items[i]) // 2
-        best, end, done = 0.0, 0, 0
+    for i in _dense(ids, index).tolist():
+        item = block.items[i]
+        places = np.flatnonzero(np.isin(ids, item))
+        ends = places[_runs(places) >= index.least[i] - 1e-6]
+        best, end = 0.0, 0
         spans: list[list[int]] = []
-        for p in at:
-            lo, hi = max(0, p - reach), min(len(ids), p + SEED_WORDS + reach)
+        for p in ends.tolist():
+            lo, hi = max(0, p - int(index.span[i])), p + 1
             if spans and lo <= spans[-1][1]:
                 spans[-1][1] = hi
             else:
@@ -163,15 +187,15 @@ def _matches(text: bytes, block: Block, seeds: list[list[int]], least: float) ->
             score, done = align(item, ids[lo:hi])
             if score > best:
                 best, end = score, lo + done
-        if best >= least:
+        if best * len(item) * MATCH >= index.least[i] - 1e-9:
             found.append((block.ids[i], best, end))
     return sorted(found, key=lambda x: (str(x[0]), x[1]))
 
 
-def _finder(block: Block, seeds: list[list[int]], least: float, kind: str):
+def _finder(block: Block, index: Index, kind: str):
     @F.pandas_udf(kind)
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"item_id": i, "score": s, "end_word": e} for i, s, e in _matches(t, block, seeds, least)] for t in texts])
+        return pd.Series([[{"item_id": i, "score": s, "end_word": e} for i, s, e in _matches(t, block, index)] for t in texts])
 
     return found
 
@@ -181,15 +205,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SC
 
     Counting runs over all rows of ``docs`` first. Null and empty texts match
     nothing; an empty benchmark gives empty arrays. Long texts are aligned
-    around their seeds only, however many there are.
+    only where the score can be reached, however many such places there are.
+    Items under EXACT_BELOW words must stand word by word.
     """
     kind = dict(benchmark.dtypes)["item_id"]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     columns = []
     for block in blocks_of(benchmark):
-        seeds = rare_seeds(block, document_frequencies(docs, block, text_col))
-
-        columns.append(_finder(block, seeds, least, FOUND.format(kind=kind))(text))
+        index = index_of(block, document_frequencies(docs, block, text_col), least)
+        columns.append(_finder(block, index, FOUND.format(kind=kind))(text))
     return F.concat(*columns) if columns else F.from_json(F.lit("[]"), FOUND.format(kind=kind))
 
 

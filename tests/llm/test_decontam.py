@@ -63,3 +63,39 @@ def test_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1000)
     assert len(list(decontam.blocks_of(b))) > 2
     assert {(r.doc_id, r.item_id) for r in leaks(d, b).collect()} == want
+
+
+def test_recall_against_full_alignment(spark):
+    """Edits at every fifth word, at random, inserted between words; common words; short items."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    text = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [text(n) for n in (1, 2, 4, 5, 6, 9, 12, 16, 16, 25, 40) for _ in range(3)] + [["zz", "yy", "xx"]]
+    docs = []
+    for item in items:
+        n = len(item)
+        fifth = [w if k % 5 else "edited" for k, w in enumerate(item)]
+        spread = [x for k, w in enumerate(item) for x in ([w, "and"] if k % 2 else [w])]
+        every = [x for w in item for x in (w, "and")][: n + int(0.7 * n)]
+        mixed = [list(item) for _ in range(4)]
+        for m in mixed:
+            for _ in range(max(1, n // 4)):
+                m[rng.randrange(len(m))] = "edited"
+            if len(m) > 4:
+                del m[rng.randrange(len(m))]
+        docs += [" ".join(text(rng.randint(0, 30)) + x + text(30)) for x in (item, fifth, spread, every, *mixed)]
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs + [" ".join(x) for x in items] for w in d.split()))}
+    coded = lambda ws: np.array([number[w] for w in ws])
+    want = {}
+    for i, item in enumerate(items):
+        for d, doc in enumerate(docs):
+            score = align(coded(item), coded(doc.split()))[0]
+            if score >= (0.6 if len(item) >= 5 else 1.0) - 1e-9:
+                want[d, i] = round(score, 9)
+    five = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+    assert sum(not five(items[i]) & five(docs[d].split()) for d, i in want) > 30
+    d, b = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.score, 9) for r in leaks(d, b).collect()}
+    print(len(want), "alignments, without a five-word seed:", sum(not five(items[i]) & five(docs[d].split()) for d, i in want))
+    assert got == want
