@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary and one on toxic
-text. A window of toxic wording comes out shorter under the toxic one. The
-saved bytes of all windows of a text are summed up in a few figures, which a
-logistic rule calibrated on labelled texts turns into a score; 0.7 is the
-cut that served best on texts no dictionary had seen.
+text; a third is the ordinary one with a list of distinctive toxic words
+behind it. A window of toxic wording comes out shorter under the toxic ones.
+The bytes that each saves over the ordinary one in all windows of a text are
+summed up in a few figures, which a logistic rule calibrated on labelled texts
+turns into a score; 0.7 is the cut that served best on texts no dictionary
+had seen.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ class Model:
     """What executors need: dictionaries (a few KB) and the calibrated rule."""
 
     ordinary: bytes
+    listed: bytes  # the ordinary one and the distinctive words
     toxic: bytes
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
@@ -53,15 +56,28 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=known, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False).compress
 
 
-def features(text: str | None, toxic, ordinary) -> list[float]:
-    """Figures of the bytes that the toxic dictionary saves, window by window."""
-    raw = (text or "").lower().encode("utf-8", "replace")
-    saved = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(raw)], float) if raw else np.zeros(1)
+def _figures(saved: np.ndarray) -> list[float]:
     at_least = [saved >= k for k in (2, 3, 4, 5)]
     counts, shares = [math.log1p(x.sum()) for x in at_least], [math.sqrt(x.mean()) for x in at_least[:3]]
     return [min(saved.max(), 8.0), *counts, *shares, np.clip(saved, 0, None).mean(), saved.mean()]
 
 
+def features(text: str | None, ordinary, *others) -> list[float]:
+    """Figures of the bytes that each other dictionary saves over the ordinary one, window by window."""
+    raw = (text or "").lower().encode("utf-8", "replace")
+    parts = list(windows(raw)) if raw else []
+    plain = [len(ordinary(w)) for w in parts]
+    found = []
+    for other in others:
+        saved = np.array([n - len(other(w)) for n, w in zip(plain, parts, strict=True)], float) if parts else np.zeros(1)
+        found += _figures(saved)
+    return found
+
+
+def _compressors(model: Model) -> list:
+    return [_compressor(x) for x in (model.ordinary, model.listed, model.toxic)]
+
+
 def _stems(word: bytes) -> list[bytes]:
     return [word[:k] for k in range(4, min(len(word), 10) + 1)]
 
@@ -83,7 +99,7 @@ def _distinctive(toxic: list[bytes], ordinary: list[bytes], least_z: float = 6.0
 
 
 def _train(texts: list[bytes]) -> bytes:
-    """An ordinary dictionary; plain content where there is too little to train on."""
+    """A dictionary of texts of one class; plain content where there is too little to train on."""
     parts = [w for t in texts for w in windows(t, 96, 96)]
     parts = [parts[i] for i in np.random.default_rng(7).permutation(len(parts))[:DICT_WINDOWS]]
     try:
@@ -117,9 +133,9 @@ def fit(rows: list[tuple[str | None, int]], ordinary_share: float | None = None)
         return None
     base = _train(ordinary)
     words = b"".join(b" " + w + b" " for w in _distinctive(toxic, ordinary)) or b" ".join(toxic)[:1024]
-    model = Model(base, base + words)
-    pair = _compressor(model.toxic), _compressor(model.ordinary)
-    x = np.array([features(t.decode("utf-8", "replace"), *pair) for t, _ in tune])
+    model = Model(base, base + words, _train(toxic))
+    every = _compressors(model)
+    x = np.array([features(t.decode("utf-8", "replace"), *every) for t, _ in tune])
     y = np.array([k for _, k in tune])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     w = _logistic((x - mean) / scale, y)
@@ -128,7 +144,7 @@ def fit(rows: list[tuple[str | None, int]], ordinary_share: float | None = None)
     share = ordinary_share or 1 - y.mean()
     times = share / (1 - share) * y.sum() / (1 - y).sum()  # texts that an ordinary one of the sample stands for
     hits = [(2 * ((z >= c) & (y == 1)).sum() / (((z >= c) * np.where(y == 1, 1, times)).sum() + y.sum()), c) for c in tried]
-    return Model(base, base + words, tuple(mean), tuple(scale), tuple(w), float(max(hits)[1]))
+    return Model(base, base + words, model.toxic, tuple(mean), tuple(scale), tuple(w), float(max(hits)[1]))
 
 
 def scorer(model: Model | None):
@@ -138,8 +154,8 @@ def scorer(model: Model | None):
     def score(texts: pd.Series) -> pd.Series:
         if model is None:
             return pd.Series(np.zeros(len(texts)))
-        pair = _compressor(model.toxic), _compressor(model.ordinary)
-        x = np.array([features(t, *pair) for t in texts]).reshape(len(texts), -1)
+        every = _compressors(model)
+        x = np.array([features(t, *every) for t in texts]).reshape(len(texts), -1)
         z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))] @ np.array(model.weights) - model.cut
         return pd.Series(1 / (1 + np.exp(-np.clip(z + math.log(CUT / (1 - CUT)), -500, 500))))
 

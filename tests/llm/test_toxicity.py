@@ -47,3 +47,24 @@ def test_no_model_and_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.toxicity(docs, toxicity.learn(docs, labels)).collect()] == [0.0]
     assert toxicity.toxicity(docs.limit(0), None).count() == 0
+
+
+def test_toxic_dictionary_is_trained_on_toxic_text():
+    """A phrase of toxic texts, none of whose words is on the list, is cheaper under it."""
+    rng = random.Random(9)
+    vocabulary = [f"w{rng.randrange(10**5)}" for _ in range(3000)]
+    phrase = "go back to where you all came from at once"
+    rows = []
+    for i in range(600):
+        body = [rng.choice(vocabulary) for _ in range(60)]
+        if i % 5 == 0:
+            body[30:30] = phrase.split()
+            body[i % 20] = "vermin"
+        else:
+            for w in phrase.split():
+                body.insert(rng.randrange(len(body)), w)
+        rows.append((" ".join(body), int(i % 5 == 0)))
+    model = toxicity.fit(rows)
+    ordinary, listed, toxic = toxicity._compressors(model)
+    window = phrase.encode()
+    assert len(ordinary(window)) - len(toxic(window)) >= 5 > len(ordinary(window)) - len(listed(window))
