@@ -1,18 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic
-text; a third is the ordinary one with a list of distinctive toxic words
-behind it. A window of toxic wording comes out shorter under the toxic ones.
-The bytes that each saves over the ordinary one in all windows of a text are
-summed up in a few figures, which a logistic rule calibrated on labelled texts
-turns into a score; 0.7 is the cut that served best on texts no dictionary
-had seen.
+zstandard dictionaries are trained on ordinary and on toxic text. Toxic
+documents are ordinary prose for the most part, so the toxic dictionaries are
+trained on the passages of toxic texts whose byte grams stand in significantly
+more toxic documents than ordinary ones; no word list is made, the trainer
+picks what it keeps. Both sides share the ordinary dictionary, the toxic ones
+have theirs behind it. A window of toxic wording comes out shorter under
+those. The bytes saved over the ordinary dictionary in all windows of a text
+are summed up in a few figures, which a logistic rule turns into a score. The
+rule and its cut are calibrated by cross-fitting: each quarter of the labelled
+texts is measured with dictionaries trained on the other three.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,21 +25,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a window and of the step from one to the next; zstandard level.
-WINDOW, STEP, LEVEL = 48, 32, 3
+WINDOW, STEP, LEVEL = 32, 16, 3
 #: Bound on the labelled rows that the fit may see, by class, and on their length.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 3000, 32_768
-#: Bytes of the trained dictionary; windows it is trained on.
-DICT_BYTES, DICT_WINDOWS = 8192, 30_000
+#: Bytes of the ordinary and of a toxic dictionary; windows that the first one is trained on, and their bytes.
+DICT_BYTES, TOXIC_BYTES, DICT_WINDOWS, TRAIN_WINDOW = 8192, 2048, 30_000, 96
+#: The toxic dictionaries: bytes of a gram, standard errors by which more toxic texts than ordinary ones must have it.
+PASSAGES = ((6, 5.0), (5, 8.0))
+#: Toxic texts that must have a gram at least.
+LEAST_TEXTS = 4
+#: Parts of the labelled texts, each measured with dictionaries of the others.
+FOLDS = 4
 CUT = 0.7
 
 
 @dataclass(frozen=True)
 class Model:
-    """What executors need: dictionaries (a few KB) and the calibrated rule."""
+    """What executors need: dictionaries (some KB) and the calibrated rule."""
 
     ordinary: bytes
-    listed: bytes  # the ordinary one and the distinctive words
-    toxic: bytes
+    toxic: tuple[bytes, ...]  # each has the ordinary one in front
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
@@ -56,59 +63,86 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=known, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False).compress
 
 
+def _compressors(model: Model) -> list:
+    return [_compressor(x) for x in (model.ordinary, *model.toxic)]
+
+
 def _figures(saved: np.ndarray) -> list[float]:
-    at_least = [saved >= k for k in (2, 3, 4, 5)]
-    counts, shares = [math.log1p(x.sum()) for x in at_least], [math.sqrt(x.mean()) for x in at_least[:3]]
-    return [min(saved.max(), 8.0), *counts, *shares, np.clip(saved, 0, None).mean(), saved.mean()]
+    at_least = [saved >= k for k in (2, 3, 4, 5, 6)]
+    return [min(saved.max(), 10.0), *(math.log1p(x.sum()) for x in at_least), *(math.sqrt(x.mean()) for x in at_least), np.clip(saved, 0, None).mean(), saved.mean(), math.log1p(len(saved))]
+
+
+def _bytes(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace")
 
 
-def features(text: str | None, ordinary, *others) -> list[float]:
-    """Figures of the bytes that each other dictionary saves over the ordinary one, window by window."""
-    raw = (text or "").lower().encode("utf-8", "replace")
-    parts = list(windows(raw)) if raw else []
+def features(text: bytes, ordinary, *toxic) -> list[float]:
+    """Figures of the bytes that each toxic dictionary saves over the ordinary one, window by window."""
+    parts = list(windows(text)) if text else []
     plain = [len(ordinary(w)) for w in parts]
-    found = []
-    for other in others:
-        saved = np.array([n - len(other(w)) for n, w in zip(plain, parts, strict=True)], float) if parts else np.zeros(1)
-        found += _figures(saved)
-    return found
+    return [x for other in toxic for x in _figures(np.array([n - len(other(w)) for n, w in zip(plain, parts, strict=True)], float) if parts else np.zeros(1))]
 
 
-def _compressors(model: Model) -> list:
-    return [_compressor(x) for x in (model.ordinary, model.listed, model.toxic)]
+def _grams(text: bytes, size: int) -> np.ndarray:
+    """The gram at each place as a number."""
+    raw = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = len(raw) - size + 1
+    return sum((raw[k : k + n] << np.uint64(8 * k) for k in range(size)), np.zeros(n, np.uint64)) if n > 0 else np.zeros(0, np.uint64)
+
 
+def _texts_with(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams in order, and how many texts have each; a part of the texts at a time."""
+    known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for lo in range(0, len(texts), 256):
+        more = [np.unique(_grams(t, size)) for t in texts[lo : lo + 256]]
+        every = np.concatenate([known, *more])
+        weights = np.concatenate([counts, np.ones(len(every) - len(known), np.int64)])
+        known, place = np.unique(every, return_inverse=True)
+        counts = np.bincount(place, weights, len(known)).astype(np.int64)
+    return known, counts
 
-def _stems(word: bytes) -> list[bytes]:
-    return [word[:k] for k in range(4, min(len(word), 10) + 1)]
 
+def _of(table: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
+    known, counts = table
+    if not len(known):
+        return np.zeros(len(grams), np.int64)
+    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    return np.where(known[at] == grams, counts[at], 0)
 
-def _distinctive(toxic: list[bytes], ordinary: list[bytes], least_z: float = 6.0, least_docs: int = 10) -> list[bytes]:
-    """Words of toxic texts whose stem is far more common there, rarest first."""
-    t, o = Counter(), Counter()
-    for texts, count in ((toxic, t), (ordinary, o)):
-        for text in texts:
-            count.update({s for w in set(text.split()) for s in _stems(w)})
-    marked = set()
-    for stem, a in t.items():
-        share = (a + o[stem]) / (len(toxic) + len(ordinary))
-        spread = math.sqrt(max(share * (1 - share), 1e-9) * (1 / len(toxic) + 1 / len(ordinary)))
-        if a >= 4 and (a / len(toxic) - o[stem] / len(ordinary)) / spread >= least_z:
-            marked.add(stem)
-    seen = Counter(w for text in toxic for w in {x for x in text.split() if any(s in marked for s in _stems(x))})
-    return [w for w, n in sorted(seen.items(), key=lambda x: (x[1], x[0])) if n >= min(least_docs, max(2, len(toxic) // 20))]
+
+def own_passages(toxic: list[bytes], ordinary: list[bytes], size: int, least_z: float) -> list[bytes]:
+    """Passages of the toxic texts made of grams that significantly more of them have than of the ordinary ones."""
+    here, there = _texts_with(toxic, size), _texts_with(ordinary, size)
+    found = []
+    for text in toxic:
+        grams = _grams(text, size)
+        a, b = _of(here, grams), _of(there, grams)
+        share = (a + b) / (len(toxic) + len(ordinary))
+        error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / len(toxic) + 1 / len(ordinary)))
+        own = (a >= LEAST_TEXTS) & (a / len(toxic) - b / len(ordinary) >= least_z * error)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+        found += [text[i : j + size - 1] for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+    return found
 
 
-def _train(texts: list[bytes]) -> bytes:
-    """A dictionary of texts of one class; plain content where there is too little to train on."""
-    parts = [w for t in texts for w in windows(t, 96, 96)]
-    parts = [parts[i] for i in np.random.default_rng(7).permutation(len(parts))[:DICT_WINDOWS]]
+def _train(parts: list[bytes], size: int) -> bytes:
+    """A dictionary of the parts; their plain content where there is too little to train on."""
     try:
-        return zstandard.train_dictionary(DICT_BYTES, parts).as_bytes()
+        return zstandard.train_dictionary(size, parts).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(parts)[:DICT_BYTES] or b" "
+        return b" ".join(parts)[:size] or b" "
+
+
+def train(rows: list[tuple[bytes, int]]) -> Model:
+    """The dictionaries of labelled texts."""
+    toxic, ordinary = ([t for t, y in rows if y == k] for k in (1, 0))
+    cut = lambda texts: [w for t in texts for w in windows(t, TRAIN_WINDOW, TRAIN_WINDOW)]
+    parts = cut(ordinary)
+    base = _train([parts[i] for i in np.random.default_rng(7).permutation(len(parts))[:DICT_WINDOWS]], DICT_BYTES)
+    return Model(base, tuple(base + _train(own_passages(toxic, ordinary, size, z) or cut(toxic), TOXIC_BYTES) for size, z in PASSAGES))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 10.0) -> np.ndarray:
     """Newton steps for balanced logistic regression; the last weight is the constant."""
     x = np.c_[x, np.ones(len(x))]
     w, balance = np.zeros(x.shape[1]), np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
@@ -121,30 +155,42 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str | None, int]], ordinary_share: float | None = None) -> Model | None:
-    """Dictionaries from even rows, calibration on odd ones; None without both classes.
+    """Dictionaries, and a rule calibrated on texts that the dictionaries they were measured with had not seen.
 
-    The cut has the best F1 that it would have where ordinary texts have
-    ``ordinary_share`` of all, which the sample's classes do not show.
+    The dictionaries of the last part serve: those of all rows would save
+    more than what the rule was calibrated on.
+
+    None without both classes in each of the FOLDS parts of the distinct rows.
+    Of the cuts the one is taken that would have the best F measure where
+    ordinary texts have ``ordinary_share`` of all, which the sample's classes
+    do not show; precision weighs twice as much as recall in it, for a text
+    wrongly rejected is lost.
     """
-    known = list(dict.fromkeys(((t or "").lower().encode("utf-8", "replace"), int(y)) for t, y in rows))
-    learn, tune = known[::2], known[1::2]
-    toxic, ordinary = ([t for t, y in learn if y == k] for k in (1, 0))
-    if not toxic or not ordinary or len({y for _, y in tune}) < 2:
+    known = list(dict.fromkeys((_bytes(t), int(y)) for t, y in rows))
+    parts = [known[k::FOLDS] for k in range(FOLDS)]
+    if any(len({y for _, y in part}) < 2 for part in parts):
         return None
-    base = _train(ordinary)
-    words = b"".join(b" " + w + b" " for w in _distinctive(toxic, ordinary)) or b" ".join(toxic)[:1024]
-    model = Model(base, base + words, _train(toxic))
-    every = _compressors(model)
-    x = np.array([features(t.decode("utf-8", "replace"), *every) for t, _ in tune])
-    y = np.array([k for _, k in tune])
+    x, y = [], []
+    for k, unseen in enumerate(parts):
+        model = train([row for part in parts[:k] + parts[k + 1 :] for row in part])
+        every = _compressors(model)
+        x += [features(t, *every) for t, _ in unseen]
+        y += [label for _, label in unseen]
+    x, y = np.array(x), np.array(y)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     w = _logistic((x - mean) / scale, y)
     z = np.c_[(x - mean) / scale, np.ones(len(x))] @ w
     tried = np.unique(np.quantile(z, np.linspace(0, 1, 400)))
     share = ordinary_share or 1 - y.mean()
     times = share / (1 - share) * y.sum() / (1 - y).sum()  # texts that an ordinary one of the sample stands for
-    hits = [(2 * ((z >= c) & (y == 1)).sum() / (((z >= c) * np.where(y == 1, 1, times)).sum() + y.sum()), c) for c in tried]
-    return Model(base, base + words, model.toxic, tuple(mean), tuple(scale), tuple(w), float(max(hits)[1]))
+    hits = [(((z >= c) & (y == 1)).sum() / (((z >= c) * np.where(y == 1, 1, times)).sum() + 0.25 * y.sum()), c) for c in tried]
+    return Model(model.ordinary, model.toxic, tuple(mean), tuple(scale), tuple(w), float(max(hits)[1]))
+
+
+def rule(x: np.ndarray, model: Model) -> np.ndarray:
+    """Scores of rows of figures; ``cut`` comes out as CUT."""
+    z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))] @ np.array(model.weights) - model.cut
+    return 1 / (1 + np.exp(-np.clip(z + math.log(CUT / (1 - CUT)), -500, 500)))
 
 
 def scorer(model: Model | None):
@@ -155,9 +201,7 @@ def scorer(model: Model | None):
         if model is None:
             return pd.Series(np.zeros(len(texts)))
         every = _compressors(model)
-        x = np.array([features(t, *every) for t in texts]).reshape(len(texts), -1)
-        z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))] @ np.array(model.weights) - model.cut
-        return pd.Series(1 / (1 + np.exp(-np.clip(z + math.log(CUT / (1 - CUT)), -500, 500))))
+        return pd.Series(rule(np.array([features(_bytes(t), *every) for t in texts]).reshape(len(texts), -1), model))
 
     return score
 

@@ -1,8 +1,13 @@
 """Held-out accuracy, folds and odd rows."""
 
+import math
 import random
 import zlib
 
+import pytest
+import zstandard
+from compare import SF, present
+
 from gleanery.llm import toxicity
 
 
@@ -49,8 +54,8 @@ def test_no_model_and_empty(spark):
     assert toxicity.toxicity(docs.limit(0), None).count() == 0
 
 
-def test_toxic_dictionary_is_trained_on_toxic_text():
-    """A phrase of toxic texts, none of whose words is on the list, is cheaper under it."""
+def test_toxic_dictionaries_are_trained_on_toxic_text():
+    """A phrase of toxic texts, all of whose words ordinary texts have too, is cheaper under them."""
     rng = random.Random(9)
     vocabulary = [f"w{rng.randrange(10**5)}" for _ in range(3000)]
     phrase = "go back to where you all came from at once"
@@ -59,12 +64,48 @@ def test_toxic_dictionary_is_trained_on_toxic_text():
         body = [rng.choice(vocabulary) for _ in range(60)]
         if i % 5 == 0:
             body[30:30] = phrase.split()
-            body[i % 20] = "vermin"
         else:
             for w in phrase.split():
                 body.insert(rng.randrange(len(body)), w)
         rows.append((" ".join(body), int(i % 5 == 0)))
     model = toxicity.fit(rows)
-    ordinary, listed, toxic = toxicity._compressors(model)
+    ordinary, *toxic = toxicity._compressors(model)
     window = phrase.encode()
-    assert len(ordinary(window)) - len(toxic(window)) >= 5 > len(ordinary(window)) - len(listed(window))
+    saved = [len(ordinary(window)) - len(x(window)) for x in toxic]
+    assert max(saved) >= 5 and min(saved) > 0
+    assert all(x.startswith(model.ordinary) and zstandard.ZstdCompressionDict(model.ordinary).dict_id() for x in model.toxic)
+
+
+def test_scores_against_a_plain_version(spark):
+    """Every document of the smallest table, its windows compressed one by one."""
+    if not present():
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    got = sorted((r.doc_id, round(r.score, 9)) for r in toxicity.toxicity(docs, model).collect())
+    level = toxicity.LEVEL
+    size = lambda w, d: len(zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(w))
+    want, seen = [], {}
+    for r in docs.collect():
+        raw, figures = (r.text or "").lower().encode(), []
+        spans = [raw[i : i + 32] for i in range(0, max(1, len(raw) - 16), 16)] if raw else []
+        for d in (model.ordinary, *model.toxic):
+            for w in spans:
+                if (w, d) not in seen:
+                    seen[w, d] = size(w, d)
+        for d in model.toxic:
+            saved = [seen[w, model.ordinary] - seen[w, d] for w in spans] or [0]
+            n = len(saved)
+            over = [sum(x >= k for x in saved) for k in (2, 3, 4, 5, 6)]
+            figures += [min(max(saved), 10), *(math.log(1 + x) for x in over), *(math.sqrt(x / n) for x in over), sum(max(x, 0) for x in saved) / n, sum(saved) / n, math.log(1 + n)]
+        z = sum(w * (x - m) / s for w, x, m, s in zip(model.weights, figures, model.mean, model.scale)) + model.weights[-1] - model.cut
+        want.append((r.doc_id, round(1 / (1 + math.exp(-z) * 3 / 7), 9)))
+    assert got == sorted(want)
+
+
+def test_repeated_rows_are_scored_alike(spark):
+    rows = corpus(random.Random(3), 400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, t) for i, t, _ in rows[:50]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2, "doc_id long, toxic int")
+    found = toxicity.toxicity(docs, toxicity.learn(docs, labels)).collect()
+    assert len(found) == 450 and len({tuple(r) for r in found}) == 400
