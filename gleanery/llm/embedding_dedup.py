@@ -6,6 +6,12 @@ blocks are the cell. Several tables use projections of their own. A vector is
 stored in its home cell and also looks into the neighbouring cells that cost
 least, so a pair that a cell border parts still meets. Vectors that meet are
 verified by their cosine in double precision.
+
+No pair becomes a row. The members of a cell are multiplied as matrices, a
+crowded cell in tiles of bounded size; what comes out is the number of links
+of each vector there and as many links as connect what all of them connect. A
+pair that meets in several cells counts in the first one only, which both
+vectors' cells tell.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from gleanery.session import cut
 #: Tables; E8 blocks in a cell; lattice units that a unit vector spans; neighbouring cells looked into.
 TABLES, BLOCKS, SCALE, PROBES = 5, 2, 4.5, 7
 LEAST_COSINE = 0.98
+#: Members of one side of a tile.
+TILE = 1024
 
 
 def _d8(x: np.ndarray) -> np.ndarray:
@@ -119,50 +127,115 @@ def _unit(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {d: (i, v / np.linalg.norm(v, axis=1, keepdims=True)) for d, (i, v) in made.items()}
 
 
-def _entries(distinct: DataFrame) -> DataFrame:
-    """(key, cls, home): each class in its home cells and the cells it looks into."""
+def keyed(distinct: DataFrame) -> DataFrame:
+    """(cls, n, vector, label, keys): TABLES x (1 + PROBES) cells of each class, the home cell of a table first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = [repr(x).encode() for x in batch.column(2).to_pylist()]
-            for dim, (rows, unit) in _unit(batch.column(1)).items():
+            labels = [repr(x).encode() for x in batch.column(3).to_pylist()]
+            for dim, (rows, unit) in _unit(batch.column(2)).items():
                 for lo in range(0, len(rows), 2048):
                     part = rows[lo : lo + 2048]
+                    keys = np.empty((len(part), TABLES, 1 + PROBES), np.uint64)
                     for t in range(TABLES):
-                        keys = [xxhash.xxh64_intdigest(c.tobytes(), 0) ^ xxhash.xxh64_intdigest(b"%d:%d:" % (dim, t) + labels[i]) for i, own in zip(part, cells(unit[lo : lo + 2048], t), strict=True) for c in own]
-                        who = pa.array(np.repeat(part, 1 + PROBES))
-                        home = np.tile(np.arange(1 + PROBES) == 0, len(part))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column(0).take(who), pa.array(home)], ["key", "cls", "home"])
-
-    return distinct.select("cls", "vector", "label").mapInArrow(run, "key long, cls binary, home boolean")
-
-
-def _verified(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the pairs whose cosine is high enough."""
+                        for k, (i, own) in enumerate(zip(part, cells(unit[lo : lo + 2048], t), strict=True)):
+                            salt = xxhash.xxh64_intdigest(b"%d:%d:" % (dim, t) + labels[i])
+                            keys[k, t] = [xxhash.xxh64_intdigest(c.tobytes(), 0) ^ salt for c in own]
+                    each = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * TABLES * (1 + PROBES), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(part)) for c in range(4)), each], ["cls", "n", "vector", "label", "keys"])
+
+    kinds = dict(distinct.dtypes)
+    return distinct.select("cls", "n", "vector", "label").mapInArrow(run, f"cls binary, n long, vector {kinds['vector']}, label {kinds['label']}, keys array<long>")
+
+
+def _first_cell(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of rows of keys: the cell of the first table that they meet in, the least one of two."""
+    x, y = x.reshape(-1, TABLES, 1 + PROBES), y.reshape(-1, TABLES, 1 + PROBES)
+    found, open_ = np.zeros(len(x), np.int64), np.ones(len(x), bool)
+    for t in range(TABLES):
+        a, b = x[:, t, 0], y[:, t, 0]
+        at_a, at_b = (y[:, t] == a[:, None]).any(1), (x[:, t] == b[:, None]).any(1)
+        cell = np.where(at_a & at_b, np.minimum(a, b), np.where(at_a, a, b))
+        found = np.where(open_ & (at_a | at_b), cell, found)
+        open_ &= ~(at_a | at_b)
+    return found
+
+
+def _spanning(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """As many links of a symmetric table as connect what all of them connect."""
+    left = np.ones(len(linked), bool)
+    for start in range(len(linked)):
+        if left[start]:
+            left[start] = False
+            queue = [start]
+            while queue:
+                x = queue.pop()
+                near = np.flatnonzero(linked[x] & left)
+                left[near] = False
+                queue += near.tolist()
+                yield from ((x, int(y)) for y in near)
+
+
+def tile(key: int, members: pa.StructArray, least: float) -> list[tuple]:
+    """(cls, other, links): links by class that count in this cell, and links (cls, other) that connect its members."""
+    cls, labels = members.field("cls").to_pylist(), members.field("label").to_pylist()
+    stored, storing, home, n = (members.field(c).to_numpy(zero_copy_only=False) for c in ("stored", "storing", "home", "n"))
+    keys = members.field("keys").flatten().to_numpy().reshape(len(cls), -1)
+    place, kind = ({x: k for k, x in enumerate(sorted(set(cls)))}, {x: k for k, x in enumerate(dict.fromkeys(map(repr, labels)))})
+    rank, kind = np.array([place[x] for x in cls]), np.array([kind[repr(x)] for x in labels])
+    found = []
+    for rows, unit in _unit(members.field("vector")).values():
+        h, a = np.flatnonzero(storing[rows]), np.flatnonzero(stored[rows])
+        r, k = rank[rows], kind[rows]
+        x, y = np.nonzero((unit[h] @ unit[a].T >= least) & (k[h][:, None] == k[a]) & (r[h][:, None] != r[a]))
+        x, y = h[x], a[y]
+        if not len(x):
+            continue
+        linked = np.zeros((len(rows), len(rows)), bool)
+        linked[x, y] = linked[y, x] = True
+        found += [(cls[rows[p]], cls[rows[q]], 0) for p, q in _spanning(linked)]
+        once = ~(home[rows[y]] & (r[x] > r[y]))  # two that live here meet in both orders
+        once[once] = _first_cell(keys[rows[x[once]]], keys[rows[y[once]]]) == key
+        x, y = x[once], y[once]
+        count = np.bincount(x, n[rows[y]], len(rows)) + np.bincount(y, n[rows[x]], len(rows))
+        found += [(cls[rows[p]], None, int(count[p])) for p in np.flatnonzero(count)]
+    return found
+
+
+_FOUND = pa.schema([("cls", pa.binary()), ("other", pa.binary()), ("links", pa.int64())])
+
+
+def links(distinct: DataFrame, least: float = LEAST_COSINE, side: int = TILE) -> DataFrame:
+    """(cls, other, links) over all cells, for distinct classes (cls, n, vector, label).
+
+    Rows without ``other`` add to the links of ``cls``; the others are links
+    that connect what all links connect. A cell of more than ``side`` members
+    is cut into tiles of about ``side`` stored and storing ones; each member
+    goes to all tiles of its row or column, so a cell of m members sends about
+    m * m / side rows and no pair is one.
+    """
+    every = cut(keyed(distinct))
+    entries = every.select("cls", F.posexplode("keys").alias("at", "key")).select("cls", "key", (F.col("at") % (1 + PROBES) == 0).alias("home"))
+    busy = entries.groupBy("key").agg(F.count_if("home").alias("homes"), F.count("*").alias("all")).where("homes > 0 AND all > 1")
+    parts = lambda c: F.when(F.col("all") <= side, 1).otherwise(F.ceil(F.col(c) / side)).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("cls"), parts(c)).cast("int")
+    each = lambda c, f: F.transform(F.sequence(F.lit(0), parts(c) - 1), f)
+    spot = lambda i, j, storing, stored: F.struct(i.alias("i"), j.alias("j"), storing.alias("storing"), stored.alias("stored"))
+    no, yes = F.lit(False), F.lit(True)
+    stores = each("all", lambda j: spot(own("homes"), j, yes, no))
+    is_stored = each("homes", lambda i: spot(i, own("all"), no, yes))
+    spots = F.when(F.col("all") <= side, F.array(spot(F.lit(0), F.lit(0), F.col("home"), yes))).otherwise(F.when(F.col("home"), F.concat(stores, is_stored)).otherwise(is_stored))
+    members = entries.join(busy, "key").select("key", "cls", "home", F.explode(spots).alias("s")).select("key", "cls", "home", "s.*").join(every, "cls")
+    tiles = members.groupBy("key", "i", "j").agg(F.collect_list(F.struct("cls", "label", "home", "storing", "stored", "n", "keys", "vector")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = _unit(batch.column(2)), _unit(batch.column(3))
-            keep = [np.zeros(0, int)]
-            for dim, (rows, unit) in x.items():
-                if dim in y:
-                    both, i, j = np.intersect1d(rows, y[dim][0], assume_unique=True, return_indices=True)
-                    keep.append(both[np.einsum("nd,nd->n", unit[i], y[dim][1][j]) >= least])
-            which = pa.array(np.concatenate(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which)], ["a", "b"])
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
-
+            found = []
+            for key, group in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found += tile(key, group.values, least)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in enumerate(_FOUND.types)], schema=_FOUND)
 
-def links(distinct: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """Linked pairs (a, b) of distinct classes (cls, vector, label), each once."""
-    entries = cut(_entries(distinct))
-    home = entries.where("home").select("key", F.col("cls").alias("p"))
-    met = entries.select("key", F.col("cls").alias("q")).join(home, "key").where("p <> q")
-    pairs = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    x = distinct.select(F.col("cls").alias("a"), F.col("vector").alias("x"), F.col("label").alias("la"))
-    y = distinct.select(F.col("cls").alias("b"), F.col("vector").alias("y"), F.col("label").alias("lb"))
-    return _verified(pairs.join(x, "a").join(y, "b").where("la = lb"), least)
+    return tiles.select("key", "members").mapInArrow(run, "cls binary, other binary, links long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE) -> DataFrame:
@@ -178,9 +251,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = cut(_classes(vectors, id_col, vector_col, label_col))
     distinct = cut(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("vector").alias("vector"), F.first("label").alias("label")))
     found = cut(links(distinct, least))
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(distinct.select(F.col("cls").alias("b"), "n"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
-    groups = connected_components(found, "a", "b").withColumnRenamed("node", "cls")
+    others = found.where("other IS NULL").groupBy("cls").agg(F.sum("links").alias("others"))
+    groups = connected_components(found.where("other IS NOT NULL"), "cls", "other").withColumnRenamed("node", "cls")
     named = distinct.select("cls", "first", "n").join(groups, "cls", "left").withColumn("root", F.coalesce("component", "cls"))
     least_id = named.groupBy("root").agg(F.min("first").alias("least"))
     per = named.join(least_id, "root").join(others, "cls", "left").select("cls", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))

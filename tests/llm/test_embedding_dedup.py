@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
+from gleanery.llm import embedding_dedup
 from gleanery.llm.embedding_dedup import decode_e8, near_duplicates, neighbours
 
 
@@ -58,3 +60,22 @@ def test_links(spark):
     assert comp[2000] == 2000 and comp[2004] == 2004 and comp[2007] == 2006 and comp[1003] <= 0
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component) for r in got)
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("side", [16, 1024])
+def test_crowded_cells(spark, monkeypatch, side):
+    """A dense cloud of different vectors, cut into tiles or not: every link is counted, no row is a pair."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=32)
+    rows = [(i, (centre + rng.normal(size=32) * (0.02 if i % 3 else 0.1)).tolist(), 1) for i in range(300)]
+    rows += [(300 + i, rng.normal(size=32).tolist(), 1) for i in range(100)]
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(embedding_dedup.links, "__defaults__", (0.98, side))
+    got = {r.vec_id: r for r in near_duplicates(df).collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.99 * sum(map(len, want)) > 30_000
+    assert all(got[i].n_links <= len(want[i]) for i in got)
+    classes = embedding_dedup._classes(df, "vec_id", "embedding", "label")
+    found = embedding_dedup.links(classes.selectExpr("cls", "1L AS n", "vector", "label"), 0.98, side)
+    if side > len(rows):  # one tile a cell: fewer links than members
+        assert found.where("other IS NOT NULL").count() < 40 * len(rows) < sum(map(len, want))
