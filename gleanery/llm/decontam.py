@@ -1,155 +1,121 @@
-"""Benchmark decontamination: Smith-Waterman alignment wherever it can reach the threshold.
-
-Words of the benchmark are counted over all documents. An alignment of score
-0.6 holds at least that share of its item's words within 1.8 times the item's
-length. Of each item the commonest words, a fifth at most, are taken as
-present; a document is aligned with the item around the places where the
-others are dense enough for the score. That is an upper bound of the score,
-so no alignment is missed, however the edits fall.
+"""Benchmark decontamination: rare seeds join passages to test items, Smith-Waterman scores them.
+
+A seed is a rare word (a 1-gram: with longer ones an item with a word changed
+here and there would have none left). An alignment that reaches the threshold
+matches a known number of its item's words, so of the item's rarest words, as
+many as the alignment may leave out and HITS more, it holds as many as HITS
+says, close together. Documents and items are joined on these words; where
+enough of them stand close together the passage is cut out and aligned.
+Nothing that reaches the threshold is missed, however the edits fall.
+
+The benchmark is a table all the way: it is broadcast where its seeds are
+counted to be few, and joined by word where they are not. Any benchmark takes
+two passes over the documents, one to count words and one to join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.license_scan import words
+from gleanery.session import cut
 
 #: Items of fewer words must stand in a text exactly.
 EXACT_BELOW = 5
 #: Alignment points; the score is the best sum over the item's number of words.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SCORE = 0.6
-#: Benchmark text that one pass over the documents looks for. A larger benchmark takes more passes.
-BLOCK_BYTES = 2 << 20
-#: Share of an item's words, the commonest, that are not looked up.
-COMMON = 0.2
-
-FOUND = "array<struct<item_id:{kind},score:double,end_word:long>>"
+#: Seeds that a passage must hold, as a share of its item's words.
+HITS = 0.16
+#: Rows up to which words of the benchmark, seeds or passages are broadcast; more are joined by key.
+BROADCAST_ROWS = 200_000
 
+#: Characters of scripts that put no blanks between words; each is a word.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+WORD = rf"[{UNSPACED}]|[^\x00-\x2F\x3A-\x60\x7B-\x7F{UNSPACED}]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-@dataclass
-class Block:
-    """A part of the benchmark in the form tasks need; its size is bounded by BLOCK_BYTES."""
 
-    ids: list
-    items: list[np.ndarray]
-    vocabulary: dict[bytes, int]
+def words(text: Column) -> Column:
+    """Words of a text in order, ``A-Z`` lower-cased; none of a null text."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), F.lit(WORD), 0)
 
 
-@dataclass
-class Index:
-    """Which items a word is looked up for, and what each item needs."""
+def _few(df: DataFrame) -> DataFrame:
+    """The rows, marked for broadcast if counting finds them few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    starts: np.ndarray  # by word number: its part of owners
-    owners: np.ndarray
-    least: np.ndarray  # by item: points needed
-    common: np.ndarray  # by item: words not looked up
-    span: np.ndarray  # by item: words of the longest passage
 
+def items_of(benchmark: DataFrame, least: float) -> DataFrame:
+    """(key, item_id, item, n, points, needed, hits, span): items and what an alignment with each one must have.
 
-def blocks_of(benchmark: DataFrame) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size. Null texts and repeated rows add nothing."""
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-size // BLOCK_BYTES)
-    for k in range(count):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(count)) == k).orderBy("item_id", "text").collect()
-        vocabulary: dict[bytes, int] = {}
-        ids, items = [], []
-        for row in part:
-            tokens = words(row["text"].encode())
-            if tokens:
-                ids.append(row["item_id"])
-                items.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in tokens], np.int64))
-        if ids:
-            yield Block(ids, items, vocabulary)
+    ``needed`` words at least match, ``hits`` of the seeds, within ``span``
+    words. Null texts, texts without words and repeated rows add nothing.
+    """
+    n = F.col("n")
+    rows = benchmark.select("item_id", words(F.col("text")).alias("item")).withColumn("n", F.size("item")).where(n > 0).distinct()
+    rows = rows.withColumn("points", F.when(n >= EXACT_BELOW, F.lit(least)).otherwise(F.lit(max(least, 1.0))) * MATCH * n)
+    rows = rows.withColumn("needed", F.ceil(F.col("points") / MATCH - 1e-9).cast("int"))
+    # At most all words match, and what they have too many pays for words between.
+    return rows.select(
+        F.md5(F.to_json(F.struct("item_id", "item"))).alias("key"),
+        "item_id",
+        "item",
+        "n",
+        "points",
+        "needed",
+        F.greatest(F.least(F.floor(n * HITS), F.col("needed")), F.lit(1)).cast("int").alias("hits"),
+        F.floor(n + (n * MATCH - F.col("points")) / -max(MISMATCH, GAP)).cast("int").alias("span"),
+    )
+
+
+def document_frequencies(docs: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, docs): in how many rows each word of the vocabulary stands, over all rows."""
+    seen = docs.select(F.explode(F.array_distinct(words(F.col(text_col)))).alias("word"))
+    return seen.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("docs"))
+
+
+def seeds_of(items: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, key, hits, span): the rarest words of each item.
+
+    With multiplicity they make up ``n - needed + hits`` places, so a passage
+    that matches ``needed`` places has ``hits`` of them. Rare is what few
+    documents have, times the items that have it.
+    """
+    each = cut(items.select("key", "n", "needed", "hits", "span", F.explode("item").alias("word")).groupBy("key", "n", "needed", "hits", "span", "word").agg(F.count("*").alias("times")))
+    vocabulary = cut(each.groupBy("word").agg(F.count("*").alias("items")))
+    counts = document_frequencies(docs, _few(vocabulary.select("word")), text_col)
+    cost = cut(vocabulary.join(counts, "word", "left").select("word", (F.col("items") * F.coalesce("docs", F.lit(0))).alias("cost")))
+    ranked = Window.partitionBy("key").orderBy("cost", "word").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.join(_few(cost), "word").withColumn("before", F.coalesce(F.sum("times").over(ranked), F.lit(0)))
+    return before.where(F.col("before") < F.col("n") - F.col("needed") + F.col("hits")).select("word", "key", "hits", "span")
 
 
-def _numbers(text: bytes, block: Block) -> np.ndarray:
-    """Word numbers of the text; 0 for words that no item has."""
-    known = block.vocabulary.get
-    return np.array([known(w, 0) for w in words(text)], np.int64)
+def uid(id_col: str, text_col: str) -> Column:
+    """A digest of a row's id and text; repeated rows share it."""
+    return F.md5(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def document_frequencies(docs: DataFrame, block: Block, text_col: str = "text") -> dict[int, int]:
-    """In how many rows each word of the block stands, over all rows.
+def passages_of(docs: DataFrame, seeds: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(uid, key, lo, hi): where enough seeds of an item stand close together in a document.
 
-    One row for each word of the block at most comes back.
+    Places are from 0, ``hi`` is the one behind the last. Passages of one
+    document and item do not overlap.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = [np.unique(_numbers(t.as_py(), block)) for t in batch.column(0)]
-            which, counts = np.unique(np.concatenate(seen or [np.zeros(0, int)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(counts, pa.int64())], ["word", "n"])
-
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    counts = texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in counts.collect()}
-
-
-def index_of(block: Block, frequency: dict[int, int], least: float) -> Index:
-    """The words of each item that are looked up: all but the commonest."""
-    owners: list[list[int]] = [[] for _ in range(len(block.vocabulary) + 1)]
-    common, points = [], []
-    for i, item in enumerate(block.items):
-        share = least if len(item) >= EXACT_BELOW else max(least, 1.0)
-        known, times = np.unique(item, return_counts=True)
-        left, skipped = (int(min(COMMON, share / 2) * len(item)) if len(item) >= EXACT_BELOW else 0), 0
-        for w, n in sorted(zip(known.tolist(), times.tolist(), strict=True), key=lambda x: (-frequency.get(x[0], 0), x[0])):
-            if skipped + n <= left:
-                skipped += n
-            else:
-                owners[w].append(i)
-        common.append(skipped)
-        points.append(share * MATCH * len(item))
-    sizes = np.array([len(x) for x in owners])
-    length = np.array([len(x) for x in block.items])
-    # At most all words match, and what they have too many pays for words between.
-    span = np.floor(length + (length * MATCH - points) / -max(MISMATCH, GAP)).astype(np.int64)
-    return Index(np.concatenate([[0], np.cumsum(sizes)]), np.array([i for x in owners for i in x], np.int32), np.array(points), np.array(common), span)
-
-
-def _runs(places: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
-    """For each place: the best sum of a run that ends there, by segment, if each place matches and each word between costs."""
-    cost = -max(MISMATCH, GAP)
-    rise = (MATCH + cost) * np.arange(len(places)) - cost * places
-    if segment is not None:  # later segments far lower, so that a running minimum starts anew
-        rise = rise - segment * (np.ptp(rise) + 1.0)
-    return rise - np.minimum.accumulate(rise) + MATCH
-
-
-def _dense(ids: np.ndarray, index: Index) -> np.ndarray:
-    """Items whose words are dense enough somewhere in the text."""
-    first = index.starts[ids]
-    counts = index.starts[ids + 1] - first
-    total = int(counts.sum())
-    if not total:
-        return np.zeros(0, int)
-    at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(total)
-    own, places = index.owners[at], np.repeat(np.arange(len(ids)), counts)
-    order = np.argsort(own, kind="stable")
-    own, places = own[order], places[order]
-    # That many looked-up words must stand within the longest passage.
-    need = np.maximum(np.ceil(index.least / MATCH - index.common - 1e-9), 1).astype(np.int64)[own]
-    back = np.arange(total) - need + 1
-    start, back = back < 0, np.maximum(back, 0)
-    near = ~start & (own[back] == own) & (places - places[back] < index.span[own])
-    maybe = np.unique(own[near])
-    if not len(maybe):
-        return maybe
-    chosen = np.isin(own, maybe)
-    own, places = own[chosen], places[chosen]
-    sums = _runs(places, np.cumsum(np.r_[False, own[1:] != own[:-1]]))
-    bonus = (MATCH - max(MISMATCH, GAP)) * index.common[own]
-    return np.unique(own[sums + bonus >= index.least[own] - 1e-6])
+    seen = docs.select(uid(id_col, text_col).alias("uid"), F.posexplode(words(F.col(text_col))).alias("place", "word"))
+    met = seen.join(_few(seeds), "word").groupBy("uid", "key", "hits", "span").agg(F.array_sort(F.collect_set("place")).alias("p")).where(F.size("p") >= F.col("hits"))
+    at = lambda i: F.element_at("p", i.cast("int"))
+    ends = F.filter(F.sequence(F.col("hits"), F.size("p")), lambda i: at(i) - at(i - F.col("hits") + 1) < F.col("span"))
+    spots = F.transform(ends, lambda i: F.struct(F.greatest(F.lit(0), at(i) - F.col("span") + 1).alias("lo"), (at(i - F.col("hits") + 1) + F.col("span")).alias("hi")))
+    met = met.select("uid", "key", spots.alias("s")).where(F.size("s") > 0)
+    spot = lambda i: F.element_at("s", i.cast("int"))
+    heads = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: F.when(i == 1, True).otherwise(spot(i)["lo"] > spot(F.greatest(i - 1, F.lit(1)))["hi"]))
+    met = met.withColumn("h", heads)
+    last = lambda k: F.when(k + 1 < F.size("h"), F.try_element_at("h", (k + 2).cast("int")) - 1).otherwise(F.size("s"))
+    runs = F.transform("h", lambda i, k: F.struct(spot(i)["lo"].alias("lo"), spot(last(k))["hi"].alias("hi")))
+    return met.select("uid", "key", F.explode(runs).alias("r")).select("uid", "key", "r.*")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -168,64 +134,64 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def _matches(text: bytes, block: Block, index: Index) -> list[tuple]:
-    ids = _numbers(text, block)
-    found = []
-    for i in _dense(ids, index).tolist():
-        item = block.items[i]
-        places = np.flatnonzero(np.isin(ids, item))
-        ends = places[_runs(places) >= index.least[i] - 1e-6]
-        best, end = 0.0, 0
-        spans: list[list[int]] = []
-        for p in ends.tolist():
-            lo, hi = max(0, p - int(index.span[i])), p + 1
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1] = hi
-            else:
-                spans.append([lo, hi])
-        for lo, hi in spans:
-            score, done = align(item, ids[lo:hi])
-            if score > best:
-                best, end = score, lo + done
-        if best * len(item) * MATCH >= index.least[i] - 1e-9:
-            found.append((block.ids[i], best, end))
-    return sorted(found, key=lambda x: (str(x[0]), x[1]))
-
-
-def _finder(block: Block, index: Index, kind: str):
-    @F.pandas_udf(kind)
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"item_id": i, "score": s, "end_word": e} for i, s, e in _matches(t, block, index)] for t in texts])
-
-    return found
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, text_col: str = "text") -> Column:
-    """A column of the matches in ``text_col``: array of (item_id, score, end_word).
-
-    Counting runs over all rows of ``docs`` first. Null and empty texts match
-    nothing; an empty benchmark gives empty arrays. Long texts are aligned
-    only where the score can be reached, however many such places there are.
-    Items under EXACT_BELOW words must stand word by word.
-    """
-    kind = dict(benchmark.dtypes)["item_id"]
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    columns = []
-    for block in blocks_of(benchmark):
-        index = index_of(block, document_frequencies(docs, block, text_col), least)
-        columns.append(_finder(block, index, FOUND.format(kind=kind))(text))
-    return F.concat(*columns) if columns else F.from_json(F.lit("[]"), FOUND.format(kind=kind))
+def bound(item: np.ndarray, passage: np.ndarray) -> float:
+    """No alignment scores more: every word that the item has matches, each one between costs."""
+    places = np.flatnonzero(np.isin(passage, item))
+    if not len(places):
+        return 0.0
+    cost = -max(MISMATCH, GAP)
+    rise = (MATCH + cost) * np.arange(len(places)) - cost * places
+    return float((rise - np.minimum.accumulate(rise)).max() + MATCH) / (MATCH * len(item))
+
+
+def _aligner():
+    """A column function: item, passage and least score to (score, end)."""
+
+    @F.pandas_udf("score double, end long")
+    def aligned(items: pd.Series, passages: pd.Series, least: pd.Series) -> pd.DataFrame:
+        out = []
+        for item, passage, enough in zip(items, passages, least, strict=True):
+            number: dict[str, int] = {}
+            a = np.array([number.setdefault(w, len(number) + 1) for w in item])
+            b = np.array([number.get(w, 0) for w in passage])
+            out.append(align(a, b) if bound(a, b) >= enough - 1e-9 else (0.0, 0))
+        return pd.DataFrame(out, columns=["score", "end"])
+
+    return aligned
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(uid, id, item_id, score, end_word) of each distinct document and item that align."""
+    docs = docs.select(F.col(id_col), F.col(text_col))
+    items = cut(items_of(benchmark, least))
+    seeds = cut(seeds_of(items, docs, text_col))
+    spots = cut(passages_of(docs, seeds, id_col, text_col))
+    texts = docs.withColumn("uid", uid(id_col, text_col)).join(_few(spots), "uid")
+    # Only documents with a passage are cut into words here; repeated ones give the same rows.
+    pieces = texts.select("uid", F.col(id_col).alias("id"), "key", "lo", F.slice(words(F.col(text_col)), F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("passage"))
+    scored = pieces.join(_few(items.select("key", "item_id", "item", "n", "points")), "key").withColumn("a", _aligner()("item", "passage", F.col("points") / F.col("n") / MATCH))
+    good = scored.where(F.col("a.score") * F.col("n") * MATCH >= F.col("points") - 1e-9)
+    best = good.groupBy("uid", "id", "key", "item_id").agg(F.min(F.struct((-F.col("a.score")).alias("minus"), (F.col("lo") + F.col("a.end")).cast("long").alias("end_word"))).alias("b"))
+    return best.select("uid", "id", "item_id", (-F.col("b.minus")).alias("score"), F.col("b.end_word").alias("end_word"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """(doc_id, item_id, score, end_word) of each document and item that align."""
-    found = docs.select("doc_id", F.explode(contamination(docs, benchmark, least)).alias("m"))
-    return found.select("doc_id", "m.*")
+    """(doc_id, item_id, score, end_word) of each document and item that align.
+
+    ``end_word`` is the place behind the best alignment, the first of equal
+    ones. Null and empty texts match nothing, an empty benchmark gives no
+    rows, repeated rows count once. Long texts are aligned only where the
+    score can be reached, however many such places there are. Items under
+    EXACT_BELOW words must stand word by word; characters of scripts without
+    blanks between words are words.
+    """
+    return matches(docs, benchmark, least).select(F.col("id").alias("doc_id"), "item_id", "score", "end_word")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents that align with no item, all columns kept."""
-    return docs.where(F.size(contamination(docs, benchmark, least)) == 0)
+    gone = cut(matches(docs, benchmark, least).select(F.col("uid").alias("__uid")).distinct())
+    return docs.withColumn("__uid", uid("doc_id", "text")).join(_few(gone), "__uid", "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from gleanery.llm.decontam import GAP, MATCH, MISMATCH, align, contamination, drop_leaks, leaks
+from gleanery.llm import decontam
+from gleanery.llm.decontam import GAP, MATCH, MISMATCH, align, bound, drop_leaks, leaks
 
 
 def plain(item, passage):
@@ -52,17 +53,39 @@ def test_leaks(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
     assert leaks(d, b.limit(0)).count() == 0 and drop_leaks(d, b.limit(0)).count() == len(docs)
     assert leaks(d.limit(0), b).count() == 0
-    assert d.select(contamination(d, b.where("item_id = 50")).alias("c")).where("size(c) > 0").count() == 0
+    assert leaks(d, b.where("item_id = 50")).count() == 0
 
 
-def test_many_blocks(spark, monkeypatch):
-    from gleanery.llm import decontam
-
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Tables too large for a broadcast are joined by key, with the same rows."""
     docs, bench, want = corpus()
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1000)
-    assert len(list(decontam.blocks_of(b))) > 2
-    assert {(r.doc_id, r.item_id) for r in leaks(d, b).collect()} == want
+    d, b = spark.createDataFrame(docs + docs[:30], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    got = [(r.doc_id, r.item_id) for r in leaks(d, b).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_scripts_without_blanks(spark):
+    """A Chinese item with characters changed, a Japanese and a Thai one, and a short one that must stand exactly."""
+    items = ["下列哪一项是光合作用的主要产物请选择正确的答案", "これは試験の問題です正しい答えを選んでください", "ข้อใดต่อไปนี้เป็นคำตอบที่ถูกต้อง", "热力学"]
+    edited = items[0][:6] + "某" + items[0][7:14] + "甲" + items[0][15:]
+    docs = [(0, "前言。" + edited + "。后记"), (1, "序文「" + items[1] + "」"), (2, "abc " + items[2] + " def"), (3, "研究热力学的人"), (4, "热与力之学" * 9), (5, "完全不同的另一段文字没有任何关系" * 5)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(d, b).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
+def test_bound_is_never_below_the_score():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (np.array([rng.randint(0, 6) for _ in range(rng.randint(1, 25))]) for _ in "ab")
+        assert bound(a, b) >= align(a, b)[0] - 1e-9
+
+
+def test_no_driver_copy_of_the_benchmark(spark):
+    """The plan joins seeds; no Python closure holds items."""
+    d, b = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    seeds = decontam.seeds_of(decontam.items_of(b, 0.6), d)
+    assert sorted(map(tuple, seeds.select("word", "hits", "span").collect())) == [("d", 1, 14), ("e", 1, 14), ("f", 1, 14), ("g", 1, 14)]
 
 
 def test_recall_against_full_alignment(spark):
