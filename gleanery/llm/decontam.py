@@ -1,20 +1,22 @@
-"""Benchmark decontamination: rare seeds join passages to test items, Smith-Waterman scores them.
-
-A seed is a rare word (a 1-gram: with longer ones an item with a word changed
-here and there would have none left). An alignment that reaches the threshold
-matches a known number of its item's words, so of the item's rarest words, as
-many as the alignment may leave out and HITS more, it holds as many as HITS
-says, close together. Documents and items are joined on these words; where
-enough of them stand close together the passage is cut out and aligned.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
+
+A seed is a pair of neighbouring words of an item, or one word where the item
+is so short that an alignment might leave no pair whole. An alignment that
+reaches the threshold keeps a known number of the item's grams. So of its
+rarest grams, all but those that it may lose and ``hits`` more, it holds
+``hits`` at least, close together. Documents and items are joined on these;
+where enough of them stand close together the passage is cut out and aligned.
 Nothing that reaches the threshold is missed, however the edits fall.
 
 The benchmark is a table all the way: it is broadcast where its seeds are
-counted to be few, and joined by word where they are not. Any benchmark takes
-two passes over the documents, one to count words and one to join.
+counted to be few, and joined by gram where they are not. Any benchmark takes
+two passes over the documents, one to count grams and one to join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,20 +29,23 @@ EXACT_BELOW = 5
 #: Alignment points; the score is the best sum over the item's number of words.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SCORE = 0.6
-#: Seeds that a passage must hold, as a share of its item's words.
-HITS = 0.16
-#: Rows up to which words of the benchmark, seeds or passages are broadcast; more are joined by key.
+#: Seeds that a passage must hold, as a share of the grams that an alignment keeps.
+HITS = 0.5
+#: Rows up to which grams of the benchmark, seeds or passages are broadcast; more are joined by key.
 BROADCAST_ROWS = 200_000
 
 #: Characters of scripts that put no blanks between words; each is a word.
 UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
-WORD = rf"[{UNSPACED}]|[^\x00-\x2F\x3A-\x60\x7B-\x7F{UNSPACED}]+"
+#: ASCII without digits and letters parts words.
+_PARTS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words(text: Column) -> Column:
     """Words of a text in order, ``A-Z`` lower-cased; none of a null text."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), F.lit(WORD), 0)
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(text.rlike(f"[{UNSPACED}]"), F.regexp_replace(text, f"([{UNSPACED}])", " $1 ")).otherwise(text)
+    return F.filter(F.split(F.translate(text, _UPPER + _PARTS, _UPPER.lower() + " " * len(_PARTS)), " "), lambda w: w != "")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -48,74 +53,87 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def grams(words_: Column, pairs: bool) -> Column:
+    """Hashes of the words, or of the pairs of neighbouring words, in order. Hashes only decide what is aligned."""
+    if not pairs:
+        return F.transform(words_, lambda w: F.xxhash64(w))
+    n = F.greatest(F.size(words_) - 1, F.lit(0))
+    return F.zip_with(F.slice(words_, F.lit(1), n), F.slice(words_, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+
+
 def items_of(benchmark: DataFrame, least: float) -> DataFrame:
-    """(key, item_id, item, n, points, needed, hits, span): items and what an alignment with each one must have.
+    """(key, item_id, item, n, points, pairs, needed, hits, span): items and what an alignment with each one must have.
 
-    ``needed`` words at least match, ``hits`` of the seeds, within ``span``
-    words. Null texts, texts without words and repeated rows add nothing.
+    It keeps ``needed`` of the item's pairs of words (words if not ``pairs``)
+    within ``span`` words. Null texts, texts without words and repeated rows
+    add nothing.
     """
-    n = F.col("n")
+    n, points, cost = F.col("n"), F.col("points"), -max(MISMATCH, GAP)
     rows = benchmark.select("item_id", words(F.col("text")).alias("item")).withColumn("n", F.size("item")).where(n > 0).distinct()
     rows = rows.withColumn("points", F.when(n >= EXACT_BELOW, F.lit(least)).otherwise(F.lit(max(least, 1.0))) * MATCH * n)
-    rows = rows.withColumn("needed", F.ceil(F.col("points") / MATCH - 1e-9).cast("int"))
-    # At most all words match, and what they have too many pays for words between.
-    return rows.select(
-        F.md5(F.to_json(F.struct("item_id", "item"))).alias("key"),
-        "item_id",
-        "item",
-        "n",
-        "points",
-        "needed",
-        F.greatest(F.least(F.floor(n * HITS), F.col("needed")), F.lit(1)).cast("int").alias("hits"),
-        F.floor(n + (n * MATCH - F.col("points")) / -max(MISMATCH, GAP)).cast("int").alias("span"),
-    )
-
-
-def document_frequencies(docs: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, docs): in how many rows each word of the vocabulary stands, over all rows."""
-    seen = docs.select(F.explode(F.array_distinct(words(F.col(text_col)))).alias("word"))
-    return seen.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("docs"))
+    # What matches beyond the points pays for words between; each may part two runs of matches.
+    rows = rows.withColumn("spare", (n * MATCH - points) / cost)
+    rows = rows.withColumn("whole", F.ceil(n - 1 - F.col("spare") - 1e-9).cast("int")).withColumn("pairs", F.col("whole") >= 1)
+    rows = rows.withColumn("needed", F.when(F.col("pairs"), F.col("whole")).otherwise(F.ceil(points / MATCH - 1e-9).cast("int")))
+    return rows.select("item_id", "item", "n", "points", "pairs", "needed", F.xxhash64("item_id", "item").alias("key"), F.ceil(F.col("needed") * HITS).cast("int").alias("hits"), F.floor(n + F.col("spare") + 1e-9).cast("int").alias("span"))
+
+
+def _kinds(items: DataFrame) -> list[bool]:
+    """Whether there are items with pairs, with single words, or both."""
+    return sorted(r["pairs"] for r in items.select("pairs").distinct().collect())
+
+
+def document_frequencies(docs: DataFrame, vocabulary: DataFrame, kinds: list[bool], text_col: str = "text") -> DataFrame:
+    """(pairs, gram, docs): in how many rows each gram of the vocabulary stands, over all rows."""
+    seen = docs.select(words(F.col(text_col)).alias("w"))
+    parts = [seen.select(F.explode(F.array_distinct(grams(F.col("w"), k))).alias("gram")).join(vocabulary.where(F.col("pairs") == k), "gram") for k in kinds]
+    return reduce(DataFrame.unionByName, parts).groupBy("pairs", "gram").agg(F.count("*").alias("docs"))
 
 
 def seeds_of(items: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, key, hits, span): the rarest words of each item.
+    """(pairs, gram, key, hits, span): the rarest grams of each item.
 
-    With multiplicity they make up ``n - needed + hits`` places, so a passage
-    that matches ``needed`` places has ``hits`` of them. Rare is what few
+    With multiplicity they make up all its grams but ``needed - hits``, so a
+    passage that keeps ``needed`` has ``hits`` of them. Rare is what few
     documents have, times the items that have it.
     """
-    each = cut(items.select("key", "n", "needed", "hits", "span", F.explode("item").alias("word")).groupBy("key", "n", "needed", "hits", "span", "word").agg(F.count("*").alias("times")))
-    vocabulary = cut(each.groupBy("word").agg(F.count("*").alias("items")))
-    counts = document_frequencies(docs, _few(vocabulary.select("word")), text_col)
-    cost = cut(vocabulary.join(counts, "word", "left").select("word", (F.col("items") * F.coalesce("docs", F.lit(0))).alias("cost")))
-    ranked = Window.partitionBy("key").orderBy("cost", "word").rowsBetween(Window.unboundedPreceding, -1)
-    before = each.join(_few(cost), "word").withColumn("before", F.coalesce(F.sum("times").over(ranked), F.lit(0)))
-    return before.where(F.col("before") < F.col("n") - F.col("needed") + F.col("hits")).select("word", "key", "hits", "span")
+    made = items.withColumn("g", F.when(F.col("pairs"), grams(F.col("item"), True)).otherwise(grams(F.col("item"), False)))
+    of = ["key", "pairs", "needed", "hits", "span"]
+    each = cut(made.select(*of, F.size("g").alias("all"), F.explode("g").alias("gram")).groupBy(*of, "all", "gram").agg(F.count("*").alias("times")))
+    vocabulary = cut(each.groupBy("pairs", "gram").agg(F.count("*").alias("items")))
+    kinds = _kinds(items)
+    if not kinds:
+        return each.select("pairs", "gram", "key", "hits", "span")
+    counts = document_frequencies(docs, _few(vocabulary.select("pairs", "gram")), kinds, text_col)
+    cost = cut(vocabulary.join(counts, ["pairs", "gram"], "left").select("pairs", "gram", (F.col("items") * F.coalesce("docs", F.lit(0))).alias("cost")))
+    ranked = Window.partitionBy("key").orderBy("cost", "gram").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.join(_few(cost), ["pairs", "gram"]).withColumn("before", F.coalesce(F.sum("times").over(ranked), F.lit(0)))
+    return before.where(F.col("before") < F.col("all") - F.col("needed") + F.col("hits")).select("pairs", "gram", "key", "hits", "span")
 
 
 def uid(id_col: str, text_col: str) -> Column:
-    """A digest of a row's id and text; repeated rows share it."""
-    return F.md5(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))))
+    """A hash of a row's id and text; repeated rows share it."""
+    return F.xxhash64(id_col, text_col)
 
 
 def passages_of(docs: DataFrame, seeds: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, key, lo, hi): where enough seeds of an item stand close together in a document.
 
-    Places are from 0, ``hi`` is the one behind the last. Passages of one
-    document and item do not overlap.
+    Texts are looked at in stretches of twice an item's span that overlap by
+    half, so that every passage of that span lies in one; a stretch with
+    ``hits`` seeds or more is widened by what the passage may have around
+    them. Places are from 0, ``hi`` is the one behind the last.
     """
-    seen = docs.select(uid(id_col, text_col).alias("uid"), F.posexplode(words(F.col(text_col))).alias("place", "word"))
-    met = seen.join(_few(seeds), "word").groupBy("uid", "key", "hits", "span").agg(F.array_sort(F.collect_set("place")).alias("p")).where(F.size("p") >= F.col("hits"))
-    at = lambda i: F.element_at("p", i.cast("int"))
-    ends = F.filter(F.sequence(F.col("hits"), F.size("p")), lambda i: at(i) - at(i - F.col("hits") + 1) < F.col("span"))
-    spots = F.transform(ends, lambda i: F.struct(F.greatest(F.lit(0), at(i) - F.col("span") + 1).alias("lo"), (at(i - F.col("hits") + 1) + F.col("span")).alias("hi")))
-    met = met.select("uid", "key", spots.alias("s")).where(F.size("s") > 0)
-    spot = lambda i: F.element_at("s", i.cast("int"))
-    heads = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: F.when(i == 1, True).otherwise(spot(i)["lo"] > spot(F.greatest(i - 1, F.lit(1)))["hi"]))
-    met = met.withColumn("h", heads)
-    last = lambda k: F.when(k + 1 < F.size("h"), F.try_element_at("h", (k + 2).cast("int")) - 1).otherwise(F.size("s"))
-    runs = F.transform("h", lambda i, k: F.struct(spot(i)["lo"].alias("lo"), spot(last(k))["hi"].alias("hi")))
-    return met.select("uid", "key", F.explode(runs).alias("r")).select("uid", "key", "r.*")
+    kinds = _kinds(seeds)
+    if not kinds:
+        return seeds.select(F.lit(0).cast("long").alias("uid"), "key", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    texts = docs.select(uid(id_col, text_col).alias("uid"), words(F.col(text_col)).alias("w"))
+    parts = [texts.select("uid", F.posexplode(grams(F.col("w"), k)).alias("place", "gram")).join(_few(seeds.where(F.col("pairs") == k).drop("pairs")), "gram") for k in kinds]
+    stretch = F.floor(F.col("place") / F.col("span")).cast("int")
+    met = reduce(DataFrame.unionByName, parts).select("uid", "key", "hits", "span", "place", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    met = met.groupBy("uid", "key", "stretch").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.first("hits").alias("hits"), F.first("span").alias("span"))
+    met = met.where(F.col("n") >= F.col("hits"))
+    return met.select("uid", "key", F.greatest(F.lit(0), F.col("first") - F.col("span")).alias("lo"), (F.col("last") + F.col("span")).alias("hi")).distinct()
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -166,9 +184,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, i
     items = cut(items_of(benchmark, least))
     seeds = cut(seeds_of(items, docs, text_col))
     spots = cut(passages_of(docs, seeds, id_col, text_col))
-    texts = docs.withColumn("uid", uid(id_col, text_col)).join(_few(spots), "uid")
-    # Only documents with a passage are cut into words here; repeated ones give the same rows.
-    pieces = texts.select("uid", F.col(id_col).alias("id"), "key", "lo", F.slice(words(F.col(text_col)), F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("passage"))
+    # Only documents with a passage are cut into words, once each; repeated ones give the same rows.
+    texts = docs.withColumn("uid", uid(id_col, text_col)).join(_few(spots.select("uid").distinct()), "uid", "left_semi")
+    pieces = texts.select("uid", F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).join(_few(spots), "uid")
+    pieces = pieces.select("uid", "id", "key", "lo", F.slice("w", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("passage"))
     scored = pieces.join(_few(items.select("key", "item_id", "item", "n", "points")), "key").withColumn("a", _aligner()("item", "passage", F.col("points") / F.col("n") / MATCH))
     good = scored.where(F.col("a.score") * F.col("n") * MATCH >= F.col("points") - 1e-9)
     best = good.groupBy("uid", "id", "key", "item_id").agg(F.min(F.struct((-F.col("a.score")).alias("minus"), (F.col("lo") + F.col("a.end")).cast("long").alias("end_word"))).alias("b"))
@@ -191,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents that align with no item, all columns kept."""
     gone = cut(matches(docs, benchmark, least).select(F.col("uid").alias("__uid")).distinct())
-    return docs.withColumn("__uid", uid("doc_id", "text")).join(_few(gone), "__uid", "left_anti").select(*docs.columns)
+    return docs.withColumn("__uid", uid("doc_id", "text")).join(_few(gone), "__uid", "left_anti").drop("__uid")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

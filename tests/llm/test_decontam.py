@@ -81,11 +81,15 @@ def test_bound_is_never_below_the_score():
         assert bound(a, b) >= align(a, b)[0] - 1e-9
 
 
-def test_no_driver_copy_of_the_benchmark(spark):
-    """The plan joins seeds; no Python closure holds items."""
-    d, b = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
-    seeds = decontam.seeds_of(decontam.items_of(b, 0.6), d)
-    assert sorted(map(tuple, seeds.select("word", "hits", "span").collect())) == [("d", 1, 14), ("e", 1, 14), ("f", 1, 14), ("g", 1, 14)]
+def test_seeds(spark):
+    """Of eight words five must match: single words, all but the three that may be lost and half of the five; of twenty a pair."""
+    d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "a b c d e f g h"), (2, " ".join(f"w{i}" for i in range(20))), (3, "x y z")], "item_id long, text string")
+    items = decontam.items_of(b, 0.6)
+    assert {r.item_id: (r.n, r.pairs, r.needed, r.hits, r.span) for r in items.collect()} == {1: (8, False, 5, 3, 14), 2: (20, True, 3, 2, 36), 3: (3, True, 2, 1, 3)}
+    key = {r.key: r.item_id for r in items.collect()}
+    seeds = [(key[r.key], r.pairs) for r in decontam.seeds_of(items, d).collect()]
+    assert {k: seeds.count(k) for k in seeds} == {(1, False): 6, (2, True): 18, (3, True): 1}
 
 
 def test_recall_against_full_alignment(spark):
