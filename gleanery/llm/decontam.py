@@ -44,7 +44,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def words(text: Column) -> Column:
     """Words of a text in order, ``A-Z`` lower-cased; none of a null text."""
     text = F.coalesce(text, F.lit(""))
-    text = F.when(text.rlike(f"[{UNSPACED}]"), F.regexp_replace(text, f"([{UNSPACED}])", " $1 ")).otherwise(text)
+    text = F.when((F.octet_length(text) > F.length(text)) & text.rlike(f"[{UNSPACED}]"), F.regexp_replace(text, f"([{UNSPACED}])", " $1 ")).otherwise(text)
     return F.filter(F.split(F.translate(text, _UPPER + _PARTS, _UPPER.lower() + " " * len(_PARTS)), " "), lambda w: w != "")
 
 
@@ -83,19 +83,19 @@ def _kinds(items: DataFrame) -> list[bool]:
     return sorted(r["pairs"] for r in items.select("pairs").distinct().collect())
 
 
-def document_frequencies(docs: DataFrame, vocabulary: DataFrame, kinds: list[bool], text_col: str = "text") -> DataFrame:
-    """(pairs, gram, docs): in how many rows each gram of the vocabulary stands, over all rows."""
+def gram_counts(docs: DataFrame, vocabulary: DataFrame, kinds: list[bool], text_col: str = "text") -> DataFrame:
+    """(pairs, gram, places): how often each gram of the vocabulary stands in all rows."""
     seen = docs.select(words(F.col(text_col)).alias("w"))
-    parts = [seen.select(F.explode(F.array_distinct(grams(F.col("w"), k))).alias("gram")).join(vocabulary.where(F.col("pairs") == k), "gram") for k in kinds]
-    return reduce(DataFrame.unionByName, parts).groupBy("pairs", "gram").agg(F.count("*").alias("docs"))
+    parts = [seen.select(F.explode(grams(F.col("w"), k)).alias("gram")).join(vocabulary.where(F.col("pairs") == k), "gram") for k in kinds]
+    return reduce(DataFrame.unionByName, parts).groupBy("pairs", "gram").agg(F.count("*").alias("places"))
 
 
 def seeds_of(items: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(pairs, gram, key, hits, span): the rarest grams of each item.
 
     With multiplicity they make up all its grams but ``needed - hits``, so a
-    passage that keeps ``needed`` has ``hits`` of them. Rare is what few
-    documents have, times the items that have it.
+    passage that keeps ``needed`` has ``hits`` of them. Rare is what stands in
+    few places of the documents, times the items that have it.
     """
     made = items.withColumn("g", F.when(F.col("pairs"), grams(F.col("item"), True)).otherwise(grams(F.col("item"), False)))
     of = ["key", "pairs", "needed", "hits", "span"]
@@ -104,8 +104,8 @@ def seeds_of(items: DataFrame, docs: DataFrame, text_col: str = "text") -> DataF
     kinds = _kinds(items)
     if not kinds:
         return each.select("pairs", "gram", "key", "hits", "span")
-    counts = document_frequencies(docs, _few(vocabulary.select("pairs", "gram")), kinds, text_col)
-    cost = cut(vocabulary.join(counts, ["pairs", "gram"], "left").select("pairs", "gram", (F.col("items") * F.coalesce("docs", F.lit(0))).alias("cost")))
+    counts = gram_counts(docs, _few(vocabulary.select("pairs", "gram")), kinds, text_col)
+    cost = cut(vocabulary.join(counts, ["pairs", "gram"], "left").select("pairs", "gram", (F.col("items") * F.coalesce("places", F.lit(0))).alias("cost")))
     ranked = Window.partitionBy("key").orderBy("cost", "gram").rowsBetween(Window.unboundedPreceding, -1)
     before = each.join(_few(cost), ["pairs", "gram"]).withColumn("before", F.coalesce(F.sum("times").over(ranked), F.lit(0)))
     return before.where(F.col("before") < F.col("all") - F.col("needed") + F.col("hits")).select("pairs", "gram", "key", "hits", "span")
