@@ -1,10 +1,12 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 Nothing is sorted and no document is collected. Each source has a token
-budget; documents enter by the order of a hash of their id. Tokens are summed
-by source and hash bucket, a running sum over the buckets (4,096 a level)
-finds the one in which the budget ends, and only that bucket is summed again
-by the next hash digits. Four levels pin the threshold to 48 hash bits.
+budget; documents enter by the order of a hash of their id and text. Tokens
+are summed by source and hash bucket, a running sum over the buckets (65,536
+a level) finds the one in which the budget ends, and only that bucket is
+summed again by the next hash digits. Three levels pin the threshold to 48
+hash bits. Rows that are equal share these; two more levels by digits of their
+number part them, and as they are equal it does not matter which of them enter.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from pyspark.sql import functions as F
 
 from gleanery.session import cut
 
-#: Hex digits of the hash that one level looks at, and the number of levels.
-DIGITS, LEVELS = 3, 4
+#: Hex digits that one level looks at; levels by the hash of id and text, and by the number of a row.
+DIGITS, HASH_LEVELS, ROW_LEVELS = 4, 3, 2
+LEVELS = HASH_LEVELS + ROW_LEVELS
 MAX_REPEATS = 3
 #: Sources up to which their figures, a row each, are broadcast; more are joined by source.
 BROADCAST_SOURCES = 20_000
@@ -57,7 +60,12 @@ def _digits(level: int) -> Column:
     return F.substring("h", 1, DIGITS * level)
 
 
-def hash_thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def first_bars(sizes: DataFrame) -> DataFrame:
+    """(source, bar, size): the histogram of the first level, whose sums give the sizes of the sources, too."""
+    return cut(sizes.groupBy("source", _digits(1).alias("bar")).agg(F.sum("size").alias("size")))
+
+
+def hash_thresholds(sizes: DataFrame, targets: DataFrame, first: DataFrame) -> DataFrame:
     """(source, source_size, target, repeats, threshold, whole) for each source.
 
     All documents are taken ``repeats`` times, and those whose hash prefix is
@@ -70,8 +78,12 @@ def hash_thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     edge = plan.select("source", "budget", F.lit("").alias("prefix"))
     for level in range(1, LEVELS + 1):
         at = edge.select(F.col("source").alias("s"), "budget", "prefix")
-        within = sizes.join(at, F.col("source").eqNullSafe(F.col("s")) & (_digits(level - 1) == F.col("prefix")))
-        bars = within.groupBy("source", _digits(level).alias("bar")).agg(F.sum("size").alias("n"), F.first("budget").alias("budget"))
+        same = F.col("source").eqNullSafe(F.col("s"))
+        if level == 1:
+            bars = first.join(at, same).select("source", "bar", F.col("size").alias("n"), "budget")
+        else:
+            within = sizes.join(at, same & (_digits(level - 1) == F.col("prefix")))
+            bars = within.groupBy("source", _digits(level).alias("bar")).agg(F.sum("size").alias("n"), F.first("budget").alias("budget"))
         w = Window.partitionBy("source").orderBy("bar")
         edge = (
             bars.withColumn("upto", F.sum("n").over(w))
@@ -83,13 +95,16 @@ def hash_thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: str) -> DataFrame:
-    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).substr(1, DIGITS * LEVELS)
-    return docs.select(*more, F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
+    """Figures of each row, with its digits ``h``."""
+    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))).substr(1, DIGITS * HASH_LEVELS)
+    number = F.md5(F.monotonically_increasing_id().cast("string")).substr(1, DIGITS * ROW_LEVELS)
+    return docs.select(*more, F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.concat(h, number).alias("h"))
 
 
 def _mix_plan(sizes: DataFrame) -> DataFrame:
     """Figures of each source, marked for broadcast if they are few, so that texts stay where they are."""
-    plan = cut(hash_thresholds(sizes, source_targets(sizes)))
+    first = first_bars(sizes)
+    plan = cut(hash_thresholds(sizes, source_targets(first), first))
     return F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
 
 
@@ -103,8 +118,9 @@ def _taken(rows: DataFrame, plan: DataFrame, *more: str) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """What the mix takes of each row: (id, size, source_size, target, taken).
 
-    Null text has size 0; a null source is a source of its own; rows with one
-    id share one decision, rows without id too. A source of no words takes
+    Null text has size 0; a null source is a source of its own; rows without
+    id are told apart by their texts, equal rows by their number, so that a
+    source of equal rows meets its target, too. A source of no words takes
     none. An empty table gives no rows. Other columns are not looked at.
     """
     sizes = cut(_sizes(docs, id_col, text_col, source_col))
@@ -115,12 +131,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that the mix takes, with ``copies``, how often, beside their columns.
 
-    Only the plan, one row a source, meets the texts. Up to BROADCAST_SOURCES
+    A column ``copies`` of the input is replaced. Only the plan, one row a source, meets the texts. Up to BROADCAST_SOURCES
     sources it is broadcast and no text is shuffled.
     """
     sizes = cut(_sizes(docs, id_col, text_col, source_col))
     plan = _mix_plan(sizes)
-    whole = docs.withColumn("__row", F.struct(*docs.columns))
+    whole = docs.withColumn("__row", F.struct(*[c for c in docs.columns if c != "copies"]))
     rows = _taken(_sizes(whole, id_col, text_col, source_col, "__row"), plan, "__row").where(F.col("taken") > 0)
     return rows.select("__row.*", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
 
@@ -144,7 +160,7 @@ edge{k} AS (SELECT source AS s, budget - (upto - n) AS budget, bar AS prefix, n
     return f"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, {DIGITS * LEVELS}) AS h FROM documents),
+         substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, {DIGITS * HASH_LEVELS}) || substr(md5((row_number() OVER ())::VARCHAR), 1, {DIGITS * ROW_LEVELS}) AS h FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM sizes GROUP BY source),
 ranked AS (
   SELECT *, 3 * source_size AS top,

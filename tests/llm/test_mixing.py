@@ -60,12 +60,32 @@ def test_mix(spark, seed):
 def test_order_within_a_source_is_the_hash(spark):
     rows = [(i, "a" if i % 4 else "b", "w " * 10) for i in range(400)]
     got = {r.doc_id: r.taken for r in mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
-    h = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    h = lambda i: hashlib.md5(f"{i}:{'w ' * 10}".encode()).hexdigest()
     for s in "ab":
         ids = sorted((i for i, t, _ in rows if t == s), key=h)
         copies = [got[i] // 10 for i in ids]
         assert copies == sorted(copies, reverse=True) and max(copies) - min(copies) <= 1
 
 
+def test_equal_rows_and_rows_without_id(spark):
+    """A source of equal rows, one of rows without id and one of both meet their targets; reruns agree."""
+    rows = [(None, "a", f"w{i} " * 10) for i in range(1000)] + [(7, "b", "x y z " * 5)] * 700 + [(None, "c", "same text")] * 900
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7)
+    want = plain_targets({"a": 10_000, "b": 10_500, "c": 1800})
+    runs = []
+    for frame in (df, df.repartition(3)):
+        per = mix(frame).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("top"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+        assert all(abs(r.taken - r.target) <= r.top + 1 and r.most <= 3 for r in per) and sorted(r.target for r in per) == pytest.approx(sorted(want.values()))
+        runs.append(sorted((r["size"], r.taken) for r in mix(frame).collect()))
+    assert runs[0] == runs[1]
+
+
+def test_a_column_named_copies(spark):
+    df = spark.createDataFrame([(i, "a", "w " * 10, 9) for i in range(20)], "doc_id long, source string, text string, copies int")
+    kept = take_mix(df)
+    assert kept.columns == df.columns and {r.copies for r in kept.collect()} == {1}
+    assert take_mix(kept).count() == 20
+
+
 def test_empty(spark):
     assert mix(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
