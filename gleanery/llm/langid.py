@@ -15,12 +15,12 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.session import cut
 
-#: Bound on the labelled documents of each language that the text model is fitted on, and on their length.
+#: Bound on the labelled documents of each language that the text model is fitted on, and on the characters of each.
 SAMPLE_DOCS, SAMPLE_BYTES = 400, 16_384
 #: Trigram buckets; n-grams a text counts as at most (they are not independent).
 BUCKETS, MOST_EVIDENCE = 1 << 15, 60.0
@@ -30,13 +30,42 @@ PRIOR_PAGES, DECLARED_PAGES = 5.0, 20.0
 BROADCAST_KEYS = 10_000
 UNKNOWN = "und"
 
-_TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-zA-Z#0-9]+;")
+_BLOCK = re.compile(r"(?i)<(script|style)\b")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+_ENTITY = re.compile(r"&[a-zA-Z#0-9]+;")
 _NOISE = re.compile(r"[\x00-\x20!-/0-9:-@\[-`{-~]+")
 
 
 def visible(html: str) -> str:
-    """Words of a page without markup, lower-cased, single blanks between."""
-    return _NOISE.sub(" ", _TAGS.sub(" ", html)).lower()
+    """Words of a page without markup, lower-cased, single blanks between.
+
+    Scripts, styles and comments that never end lose their tag only. One pass:
+    what is looked for and not found is not looked for again.
+    """
+    parts, at, absent = [], 0, set()
+    while (open_ := html.find("<", at)) >= 0:
+        parts.append(html[at:open_])
+        end = -1
+        if "-->" not in absent and html.startswith("<!--", open_):
+            end = html.find("-->", open_ + 4) + 3
+            if end < 3:
+                absent.add("-->")
+                end = -1
+        elif block := _BLOCK.match(html, open_):
+            name = block[1].lower()
+            if name not in absent:
+                close = _CLOSE[name].search(html, block.end())
+                end = close.end() if close else -1
+                if not close:
+                    absent.add(name)
+        if end < 0:
+            end = html.find(">", open_) + 1
+            if not end:  # no tag ends from here on
+                at = open_
+                break
+        at = end
+    parts.append(html[at:])
+    return _NOISE.sub(" ", _ENTITY.sub(" ", " ".join(parts))).lower()
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -56,17 +85,26 @@ def fit_text(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     return languages, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """The rows, marked for broadcast if counting finds them few."""
+    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
+
+
 def learn_text(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The text model from a bounded sample of documents with a language, by the order of a hash."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    languages = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect())
-    if not languages:
-        return [UNKNOWN], np.zeros((1, BUCKETS), np.float32)
-    picks = None
-    for lang in languages:
-        part = known.where(F.col("lang") == lang).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
-        picks = part if picks is None else picks.unionByName(part)
-    return fit_text([(r["lang"], r["text"]) for r in picks.collect()])
+    """The text model from a bounded sample of documents with a language, by the order of a hash.
+
+    Every language is in it, with SAMPLE_DOCS documents at most, of which the
+    first SAMPLE_BYTES characters count. Rows of hashes too high for that
+    sample are left out before anything is ranked, so a language that most
+    documents have is no hot key. The model has 128 KB for each language.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    counts = _few(cut(known.groupBy("lang").agg(F.count("*").alias("n"))))
+    share = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    ranked = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    picks = known.join(counts, "lang").where(share < 2.0 * SAMPLE_DOCS / F.col("n")).withColumn("place", ranked).where(F.col("place") <= SAMPLE_DOCS)
+    rows = [(r["lang"], r["text"]) for r in picks.select("lang", "text").collect()]
+    return fit_text(rows) if rows else ([UNKNOWN], np.zeros((1, BUCKETS), np.float32))
 
 
 def text_likelihood(languages: list[str], table: np.ndarray):
@@ -122,16 +160,14 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
             host.alias("host"),
             F.substring_index(host, ".", -2).alias("domain"),
             F.substring_index(host, ".", -1).alias("suffix"),
-            F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)).alias("declared"),
+            F.lower(F.regexp_extract(F.regexp_extract(html, r"(?i)<html\b([^>]*)", 1), r"(?i)\blang\s*=\s*[\"']?([A-Za-z]+)", 1)).alias("declared"),
             text_likelihood(languages, table)(html).alias("logs"),
         ).withColumn("text_posterior", _posterior(F.col("logs")))
     )
     own, even = F.col("text_posterior"), F.array(*[F.lit(1.0 / n)] * n)
     whole, wide = _sums(rows, [], n, "all_n"), rows
     for keys, name in ((["suffix"], "suffix_n"), (["domain"], "domain_n"), (["host"], "host_n"), (["declared"], "declared_n")):
-        sums = cut(_sums(rows, keys, n, name))
-        few = sums.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        wide = wide.join(F.broadcast(sums) if few else sums, keys)
+        wide = wide.join(_few(cut(_sums(rows, keys, n, name))), keys)
     rows = wide.crossJoin(F.broadcast(whole))  # one row: the sum over all pages
     rows = rows.withColumn("prior", _smoothed(F.col("all_n"), even, own, 1.0))
     for name in ("suffix_n", "domain_n", "host_n"):
