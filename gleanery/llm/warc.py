@@ -3,18 +3,23 @@
 The reader plans one partition for each archive (small ones together), takes
 predicates on header columns from Spark, parses a record's headers first and
 seeks past the payload of a record that is not wanted. Payloads are decoded
-only if the asked schema has ``payload`` or ``verify`` is set. The writer
-gives each task files of its own and lists the finished ones in a manifest,
+only if the asked schema has ``payload``, ``verify`` is set, or a digest or
+length is asked for that the headers do not tell. Archives of other makers are
+read, too: ``.warc`` and ``.warc.gz``, chunked and compressed bodies, digests of
+any usual kind. The writer gives each task files of its own and lists the finished ones in a manifest,
 so what a lost executor left behind is never read.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import gzip
 import hashlib
 import io
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from gleanery.session import shared_dir
+from gleanery.session import cut, shared_dir
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 MANIFEST = "_manifest.json"
@@ -34,6 +39,8 @@ ROLL_BYTES, GROUP_BYTES = 64 << 20, 16 << 20
 PROFILE = "http://netpreservefoundation.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads from this size on may be revisits.
 MIN_BYTES = 100
+#: Repeated digests up to which they are broadcast (some 100 bytes each).
+BROADCAST_DIGESTS = 200_000
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -67,21 +74,78 @@ def _headers(stream) -> dict[str, str] | None:
         return None
     if not line.startswith(b"WARC/"):
         raise ValueError(f"not a WARC record: {line[:40]!r}")
-    found = {}
+    found, name = {}, ""
     while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-        name, _, value = line.decode("utf-8", "replace").partition(":")
-        found[name.strip().lower()] = value.strip()
+        text = line.decode("utf-8", "replace")
+        if text[0] in " \t" and name:  # a folded line
+            found[name] += " " + text.strip()
+            continue
+        name, _, value = text.partition(":")
+        name = name.strip().lower()
+        found[name] = value.strip()
     return found
 
 
-def _body(block: bytes) -> bytes:
-    """Payload of an HTTP response block."""
-    head, _, body = block.partition(b"\r\n\r\n")
-    return gzip.decompress(body) if b"content-encoding: gzip" in head.lower() else body
+def _unchunked(body: bytes) -> bytes:
+    """A chunked body put together; what follows a broken chunk is taken as it stands."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].partition(b";")[0], 16)
+        except ValueError:
+            break
+        if not size:
+            return b"".join(parts)
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join([*parts, body[at:]])
+
+
+def _bodies(block: bytes, http: bool) -> list[bytes]:
+    """The payload of a block, then as it was before decoding: digests of archives are of one of these.
+
+    A content coding that is unknown or broken is left on.
+    """
+    if not http:
+        return [block]
+    head, gap, body = block.partition(b"\r\n\r\n")
+    if not gap:
+        head, _, body = block.partition(b"\n\n")
+    fields = dict((k.strip().lower(), v.strip().lower()) for k, _, v in (line.partition(b":") for line in head.splitlines()[1:]))
+    found = [body]
+    if b"chunked" in fields.get(b"transfer-encoding", b""):
+        found.append(_unchunked(body))
+    for coding in reversed(fields.get(b"content-encoding", b"").replace(b" ", b"").split(b",")):
+        try:
+            if coding in (b"gzip", b"x-gzip"):
+                found.append(gzip.decompress(found[-1]))
+            elif coding == b"deflate":
+                found.append(zlib.decompressobj(zlib.MAX_WBITS if found[-1][:1] == b"x" else -zlib.MAX_WBITS).decompress(found[-1]))
+        except (OSError, EOFError, zlib.error):
+            break
+    return found[::-1]
+
+
+def _digest(header: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, bytes) of a digest in hexadecimal or base 32; None for others."""
+    kind, _, text = (header or "").rpartition(":")
+    kind = kind.strip().lower().replace("-", "") or "sha256"
+    if kind not in hashlib.algorithms_guaranteed or kind.startswith("shake"):
+        return None
+    size = hashlib.new(kind).digest_size
+    for decode in (bytes.fromhex, lambda t: base64.b32decode(t.upper() + "=" * (-len(t) % 8))):
+        try:
+            if len(raw := decode(text.strip())) == size:
+                return kind, raw
+        except (ValueError, binascii.Error):
+            pass
+    return None
 
 
 def _matches(row: dict, wanted: list) -> bool:
     for f in wanted:
+        if f.attribute[0] not in row:  # not known yet
+            continue
         value = row[f.attribute[0]]
         if isinstance(f, IsNotNull):
             ok = value is not None
@@ -123,7 +187,7 @@ class WarcReader(DataSourceReader):
                 files = json.loads(f.read())
         except FileNotFoundError:
             found = system.get_file_info(fs.FileSelector(path))
-            files = [[f.base_name, f.size] for f in found if f.base_name.endswith(".warc")]
+            files = [[f.base_name, f.size] for f in found if f.base_name.endswith((".warc", ".warc.gz"))]
         groups, size = [[]], 0
         for name, n in sorted(files):
             if groups[-1] and size + n > GROUP_BYTES:
@@ -137,7 +201,7 @@ class WarcReader(DataSourceReader):
         system, _ = _at(self.path)
         rows, size = [], 0
         for path in partition.paths:
-            with system.open_input_file(path) as raw, io.BufferedReader(raw, 1 << 20) as stream:
+            with system.open_input_file(path) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, 1 << 20) as stream:
                 while (head := _headers(stream)) is not None:
                     row, read = self._record(stream, head)
                     if row:
@@ -151,23 +215,30 @@ class WarcReader(DataSourceReader):
     def _record(self, stream, head: dict[str, str]) -> tuple[dict | None, int]:
         bare = lambda k: head[k].strip("<>") if k in head else None
         row = {"record_id": bare("warc-record-id"), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "refers_to": bare("warc-refers-to")}
-        row["payload_digest"] = (head.get("warc-payload-digest") or "").rpartition(":")[2] or None
-        row["payload_bytes"] = int(head["x-payload-length"]) if "x-payload-length" in head else None
-        length = int(head.get("content-length", 0))
+        digest = _digest(head.get("warc-payload-digest"))
+        empty = row["record_type"] == "revisit"  # what it revisits has the payload
+        if empty or (digest and digest[0] == "sha256"):
+            row["payload_digest"] = digest[1].hex() if digest and digest[0] == "sha256" else None
+        if empty or head.get("x-payload-length", "").isdigit():
+            row["payload_bytes"] = int(head["x-payload-length"]) if head.get("x-payload-length", "").isdigit() else None
+        length, asked = int(head.get("content-length", 0)), {*self.columns, *(f.attribute[0] for f in self.wanted)}
         if not _matches(row, self.wanted):
             stream.seek(length, 1)
             return None, 0
-        if row["record_type"] != "response" or not (self.verify or "payload" in self.columns):
+        if empty or not (self.verify or "payload" in asked or asked & ({"payload_digest", "payload_bytes"} - set(row))):
             stream.seek(length, 1)
             return {k: row.get(k) for k in self.columns}, 0
-        payload = _body(stream.read(length))
-        if self.verify or row["payload_digest"] is None:
-            digest = hashlib.sha256(payload).hexdigest()
-            if row["payload_digest"] not in (None, digest):
-                raise ValueError(f"record {row['record_id']}: payload is {digest}, header has {row['payload_digest']}")
-            row |= {"payload_digest": digest, "payload_bytes": len(payload)}
-        row["payload"] = payload
-        return {k: row.get(k) for k in self.columns}, len(payload)
+        bodies = _bodies(stream.read(length), head.get("content-type", "").lower().startswith("application/http"))
+        if self.verify and digest and not any(hashlib.new(digest[0], b).digest() == digest[1] for b in bodies):
+            raise ValueError(f"record {row['record_id']}: the payload has not the digest {head['warc-payload-digest']}")
+        row["payload"] = bodies[0]
+        if "payload_digest" not in row or self.verify:
+            row["payload_digest"] = hashlib.sha256(bodies[0]).hexdigest()
+        if "payload_bytes" not in row or self.verify:
+            row["payload_bytes"] = len(bodies[0])
+        if not _matches(row, self.wanted):
+            return None, 0
+        return {k: row.get(k) for k in self.columns}, len(bodies[0])
 
 
 class _Written(WriterCommitMessage):
@@ -212,7 +283,12 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """``format("warc")``: option ``verify`` decodes and checks every payload."""
+    """``format("warc")``: option ``verify`` decodes and checks every payload that has a digest.
+
+    ``payload_digest`` is the SHA-256 of the decoded payload, whatever digest
+    the archive has. All records come out, also those without a target;
+    ``record_type`` tells them apart, and a revisit has no payload.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -239,17 +315,20 @@ def page_records(pages: DataFrame) -> DataFrame:
 
     Of rows with equal payloads of ``MIN_BYTES`` or more, those of the
     smallest page_id are responses and the others revisit it; rows without
-    page_id are responses. A null html is an empty payload. Digests meet
-    pre-aggregated; the pages join one row for each repeated digest.
+    page_id are responses. A null html is an empty payload. Digests are summed
+    up first. While few of them repeat, these are broadcast and no payload is
+    shuffled; beyond that pages join them by digest.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    first = (
+    first = cut(
         rows.where(F.octet_length("payload") >= MIN_BYTES)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
         .where(F.col("first") < F.col("last"))
+        .drop("last")
     )
-    rows = rows.join(first, "digest", "left").withColumn("again", F.coalesce(F.col("page_id") > F.col("first"), F.lit(False)))
+    few = first.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    rows = rows.join(F.broadcast(first) if few else first, "digest", "left").withColumn("again", F.coalesce(F.col("page_id") > F.col("first"), F.lit(False)))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.uuid()))
     return rows.select(
         name("page_id").alias("record_id"),
