@@ -81,13 +81,13 @@ def format_chat(messages: DataFrame, tools: dict | None = None) -> DataFrame:
     turn). ``level`` is 0 for plain messages and first calls, odd for results,
     null for calls that cannot be ordered. ``json`` has sorted keys and no
     white space. Of calls or results that repeat an identifier in one
-    conversation the first by turn counts. Texts that are no JSON objects, and
-    null roles and texts, are plain messages; rows without conv_id or call
+    conversation the first by turn counts. White space before an object does
+    not matter. Texts that are no JSON objects, and null roles and texts, are plain messages; rows without conv_id or call
     identifier are never linked. Repeated rows stay.
     """
     tools = TOOLS if tools is None else tools
     m = messages.select("conv_id", "turn", "role", "text")
-    has = F.coalesce(F.col("text").startswith("{"), F.lit(False))
+    has = F.coalesce(F.col("text").rlike(r"^[\x20\t\r\n]*\{"), F.lit(False))
     is_call = F.coalesce(has & (F.col("role") == "assistant") & F.col("text").contains('"tool_calls"'), F.lit(False))
     is_result = F.coalesce(has & (F.col("role") == "tool") & F.col("text").contains('"tool_call_id"'), F.lit(False))
     plain = m.where(~is_call & ~is_result).select(

@@ -166,8 +166,12 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def _mark(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, sid, keys, sketch): a name of the shingle set, meeting places, a byte of each minimum.
+    """(id, mark, sid, keys, sketch): a hash of the text, a name of the shingle set, meeting places, a byte of each minimum.
 
     The first BANDS keys are of minima, the others are the fingerprint under
     the covering masks for three bits.
@@ -177,7 +181,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, keys, small = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 text = t.as_py()
                 found = _shingles(text, width)
                 least = minima(found)
@@ -187,10 +191,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 small.append((least >> np.uint64(24)).astype(np.uint8).tobytes() if found.size else bytes(len(least)))
             flat = np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64)
             each = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * (BANDS + len(masks)), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), each, pa.array(small, pa.binary())], ["id", "sid", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), each, pa.array(small, pa.binary())], ["id", "mark", "sid", "keys", "sketch"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, sid long, keys array<long>, sketch binary")
+    rows = docs.select(F.col(id_col).alias("id"), _mark(text_col).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, mark long, sid long, keys array<long>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -267,18 +271,14 @@ def _verified(links: DataFrame, sets: DataFrame, near: float) -> DataFrame:
     return both.where(small >= near * large).where(common >= near * (small + large - common)).select("a", "b")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, near: float = NEAR) -> DataFrame:
-    """(id, component) of every row with an id: the smallest id reachable over pairs of Jaccard ``near`` or more.
+def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, near: float) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, sid) of every row with an id, ``mark`` a hash of its text, and (sid, least) with the least (id, mark) of the group.
 
-    Equal shingle sets meet first and count once. Candidates are what shares a
-    band of minima or a fingerprint up to three bits; every link is verified
-    on the shingle sets. A pair of Jaccard 0.8 shares no band in 3 of 10^6
-    cases. First only links that span the candidates are tested, then, where
-    some of these failed, all candidates that are not connected yet.
+    See ``similar``.
     """
     docs = docs.where(F.col(id_col).isNotNull())
     rows = cut(sketches(docs, id_col, text_col, width))
-    distinct = cut(rows.groupBy("sid").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    distinct = cut(rows.groupBy("sid").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     links = cut(_candidates(distinct.withColumn("part", F.col("sid")), True))
     met = cut(connected_components(links, "a", "b").withColumnRenamed("component", "met"))
     wanted = rows.join(met, rows["sid"] == met["node"], "left_semi").groupBy("sid").agg(F.min("id").alias(id_col)).select(id_col).distinct()
@@ -290,20 +290,42 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rest = _candidates(again, False).join(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     groups = connected_components(good.unionByName(_verified(rest, sets, near)), "a", "b").withColumnRenamed("node", "sid")
     classes = distinct.select("sid", "first").join(groups, "sid", "left").withColumn("root", F.coalesce("component", "sid"))
-    named = classes.join(classes.groupBy("root").agg(F.min("first").alias("least")), "root").select("sid", F.col("least").alias("component"))
-    return rows.join(named, "sid").select(F.col("id").alias(id_col), "component")
+    return rows.select("id", "mark", "sid"), classes.join(classes.groupBy("root").agg(F.min("first").alias("least")), "root").select("sid", "least")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, near: float = NEAR) -> DataFrame:
+    """(id, component) of every row with an id: the smallest id reachable over pairs of Jaccard ``near`` or more.
+
+    Equal shingle sets meet first and count once. Candidates are what shares a
+    band of minima or a fingerprint up to three bits; every link is verified
+    on the shingle sets. A pair of Jaccard 0.8 shares no band in 3 of 10^6
+    cases. First only links that span the candidates are tested, then, where
+    some of these failed, all candidates that are not connected yet.
+    """
+    rows, named = _groups(docs, id_col, text_col, width, near)
+    return rows.join(named, "sid").select(F.col("id").alias(id_col), F.col("least.id").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, near: float = NEAR) -> DataFrame:
     """The documents without near-duplicates: the smallest id of each group stays.
 
     Near-duplicates have five-word shingle sets of Jaccard similarity 0.8 or
-    more. Of rows that share an id one stays; rows without id cannot be named
-    and all stay.
+    more. Different texts that share an id are documents of their own. Of rows
+    with one id and one text the least by a hash of all columns stays; rows
+    without id cannot be named and all stay.
     """
-    kept = similar(docs, id_col, text_col, width, near).where(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    rows, named = _groups(docs, id_col, text_col, width, near)
+    rows, key = cut(rows), ["__id", "__mark"]
+    of = lambda df: df.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
+    first = named.select("least.id", "least.mark").distinct()
+    marked = docs.where(F.col(id_col).isNotNull()).withColumns({"__id": F.col(id_col), "__mark": _mark(text_col)}).join(of(first), key, "left_semi")
+    repeated = cut(of(rows.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").drop("n")))
+    others = docs.where(F.col(id_col).isNull())
+    if repeated.isEmpty():
+        return marked.drop(*key).unionByName(others)
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = marked.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return marked.join(repeated, key, "left_anti").drop(*key).unionByName(one).unionByName(others)
 
 
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -534,7 +534,15 @@ def _removed(block: Block, answers: list[bytes]) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-def _apply(others: list[str]):
+def _whole(text: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The mask with every character of which a byte goes."""
+    heads = np.flatnonzero((text & 0xC0) != 0x80)
+    if not len(heads) or heads[0]:
+        heads = np.r_[0, heads]
+    return np.repeat(np.logical_or.reduceat(mask, heads), np.diff(np.r_[heads, len(text)]))
+
+
+def _apply(others: list[str], characters: bool):
     """Block and its answers to the documents with what is left of them."""
 
     def run(key, table, answers):
@@ -543,6 +551,8 @@ def _apply(others: list[str]):
         kept, removed, spans = [], [], []
         for i, text in enumerate(block.texts):
             mask = gone[block.bounds[i] : block.bounds[i + 1]] if i < len(block.ids) else gone[:0]
+            if characters and mask.any():
+                mask = _whole(np.frombuffer(text, np.uint8), mask)
             n = int(np.count_nonzero(mask))
             kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes() if n else text)
             removed.append(n)
@@ -555,7 +565,7 @@ def _apply(others: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, split_blocks: int = SPLIT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, split_blocks: int = SPLIT_BLOCKS, characters: bool = False) -> DataFrame:
     """All rows with ``__n_bytes``, ``__n_removed``, ``__n_spans`` and ``__kept`` (binary) beside their columns.
 
     Ids are integers. Null text counts as empty; texts of fewer than LENGTH
@@ -564,7 +574,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     itself is left out. The shuffles of the texts are one and the same; what
     is sent between blocks and buckets is bounded by the number of blocks for
     any one stretch, however many documents have it; a minimizer that more
-    than ``split_blocks`` blocks have is split by the bytes around it.
+    than ``split_blocks`` blocks have is split by the bytes around it. With
+    ``characters`` a character of which a byte goes is removed whole.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // BUCKET_BYTES))
@@ -578,15 +589,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = texts.cogroup(shared.groupBy("block")).applyInArrow(_senders(buckets), DEALT)
     answers = sent.groupBy("bucket").applyInArrow(_resolve, "block int, blob binary")
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "__n_bytes long, __n_removed long, __n_spans long, __kept binary"])
-    return texts.cogroup(answers.groupBy("block")).applyInArrow(_apply(others), schema)
+    return texts.cogroup(answers.groupBy("block")).applyInArrow(_apply(others, characters), schema)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with repeats cut out of their text; characters cut in half go, too."""
-    left = remove_repeats(docs, id_col, text_col)
-    whole = F.make_valid_utf8(F.col("__kept").cast("string"))
-    text = F.when(F.col("__n_removed") > 0, F.replace(whole, F.lit("�"), F.lit(""))).otherwise(F.col("__kept").cast("string"))
-    kept = left.withColumn(text_col, text)
+    """The documents with repeats cut out of their text; characters cut in half go whole, all others stay."""
+    left = remove_repeats(docs, id_col, text_col, characters=True)
+    kept = left.withColumn(text_col, F.col("__kept").cast("string"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
     return kept.select(*docs.columns)
