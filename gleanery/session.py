@@ -11,12 +11,18 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (tests, a laptop) a temporary folder takes its place.
+    is unset and everything runs on one machine (tests, a laptop) a temporary
+    folder takes its place; on a cluster that would be another disk on every
+    node, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
-        named = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="gleanery-")
+        named = context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="gleanery-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -30,3 +36,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows, wherever it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
