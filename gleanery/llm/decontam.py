@@ -45,7 +45,7 @@ def words(text: Column) -> Column:
     """Words of a text in order, ``A-Z`` lower-cased; none of a null text."""
     text = F.coalesce(text, F.lit(""))
     text = F.when((F.octet_length(text) > F.length(text)) & text.rlike(f"[{UNSPACED}]"), F.regexp_replace(text, f"([{UNSPACED}])", " $1 ")).otherwise(text)
-    return F.filter(F.split(F.translate(text, _UPPER + _PARTS, _UPPER.lower() + " " * len(_PARTS)), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, _UPPER + _PARTS, _UPPER.lower() + " " * len(_PARTS)), " "), "")
 
 
 def _few(df: DataFrame) -> DataFrame:
