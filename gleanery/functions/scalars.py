@@ -72,10 +72,16 @@ def amax(arr: Column) -> Column:
 
 
 def targets(col: Column) -> Column:
-    """Map of ``name:count`` pairs that stand between blanks."""
-    trimmed = F.trim(col)
-    pairs = F.when(trimmed == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(trimmed, F.lit("\\s+"), F.lit(":")))
-    return F.transform_values(pairs, lambda _, v: v.try_cast("long"))
+    """Map of ``name:count`` pairs that stand between blanks.
+
+    Counts of a repeated name add up. A count that is none, or too large for
+    64 bits with a sign, is null and adds nothing.
+    """
+    pairs = F.transform(F.filter(F.split(col, r"\s+"), lambda p: p != ""), lambda p: F.struct(F.substring_index(p, ":", 1).alias("k"), F.regexp_extract(p, ":(.*)$", 1).try_cast("long").alias("n")))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    counts = lambda k: F.filter(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["n"]), lambda n: n.isNotNull())
+    total = lambda k: F.when(F.size(counts(k)) > 0, F.aggregate(counts(k), F.lit(0).cast("long"), lambda a, n: F.try_add(a, n)))
+    return F.map_from_arrays(names, F.transform(names, total))
 
 
 def utc_text(ts: Column) -> Column:

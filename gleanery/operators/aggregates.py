@@ -1,4 +1,9 @@
-"""Aggregations: statistics, indexes, merges, coverage, summaries and scores."""
+"""Aggregations: statistics, indexes, merges, coverage, summaries and scores.
+
+Null keys are a key of their own and null figures add nothing, where a
+docstring does not say otherwise; repeated rows count each; an empty frame has
+no groups, and one row of zeros or nulls where there is no key.
+"""
 
 from __future__ import annotations
 
@@ -16,15 +21,18 @@ def path_stats(lines: DataFrame, module: str = "module", text: str = "text") ->
 
 
 def api_usage(facts: DataFrame, api: list[str], func: str, conds: str) -> DataFrame:
-    """The distinct (function, condition) pairs of each API, sorted."""
-    rows = facts.select(*api, F.col(func).alias("func"), F.explode(conds).alias("cond"))
-    return rows.groupBy(*api).agg(F.sort_array(F.collect_set(F.struct("func", "cond"))).alias("uses"))
+    """The distinct (function, condition) pairs of each API, a pair a row: (api, func, cond)."""
+    return facts.select(*api, F.col(func).alias("func"), F.explode(conds).alias("cond")).distinct()
+
 
+def lock_groups(locks: DataFrame, by: str, others: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Groups (by, n, first, rank), and their members (by, others, n, rank), a member a row; rank 1 is the largest.
 
-def lock_groups(locks: DataFrame, by: str, others: list[str]) -> DataFrame:
-    """Members of each group, sorted, and the group's size; rank 1 is the largest."""
-    groups = locks.groupBy(by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(*others))).alias("members"))
-    return rank_by_size(groups, "n")
+    ``first`` is the group's least member. No group comes together in one row.
+    """
+    groups = rank_by_size(locks.groupBy(by).agg(F.count("*").alias("n"), F.min(F.struct(*others)).alias("first")), "n")
+    members = locks.select(F.col(by).alias("__by"), *others).join(groups.drop("first"), F.col("__by").eqNullSafe(F.col(by)))
+    return groups, members.select(by, *others, "n", "rank")
 
 
 def rank_by_size(groups: DataFrame, size: str) -> DataFrame:
@@ -61,17 +69,23 @@ def merge_profiles(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The record that is first by (file, ord) fixes the number of counters; a
     record of another number is dropped with an error. A key whose sums pass
-    64 bits is an error and gives no row.
+    64 bits is an error and gives no row. Sums are made for each number of
+    counters, and the key's first record then picks one of them, so that no
+    record meets the others of its key again. Other columns do not matter.
     """
     key = ["name", "hash"]
-    first = df.groupBy(*key).agg(F.min_by(F.size("counters"), F.struct("file", "ord")).alias("n"))
-    rows = df.join(first, key)
-    sums = rows.where(F.size("counters") == F.col("n")).select(*key, F.posexplode("counters").alias("pos", "c")).groupBy(*key, "pos").agg(F.sum(F.col("c").cast("decimal(20,0)")).alias("c"))
-    whole = sums.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("counters"), F.max("c").alias("top"))
+    rows = df.select(*key, "file", "ord", "counters", F.size("counters").alias("__n"))
+    sums = rows.select(*key, "__n", F.posexplode("counters").alias("pos", "c")).groupBy(*key, "__n", "pos").agg(F.sum(F.col("c").cast("decimal(20,0)")).alias("c"))
+    whole = sums.groupBy(*key, "__n").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("l"), F.max("c").alias("top"))
+    whole = whole.select(*key, "__n", F.transform("l", lambda x: x["c"]).alias("counters"), "top")
+    first = rows.groupBy(*key, "__n").agg(F.min(F.struct("file", "ord")).alias("first"))
+    won = first.groupBy(*key).agg(F.min_by("__n", "first").alias("__n"), F.count("*").alias("kinds"))
+    chosen = whole.join(won, [*key, "__n"])
     over = F.col("top") > F.lit(MAX_U64).cast("decimal(20,0)")
-    errors = rows.where(F.size("counters") != F.col("n")).select(*key, "file", "ord", F.lit("Function count mismatch").alias("error"))
-    errors = errors.unionByName(whole.where(over).select(*key, F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("ord"), F.lit("Counter overflow").alias("error")))
-    return whole.where(~over).select(*key, F.col("counters").cast("array<decimal(20,0)>").alias("counters")), errors
+    mixed = won.where("kinds > 1").select(*key, F.col("__n").alias("__want"))
+    errors = rows.join(mixed, key).where("__n <> __want").select(*key, "file", "ord", F.lit("Function count mismatch").alias("error"))
+    errors = errors.unionByName(chosen.where(over).select(*key, F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("ord"), F.lit("Counter overflow").alias("error")))
+    return chosen.where(~over).select(*key, F.col("counters").cast("array<decimal(20,0)>").alias("counters")), errors
 
 
 def profile_summary(df: DataFrame, function: str | None = None) -> DataFrame:
@@ -90,9 +104,16 @@ def line_coverage(lines: DataFrame, by: list[str], executable: str = "executable
 
 
 def branch_coverage(branches: DataFrame, by: list[str], executed: str = "executed", taken: str = "taken") -> DataFrame:
-    """Branches, shares executed and taken at least once."""
-    rows = branches.groupBy(*by).agg(F.count("*").alias("branches"), F.count_if(executed).alias("n_executed"), F.count_if(F.col(taken) > 0).alias("n_taken"))
-    return rows.select(*by, "branches", pct(F.col("n_executed"), F.col("branches")).alias("executed_pct"), pct(F.col("n_taken"), F.col("branches")).alias("taken_pct"))
+    """Branches, shares executed and taken at least once, and a line of text.
+
+    A row of null ``executed`` names a place that has no branch; where all are
+    like that the text says so and the shares are null.
+    """
+    is_one = F.col(executed).isNotNull()
+    rows = branches.groupBy(*by).agg(F.count_if(is_one).alias("branches"), F.count_if(is_one & F.col(executed)).alias("n_executed"), F.count_if(is_one & (F.col(taken) > 0)).alias("n_taken"))
+    share = lambda c: pct(F.col(c), F.col("branches"))
+    line = F.concat(F.format_string("%.2f", share("n_executed")), F.lit("% of "), F.col("branches"))
+    return rows.select(*by, "branches", share("n_executed").alias("executed_pct"), share("n_taken").alias("taken_pct"), F.when(F.col("branches") == 0, "No branches").otherwise(line).alias("text"))
 
 
 def coverage_report(regions: DataFrame, file: str, covered: str, function: str) -> DataFrame:
@@ -140,9 +161,18 @@ def suppression_hits(hits: DataFrame, size: str) -> DataFrame:
     return hits.groupBy("pattern").agg(F.count("*").alias("hits"), F.sum(size).alias("bytes"))
 
 
-def outcomes(results: DataFrame, suite: str, code: str, codes: list[str]) -> DataFrame:
-    """Count of each code by suite."""
-    return results.groupBy(suite).agg(*[F.count_if(F.col(code) == c).alias(c) for c in codes])
+def outcomes(results: DataFrame, suite: str, code: str, codes: list[str], failed: list[str] | None = None) -> DataFrame:
+    """Count of each code by suite, and how many are of a failing one (``failing``)."""
+    return results.groupBy(suite).agg(*[F.count_if(F.col(code) == c).alias(c) for c in codes], F.count_if(F.col(code).isin(failed or FAILED)).alias("failing"))
+
+
+#: Codes of tests that did not come out as they should.
+FAILED = ["FAIL", "XPASS", "UNRESOLVED"]
+
+
+def failing(results: DataFrame, suite: str, test: str, code: str, failed: list[str] | None = None) -> DataFrame:
+    """The list of failing tests: (suite, test, code)."""
+    return results.where(F.col(code).isin(failed or FAILED)).select(suite, test, code).distinct()
 
 
 def shared_keys(df: DataFrame, key: str, owner: str) -> DataFrame:
@@ -168,6 +198,11 @@ def sample_rollup(samples: DataFrame, by: list[str], total: str, count: str) ->
     return samples.groupBy(*by).agg(F.max(total).alias("total"), F.sum(count).alias("parts"))
 
 
+def target_totals(samples: DataFrame, by: list[str], targets: str = "targets") -> DataFrame:
+    """How often each target is called from an entity, over all its lines: (by, target, n)."""
+    return samples.select(*by, F.explode(targets).alias("target", "n")).groupBy(*by, "target").agg(F.sum("n").alias("n"))
+
+
 def score_dist(df: DataFrame, score: str, n_bins: int, by: list[str] | None = None) -> DataFrame:
     """Equal-width histogram between the extremes with cumulative shares; empty bins are left out."""
     by = by or []
@@ -183,24 +218,30 @@ def distance(df: DataFrame, slot: str, module: str, value: str) -> DataFrame:
     """How far each module's distribution of values lies from the mean over the modules of its slot.
 
     Only values that a module has are joined; those it lacks add the square
-    of their mean share, which is a sum over the slot less what the module has.
+    of their mean share, which is a sum over the slot less what the module
+    has. Null slots, modules and values are ones of their own.
     """
-    counts = df.groupBy(F.col(slot).alias("slot_"), F.col(module).alias("module_"), F.col(value).alias("value_")).agg(F.count("*").alias("c"))
+    # Structs of one field: equal if both fields are null.
+    counts = df.groupBy(F.struct(F.col(slot).alias("x")).alias("slot_"), F.struct(F.col(module).alias("x")).alias("module_"), F.struct(F.col(value).alias("x")).alias("value_")).agg(F.count("*").alias("c"))
     shares = counts.join(counts.groupBy("slot_", "module_").agg(F.sum("c").alias("t")), ["slot_", "module_"]).withColumn("p", F.col("c") / F.col("t"))
-    modules = counts.groupBy("slot_").agg(F.count_distinct("module_").alias("m"))
+    modules = counts.select("slot_", "module_").distinct().groupBy("slot_").agg(F.count("*").alias("m"))
     mean = shares.groupBy("slot_", "value_").agg(F.sum("p").alias("s")).join(modules, "slot_").withColumn("q", F.col("s") / F.col("m"))
     square = mean.groupBy("slot_").agg(F.sum(F.col("q") * F.col("q")).alias("qq"))
     less = (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")) - F.col("q") * F.col("q")
     own = shares.join(mean.select("slot_", "value_", "q"), ["slot_", "value_"]).groupBy("slot_", "module_").agg(F.sum(less).alias("d"))
     away = F.sqrt(F.greatest(F.col("qq") + F.col("d"), F.lit(0.0)))
-    return own.join(square, "slot_").select(F.col("slot_").alias(slot), F.col("module_").alias(module), away.alias("distance"))
+    return own.join(square, "slot_").select(F.col("slot_.x").alias(slot), F.col("module_.x").alias(module), away.alias("distance"))
 
 
 def entropy_rank(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Entropy of the values of each key and their number; keys all of one value are left out."""
+    """Entropy of the values of each key and their number, in order: low entropy first, then many rows.
+
+    Keys all of one value are left out; a null value is a value.
+    """
     counts = df.groupBy(key, value).agg(F.count("*").alias("c"))
     sums = counts.groupBy(key).agg(F.sum("c").alias("support"), F.sum(F.col("c") * F.log2("c")).alias("clog"), F.count("*").alias("values"))
-    return sums.where("values > 1").select(key, "support", (F.log2("support") - F.col("clog") / F.col("support")).alias("entropy"))
+    found = sums.where("values > 1").select(key, "support", (F.log2("support") - F.col("clog") / F.col("support")).alias("entropy"))
+    return found.orderBy(F.round("entropy", 12), F.desc("support"), key)
 
 
 def reachable_pct(stats: DataFrame, total: str, unreachable: str) -> DataFrame:

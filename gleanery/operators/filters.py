@@ -23,14 +23,21 @@ def checked(df: DataFrame, col: str = "value", flag: str = "C", comment: str = "
 
 
 def lint(lines: DataFrame, max_len: int = 80) -> DataFrame:
-    """(file, line_no, rule, col): long lines, white space at the end, commands not run as asked."""
+    """(file, line_no, rule, col): long lines, white space at the end, commands not run as asked.
+
+    The last: behind ``RUN:`` a word ``%t`` (or one that begins with it) stands
+    after neither ``%run`` nor ``-o``. ``col`` is the first such place, from 1.
+    """
     text = F.col("text")
-    plain = r"RUN:.*?(?<!%run)(?<!-o)( %t\b)"
-    at = F.regexp_instr(F.when(text.contains("RUN:"), F.regexp_replace(text, r"(%run|-o) %t\b", "$1 ##")), F.lit(r" %t\b"))
+    ahead = F.instr(text, F.lit("RUN:")) + 3
+    parts = F.split(F.substring(text, ahead + 1, F.length(text)), " ")
+    loose = F.filter(F.sequence(F.lit(2), F.size(parts)), lambda i: F.element_at(parts, i).rlike(r"^%t\b") & ~F.element_at(parts, i - 1).isin("%run", "-o"))
+    first = F.when((ahead > 3) & (F.size(parts) > 1), F.try_element_at(loose, F.lit(1)))
+    at = ahead + F.length(F.array_join(F.slice(parts, F.lit(1), first - 1), " ")) + 2
     rules = F.array(
         F.when(F.length(text) > max_len, F.struct(F.lit("long").alias("rule"), F.lit(max_len + 1).alias("col"))),
         F.when(text.rlike(r"[ \t]+$"), F.struct(F.lit("trailing").alias("rule"), F.regexp_instr(text, F.lit(r"[ \t]+$")).alias("col"))),
-        F.when(text.rlike(plain) & (at > 0), F.struct(F.lit("run").alias("rule"), (at + 1).alias("col"))),
+        F.when(first.isNotNull(), F.struct(F.lit("run").alias("rule"), at.alias("col"))),
     )
     return lines.select("file", "line_no", F.explode(F.array_compact(rules)).alias("r")).select("file", "line_no", "r.*")
 

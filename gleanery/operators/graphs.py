@@ -1,7 +1,12 @@
-"""Graph operators over edge tables (src, dst). Loops write each round to the shared folder."""
+"""Graph operators over edge tables (src, dst). Loops write each round to the shared folder.
+
+Repeated edges count once; an empty table has no nodes.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +15,8 @@ from gleanery.session import cut
 
 
 def adjacency(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    return edges.groupBy(src).agg(F.sort_array(F.collect_set(dst)).alias("targets"))
+    """Distinct targets of each node, an edge a row; edges from or to null are left out."""
+    return edges.select(src, dst).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct()
 
 
 def uncalled(defs: DataFrame, edges: DataFrame, name: str, dst: str = "dst") -> DataFrame:
@@ -22,17 +28,33 @@ def calls_of(edges: DataFrame, name, dst: str = "dst") -> DataFrame:
     return edges.where(F.col(dst) == name)
 
 
-def closure(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """All (src, dst) with a path of one edge or more, by semi-naive rounds: only new pairs join again."""
+#: Rounds by single edges after which whole paths join.
+SHORT_ROUNDS = 16
+#: Frames of a union that are written as one again.
+PARTS = 12
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """All (src, dst) with a path of one edge or more, by semi-naive rounds: only new pairs join again.
+
+    New pairs first grow by one edge a round. Where after SHORT_ROUNDS some
+    are still new they join all pairs there are, which doubles the length each
+    round, so the rounds grow with its logarithm. Each round writes the new
+    pairs only. Nulls are no nodes.
+    """
     step = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    seen = delta = step
-    for _ in range(max_rounds):
-        more = delta.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct()
+    parts, delta, rounds = [step], step, 0
+    while True:
+        seen = reduce(DataFrame.unionByName, parts)
+        onward = (step if rounds < SHORT_ROUNDS else seen).select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+        more = delta.join(onward, "dst").select("src", F.col("to").alias("dst")).distinct()
         delta = cut(more.join(seen, ["src", "dst"], "left_anti"))
         if delta.isEmpty():
             return seen
-        seen = cut(seen.unionByName(delta))
-    raise RuntimeError(f"closure did not settle in {max_rounds} rounds")
+        rounds += 1
+        parts.append(delta)
+        if len(parts) > PARTS:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
 
 
 def reach_depth(edges: DataFrame, seeds: DataFrame, depth: int | None = None, backward: bool = False) -> DataFrame:
@@ -61,22 +83,62 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return connected_components(pairs, a, b)
 
 
-def cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Nodes that can reach themselves.
+#: Rounds of peeling; what is left over then only makes the rest larger.
+PEELINGS = 8
+#: Edges up to which a closure, in rounds that grow with the logarithm of its ways, is cheaper than a colouring.
+FEW_EDGES = 2_000
 
-    Nodes without a way in or out are peeled off until none is left over;
-    only what remains, cycles and ways between them, goes into the closure.
-    """
-    left = cut(edges.select("src", "dst").distinct())
-    size = left.count()
-    for _ in range(max_rounds):
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes without a way in or out are peeled off, PEELINGS layers at most."""
+    left, size = edges, None
+    for _ in range(PEELINGS):
         into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
         left = cut(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
         now = left.count()
         if now in (size, 0):
             break
         size = now
-    return closure(left).where("src = dst").select(F.col("src").alias("node"))
+    return left
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, colour): the greatest node that reaches each node, itself included."""
+    both = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+    colours = cut(both.distinct().withColumn("colour", F.col("node")))
+    front = colours
+    while True:
+        sent = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("to")).agg(F.max("colour").alias("sent"))
+        front = cut(colours.join(sent, F.col("node") == F.col("to")).where("sent > colour").select("node", F.col("sent").alias("colour")))
+        if front.isEmpty():
+            return colours
+        colours = cut(colours.join(front.withColumnRenamed("colour", "new"), "node", "left").select("node", F.coalesce("new", "colour").alias("colour")))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that can reach themselves: members of a strong component of several nodes, or with an edge to themselves.
+
+    Each node takes the greatest node that reaches it as its colour; what
+    reaches the colour's own node within the colour is that node's component.
+    Components are taken out and the rest is trimmed and coloured again. A
+    colouring takes as many rounds as its longest way; a closure of all pairs
+    is only built of FEW_EDGES or fewer. Nulls are no nodes.
+    """
+    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    found = cut(edges.where("src = dst").select(F.col("src").alias("node")))
+    left = _trimmed(edges.where("src <> dst"))
+    while not left.isEmpty():
+        if left.count() <= FEW_EDGES:
+            return found.unionByName(closure(left).where("src = dst").select(F.col("src").alias("node"))).distinct()
+        colours = _coloured(left)
+        of = lambda c: colours.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
+        inner = cut(left.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select("src", "dst"))
+        one = cut(reachable(inner, colours.where("node = colour").select("node"), backward=True).join(colours, "node"))
+        several = one.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
+        found = cut(found.unionByName(one.join(several, "colour", "left_semi").select("node")))
+        gone = lambda c: one.select(F.col("node").alias(c))
+        left = _trimmed(left.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti"))
+    return found.distinct()
 
 
 def lock_edges(trace: DataFrame, thread: list[str], order: list[str], op: str, lock: str) -> DataFrame:

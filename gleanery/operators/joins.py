@@ -1,12 +1,19 @@
-"""Joins: by key, range, pattern and order, and comparisons of two sides."""
+"""Joins: by key, range, pattern and order, and comparisons of two sides.
+
+Null keys match nothing, as in SQL, where a docstring does not say otherwise.
+Repeated rows join once each; empty sides give what an outer or anti join of
+them would.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.running import Running
+
 #: Rows of a rule table that may be broadcast; a larger one is joined by its type.
 BROADCAST_ROWS = 10_000
 
@@ -18,45 +25,55 @@ def unused(defs: DataFrame, uses: DataFrame, pattern: str = r"(?:err_|warn_|ext_
 
 
 def sym_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Keys that one side alone has: (key, side)."""
-    x, y = a.select(key).distinct().withColumn("in_a", F.lit(True)), b.select(key).distinct().withColumn("in_b", F.lit(True))
-    return x.join(y, key, "full_outer").where("in_a IS NULL OR in_b IS NULL").select(key, F.when(F.col("in_a"), "a").otherwise("b").alias("side"))
+    """Keys that one side alone has: (key, side). Null is a key: it differs only if one side lacks it."""
+    rows = a.select(key).distinct().withColumn("side", F.lit("a")).unionByName(b.select(key).distinct().withColumn("side", F.lit("b")))
+    return rows.groupBy(key).agg(F.count("*").alias("__n"), F.min("side").alias("side")).where("__n = 1").select(key, "side")
 
 
 def compare_slots(df: DataFrame, slot: str, module: str, value: str) -> DataFrame:
-    """Each module's value in a slot, the slot's majority value, and whether they differ.
+    """Each module's value in a slot, the slot's majority value (``usual``), and whether they differ (``deviant``).
 
-    Equally frequent values: the smallest is the majority.
+    Equally frequent values: the smallest is the majority. Null slots are one
+    slot, null values a value of their own; columns beside the three are left
+    out, so their names do not matter.
     """
-    counts = df.groupBy(slot, value).agg(F.count("*").alias("n"))
-    usual = counts.groupBy(slot).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias("usual"))
-    return df.join(usual, slot).select(slot, module, value, "usual", (~F.col(value).eqNullSafe(F.col("usual"))).alias("deviant"))
+    rows = df.select(F.col(slot).alias("__slot"), F.col(module).alias("__module"), F.col(value).alias("__value"))
+    counts = rows.groupBy("__slot", "__value").agg(F.count("*").alias("n"))
+    usual = counts.groupBy(F.col("__slot").alias("__s")).agg(F.min_by("__value", F.struct(-F.col("n"), F.col("__value"))).alias("__usual"))
+    both = rows.join(usual, F.col("__slot").eqNullSafe(F.col("__s")))
+    return both.select(F.col("__slot").alias(slot), F.col("__module").alias(module), F.col("__value").alias(value), F.col("__usual").alias("usual"), (~F.col("__value").eqNullSafe(F.col("__usual"))).alias("deviant"))
 
 
 def compare_bodies(a: DataFrame, b: DataFrame, key: str, order: str, line: str) -> DataFrame:
-    """PASS or FAIL for each entity: equal lines in equal order on both sides."""
-    body = lambda df, name: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]).alias(name))
-    both = body(a, "x").join(body(b, "y"), key, "full_outer")
-    return both.select(key, F.when(F.col("x").eqNullSafe(F.col("y")), "PASS").otherwise("FAIL").alias("verdict"))
+    """PASS or FAIL for each entity: equal lines in equal order on both sides.
+
+    Lines get their place by (order, line) and are counted by (entity, place,
+    line), so no body comes together in one row. Null keys are one entity,
+    null lines equal each other. What one side alone has fails.
+    """
+    rows = lambda df: df.select(F.col(key), F.col(order).alias("__order"), F.col(line).alias("__line"))
+    side = lambda df, n: Running(rows(df), [key], ["__order", "__line"]).add("__place", "sum", F.lit(1).cast("long")).done().withColumn("__n", F.lit(n))
+    places = side(a, 1).unionByName(side(b, -1)).groupBy(key, "__place", "__line").agg(F.sum("__n").alias("__n"))
+    return places.groupBy(key).agg(F.when(F.bool_and(F.col("__n") == 0), "PASS").otherwise("FAIL").alias("verdict"))
 
 
 def asof(left: DataFrame, right: DataFrame, on: str, by: list[str] | None = None, values: list[str] | None = None) -> DataFrame:
     """Left rows with the ``values`` of the latest right row at or before them; unmatched rows keep nulls.
 
-    Both sides are put together and one window runs forward: one shuffle and
-    no range join. At equal ``on`` the right row counts; of several right
-    rows at one place the greatest values do. Null ``by`` keys match nothing.
+    Both sides are put together and the last right row is carried forward: no
+    range join. Hot keys, and all rows where there is no ``by``, are cut into
+    pieces. At equal ``on`` the right row counts; of several right rows at one
+    place the greatest values do. Null ``by`` keys match nothing.
     """
     by = by or []
     values = values or [c for c in right.columns if c not in by and c != on]
     got = F.struct(F.col(on).alias("at"), *values)
     rows = left.select(*by, on, F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(got.alias("g")).schema["g"].dataType).alias("__got"))
     rows = rows.unionByName(right.where(F.col(on).isNotNull()).select(*by, on, F.lit(0).alias("__side"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), got.alias("__got")))
-    w = Window.partitionBy(*by).orderBy(F.col(on).asc_nulls_first(), "__side", "__got").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("__got", ignorenulls=True).over(w)
-    if by:
-        last = F.when(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in by]), last)
-    return rows.withColumn("__last", last).where("__side = 1").select("__row.*", *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in ["at", *values]])
+    rows = Running(rows, by, [on, "__side", "__got"]).add("__last", "last", F.col("__got")).done().where("__side = 1")
+    last = lambda v: F.col(f"__last.{v}")
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in by], F.lit(True))
+    return rows.select("__row.*", *[F.when(known, last(v)).alias(f"asof_{v}") for v in ["at", *values]])
 
 
 def symbolize(addrs: DataFrame, syms: DataFrame, by: list[str]) -> DataFrame:

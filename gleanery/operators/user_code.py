@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def reduce_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str) -> DataFrame:
-    """A user function over each group of rows; a group must fit one task."""
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+def reduce_groups(
+    df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str, merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, parts: int = 64
+) -> DataFrame:
+    """A user function over each group of rows.
+
+    Without ``merge`` a group must fit one task. With it ``fn`` sees each
+    group in ``parts`` parts and ``merge`` puts its results of one group
+    together, so that a group of any size is dealt out.
+    """
+    if merge is None:
+        return df.groupBy(*keys).applyInPandas(fn, schema)
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(parts)).alias("__part")
+    some = df.select("*", part).groupBy(*keys, "__part").applyInPandas(lambda g: fn(g.drop(columns="__part")), schema)
+    return some.groupBy(*keys).applyInPandas(merge, schema)
 
 
 def run_checkers(df: DataFrame, checkers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:

@@ -33,13 +33,18 @@ def a1_path_stats(spark, sf):
 def a2_api_usage(spark, sf):
     e = table(spark, sf, "events").select("event_type", "user_id", F.array(F.get_json_object("props", "$.k")).alias("conds"))
     uses = aggregates.api_usage(e, ["event_type"], "user_id", "conds")
-    return uses.select(F.col("event_type").alias("api"), F.size("uses").cast("long").alias("n_uses"), F.col("uses")[0]["func"].alias("first_user"))
+    return uses.groupBy(F.col("event_type").alias("api")).agg(F.count("*").alias("n_uses"), F.min("func").alias("first_user"))
 
 
 @query("WITH g AS (SELECT user_id, count(*) AS n, min(event_type) AS first FROM events GROUP BY 1) SELECT user_id, n, first, dense_rank() OVER (ORDER BY n DESC)::INT AS rank FROM g")
 def a3_lock_groups(spark, sf):
-    g = aggregates.lock_groups(table(spark, sf, "events"), "user_id", ["event_type", "event_id"])
-    return g.select("user_id", "n", F.col("members")[0]["event_type"].alias("first"), "rank")
+    groups, _ = aggregates.lock_groups(table(spark, sf, "events"), "user_id", ["event_type", "event_id"])
+    return groups.select("user_id", "n", F.col("first.event_type").alias("first"), "rank")
+
+
+@query("WITH g AS (SELECT event_type, count(*) AS n, dense_rank() OVER (ORDER BY count(*) DESC)::INT AS rank FROM events GROUP BY 1) SELECT event_type, event_id, n, rank FROM events JOIN g USING (event_type)")
+def a3_lock_members(spark, sf):
+    return aggregates.lock_groups(table(spark, sf, "events"), "event_type", ["event_id"])[1]
 
 
 @query("SELECT o_orderstatus || '@' || o_orderpriority AS key, count(*) AS n_paths, (SELECT count(DISTINCT o_orderstatus || '@' || o_orderpriority) FROM orders) AS size FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
@@ -49,15 +54,25 @@ def a4_path_index(spark, sf):
     return rows.crossJoin(F.broadcast(index.size()))  # one row
 
 
+def _part_profiles(spark, sf):
+    """Each order's quantities of a part are a record of the part's profile."""
+    arr = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"))), lambda x: x["l_quantity"].cast("decimal(20,0)"))
+    records = table(spark, sf, "lineitem").groupBy("l_partkey", "l_orderkey").agg(arr.alias("counters"))
+    return records.select(F.lit("t").alias("file"), F.col("l_orderkey").cast("int").alias("ord"), F.col("l_partkey").cast("string").alias("name"), F.lit(1).cast("decimal(20,0)").alias("hash"), "counters")
+
+
+@query("""WITH r AS (SELECT l_partkey, l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL), f AS (SELECT l_partkey, arg_min(n, l_orderkey) AS want FROM r GROUP BY 1)
+SELECT l_partkey, l_orderkey, 'Function count mismatch' AS error FROM r JOIN f USING (l_partkey) WHERE n <> want""")
+def a5_profile_errors(spark, sf):
+    _, errors = aggregates.merge_profiles(_part_profiles(spark, sf))
+    return errors.select(F.col("name").cast("long").alias("l_partkey"), F.col("ord").cast("long").alias("l_orderkey"), "error")
+
+
 @query("""WITH r AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey, l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos, l_quantity::BIGINT AS c, count(*) OVER (PARTITION BY l_partkey, l_orderkey) AS n FROM lineitem),
 f AS (SELECT l_partkey, arg_min(n, l_orderkey) AS want FROM r GROUP BY 1)
 SELECT l_partkey, pos, sum(c)::BIGINT AS total FROM r JOIN f USING (l_partkey) WHERE n = want GROUP BY ALL""")
 def a5_profile_merge(spark, sf):
-    """Each order's quantities of a part are a record of the part's profile."""
-    arr = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"))), lambda x: x["l_quantity"].cast("decimal(20,0)"))
-    records = table(spark, sf, "lineitem").groupBy("l_partkey", "l_orderkey").agg(arr.alias("counters"))
-    df = records.select(F.lit("t").alias("file"), F.col("l_orderkey").cast("int").alias("ord"), F.col("l_partkey").cast("string").alias("name"), F.lit(1).cast("decimal(20,0)").alias("hash"), "counters")
-    merged, _ = aggregates.merge_profiles(df)
+    merged, _ = aggregates.merge_profiles(_part_profiles(spark, sf))
     return merged.select(F.col("name").cast("long").alias("l_partkey"), F.posexplode("counters").alias("pos", "c")).select("l_partkey", F.col("pos").cast("long").alias("pos"), F.col("c").cast("long").alias("total"))
 
 
@@ -74,9 +89,12 @@ def a7_line_coverage(spark, sf):
     return aggregates.line_coverage(lines.select("doc_id", (F.length("text") > 20).alias("executable"), (F.length("text") - 80).alias("count")), ["doc_id"])
 
 
-@query("""SELECT l_orderkey, count(*) AS branches, round(count(*) FILTER (WHERE l_returnflag <> 'N') * 100.0::DOUBLE / count(*), 2) AS executed_pct, round(count(*) FILTER (WHERE l_discount > 0.05) * 100.0::DOUBLE / count(*), 2) AS taken_pct FROM lineitem GROUP BY 1""")
+@query("""WITH b AS (SELECT l_orderkey, count(*) FILTER (WHERE l_linestatus = 'O') AS branches, count(*) FILTER (WHERE l_linestatus = 'O' AND l_returnflag <> 'N') AS x, count(*) FILTER (WHERE l_linestatus = 'O' AND l_discount > 0.05) AS t FROM lineitem GROUP BY 1),
+p AS (SELECT l_orderkey, branches, CASE WHEN branches > 0 THEN round(x * 100.0::DOUBLE / branches, 2) END AS executed_pct, CASE WHEN branches > 0 THEN round(t * 100.0::DOUBLE / branches, 2) END AS taken_pct FROM b)
+SELECT *, CASE WHEN branches = 0 THEN 'No branches' ELSE printf('%.2f', executed_pct) || '% of ' || branches END AS text FROM p""")
 def a8_branch_coverage(spark, sf):
-    b = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_returnflag") != "N").alias("executed"), F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("taken"))
+    """Open lines are branches; an order without any has none."""
+    b = table(spark, sf, "lineitem").select("l_orderkey", F.when(F.col("l_linestatus") == "O", F.col("l_returnflag") != "N").alias("executed"), F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("taken"))
     return aggregates.branch_coverage(b, ["l_orderkey"])
 
 
@@ -123,10 +141,15 @@ def a15_suppression_hits(spark, sf):
     return aggregates.suppression_hits(_suppressed(spark, sf)[1], "n_chars")
 
 
-@query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p, count(*) FILTER (WHERE o_orderstatus <> 'O') AS failing FROM orders GROUP BY 1")
 def a16_outcomes(spark, sf):
-    found = aggregates.outcomes(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
-    return found.select("o_orderpriority", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
+    found = aggregates.outcomes(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], ["F", "P"])
+    return found.select("o_orderpriority", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"), "failing")
+
+
+@query("SELECT o_orderpriority, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def a16_failing_list(spark, sf):
+    return aggregates.failing(table(spark, sf, "orders"), "o_orderpriority", "o_orderkey", "o_orderstatus", ["F", "P"])
 
 
 @query("WITH o AS (SELECT DISTINCT p_name, p_brand FROM part), s AS (SELECT p_name, count(*) AS owners FROM o GROUP BY 1 HAVING count(*) > 1) SELECT p_name, p_brand, owners FROM o JOIN s USING (p_name)")
@@ -152,6 +175,13 @@ def a19_sample_rollup(spark, sf):
     return aggregates.sample_rollup(rows, ["o_orderkey"], "o_totalprice", "l_extendedprice").withColumn("parts", F.round("parts", 2))
 
 
+@query("SELECT l_partkey, l_suppkey::VARCHAR AS target, sum(l_quantity::BIGINT)::BIGINT AS n FROM lineitem GROUP BY ALL")
+def a19_target_totals(spark, sf):
+    """Suppliers as the targets that a part's lines call."""
+    lines = table(spark, sf, "lineitem").select("l_partkey", F.create_map(F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("long")).alias("targets"))
+    return aggregates.target_totals(lines, ["l_partkey"])
+
+
 @query("""WITH m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), b AS (SELECT least(floor((l_extendedprice - lo) * 20 / (hi - lo)), 19)::INT AS bin, count(*) AS n FROM lineitem, m GROUP BY 1)
 SELECT bin, n, round(sum(n) OVER (ORDER BY bin)::DOUBLE / (sum(n) OVER ())::DOUBLE, 6) AS share FROM b""")
 def a20_score_distribution(spark, sf):
@@ -252,7 +282,8 @@ def _weighted(group: pd.DataFrame) -> pd.DataFrame:
 
 @query("SELECT l_suppkey, sum(l_quantity)::BIGINT AS weight, sum(l_quantity::BIGINT * round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM lineitem GROUP BY 1")
 def x1_reduce(spark, sf):
-    return user_code.reduce_groups(table(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice"), ["l_suppkey"], _weighted, "l_suppkey long, weight long, cents long")
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice")
+    return user_code.reduce_groups(lines, ["l_suppkey"], _weighted, "l_suppkey long, weight long, cents long", lambda g: g.groupby("l_suppkey", as_index=False).sum(), 4)
 
 
 @query("""SELECT user_id AS key, count(DISTINCT event_type)::DOUBLE AS score, 'types' AS checker FROM events GROUP BY 1 UNION ALL SELECT user_id, round(max(value), 2), 'top' FROM events GROUP BY 1""")
@@ -292,6 +323,8 @@ def t2_dedup_stream(spark, sf):
     return _run(live, "append").select("user_id", "event_type")
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS points FROM events GROUP BY 1")
+@query("SELECT user_id, count(DISTINCT event_type) AS pairs, count(DISTINCT event_type) AS total, 1::BIGINT AS first FROM events GROUP BY 1")
 def t3_coverage_stream(spark, sf):
-    return _run(streams.coverage_stream(_stream(spark, sf), "user_id", ["event_type"]), "complete")
+    """New pairs as they come, with running totals; for each user how many came and the greatest and least total."""
+    rows = _run(streams.coverage_stream(_stream(spark, sf), "user_id", ["event_type"], "ts", "60 days"), "append")
+    return rows.groupBy("user_id").agg(F.count("*").alias("pairs"), F.max("total").alias("total"), F.min("total").alias("first"))

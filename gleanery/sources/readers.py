@@ -1,7 +1,9 @@
 """Readers of analysis output: each makes a DataFrame of a text or binary format.
 
 Bad records never stop a read and never vanish: readers of formats that can
-be broken return the good rows and the rejects.
+be broken return the good rows and the rejects. Formats of lines or of marked
+records are read in splits, so one large file is many tasks; places within a
+file come from running counts over its splits. Empty files give no rows.
 """
 
 from __future__ import annotations
@@ -11,10 +13,11 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.functions.scalars import hex_int, rsplit_once, targets
+from gleanery.functions.scalars import MAX_U64, hex_int, rsplit_once, targets
+from gleanery.operators.running import Running
 
 
 def _file() -> Column:
@@ -26,16 +29,29 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(_file().alias("file"), F.col("value").alias("text"))
 
 
+def _placed(spark: SparkSession, path: str | list[str], sep: str, recursive: bool = False) -> DataFrame:
+    """(file, pos, value) of what stands between separators, pos from 0; files are read in splits."""
+    text = spark.read.option("lineSep", sep).option("recursiveFileLookup", str(recursive).lower()).text(path)
+    rows = text.select(_file().alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"), "value")
+    placed = Running(rows, ["file"], ["__start", "__id"]).add("pos", "sum", F.lit(1).cast("long")).done()
+    return placed.select("file", (F.col("pos") - 1).alias("pos"), "value")
+
+
 def _module(path: Column) -> Column:
     """Name of the folder that a file is in."""
     return F.element_at(F.split(path, "/"), -2)
 
 
 def parse_paths(records: DataFrame, text: str = "text") -> DataFrame:
-    """Fields of path records, one record a row, beside the other columns."""
+    """Fields of path records, one record a row, beside the other columns.
+
+    ``extra`` maps other tags to their text, that of a repeated one line by line.
+    """
     tag = lambda name: F.when(F.col(text).rlike(f"(?m)^@{name}:"), F.trim(F.regexp_extract(text, f"(?m)^@{name}:[ \\t]*(.*)$", 1)))
     pairs = F.regexp_extract_all(text, F.lit("(?m)^(@[A-Z_]+:.*)$"), F.lit(1))
     other = F.filter(pairs, lambda p: ~p.rlike("^@(LOCATION|FUNCTION|RETURN|CONDITION):"))
+    name = lambda p: F.regexp_extract(p, "^@([A-Z_]+):", 1)
+    names = F.array_distinct(F.transform(other, name))
     raw = F.transform(F.regexp_extract_all(text, F.lit("(?m)^@CONDITION:[ \\t]*(.*)$"), F.lit(1)), lambda c: F.rtrim(c))
     at = tag("LOCATION")
     return records.select(
@@ -47,16 +63,18 @@ def parse_paths(records: DataFrame, text: str = "text") -> DataFrame:
         tag("RETURN").alias("rtn"),
         raw.alias("raw_conds"),
         F.filter(raw, lambda c: c != "nil").alias("conds"),
-        F.map_from_entries(F.array_distinct(F.transform(other, lambda p: F.struct(F.regexp_extract(p, "^@([A-Z_]+):", 1), F.trim(F.regexp_extract(p, "^@[A-Z_]+:(.*)$", 1)))))).alias("extra"),
+        F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(F.transform(F.filter(other, lambda p: name(p) == n), lambda p: F.trim(F.regexp_extract(p, "^@[A-Z_]+:(.*)$", 1))), "\n"))).alias("extra"),
     )
 
 
 def read_paths(spark: SparkSession, glob: str) -> DataFrame:
     """Path records of ``@@<<`` to ``@@>>`` blocks: module, file, ord and fields.
 
-    ``conds`` leaves out ``nil``; ``raw_conds`` has every condition line.
+    ``conds`` leaves out ``nil``; ``raw_conds`` has every condition line. A
+    record ends at its mark or with the file; what stands before its begin
+    mark is skipped.
     """
-    blocks = _whole(spark, glob).select("file", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)@@<<(.*?)@@>>"), F.lit(1))).alias("ord", "text"))
+    blocks = _placed(spark, glob, "@@>>").where(F.contains(F.col("value"), F.lit("@@<<"))).select("file", F.col("pos").cast("int").alias("ord"), F.regexp_extract("value", r"(?s)@@<<(.*)", 1).alias("text"))
     return parse_paths(blocks.select(_module(F.col("file")).alias("module"), "file", "ord", "text")).drop("text")
 
 
@@ -108,32 +126,53 @@ def read_profile(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_samples(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sample-profile rows of (file, text), body lines under their latest header; and rejects."""
-    lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(~F.col("line").rlike(r"^\s*(#.*)?$"))
+    """``parse_sample_lines`` of whole files (file, text)."""
+    return parse_sample_lines(files.select("file", F.posexplode(F.split("text", "\n")).alias("pos", "value")))
+
+
+def _unsigned(text: Column) -> Column:
+    """An unsigned 64-bit number; null if it is none."""
+    value = F.when(text.rlike(r"^\d{1,20}$"), text.try_cast("decimal(20,0)"))
+    return F.when(value <= F.lit(MAX_U64).cast("decimal(20,0)"), value)
+
+
+def parse_sample_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sample-profile rows of (file, pos, value), body lines under their latest header; and rejects.
+
+    Figures are unsigned 64-bit; a line with a larger one, or under a header
+    with one, is a reject. Repeated callees of a line add up.
+    """
+    lines = lines.select("file", "pos", F.col("value").alias("line")).where(~F.col("line").rlike(r"^\s*(#.*)?$"))
     is_head = ~F.col("line").rlike(r"^\s")
     header, body = r"^(.*):(\d+):(\d+)\s*$", r"^\s+(\d+)(?:\.(\d+))?:\s*(\d+)((?:\s+[^\s:]+:\d+)*)\s*$"
-    last = F.last(F.when(is_head, F.col("line")), ignorenulls=True).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = lines.withColumn("head_line", last)
-    good = F.when(is_head, F.col("line").rlike(header)).otherwise(F.col("line").rlike(body) & F.coalesce(F.col("head_line").rlike(header), F.lit(False)))
-    whole = rows.where(good & ~is_head).select(
+    rows = Running(lines, ["file"], ["pos"]).add("head_line", "last", F.when(is_head, F.col("line"))).done()
+    part = lambda c, p, i: F.when(F.col(c).rlike(p), F.regexp_extract(c, p, i))
+    rows = rows.select(
         "file",
-        F.regexp_extract("head_line", header, 1).alias("func"),
-        F.regexp_extract("head_line", header, 2).cast("long").alias("total"),
-        F.regexp_extract("head_line", header, 3).cast("long").alias("head"),
-        F.regexp_extract("line", body, 1).cast("long").alias("offset"),
-        F.regexp_extract("line", body, 2).try_cast("long").alias("disc"),
-        F.regexp_extract("line", body, 3).cast("long").alias("samples"),
-        targets(F.regexp_extract("line", body, 4)).alias("targets"),
+        "pos",
+        "line",
+        is_head.alias("is_head"),
+        part("head_line", header, 1).alias("func"),
+        *[_unsigned(part("head_line", header, i)).alias(n) for i, n in ((2, "total"), (3, "head"))],
+        part("line", body, 1).try_cast("long").alias("offset"),
+        F.coalesce(F.nullif(part("line", body, 2), F.lit("")), F.lit("0")).try_cast("long").alias("disc"),
+        _unsigned(part("line", body, 3)).alias("samples"),
+        targets(F.coalesce(part("line", body, 4), F.lit(""))).alias("targets"),
     )
-    return whole.withColumn("disc", F.coalesce("disc", F.lit(0))), rows.where(~good).select("file", "pos", "line")
+    headed = F.col("func").isNotNull() & F.col("total").isNotNull() & F.col("head").isNotNull()
+    good = headed & (F.col("is_head") | (F.col("offset").isNotNull() & F.col("disc").isNotNull() & F.col("samples").isNotNull()))
+    return rows.where(good & ~F.col("is_head")).drop("pos", "line", "is_head"), rows.where(~good).select("file", "pos", "line")
 
 
 def read_samples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_samples(_whole(spark, path))
+    return parse_sample_lines(_placed(spark, path, "\n"))
 
 
 def parse_gcov(lines: DataFrame) -> dict[str, DataFrame]:
-    """Lines, metadata, functions and branches of (file, pos, value) coverage listings."""
+    """Lines, blocks, metadata, functions and branches of (file, pos, value) coverage listings.
+
+    Figures too large for 64 bits with a sign are null.
+    """
     entry = r"^\s*(-|#####|\d+):\s*(\d+):(.*)$"
     is_line = F.col("value").rlike(entry) & ~F.col("value").rlike(r"^\s*\d+:\s*\d+-block")
     mark, number = F.regexp_extract("value", entry, 1), F.regexp_extract("value", entry, 2).try_cast("int")
@@ -141,14 +180,19 @@ def parse_gcov(lines: DataFrame) -> dict[str, DataFrame]:
     code = found.where("line > 0").select("file", "line", F.when(F.col("mark") == "#####", 0).otherwise(F.col("mark").try_cast("long")).alias("count"), (F.col("mark") != "-").alias("executable"), "text")
     meta = found.where("line = 0").select("file", F.regexp_extract("text", "^([^:]*):(.*)$", 1).alias("key"), F.regexp_extract("text", "^([^:]*):(.*)$", 2).alias("value"))
     call = r"^function (\S+) called (\d+) returned (\d+)% blocks executed (\d+)%"
-    functions = lines.where(F.col("value").rlike(call)).select("file", *[(F.regexp_extract("value", call, i).cast("long") if i > 1 else F.regexp_extract("value", call, i)).alias(n) for i, n in enumerate(("func", "called", "returned_pct", "blocks_pct"), 1)])
+    functions = lines.where(F.col("value").rlike(call)).select("file", *[(F.regexp_extract("value", call, i).try_cast("long") if i > 1 else F.regexp_extract("value", call, i)).alias(n) for i, n in enumerate(("func", "called", "returned_pct", "blocks_pct"), 1)])
     jump = r"^(unconditional|branch)\s+(\d+) (?:taken (\d+)|never executed)"
-    branches = lines.where(F.col("value").rlike(jump)).select("file", "pos", F.regexp_extract("value", jump, 1).alias("kind"), F.regexp_extract("value", jump, 2).cast("int").alias("n"), F.regexp_extract("value", jump, 3).try_cast("long").alias("taken"))
-    return {"lines": code, "meta": meta, "functions": functions, "branches": branches}
+    branches = lines.where(F.col("value").rlike(jump)).select("file", "pos", F.regexp_extract("value", jump, 1).alias("kind"), F.regexp_extract("value", jump, 2).try_cast("int").alias("n"), F.regexp_extract("value", jump, 3).try_cast("long").alias("taken"))
+    block = r"^\s*(-|#####|\$\$\$\$\$|%%%%%|\d+):\s*(\d+)-block\s+(\d+)"
+    ran = F.regexp_extract("value", block, 1)
+    blocks = lines.where(F.col("value").rlike(block)).select(
+        "file", "pos", F.regexp_extract("value", block, 2).try_cast("int").alias("line"), F.regexp_extract("value", block, 3).try_cast("int").alias("block"), F.when(ran.rlike(r"^\d"), ran.try_cast("long")).when(ran != "-", 0).alias("count")
+    )
+    return {"lines": code, "blocks": blocks, "meta": meta, "functions": functions, "branches": branches}
 
 
 def read_gcov(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return parse_gcov(_whole(spark, path).select("file", F.posexplode(F.split("text", "\n")).alias("pos", "value")))
+    return parse_gcov(_placed(spark, path, "\n"))
 
 
 def _raw_counters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,9 +253,8 @@ def to_lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, globs: list[str] | str) -> DataFrame:
-    """Every line of the text files under some folders: (file, line_no, text)."""
-    files = spark.read.option("recursiveFileLookup", "true").text(globs, wholetext=True).select(_file().alias("file"), "value")
-    return to_lines(files, "value", "file")
+    """Every line of the text files under some folders: (file, line_no from 1, text)."""
+    return _placed(spark, globs, "\n", recursive=True).select("file", (F.col("pos") + 1).alias("line_no"), F.col("value").alias("text"))
 
 
 def latest_file(spark: SparkSession, glob: str) -> DataFrame:

@@ -158,6 +158,129 @@ def test_streams(spark, tmp_path):
     live = streams.dedup_stream(stream, ["k"], "t", "1 day").writeStream.format("memory").queryName("seen").outputMode("append").trigger(availableNow=True).start()
     live.awaitTermination()
     assert sorted(r.k for r in spark.table("seen").collect()) == ["a", "b"]
-    cover = streams.coverage_stream(stream, "k", ["id"]).writeStream.format("memory").queryName("cover").outputMode("complete").trigger(availableNow=True).start()
+    cover = streams.coverage_stream(stream, "k", ["id"], "t", "1 day").writeStream.format("memory").queryName("cover").outputMode("append").trigger(availableNow=True).start()
     cover.awaitTermination()
-    assert {r.k: r.points for r in spark.table("cover").collect()} == {"a": 2, "b": 1}
+    rows = spark.table("cover").collect()
+    assert sorted((r.k, r.id) for r in rows) == [("a", 1), ("a", 2), ("b", 3)] and sorted((r.k, r.total) for r in rows) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+@pytest.mark.parametrize("hot", [10**6, 50])
+def test_hot_keys(spark, monkeypatch, hot):
+    """One key with nearly all rows, cut into pieces or not: running figures against plain Python."""
+    from gleanery.operators import running
+
+    monkeypatch.setattr(running, "HOT_ROWS", hot)
+    rng = random.Random(hot)
+    rows = [("hot" if rng.random() < 0.9 else rng.choice(["a", None]), i, rng.choice("xyzM"), rng.randint(-5, 9)) for i in range(800)]
+    df = spark.createDataFrame(rows, "k string, i int, t string, v int").repartition(5)
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r[0], []).append(r)
+    want = {n: {} for n in ("kept", "unique", "fill", "live", "fault", "limit")}
+    for part in by_key.values():
+        seen, fill, live, crossed, before, errors, follower = set(), None, 0, False, None, 0, False
+        for k, i, t, v in part:
+            if follower:
+                follower = False
+            elif t == "M":
+                follower = True
+            else:
+                want["kept"][i] = True
+            seen.add(t)
+            want["unique"][i] = len(seen)
+            fill = v if t == "x" else fill
+            want["fill"][i] = fill
+            live += v
+            want["live"][i] = (live, live > 100 and not crossed)
+            crossed |= live > 100
+            if t == before == "y":
+                want["fault"][i] = "twice"
+            if t == "x" and before is None:
+                want["fault"][i] = "first"
+            before = t
+            if errors <= 20:
+                errors += t == "z"
+                if errors <= 20 or t == "z":
+                    want["limit"][i] = errors > 20
+    got = lambda df, value: {r["i"]: value(r) for r in df.collect()}
+    assert got(windows.drop_with_next(df, ["k"], ["i"], F.col("t") == "M"), lambda r: True) == want["kept"]
+    assert got(windows.running_unique(df, ["k"], ["i"], ["t"]), lambda r: r.so_far) == want["unique"]
+    assert got(windows.ffill(df, ["k"], ["i"], F.col("t") == "x", "v", "fill"), lambda r: r.fill) == want["fill"]
+    assert got(windows.live_bytes(df, ["k"], ["i"], F.col("v"), 100), lambda r: (r.live, r.crosses)) == want["live"]
+    assert got(windows.violations(df, ["k"], ["i"], "t", rules={("y", "y"): "twice", ("x", None): "first"}), lambda r: r.fault) == want["fault"]
+    assert got(windows.error_limit(df, ["k"], ["i"], F.col("t") == "z", 20), lambda r: r.fatal) == want["limit"]
+    probes, stored = df.where("t <> 'x'").select("k", "i"), df.where("t = 'x'").select("k", "i", "v")
+    last = {}
+    for k, i, t, v in rows:
+        if t == "x":
+            last[k], last["all"] = v, v
+        else:
+            last.setdefault("found", {})[i] = (last.get(k) if k else None, last.get("all"))
+    assert got(joins.asof(probes, stored, "i", ["k"]), lambda r: r.asof_v) == {i: a for i, (a, _) in last["found"].items()}
+    assert got(joins.asof(probes.select("i"), stored.select("i", "v"), "i"), lambda r: r.asof_v) == {i: b for i, (_, b) in last["found"].items()}
+
+
+def test_hot_key_is_dealt_out(spark, monkeypatch):
+    """The largest task of a running sum over one key of 10^6 rows reads under a tenth of them."""
+    from gleanery.operators import running
+
+    monkeypatch.setattr(running, "HOT_ROWS", 50_000)
+    run = running.Running(spark.range(1_000_000).selectExpr("1 AS k", "id"), ["k"], ["id"])
+    sizes = [r["n"] for r in run.rows.groupBy("__piece").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 10**6 and max(sizes) < 10**5
+    total = run.add("s", "sum", F.col("id")).done()
+    assert total.where("s <> id * (id + 1) / 2").count() == 0
+
+
+def test_long_paths(spark):
+    path = spark.range(300).selectExpr("id AS src", "id + 1 AS dst")
+    assert graphs.closure(path).count() == 300 * 301 // 2
+
+
+@pytest.mark.parametrize("few", [2000, 0])
+def test_strong_components(spark, monkeypatch, few):
+    """By a closure of what is left over, and by colouring."""
+    monkeypatch.setattr(graphs, "FEW_EDGES", few)
+    graph = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 10), (10, 11), (11, 10), (11, 20), (30, 30), (30, 0), (None, 0), (0, None)], "src long, dst long")
+    assert {r.node for r in graphs.cycles(graph).collect()} == {0, 1, 2, 10, 11, 30}
+
+
+def test_null_keys_and_clashing_names(spark):
+    rows = spark.createDataFrame([(None, "m1", "1", "u"), (None, "m2", "1", "u"), (None, "m3", None, "u")], "s string, m string, v string, usual string")
+    assert {(r.m, r.usual, r.deviant) for r in joins.compare_slots(rows, "s", "m", "v").collect()} == {("m1", "1", False), ("m2", "1", False), ("m3", "1", True)}
+    a, b = (spark.createDataFrame([(x,) for x in t], "side string") for t in (["a", None], ["b", None, None]))
+    assert sorted(tuple(r) for r in joins.sym_diff(a.withColumnRenamed("side", "k"), b.withColumnRenamed("side", "k"), "k").collect()) == [("a", "a"), ("b", "b")]
+    bodies = lambda *r: spark.createDataFrame(list(r), "k string, o int, l string")
+    got = joins.compare_bodies(bodies(("x", 1, "a"), ("x", 2, "b"), ("y", 1, "a"), ("z", 1, None), ("w", 1, "a")), bodies(("x", 5, "a"), ("x", 9, "b"), ("y", 1, "a"), ("y", 2, "a"), ("z", 3, None), ("v", 1, "q")), "k", "o", "l")
+    assert {r.k: r.verdict for r in got.collect()} == {"x": "PASS", "y": "FAIL", "z": "PASS", "w": "FAIL", "v": "FAIL"}
+    profile = spark.createDataFrame([("f", 1, "foo", 3, [1, 2], 7), ("f", 2, "foo", 3, [5], 8)], "file string, ord int, name string, hash int, counters array<int>, n int")
+    merged, errors = aggregates.merge_profiles(profile)
+    assert [[int(c) for c in r.counters] for r in merged.collect()] == [[1, 2]] and [(r.ord, r.error) for r in errors.collect()] == [(2, "Function count mismatch")]
+    nulls = spark.createDataFrame([("s", None, "a"), ("s", None, None), ("s", "m2", "a"), (None, None, None)], "s string, m string, v string")
+    got = {(r.s, r.m): r.distance for r in aggregates.distance(nulls, "s", "m", "v").collect()}
+    assert got["s", None] == pytest.approx(2**0.5 / 4) and got["s", "m2"] == pytest.approx(2**0.5 / 4) and got[None, None] == 0
+
+
+def test_groups_as_rows(spark):
+    locks = spark.createDataFrame([("f", "m1"), ("f", "m2"), ("g", "m1"), (None, "m3")], "func string, module string")
+    groups, members = aggregates.lock_groups(locks, "func", ["module"])
+    assert {(r.func, r.n, r["rank"]) for r in groups.collect()} == {("f", 2, 1), ("g", 1, 2), (None, 1, 2)} and members.count() == 4
+    assert graphs.adjacency(edges(spark, [(1, 2), (1, 2), (1, 3), (None, 1)])).count() == 2
+    tests = spark.createDataFrame([("s", "a", "FAIL"), ("s", "b", "PASS"), ("s", "c", "XPASS")], "suite string, test string, code string")
+    assert sorted(r.test for r in aggregates.failing(tests, "suite", "test", "code").collect()) == ["a", "c"]
+    assert tuple(aggregates.outcomes(tests, "suite", "code", ["FAIL", "PASS"]).first()) == ("s", 1, 1, 2)
+    branches = spark.createDataFrame([("f", True, 1), ("f", False, 0), ("g", None, None)], "file string, executed boolean, taken int")
+    assert {r.file: r.text for r in aggregates.branch_coverage(branches, ["file"]).collect()} == {"f": "50.00% of 2", "g": "No branches"}
+    calls = spark.createDataFrame([("f", {"a": 1, "b": 2}), ("f", {"a": 5}), ("f", {})], "func string, targets map<string,long>")
+    assert {(r.target, r.n) for r in aggregates.target_totals(calls, ["func"]).collect()} == {("a", 6), ("b", 2)}
+    order = aggregates.entropy_rank(spark.createDataFrame([(k, v) for k, vs in (("even", "ab"), ("low", "aaab"), ("more", "aabb"), ("one", "aa")) for v in vs], "k string, v string"), "k", "v")
+    assert [r.k for r in order.collect()] == ["low", "more", "even"]
+
+
+def test_partial_reduction(spark):
+    from gleanery.operators import user_code
+
+    df = spark.createDataFrame([("hot", i) for i in range(500)] + [("b", 1)], "k string, v long")
+    total = lambda g: g.groupby("k", as_index=False)["v"].sum()
+    got = user_code.reduce_groups(df, ["k"], total, "k string, v long", total, 8).collect()
+    assert {r.k: r.v for r in got} == {"hot": sum(range(500)), "b": 1}

@@ -33,7 +33,7 @@ def test_api_facts(spark):
     facts, rejects = readers.parse_api_facts(lines(spark, text))
     assert facts.count() == 2 and rejects.count() == 2
     uses = aggregates.api_usage(facts, ["api", "rtn"], "func", "conds").collect()
-    assert len(uses) == 1 and len(uses[0].uses) == 3
+    assert {r.api for r in uses} == {"kmalloc"} and len(uses) == 3
 
 
 def profile(spark, *texts):
@@ -161,3 +161,65 @@ def test_lint_and_severity(spark):
     assert final("-Werror", "-Wno-a") == {"b": "error", "e": "error"}
     assert final("-pedantic-errors", "-Werror=a") == {"a": "error", "b": "warning", "ext": "error", "e": "error"}
     assert final("-pedantic-errors", "-Wext") == {"a": "warning", "b": "warning", "ext": "warning", "e": "error"}
+
+
+def test_dirty_rows_stop_no_read(spark, tmp_path):
+    """Repeated tags and callees, counts beyond 63 and 64 bits, cut-off records, junk around records."""
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.fss").write_text("junk\n@@<<\n@FUNCTION: f\n@NOTE: one\n@NOTE: two\n@NOTE: one\n@@>>\n@@>>\n@@<<\n@FUNCTION: g\n@LOCATION: x.c:99999999999:1\n")
+    got = {r.func: r for r in readers.read_paths(spark, f"{tmp_path}/m/*.fss").collect()}
+    assert got["f"].extra == {"NOTE": "one\ntwo\none"} and got["g"].loc_line is None and set(got) == {"f", "g"}
+    text = f"main:{2**64 - 1}:0\n 4: {2**63} x:1 y:2 x:3\n 5: {2**64}\n 6: 1 z:{2**63}\nhuge:{2**64}:1\n 1: 1\n 99999999999999999999: 1\n"
+    (tmp_path / "s.prof").write_text(text)
+    good, rejects = readers.read_samples(spark, f"{tmp_path}/s.prof")
+    rows = {int(r.offset): r for r in good.collect()}
+    assert set(rows) == {4, 6} and int(rows[4].samples) == 2**63 and int(rows[4].total) == 2**64 - 1
+    assert rows[4].targets == {"x": 4, "y": 2} and rows[6].targets == {"z": None}
+    assert sorted(r.pos for r in rejects.collect()) == [2, 4, 5, 6]
+    (tmp_path / "g.gcov").write_text(f"  {2**70}:    1:x\n    1-block\n        3:    2-block  4\n    #####:    2-block  5\n        -:    2-block  6\nfunction f called {2**70} returned 1% blocks executed 1%\nbranch  99999999999 taken 1\n")
+    cover = readers.read_gcov(spark, f"{tmp_path}/g.gcov")
+    assert [r["count"] for r in cover["lines"].collect()] == [None] and cover["functions"].first().called is None and cover["branches"].first().n is None
+    assert sorted((r.line, r.block, r["count"]) for r in cover["blocks"].collect()) == sorted([(2, 4, 3), (2, 5, 0), (2, 6, None)], key=str)
+
+
+def test_one_large_file_is_read_in_splits(spark, tmp_path, monkeypatch):
+    """Lines, records and headers keep their places when a file is many tasks and its key is hot."""
+    from gleanery.operators import running
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.c").write_text("".join(f"line {i}\n" for i in range(2000)))
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.fss").write_text("".join(f"@@<<\n@FUNCTION: f{i}\n@CONDITION: nil\n@@>>\n" for i in range(700)))
+    (tmp_path / "a.prof").write_text("".join(f"f{i // 50}:{i}:1\n" if i % 50 == 0 else f" {i}: {i}\n" for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for hot in (10**6, 100):
+            monkeypatch.setattr(running, "HOT_ROWS", hot)
+            lines = readers.read_lines(spark, f"{tmp_path}/src")
+            assert spark.read.option("lineSep", "\n").text(f"{tmp_path}/src").rdd.getNumPartitions() > 1
+            assert {(r.line_no, r.text) for r in lines.collect()} == {(i + 1, f"line {i}") for i in range(2000)}
+            assert {(r.ord, r.func) for r in readers.read_paths(spark, f"{tmp_path}/log/*").collect()} == {(i, f"f{i}") for i in range(700)}
+            good, rejects = readers.read_samples(spark, f"{tmp_path}/a.prof")
+            assert {(r.offset, r.func) for r in good.collect()} == {(i, f"f{i // 50}") for i in range(2000) if i % 50} and rejects.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_large_suites_are_written_in_parts(spark):
+    rows = spark.createDataFrame([("s", f"t{i}", "FAIL" if i % 3 else "PASS", 1.0, {"m": 1.0}, "") for i in range(300)] + [(None, "x", "PASS", 1.0, None, None)], "suite string, test string, code string, elapsed double, metrics map<string,double>, output string")
+    suites = sinks.xunit(rows, 50).where("_name = 's'").collect()
+    assert len(suites) > 3 and sum(r._tests for r in suites) == 300 and sum(r._failures for r in suites) == 200 and max(len(r.testcase) for r in suites) < 150
+    assert sum(len(r.tests) for r in sinks.results_json(rows, 50).collect()) == 301
+
+
+def test_ranked_report(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "9"), ("b", "10"), ("c", "x"), ("d", None), ("e", "10")], "k string, v string")
+    sinks.write_ranked(rows, f"{tmp_path}/r", "v", ["k"])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert [line.split(",")[0] for line in text.split() if not line.startswith("k,")] == ["b", "e", "a", "c", "d"] and text.startswith("k,v")
+
+
+@pytest.mark.parametrize(("line", "col"), [("RUN: %t", 6), ("%t RUN: x", None), ("// RUN: a -o %t %t.o", 17), ("// RUN: %run %t", None), ("RUN:%t", None), ("x RUN: a  %ta %t", 15)])
+def test_unrun_commands(spark, line, col):
+    got = filters.lint(spark.createDataFrame([("f", 1, line)], "file string, line_no int, text string")).where("rule = 'run'").collect()
+    assert [r["col"] for r in got] == ([] if col is None else [col])
