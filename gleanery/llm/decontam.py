@@ -30,7 +30,7 @@ EXACT_BELOW = 5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SCORE = 0.6
 #: Seeds that a passage must hold, as a share of the grams that an alignment keeps.
-HITS = 0.5
+HITS = 0.8
 #: Rows up to which grams of the benchmark, seeds or passages are broadcast; more are joined by key.
 BROADCAST_ROWS = 200_000
 
