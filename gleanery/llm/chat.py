@@ -41,33 +41,52 @@ def arguments_valid(name: Column, arguments: Column, tools: dict) -> Column:
     return F.coalesce(F.schema_of_variant(given).startswith("OBJECT") & fits & whole, F.lit(False))
 
 
+def _anchors(calls: DataFrame) -> DataFrame:
+    """(conv_id, id, to, dist, at): calls of one reference, and the first call up their chain that has none or several.
+
+    Pointers jump to where the call they point at points, so a chain of n
+    calls takes log n rounds. What is on a cycle, behind one, or behind a
+    reference to nothing is left out. ``at`` is the latest turn on the way.
+    """
+    targets = calls.select("conv_id", F.col("id").alias("to"), "result_turn", (F.size("refs") == 1).alias("onward"))
+    one = calls.where(F.size("refs") == 1).select("conv_id", "id", F.col("refs")[0].alias("to"), "turn")
+    now = cut(one.join(targets, ["conv_id", "to"]).select("conv_id", "id", "to", F.lit(1).alias("dist"), F.greatest("turn", "result_turn").alias("at"), "onward"))
+    for _ in range(now.count().bit_length() + 1):
+        if now.where("onward").isEmpty():
+            break
+        step = now.select("conv_id", F.col("id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"), F.col("at").alias("later"), F.col("onward").alias("still"))
+        moved = now.where("onward").join(step, ["conv_id", "to"]).select("conv_id", "id", F.col("next").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), F.greatest("at", "later").alias("at"), F.col("still").alias("onward"))
+        now = cut(now.where("NOT onward").unionByName(moved))
+    return now.where("NOT onward").drop("onward")
+
+
 def _ordered(calls: DataFrame) -> DataFrame:
-    """Calls with ``level`` and ``at``: rounds peel off those whose referred calls are done.
+    """Calls with ``level`` and ``at``, in topological order.
 
     A call takes its turn, or the latest turn of what it refers to if that is
     later. Calls on a cycle, or behind one, or with a reference to nothing
-    keep a null level. Rounds are as many as the longest chain of references.
+    keep a null level. Chains of single references are jumped over; calls of
+    several are peeled off in rounds, as many as the longest chain of these.
     """
-    done = calls.where(F.size("refs") == 0).withColumn("level", F.lit(0)).withColumn("at", F.col("turn"))
-    left = calls.where(F.size("refs") > 0)
-    if left.isEmpty():
-        return done
-    done, left = cut(done), cut(left)
-    level, fresh = 0, done
-    while not left.isEmpty():
-        level += 1
-        wants = left.select("conv_id", "id", F.explode("refs").alias("ref"))
-        ready = (
-            wants.join(done.select("conv_id", F.col("id").alias("ref"), F.greatest("at", "result_turn").alias("ref_at")), ["conv_id", "ref"])
-            .groupBy("conv_id", "id")
-            .agg(F.countDistinct("ref").alias("have"), F.max("ref_at").alias("ref_at"))
-        )
-        fresh = cut(left.join(ready, ["conv_id", "id"]).where(F.col("have") == F.size("refs")).withColumn("level", F.lit(level)).withColumn("at", F.greatest("turn", "ref_at")).drop("have", "ref_at"))
-        if fresh.isEmpty():
-            break
-        done = cut(done.unionByName(fresh))
-        left = cut(left.join(fresh.select("conv_id", "id"), ["conv_id", "id"], "left_anti"))
-    return done.unionByName(left.withColumn("level", F.lit(None).cast("int")).withColumn("at", F.col("turn")))
+    calls = cut(calls)
+    known = calls.where(F.size("refs") == 0).select("conv_id", "id", F.lit(0).alias("level"), F.col("turn").alias("at"))
+    if not calls.where(F.size("refs") > 0).isEmpty():
+        anchors = _anchors(calls)
+        ends = calls.where(F.size("refs") != 1).select("conv_id", F.col("id").alias("ref"), F.col("id").alias("to"), F.lit(0).alias("dist"), F.lit(None).cast("long").alias("on_way"))
+        ends = ends.unionByName(anchors.select("conv_id", F.col("id").alias("ref"), "to", "dist", F.col("at").cast("long").alias("on_way")))
+        many = calls.where(F.size("refs") > 1).select("conv_id", "id", "turn", F.size("refs").alias("n"), F.explode("refs").alias("ref"))
+        wants = cut(many.join(calls.select("conv_id", F.col("id").alias("ref"), "result_turn"), ["conv_id", "ref"]).join(ends, ["conv_id", "ref"]))
+        known = cut(known)
+        while not wants.isEmpty():
+            ready = wants.join(known.select("conv_id", F.col("id").alias("to"), "level", "at"), ["conv_id", "to"])
+            ready = ready.groupBy("conv_id", "id", "turn", "n").agg(F.count_distinct("ref").alias("have"), (F.max(F.col("level") + F.col("dist")) + 1).alias("level"), F.max(F.greatest("at", "on_way", "result_turn")).alias("at"))
+            fresh = cut(ready.where("have = n").select("conv_id", "id", "level", F.greatest("turn", "at").alias("at")))
+            if fresh.isEmpty():
+                break
+            known, wants = cut(known.unionByName(fresh)), cut(wants.join(fresh.select("conv_id", "id"), ["conv_id", "id"], "left_anti"))
+        chained = anchors.withColumnRenamed("at", "on_way").join(known.select("conv_id", F.col("id").alias("to"), "level", "at"), ["conv_id", "to"])
+        known = known.unionByName(chained.select("conv_id", "id", (F.col("level") + F.col("dist")).alias("level"), F.greatest("on_way", "at").alias("at")))
+    return calls.join(known, ["conv_id", "id"], "left").withColumn("at", F.coalesce("at", "turn"))
 
 
 def _plain(role: Column, content: Column, turn: Column) -> Column:
