@@ -1,6 +1,7 @@
 """The fused posterior against a plain computation, and accuracy on noisy evidence."""
 
 import random
+import time
 
 import numpy as np
 
@@ -70,3 +71,35 @@ def test_no_labels_and_empty(spark):
     docs, pages, _ = tables(spark, random.Random(3))
     assert {r.language for r in langid.identify(pages, docs.limit(0)).collect()} == {"und"}
     assert langid.identify(pages.limit(0), docs).count() == 0
+
+
+def test_every_language_is_known(spark):
+    """250 languages, one of them with most of the documents, one with long ones only."""
+    rng = random.Random(4)
+    docs = [(k, f"mot{k} " * 20, f"l{k:03d}") for k in range(250)] + [(1000 + i, "the and " * 10, "hot") for i in range(2000)] + [(9000, "largo texto " * 5000, "long")]
+    rng.shuffle(docs)
+    languages, table = langid.learn_text(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert len(languages) == 252 == len(table) and {"hot", "long"} <= set(languages)
+
+
+def test_markup(spark):
+    cases = {
+        "<p>Ab<script>no</script >cd<STYLE x>no</style>e &amp; f<!-- no --> g</p>": "ab cd e f g",
+        "<script>open forever <b>x</b>": "open forever x",
+        "<!-- open <i>y</i> z": "y z",
+        "a < b": "a b",
+        "": "",
+    }
+    assert {k: langid.visible(k).strip() for k in cases} == cases
+
+
+def test_very_long_pages(spark):
+    """Tags that never end, a megabyte of each: one pass, not one for each tag."""
+    parts = ("<script>", "<style ", "<!--", "<", "<html ", "&amp", "<script></style>")
+    began = time.time()
+    for part in parts:
+        langid.visible(part * (1_000_000 // len(part)))
+    assert time.time() - began < 20
+    docs, _, _ = tables(spark, random.Random(5))
+    pages = spark.createDataFrame([(i, "http://a.fr/", p * (1_000_000 // len(p))) for i, p in enumerate(parts)], "page_id long, url string, html string")
+    assert langid.identify(pages, docs).count() == len(parts)

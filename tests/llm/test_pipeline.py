@@ -75,3 +75,25 @@ def test_every_query_is_registered():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in known) == 1
     assert "pipeline" in known and set(__spark_entry__.oracle_sql()) <= set(known)
+
+
+def test_run_on_its_own_output(spark, tmp_path):
+    """``run`` gives the rows of its stages, leaves one folder behind, and takes its own output as documents."""
+    import os
+
+    from gleanery.session import shared_dir
+
+    plant(spark, f"{tmp_path}/a")
+    first = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, f"{tmp_path}/a")
+    key = lambda df: sorted(str((r.doc_id, r.text, r.copies)) for r in df.collect())
+    assert key(docs) == key(first)
+    folder = os.path.dirname(first.inputFiles()[0].removeprefix("file://"))
+    assert os.listdir(os.path.dirname(folder)) == ["4"] and shared_dir(spark).removeprefix("file://") in folder
+    first.write.parquet(f"{tmp_path}/b/documents.parquet")
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/a/{table}.parquet").write.parquet(f"{tmp_path}/b/{table}.parquet")
+    again = corpus_pipeline.run(spark, f"{tmp_path}/b")
+    assert again.columns == first.columns and 0 < again.count() <= first.count()

@@ -124,3 +124,20 @@ def test_near_copies_against_exact_jaccard(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component for r in similar(df).collect()} == dict(enumerate(want))
     assert {r.doc_id for r in keep_one(df).collect()} == set(want)
+
+
+def test_rows_that_share_an_id(spark):
+    """Different texts of one id both stay, near copies do not, of repeated rows one stays, the same one each time."""
+    rng = random.Random(12)
+    text = lambda: [f"w{rng.randrange(10**5)}" for _ in range(80)]
+    a, b = text(), text()
+    near = [*a, "end"]
+    rows = [(5, " ".join(a), "one"), (5, " ".join(b), "two"), (5, " ".join(near), "three"), (7, " ".join(b), "four"), (8, None, "five"), (8, "", "six"), (None, " ".join(a), "seven")]
+    rows += [(9, "some words of a row that is there many times", f"r{i}") for i in range(20)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, copies int")
+    runs = [sorted(map(str, keep_one(df.repartition(n)).collect())) for n in (1, 3, 5)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 5
+    kept = keep_one(df)
+    assert kept.columns == df.columns
+    by_id = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert [i for i, _ in by_id] == [0, 5, 5, 8, 9] and {" ".join(b)} < {t for i, t in by_id if i == 5}

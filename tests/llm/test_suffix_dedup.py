@@ -60,3 +60,11 @@ def test_empty_and_stage(spark):
     left = {r["doc_id"]: r for r in cut_repeats(docs).collect()}
     assert left[1]["text"] == "é" * 60 + "left" and left[2]["text"] == "aright" and left[2]["n_chars"] == 6
     assert left[None]["text"] == ""
+
+
+def test_characters_are_cut_whole_and_others_stay(spark):
+    """Replacement characters of a text are text; a character cut in half by a repeat goes whole."""
+    passage = "p" * 30 + "q" * 19 + "é"  # a repeat ends within the last character
+    docs = [(1, "x" + passage[:-1] + "ê" + "tail one"), (2, "keep\ufffdme " + passage + " and \ufffd me")]
+    got = {r.doc_id: r.text for r in cut_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "keep\ufffdme  and \ufffd me"}
