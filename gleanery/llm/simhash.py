@@ -11,6 +11,7 @@ more, which bounds what meets in one place by the number of bits left.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import accumulate
 
 import numpy as np
@@ -211,24 +212,11 @@ def shingle_sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(run, "sid long, shingles array<long>")
 
 
-def _like(rows: pa.StructArray, spanning: bool) -> Iterator[tuple[np.ndarray, int]]:
-    """Links between members of a bucket whose sketches agree in LEAST_EQUAL bytes.
-
-    Either as many as connect what all such links connect, or each one
-    between members of different parts.
-    """
-    sid, part = (rows.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    small = np.frombuffer(b"".join(rows.field(2).to_pylist()), np.uint8).reshape(len(sid), -1)
-    order = np.argsort(sid)
-    if not spanning:
-        for n, x in enumerate(order):
-            rest = order[n + 1 :]
-            rest = rest[part[rest] != part[x]]
-            near = (small[rest] == small[x]).sum(axis=1) >= LEAST_EQUAL
-            if near.any():
-                yield sid[rest[near]], sid[x]
-        return
-    left = order
+def _like(rows: pa.StructArray) -> Iterator[tuple[np.ndarray, int]]:
+    """As many links between members of a bucket as connect what all those connect whose sketches agree in LEAST_EQUAL bytes."""
+    sid = rows.field("sid").to_numpy(zero_copy_only=False)
+    small = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(sid), -1)
+    left = np.argsort(sid)
     while left.size > 1:
         queue, left = [left[0]], left[1:]
         while queue and left.size:
@@ -240,25 +228,62 @@ def _like(rows: pa.StructArray, spanning: bool) -> Iterator[tuple[np.ndarray, in
                 yield sid[hits], sid[x]
 
 
-def _candidates(members: DataFrame, spanning: bool, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Links (a, b) between members (sid, part, keys, sketch) that share a key and have like sketches.
+def _joining(rows: pa.StructArray, near: float) -> Iterator[tuple[np.ndarray, int]]:
+    """A link of Jaccard ``near`` or more for each part of a bucket that one joins to parts before it.
+
+    Members of one part are connected already. Every pair of members of parts
+    that are not is tested on the shingle sets, if their sketches agree in
+    LEAST_EQUAL bytes; fewer links come out than there are parts.
+    """
+    sid, part = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("sid", "part"))
+    small = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(sid), -1)
+    sets = [x.values.to_numpy() for x in rows.field("shingles")]
+
+    def similar_sets(a: np.ndarray, b: np.ndarray) -> bool:
+        if min(a.size, b.size) < near * max(a.size, b.size):
+            return False
+        common = np.intersect1d(a, b, assume_unique=True).size
+        return common >= near * (a.size + b.size - common)
+
+    left = np.lexsort((sid, part))
+    while left.size:
+        first = part[left] == part[left[0]]
+        queue, left = left[first].tolist(), left[~first]
+        while queue and left.size:
+            x = queue.pop()
+            for y in left[(small[left] == small[x]).sum(axis=1) >= LEAST_EQUAL]:
+                if y in left and similar_sets(sets[x], sets[y]):
+                    joined = part[left] == part[y]
+                    queue += left[joined].tolist()
+                    left = left[~joined]
+                    yield sid[[y]], sid[x]
+
 
-    A bucket of many members is split by the keys of eight more bands.
+def _candidates(members: DataFrame, near: float | None = None, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """Links (a, b) between members that share a key, in the way of ``_like``, or with ``near`` of ``_joining``.
+
+    Members have (sid, keys, sketch), for ``near`` (part, shingles), too. A
+    bucket of many members is split by the keys of eight more bands.
     """
+    links = _like if near is None else partial(_joining, near=near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for row in batch.column(0):
-                for hits, x in _like(row.values, spanning):
-                    yield pa.RecordBatch.from_arrays([pa.array(hits), pa.array(np.full(hits.size, x, np.int64))], ["a", "b"])
+                for hits, x in links(row.values):
+                    a.append(hits)
+                    b.append(np.full(hits.size, x, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     tables = members.select("sid", F.posexplode("keys").alias("t", "key"))
     busy = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     tables = tables.join(busy, ["t", "key"]).join(members, "sid")
-    one = F.collect_list(F.struct("sid", "part", "sketch")).alias("rows")
+    what = ["sid", "sketch"] if near is None else ["sid", "sketch", "part", "shingles"]
+    one = F.collect_list(F.struct(*what)).alias("rows")
     plain = tables.where(F.col("n") <= split_above).groupBy("t", "key").agg(one)
     more = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.element_at("keys", (F.col("t") + i) % BANDS + 1))
-    hot = tables.where(F.col("n") > split_above).select("sid", "part", "sketch", "t", "key", F.posexplode(more).alias("v", "next")).groupBy("t", "key", "v", "next").agg(one).where(F.size("rows") > 1)
+    hot = tables.where(F.col("n") > split_above).select(*what, "t", "key", F.posexplode(more).alias("v", "next")).groupBy("t", "key", "v", "next").agg(one).where(F.size("rows") > 1)
     return plain.select("rows").unionByName(hot.select("rows")).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -279,16 +304,15 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, near: float
     docs = docs.where(F.col(id_col).isNotNull())
     rows = cut(sketches(docs, id_col, text_col, width))
     distinct = cut(rows.groupBy("sid").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    links = cut(_candidates(distinct.withColumn("part", F.col("sid")), True))
+    links = cut(_candidates(distinct))
     met = cut(connected_components(links, "a", "b").withColumnRenamed("component", "met"))
     wanted = rows.join(met, rows["sid"] == met["node"], "left_semi").groupBy("sid").agg(F.min("id").alias(id_col)).select(id_col).distinct()
     sets = cut(shingle_sets(docs.join(wanted, id_col, "left_semi"), text_col, width).dropDuplicates(["sid"]))
     good = cut(_verified(links, sets, near))
     parts = met.join(connected_components(good, "a", "b"), "node", "left").select("node", "met", F.coalesce("component", "node").alias("part"))
     open_ = parts.groupBy("met").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("met")
-    again = cut(parts.join(open_, "met").select(F.col("node").alias("sid"), "part").join(distinct, "sid"))
-    rest = _candidates(again, False).join(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    groups = connected_components(good.unionByName(_verified(rest, sets, near)), "a", "b").withColumnRenamed("node", "sid")
+    again = parts.join(open_, "met").select(F.col("node").alias("sid"), "part").join(distinct, "sid").join(sets, "sid")
+    groups = connected_components(good.unionByName(_candidates(cut(again), near)), "a", "b").withColumnRenamed("node", "sid")
     classes = distinct.select("sid", "first").join(groups, "sid", "left").withColumn("root", F.coalesce("component", "sid"))
     return rows.select("id", "mark", "sid"), classes.join(classes.groupBy("root").agg(F.min("first").alias("least")), "root").select("sid", "least")
 
@@ -300,7 +324,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     band of minima or a fingerprint up to three bits; every link is verified
     on the shingle sets. A pair of Jaccard 0.8 shares no band in 3 of 10^6
     cases. First only links that span the candidates are tested, then, where
-    some of these failed, all candidates that are not connected yet.
+    some of these failed, all candidates that are not connected yet, within
+    their buckets, which give out fewer links than they have members.
     """
     rows, named = _groups(docs, id_col, text_col, width, near)
     return rows.join(named, "sid").select(F.col("id").alias(id_col), F.col("least.id").alias("component"))
