@@ -231,32 +231,32 @@ def _like(rows: pa.StructArray) -> Iterator[tuple[np.ndarray, int]]:
 def _joining(rows: pa.StructArray, near: float) -> Iterator[tuple[np.ndarray, int]]:
     """A link of Jaccard ``near`` or more for each part of a bucket that one joins to parts before it.
 
-    Members of one part are connected already. Every pair of members of parts
-    that are not is tested on the shingle sets, if their sketches agree in
-    LEAST_EQUAL bytes; fewer links come out than there are parts.
+    Members of one part are connected already. Each member is held against all
+    of other parts at once, on the whole shingle sets; fewer links come out
+    than there are parts.
     """
     sid, part = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("sid", "part"))
-    small = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(sid), -1)
-    sets = [x.values.to_numpy() for x in rows.field("shingles")]
-
-    def similar_sets(a: np.ndarray, b: np.ndarray) -> bool:
-        if min(a.size, b.size) < near * max(a.size, b.size):
-            return False
-        common = np.intersect1d(a, b, assume_unique=True).size
-        return common >= near * (a.size + b.size - common)
-
+    sets = rows.field("shingles")
+    size = np.array([len(x) for x in sets])
+    end = np.cumsum(size)
+    known, number = np.unique(sets.flatten().to_numpy(), return_inverse=True)
     left = np.lexsort((sid, part))
     while left.size:
         first = part[left] == part[left[0]]
         queue, left = left[first].tolist(), left[~first]
         while queue and left.size:
             x = queue.pop()
-            for y in left[(small[left] == small[x]).sum(axis=1) >= LEAST_EQUAL]:
-                if y in left and similar_sets(sets[x], sets[y]):
-                    joined = part[left] == part[y]
-                    queue += left[joined].tolist()
-                    left = left[~joined]
-                    yield sid[[y]], sid[x]
+            own = np.zeros(len(known), bool)
+            own[number[end[x] - size[x] : end[x]]] = True
+            upto = np.concatenate([[0], np.cumsum(own[number])])
+            common = upto[end] - upto[end - size]
+            hits = left[((common > 0) & (common >= near * (size[x] + size - common)))[left]]
+            if hits.size:
+                parts, at = np.unique(part[hits], return_index=True)
+                yield sid[hits[at]], sid[x]
+                joined = np.isin(part[left], parts)
+                queue += left[joined].tolist()
+                left = left[~joined]
 
 
 def _candidates(members: DataFrame, near: float | None = None, split_above: int = SPLIT_ABOVE) -> DataFrame:

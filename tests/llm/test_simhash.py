@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from gleanery.llm.simhash import covering_links, covering_masks, fingerprint, keep_one, near_duplicates, similar
+from gleanery.llm.simhash import _joining, covering_links, covering_masks, fingerprint, keep_one, near_duplicates, similar
 
 
 def plain(text, width):
@@ -141,3 +142,25 @@ def test_rows_that_share_an_id(spark):
     assert kept.columns == df.columns
     by_id = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
     assert [i for i, _ in by_id] == [0, 5, 5, 8, 9] and {" ".join(b)} < {t for i, t in by_id if i == 5}
+
+
+def test_parts_of_a_bucket_are_joined():
+    """Links between parts against all pairs of sets; no more of them than parts."""
+    rng = np.random.default_rng(4)
+    base = rng.choice(10**6, 60, replace=False)
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 10**6, 60), base)) for _ in range(80)] + [np.zeros(0, np.int64)]
+    part = [i // 2 for i in range(len(sets))]
+    rows = pa.array([{"sid": i, "part": p, "shingles": s.tolist()} for i, (p, s) in enumerate(zip(part, sets))], pa.struct([("sid", pa.int64()), ("part", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
+    near = lambda a, b: len(a) and len(b) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    links = [(int(h), int(x)) for hits, x in _joining(rows, 0.8) for h in hits]
+    assert links and all(near(sets[a], sets[b]) and part[a] != part[b] for a, b in links) and len(links) < len(set(part))
+
+    def joined(pairs):
+        label = dict.fromkeys(part)
+        label = {p: p for p in label}
+        for _ in label:
+            for a, b in pairs:
+                label[part[a]] = label[part[b]] = min(label[part[a]], label[part[b]])
+        return label
+
+    assert joined(links) == joined([(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])])
