@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import chat, decontam, embedding_dedup, fingerprint, langid, license_scan, mixing, simhash, suffix_dedup, toxicity, warc
+from gleanery.llm import chat, decontam, embedding_dedup, fingerprint, langid, license_scan, mixing, prefix_trie, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op13_fingerprint": fingerprint.op13_fingerprint,
 }
 
@@ -25,4 +26,5 @@ SQL = {
     "op5_warc": warc.SQL,
     "op7_chat_format": chat.SQL,
     "op9_mix_sources": mixing.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
