@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import chat, decontam, embedding_dedup, fingerprint, langid, license_scan, mixing, prefix_trie, simhash, suffix_dedup, toxicity, warc
+from gleanery.llm import chat, decontam, embedding_dedup, fingerprint, langid, lexical_search, license_scan, mixing, prefix_trie, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_fingerprint": fingerprint.op13_fingerprint,
 }
 
@@ -27,4 +28,5 @@ SQL = {
     "op7_chat_format": chat.SQL,
     "op9_mix_sources": mixing.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op12_lexical_search": lexical_search.SQL,
 }
