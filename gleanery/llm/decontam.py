@@ -1,24 +1,29 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
-
-A seed is a pair of neighbouring words of an item, or one word where the item
-is so short that an alignment might leave no pair whole. An alignment that
-reaches the threshold keeps a known number of the item's grams. So of its
-rarest grams, all but those that it may lose and ``hits`` more, it holds
-``hits`` at least, close together. Documents and items are joined on these;
-where enough of them stand close together the passage is cut out and aligned.
-Nothing that reaches the threshold is missed, however the edits fall.
-
-The benchmark is a table all the way: it is broadcast where its seeds are
-counted to be few, and joined by gram where they are not. Any benchmark takes
-two passes over the documents, one to count grams and one to join.
+"""Benchmark decontamination: rare seeds join training passages to test items, Smith-Waterman scores them.
+
+Seeds are the rarest words of an item. An alignment that reaches the threshold
+keeps a known number of the item's words, wherever the edits fall: of 0.6, six
+in ten. So of the rarest words, all but those that it may lose and HITS more,
+it holds HITS at least, close together. Pairs of words or longer grams
+cannot promise that: 0.6 may be reached with no more than a fifth of the pairs whole, so nearly all pairs,
+common ones too, would have to be seeds. Documents and items
+are joined on seeds; where enough different ones stand close together the passage is cut
+out and aligned. Nothing that reaches the threshold is missed.
+
+The benchmark is a table all the way: seeds are joined by word, broadcast
+where they are counted to be few. Any benchmark takes two passes of counting
+and looking up words, and a third one that cuts passages out of the documents
+that have some.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +34,10 @@ EXACT_BELOW = 5
 #: Alignment points; the score is the best sum over the item's number of words.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SCORE = 0.6
-#: Seeds that a passage must hold, as a share of the grams that an alignment keeps.
-HITS = 0.8
-#: Rows up to which grams of the benchmark, seeds or passages are broadcast; more are joined by key.
-BROADCAST_ROWS = 200_000
+#: Seeds that a passage must hold.
+HITS = 4
+#: Rows of numbers up to which seeds or places are broadcast, and words of item texts; more are joined by key.
+BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 1_000_000
 
 #: Characters of scripts that put no blanks between words; each is a word.
 UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
@@ -49,66 +54,110 @@ def words(text: Column) -> Column:
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """The rows, marked for broadcast if counting finds them few."""
+    """Rows of some numbers each, marked for broadcast if counting finds them few."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def grams(words_: Column, pairs: bool) -> Column:
-    """Hashes of the words, or of the pairs of neighbouring words, in order. Hashes only decide what is aligned."""
-    if not pairs:
-        return F.transform(words_, lambda w: F.xxhash64(w))
-    n = F.greatest(F.size(words_) - 1, F.lit(0))
-    return F.zip_with(F.slice(words_, F.lit(1), n), F.slice(words_, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+#: Lead bytes of characters beyond U+07FF, among which those of UNSPACED are.
+_LOW = bytes(range(0xE0))
+_SPACED = re.compile(f"([{UNSPACED}])".replace("x{20000}", "U00020000").replace("x{3FFFF}", "U0003FFFF"))
+_TABLE = bytes(32 if c < 128 and not chr(c).isalnum() else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def items_of(benchmark: DataFrame, least: float) -> DataFrame:
-    """(key, item_id, item, n, points, pairs, needed, hits, span): items and what an alignment with each one must have.
+def word_list(text: bytes) -> list[bytes]:
+    """The same words as of ``words``, inside a task."""
+    if text.translate(None, _LOW):
+        text = _SPACED.sub(r" \1 ", text.decode("utf-8", "replace")).encode()
+    return text.translate(_TABLE).split()
 
-    It keeps ``needed`` of the item's pairs of words (words if not ``pairs``)
-    within ``span`` words. Null texts, texts without words and repeated rows
-    add nothing.
-    """
-    n, points, cost = F.col("n"), F.col("points"), -max(MISMATCH, GAP)
-    rows = benchmark.select("item_id", words(F.col("text")).alias("item")).withColumn("n", F.size("item")).where(n > 0).distinct()
-    rows = rows.withColumn("points", F.when(n >= EXACT_BELOW, F.lit(least)).otherwise(F.lit(max(least, 1.0))) * MATCH * n)
-    # What matches beyond the points pays for words between; each may part two runs of matches.
-    rows = rows.withColumn("spare", (n * MATCH - points) / cost)
-    rows = rows.withColumn("whole", F.ceil(n - 1 - F.col("spare") - 1e-9).cast("int")).withColumn("pairs", F.col("whole") >= 1)
-    rows = rows.withColumn("needed", F.when(F.col("pairs"), F.col("whole")).otherwise(F.ceil(points / MATCH - 1e-9).cast("int")))
-    return rows.select("item_id", "item", "n", "points", "pairs", "needed", F.xxhash64("item_id", "item").alias("key"), F.ceil(F.col("needed") * HITS).cast("int").alias("hits"), F.floor(n + F.col("spare") + 1e-9).cast("int").alias("span"))
 
+def _sent(words_: DataFrame) -> frozenset[bytes] | None:
+    """The words (column ``word``) for tasks to look for; None if they are too many to send, all words come out then."""
+    found = words_.limit(BROADCAST_ROWS + 1).collect()
+    return frozenset(bytes(r["word"]) for r in found) if len(found) <= BROADCAST_ROWS else None
+
+
+def _texts(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(*more, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+
+def word_counts(docs: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, places): how often each word of the vocabulary stands in all rows. Tasks add up what they have read."""
+    wanted = _sent(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "places"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                found = Counter(word_list(text.as_py()))
+                for w in found.keys() if wanted is None else wanted & found.keys():
+                    counts[w] += found[w]
+                if len(counts) > BROADCAST_ROWS:
+                    yield made()
+                    counts = Counter()
+        yield made()
 
-def _kinds(items: DataFrame) -> list[bool]:
-    """Whether there are items with pairs, with single words, or both."""
-    return sorted(r["pairs"] for r in items.select("pairs").distinct().collect())
+    counted = _texts(docs, text_col).mapInArrow(run, "word binary, places long").groupBy("word").agg(F.sum("places").alias("places"))
+    return counted.join(vocabulary, "word", "left_semi")
 
 
-def gram_counts(docs: DataFrame, vocabulary: DataFrame, kinds: list[bool], text_col: str = "text") -> DataFrame:
-    """(pairs, gram, places): how often each gram of the vocabulary stands in all rows."""
-    seen = docs.select(words(F.col(text_col)).alias("w"))
-    parts = [seen.select(F.explode(grams(F.col("w"), k)).alias("gram")).join(vocabulary.where(F.col("pairs") == k), "gram") for k in kinds]
-    return reduce(DataFrame.unionByName, parts).groupBy("pairs", "gram").agg(F.count("*").alias("places"))
+def word_places(docs: DataFrame, seeds: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(uid, place, word): where the words of the seeds stand in the documents."""
+    wanted = _sent(seeds.select("word").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids, places, words_ = [], [], []
+            for u, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = word_list(text.as_py())
+                here = [k for k, w in enumerate(found) if w in wanted] if wanted is not None else range(len(found))
+                uids += [u] * len(here)
+                places += here
+                words_ += [found[k] for k in here]
+                if len(places) > 1 << 16:
+                    yield made(uids, places, words_)
+                    uids, places, words_ = [], [], []
+            yield made(uids, places, words_)
+
+    def made(uids: list, places: list, words_: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(places, pa.int32()), pa.array(words_, pa.binary())], ["uid", "place", "word"])
+
+    return _texts(docs, text_col, uid(id_col, text_col).alias("uid")).mapInArrow(run, "uid long, place int, word binary")
+
+
+def items_of(benchmark: DataFrame, least: float, exact_below: int = EXACT_BELOW) -> DataFrame:
+    """(key, item_id, item, n, points, needed, hits, span): items and what an alignment with each one must have.
+
+    It keeps ``needed`` of the item's words within ``span`` words. Null texts,
+    texts without words and repeated rows add nothing.
+    """
+    n, points, cost = F.col("n"), F.col("points"), -max(MISMATCH, GAP)
+    rows = benchmark.select("item_id", words(F.col("text")).alias("item")).withColumn("n", F.size("item")).where(n > 0).distinct()
+    rows = rows.withColumn("points", F.when(n >= exact_below, F.lit(least)).otherwise(F.lit(max(least, 1.0))) * MATCH * n)
+    # What matches beyond the points pays for words between.
+    rows = rows.withColumn("spare", (n * MATCH - points) / cost).withColumn("needed", F.ceil(points / MATCH - 1e-9).cast("int"))
+    return rows.select("item_id", "item", "n", "points", "needed", F.xxhash64("item_id", "item").alias("key"), F.least("needed", F.lit(HITS)).alias("hits"), F.floor(n + F.col("spare") + 1e-9).cast("int").alias("span"))
 
 
 def seeds_of(items: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(pairs, gram, key, hits, span): the rarest grams of each item.
+    """(word, key, hits, span, times): the rarest words of each item, and how often it has them.
 
-    With multiplicity they make up all its grams but ``needed - hits``, so a
+    With multiplicity they make up all its words but ``needed - hits``, so a
     passage that keeps ``needed`` has ``hits`` of them. Rare is what stands in
     few places of the documents, times the items that have it.
     """
-    made = items.withColumn("g", F.when(F.col("pairs"), grams(F.col("item"), True)).otherwise(grams(F.col("item"), False)))
-    of = ["key", "pairs", "needed", "hits", "span"]
-    each = cut(made.select(*of, F.size("g").alias("all"), F.explode("g").alias("gram")).groupBy(*of, "all", "gram").agg(F.count("*").alias("times")))
-    vocabulary = cut(each.groupBy("pairs", "gram").agg(F.count("*").alias("items")))
-    kinds = _kinds(items)
-    if not kinds:
-        return each.select("pairs", "gram", "key", "hits", "span")
-    counts = gram_counts(docs, _few(vocabulary.select("pairs", "gram")), kinds, text_col)
-    cost = cut(vocabulary.join(counts, ["pairs", "gram"], "left").select("pairs", "gram", (F.col("items") * F.coalesce("places", F.lit(0))).alias("cost")))
-    ranked = Window.partitionBy("key").orderBy("cost", "gram").rowsBetween(Window.unboundedPreceding, -1)
-    before = each.join(_few(cost), ["pairs", "gram"]).withColumn("before", F.coalesce(F.sum("times").over(ranked), F.lit(0)))
-    return before.where(F.col("before") < F.col("all") - F.col("needed") + F.col("hits")).select("pairs", "gram", "key", "hits", "span")
+    of = ["key", "n", "needed", "hits", "span"]
+    each = cut(items.select(*of, F.explode(F.col("item").cast("array<binary>")).alias("word")).groupBy(*of, "word").agg(F.count("*").alias("times")))
+    vocabulary = cut(each.groupBy("word").agg(F.count("*").alias("items")))
+    counts = word_counts(docs, vocabulary.select("word"), text_col)
+    cost = cut(vocabulary.join(counts, "word", "left").select("word", (F.col("items") * F.coalesce("places", F.lit(0))).alias("cost")))
+    ranked = Window.partitionBy("key").orderBy("cost", "word").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.join(_few(cost), "word").withColumn("before", F.coalesce(F.sum("times").over(ranked), F.lit(0)))
+    return before.where(F.col("before") < F.col("n") - F.col("needed") + F.col("hits")).select("word", "key", "hits", "span", "times")
 
 
 def uid(id_col: str, text_col: str) -> Column:
@@ -121,17 +170,15 @@ def passages_of(docs: DataFrame, seeds: DataFrame, id_col: str = "doc_id", text_
 
     Texts are looked at in stretches of twice an item's span that overlap by
     half, so that every passage of that span lies in one; a stretch with
-    ``hits`` seeds or more is widened by what the passage may have around
+    ``hits`` seeds or more, each as often as the item has it, is widened by what the passage may have around
     them. Places are from 0, ``hi`` is the one behind the last.
     """
-    kinds = _kinds(seeds)
-    if not kinds:
-        return seeds.select(F.lit(0).cast("long").alias("uid"), "key", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
-    texts = docs.select(uid(id_col, text_col).alias("uid"), words(F.col(text_col)).alias("w"))
-    parts = [texts.select("uid", F.posexplode(grams(F.col("w"), k)).alias("place", "gram")).join(_few(seeds.where(F.col("pairs") == k).drop("pairs")), "gram") for k in kinds]
+    found = word_places(docs, seeds, id_col, text_col).join(_few(seeds), "word")
     stretch = F.floor(F.col("place") / F.col("span")).cast("int")
-    met = reduce(DataFrame.unionByName, parts).select("uid", "key", "hits", "span", "place", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
-    met = met.groupBy("uid", "key", "stretch").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.first("hits").alias("hits"), F.first("span").alias("span"))
+    met = found.select("uid", "key", "word", "hits", "span", "times", "place", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    figures = [F.min("place").alias("first"), F.max("place").alias("last"), F.first("hits").alias("hits"), F.first("span").alias("span")]
+    met = met.groupBy("uid", "key", "stretch", "word").agg(F.least(F.count("*"), F.first("times")).alias("n"), *figures)
+    met = met.groupBy("uid", "key", "stretch").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("hits").alias("hits"), F.first("span").alias("span"))
     met = met.where(F.col("n") >= F.col("hits"))
     return met.select("uid", "key", F.greatest(F.lit(0), F.col("first") - F.col("span")).alias("lo"), (F.col("last") + F.col("span")).alias("hi")).distinct()
 
@@ -178,33 +225,36 @@ def _aligner():
     return aligned
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", exact_below: int = EXACT_BELOW) -> DataFrame:
     """(uid, id, item_id, score, end_word) of each distinct document and item that align."""
     docs = docs.select(F.col(id_col), F.col(text_col))
-    items = cut(items_of(benchmark, least))
+    items = cut(items_of(benchmark, least, exact_below))
     seeds = cut(seeds_of(items, docs, text_col))
     spots = cut(passages_of(docs, seeds, id_col, text_col))
     # Only documents with a passage are cut into words, once each; repeated ones give the same rows.
     texts = docs.withColumn("uid", uid(id_col, text_col)).join(_few(spots.select("uid").distinct()), "uid", "left_semi")
     pieces = texts.select("uid", F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).join(_few(spots), "uid")
     pieces = pieces.select("uid", "id", "key", "lo", F.slice("w", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("passage"))
-    scored = pieces.join(_few(items.select("key", "item_id", "item", "n", "points")), "key").withColumn("a", _aligner()("item", "passage", F.col("points") / F.col("n") / MATCH))
+    texts_of = items.select("key", "item_id", "item", "n", "points")
+    if (items.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_WORDS:
+        texts_of = F.broadcast(texts_of)
+    scored = pieces.join(texts_of, "key").withColumn("a", _aligner()("item", "passage", F.col("points") / F.col("n") / MATCH))
     good = scored.where(F.col("a.score") * F.col("n") * MATCH >= F.col("points") - 1e-9)
     best = good.groupBy("uid", "id", "key", "item_id").agg(F.min(F.struct((-F.col("a.score")).alias("minus"), (F.col("lo") + F.col("a.end")).cast("long").alias("end_word"))).alias("b"))
     return best.select("uid", "id", "item_id", (-F.col("b.minus")).alias("score"), F.col("b.end_word").alias("end_word"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, exact_below: int = EXACT_BELOW) -> DataFrame:
     """(doc_id, item_id, score, end_word) of each document and item that align.
 
     ``end_word`` is the place behind the best alignment, the first of equal
     ones. Null and empty texts match nothing, an empty benchmark gives no
     rows, repeated rows count once. Long texts are aligned only where the
     score can be reached, however many such places there are. Items under
-    EXACT_BELOW words must stand word by word; characters of scripts without
-    blanks between words are words.
+    ``exact_below`` words must stand word by word; characters of scripts without
+    blanks between words are words. Other columns are not looked at.
     """
-    return matches(docs, benchmark, least).select(F.col("id").alias("doc_id"), "item_id", "score", "end_word")
+    return matches(docs, benchmark, least, exact_below=exact_below).select(F.col("id").alias("doc_id"), "item_id", "score", "end_word")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:

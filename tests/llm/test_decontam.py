@@ -61,6 +61,7 @@ def test_nothing_is_broadcast(spark, monkeypatch):
     docs, bench, want = corpus()
     d, b = spark.createDataFrame(docs + docs[:30], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_WORDS", 0)
     got = [(r.doc_id, r.item_id) for r in leaks(d, b).collect()]
     assert set(got) == want and len(got) == len(want)
 
@@ -82,14 +83,24 @@ def test_bound_is_never_below_the_score():
 
 
 def test_seeds(spark):
-    """Of five words three must match, all of them seeds. Of twenty, three pairs stay whole: all 19 are seeds. Of three that must stand exactly, both pairs."""
-    d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    """Of five words three must match, all of them seeds. Of twenty, twelve: the twelve rarest. Of three that must stand exactly, all."""
+    d = spark.createDataFrame([(1, "a b c " + "w0 w1 w2 w3 w4 w5 w6 w7 " * 3)], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e"), (2, " ".join(f"w{i}" for i in range(20))), (3, "x y z")], "item_id long, text string")
     items = decontam.items_of(b, 0.6)
-    assert {r.item_id: (r.n, r.pairs, r.needed, r.hits, r.span) for r in items.collect()} == {1: (5, False, 3, 3, 9), 2: (20, True, 3, 3, 36), 3: (3, True, 2, 2, 3)}
+    assert {r.item_id: (r.n, r.needed, r.hits, r.span) for r in items.collect()} == {1: (5, 3, 3, 9), 2: (20, 12, 4, 36), 3: (3, 3, 3, 3)}
     key = {r.key: r.item_id for r in items.collect()}
-    seeds = [(key[r.key], r.pairs) for r in decontam.seeds_of(items, d).collect()]
-    assert {k: seeds.count(k) for k in seeds} == {(1, False): 5, (2, True): 19, (3, True): 2}
+    seeds = {k: {bytes(r.word).decode() for r in decontam.seeds_of(items, d).collect() if key[r.key] == k} for k in (1, 2, 3)}
+    assert seeds == {1: set("abcde"), 2: {f"w{i}" for i in range(8, 20)}, 3: set("xyz")}
+
+
+def test_words_in_tasks_are_those_of_the_column(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aZ9 -_\n\x00\u00e9\u00a0\u6f22\u0e01\u3042\U00020001\U0001f600\u0915") for _ in range(40)) for _ in range(200)] + ["", "ABC def"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", decontam.words(F.col("t")).alias("w")).collect()
+    for r in rows:
+        assert [w.decode() for w in decontam.word_list(r.t.encode())] == r.w
 
 
 def test_recall_against_full_alignment(spark):
