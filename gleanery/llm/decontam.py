@@ -3,16 +3,16 @@
 Seeds are the rarest words of an item. An alignment that reaches the threshold
 keeps a known number of the item's words, wherever the edits fall: of 0.6, six
 in ten. So of the rarest words, all but those that it may lose and HITS more,
-it holds HITS at least, close together. Pairs of words or longer grams
-cannot promise that: 0.6 may be reached with no more than a fifth of the pairs whole, so nearly all pairs,
-common ones too, would have to be seeds. Documents and items
-are joined on seeds; where enough different ones stand close together the passage is cut
-out and aligned. Nothing that reaches the threshold is missed.
-
-The benchmark is a table all the way: seeds are joined by word, broadcast
-where they are counted to be few. Any benchmark takes two passes of counting
-and looking up words, and a third one that cuts passages out of the documents
-that have some.
+it holds HITS at least. Longer grams cannot promise that: 0.6 may be reached
+with a fifth of the pairs of words whole, so nearly all pairs, common ones
+too, would have to be seeds. A document that has HITS seeds of an item and as
+many of its words as an alignment keeps, close enough together, is aligned
+where that is so. Nothing that reaches the threshold is missed.
+
+Seeds of a benchmark of a checked size are looked up inside tasks, those of a
+larger one by a join on words. Any benchmark takes three passes over the
+documents: one counts words, one looks seeds up, one cuts passages out
+of the documents that have some.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ EXACT_BELOW = 5
 #: Alignment points; the score is the best sum over the item's number of words.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SCORE = 0.6
-#: Seeds that a passage must hold.
-HITS = 4
-#: Rows of numbers up to which seeds or places are broadcast, and words of item texts; more are joined by key.
+#: Seeds of an item that a document must hold.
+HITS = 2
+#: Rows of numbers, and words of item texts, that tasks are sent; more are joined by key.
 BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 1_000_000
 
 #: Characters of scripts that put no blanks between words; each is a word.
@@ -105,35 +105,11 @@ def word_counts(docs: DataFrame, vocabulary: DataFrame, text_col: str = "text")
     return counted.join(vocabulary, "word", "left_semi")
 
 
-def word_places(docs: DataFrame, seeds: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, place, word): where the words of the seeds stand in the documents."""
-    wanted = _sent(seeds.select("word").distinct())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uids, places, words_ = [], [], []
-            for u, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = word_list(text.as_py())
-                here = [k for k, w in enumerate(found) if w in wanted] if wanted is not None else range(len(found))
-                uids += [u] * len(here)
-                places += here
-                words_ += [found[k] for k in here]
-                if len(places) > 1 << 16:
-                    yield made(uids, places, words_)
-                    uids, places, words_ = [], [], []
-            yield made(uids, places, words_)
-
-    def made(uids: list, places: list, words_: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(places, pa.int32()), pa.array(words_, pa.binary())], ["uid", "place", "word"])
-
-    return _texts(docs, text_col, uid(id_col, text_col).alias("uid")).mapInArrow(run, "uid long, place int, word binary")
-
-
 def items_of(benchmark: DataFrame, least: float, exact_below: int = EXACT_BELOW) -> DataFrame:
     """(key, item_id, item, n, points, needed, hits, span): items and what an alignment with each one must have.
 
-    It keeps ``needed`` of the item's words within ``span`` words. Null texts,
-    texts without words and repeated rows add nothing.
+    It keeps ``needed`` of the item's words within ``span`` words, ``hits`` of
+    them seeds. Null texts, texts without words and repeated rows add nothing.
     """
     n, points, cost = F.col("n"), F.col("points"), -max(MISMATCH, GAP)
     rows = benchmark.select("item_id", words(F.col("text")).alias("item")).withColumn("n", F.size("item")).where(n > 0).distinct()
@@ -144,20 +120,20 @@ def items_of(benchmark: DataFrame, least: float, exact_below: int = EXACT_BELOW)
 
 
 def seeds_of(items: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, key, hits, span, times): the rarest words of each item, and how often it has them.
+    """(word, key, hits, times): the rarest words of each item, and how often it has them.
 
-    With multiplicity they make up all its words but ``needed - hits``, so a
-    passage that keeps ``needed`` has ``hits`` of them. Rare is what stands in
+    With multiplicity they make up all its words but ``needed - hits``, so what
+    keeps ``needed`` has ``hits`` of them. Rare is what stands in
     few places of the documents, times the items that have it.
     """
-    of = ["key", "n", "needed", "hits", "span"]
+    of = ["key", "n", "needed", "hits"]
     each = cut(items.select(*of, F.explode(F.col("item").cast("array<binary>")).alias("word")).groupBy(*of, "word").agg(F.count("*").alias("times")))
     vocabulary = cut(each.groupBy("word").agg(F.count("*").alias("items")))
     counts = word_counts(docs, vocabulary.select("word"), text_col)
     cost = cut(vocabulary.join(counts, "word", "left").select("word", (F.col("items") * F.coalesce("places", F.lit(0))).alias("cost")))
     ranked = Window.partitionBy("key").orderBy("cost", "word").rowsBetween(Window.unboundedPreceding, -1)
     before = each.join(_few(cost), "word").withColumn("before", F.coalesce(F.sum("times").over(ranked), F.lit(0)))
-    return before.where(F.col("before") < F.col("n") - F.col("needed") + F.col("hits")).select("word", "key", "hits", "span", "times")
+    return before.where(F.col("before") < F.col("n") - F.col("needed") + F.col("hits")).select("word", "key", "hits", "times")
 
 
 def uid(id_col: str, text_col: str) -> Column:
@@ -165,24 +141,6 @@ def uid(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_col, text_col)
 
 
-def passages_of(docs: DataFrame, seeds: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, key, lo, hi): where enough seeds of an item stand close together in a document.
-
-    Texts are looked at in stretches of twice an item's span that overlap by
-    half, so that every passage of that span lies in one; a stretch with
-    ``hits`` seeds or more, each as often as the item has it, is widened by what the passage may have around
-    them. Places are from 0, ``hi`` is the one behind the last.
-    """
-    found = word_places(docs, seeds, id_col, text_col).join(_few(seeds), "word")
-    stretch = F.floor(F.col("place") / F.col("span")).cast("int")
-    met = found.select("uid", "key", "word", "hits", "span", "times", "place", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
-    figures = [F.min("place").alias("first"), F.max("place").alias("last"), F.first("hits").alias("hits"), F.first("span").alias("span")]
-    met = met.groupBy("uid", "key", "stretch", "word").agg(F.least(F.count("*"), F.first("times")).alias("n"), *figures)
-    met = met.groupBy("uid", "key", "stretch").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("hits").alias("hits"), F.first("span").alias("span"))
-    met = met.where(F.col("n") >= F.col("hits"))
-    return met.select("uid", "key", F.greatest(F.lit(0), F.col("first") - F.col("span")).alias("lo"), (F.col("last") + F.col("span")).alias("hi")).distinct()
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     """Smith-Waterman: best score over the item's words, and where it ends."""
     n = len(passage)
@@ -199,27 +157,92 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def bound(item: np.ndarray, passage: np.ndarray) -> float:
-    """No alignment scores more: every word that the item has matches, each one between costs."""
-    places = np.flatnonzero(np.isin(passage, item))
-    if not len(places):
-        return 0.0
+def reach(item: np.ndarray, text: np.ndarray, points: float, span: int) -> tuple[int, int] | None:
+    """From where to where a text can hold an alignment of so many points; None if nowhere.
+
+    No alignment scores more than if every word that the item has matched and
+    each one between cost; none that reaches the points is longer than ``span``.
+    """
+    places = np.flatnonzero(np.isin(text, item))
     cost = -max(MISMATCH, GAP)
     rise = (MATCH + cost) * np.arange(len(places)) - cost * places
-    return float((rise - np.minimum.accumulate(rise)).max() + MATCH) / (MATCH * len(item))
+    ends = places[rise - np.minimum.accumulate(rise) + MATCH >= points - 1e-9] if len(places) else places
+    return (max(0, int(ends[0]) - span), int(ends[-1]) + span) if len(ends) else None
+
+
+def _found_in_tasks(docs: DataFrame, items: DataFrame, seeds: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(uid, key) of documents and items that may align, for a benchmark that tasks can hold."""
+    known = [(r["key"], [w.encode() for w in r["item"]], r["needed"], r["hits"], r["points"], r["span"]) for r in items.collect()]
+    place = {r[0]: k for k, r in enumerate(known)}
+    bags = [Counter(r[1]) for r in known]
+    number = {w: k for k, w in enumerate({w for r in known for w in r[1]})}
+    own = [np.array([number[w] for w in bag]) for bag in bags]
+    of: dict[bytes, list[tuple[int, int]]] = {}
+    for r in seeds.collect():
+        of.setdefault(bytes(r["word"]), []).append((place[r["key"]], r["times"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids, keys = [], []
+            for u, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = word_list(text.as_py())
+                bag = Counter(found)
+                hits: Counter[int] = Counter()
+                for w in of.keys() & bag.keys():
+                    for k, times in of[w]:
+                        hits[k] += min(times, bag[w])
+                ids = None
+                for k, n in hits.items():
+                    key, _, needed, least, points, span = known[k]
+                    if n < least or sum(min(times, bag[w]) for w, times in bags[k].items() if w in bag) < needed:
+                        continue
+                    if ids is None:
+                        ids = np.fromiter((number.get(w, -1) for w in found), np.int64, len(found))
+                    if reach(own[k], ids, points, span):
+                        uids.append(u)
+                        keys.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(keys, pa.int64())], ["uid", "key"])
+
+    return _texts(docs, text_col, uid(id_col, text_col).alias("uid")).mapInArrow(run, "uid long, key long").distinct()
+
+
+def _found_by_join(docs: DataFrame, seeds: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(uid, key) of documents that hold enough seeds of an item, for any benchmark. Repeated rows may add a pair too many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                bag = Counter(word_list(text.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([u] * len(bag), pa.int64()), pa.array(bag.keys(), pa.binary()), pa.array(bag.values(), pa.int64())], ["uid", "word", "n"])
+
+    bags = _texts(docs, text_col, uid(id_col, text_col).alias("uid")).mapInArrow(run, "uid long, word binary, n long")
+    met = bags.join(seeds, "word").groupBy("uid", "key").agg(F.sum(F.least("n", "times")).alias("n"), F.first("hits").alias("hits"))
+    return met.where(F.col("n") >= F.col("hits")).select("uid", "key")
+
+
+def candidates(docs: DataFrame, items: DataFrame, seeds: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(uid, key) of every document and item that may align."""
+    size = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if size <= BROADCAST_WORDS and seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return _found_in_tasks(docs, items, seeds, id_col, text_col)
+    return _found_by_join(docs, seeds, id_col, text_col)
 
 
 def _aligner():
-    """A column function: item, passage and least score to (score, end)."""
+    """A column function: item, words of a text, points and span to (score, end)."""
 
     @F.pandas_udf("score double, end long")
-    def aligned(items: pd.Series, passages: pd.Series, least: pd.Series) -> pd.DataFrame:
+    def aligned(items: pd.Series, texts: pd.Series, points: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
-        for item, passage, enough in zip(items, passages, least, strict=True):
+        for item, text, enough, span in zip(items, texts, points, spans, strict=True):
             number: dict[str, int] = {}
             a = np.array([number.setdefault(w, len(number) + 1) for w in item])
-            b = np.array([number.get(w, 0) for w in passage])
-            out.append(align(a, b) if bound(a, b) >= enough - 1e-9 else (0.0, 0))
+            b = np.array([number.get(w, 0) for w in text])
+            if where := reach(a, b, enough, span):
+                score, end = align(a, b[where[0] : where[1]])
+                out.append((score, where[0] + end))
+            else:
+                out.append((0.0, 0))
         return pd.DataFrame(out, columns=["score", "end"])
 
     return aligned
@@ -230,18 +253,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, i
     docs = docs.select(F.col(id_col), F.col(text_col))
     items = cut(items_of(benchmark, least, exact_below))
     seeds = cut(seeds_of(items, docs, text_col))
-    spots = cut(passages_of(docs, seeds, id_col, text_col))
-    # Only documents with a passage are cut into words, once each; repeated ones give the same rows.
-    texts = docs.withColumn("uid", uid(id_col, text_col)).join(_few(spots.select("uid").distinct()), "uid", "left_semi")
-    pieces = texts.select("uid", F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).join(_few(spots), "uid")
-    pieces = pieces.select("uid", "id", "key", "lo", F.slice("w", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("passage"))
-    texts_of = items.select("key", "item_id", "item", "n", "points")
+    met = cut(candidates(docs, items, seeds, id_col, text_col))
+    # Only documents that may align are cut into words, once each; repeated ones give the same rows.
+    texts = docs.withColumn("uid", uid(id_col, text_col)).join(_few(met.select("uid").distinct()), "uid", "left_semi")
+    pairs = texts.select("uid", F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).join(_few(met), "uid")
+    texts_of = items.select("key", "item_id", "item", "n", "points", "span")
     if (items.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_WORDS:
         texts_of = F.broadcast(texts_of)
-    scored = pieces.join(texts_of, "key").withColumn("a", _aligner()("item", "passage", F.col("points") / F.col("n") / MATCH))
+    scored = pairs.join(texts_of, "key").withColumn("a", _aligner()("item", "w", "points", "span"))
     good = scored.where(F.col("a.score") * F.col("n") * MATCH >= F.col("points") - 1e-9)
-    best = good.groupBy("uid", "id", "key", "item_id").agg(F.min(F.struct((-F.col("a.score")).alias("minus"), (F.col("lo") + F.col("a.end")).cast("long").alias("end_word"))).alias("b"))
-    return best.select("uid", "id", "item_id", (-F.col("b.minus")).alias("score"), F.col("b.end_word").alias("end_word"))
+    return good.select("uid", "id", "item_id", F.col("a.score").alias("score"), F.col("a.end").alias("end_word")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, exact_below: int = EXACT_BELOW) -> DataFrame:
