@@ -163,7 +163,10 @@ def reach(item: np.ndarray, text: np.ndarray, points: float, span: int) -> tuple
     No alignment scores more than if every word that the item has matched and
     each one between cost; none that reaches the points is longer than ``span``.
     """
-    places = np.flatnonzero(np.isin(text, item))
+    return _reach(np.flatnonzero(np.isin(text, item)), points, span)
+
+
+def _reach(places: np.ndarray, points: float, span: int) -> tuple[int, int] | None:
     cost = -max(MISMATCH, GAP)
     rise = (MATCH + cost) * np.arange(len(places)) - cost * places
     ends = places[rise - np.minimum.accumulate(rise) + MATCH >= points - 1e-9] if len(places) else places
@@ -182,6 +185,7 @@ def _found_in_tasks(docs: DataFrame, items: DataFrame, seeds: DataFrame, id_col:
         of.setdefault(bytes(r["word"]), []).append((place[r["key"]], r["times"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_own = np.zeros(len(number) + 1, bool)  # the last place is for all other words
         for batch in batches:
             uids, keys = [], []
             for u, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -198,7 +202,10 @@ def _found_in_tasks(docs: DataFrame, items: DataFrame, seeds: DataFrame, id_col:
                         continue
                     if ids is None:
                         ids = np.fromiter((number.get(w, -1) for w in found), np.int64, len(found))
-                    if reach(own[k], ids, points, span):
+                    is_own[own[k]] = True
+                    places = np.flatnonzero(is_own[ids])
+                    is_own[own[k]] = False
+                    if _reach(places, points, span):
                         uids.append(u)
                         keys.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(keys, pa.int64())], ["uid", "key"])
