@@ -11,10 +11,10 @@ more, which bounds what meets in one place by the number of bits left.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +29,8 @@ SPLIT_ABOVE = 2048
 #: The pipeline's near copies: Jaccard similarity of the shingle sets. Two sets of 0.8 agree in a
 #: band of ROWS minima in one case of three, and in fewer than LEAST_EQUAL of all in one of 10^6.
 NEAR, BANDS, ROWS, LEAST_EQUAL = 0.8, 32, 5, 104
+#: Rounds in which a bucket's members meet one of it; members of a tile; members beside the largest part from which a bucket is parted once more.
+STARS, TILE, SPLIT_REST = 3, 1024, 32_768
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -212,79 +214,124 @@ def shingle_sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(run, "sid long, shingles array<long>")
 
 
-def _like(rows: pa.StructArray) -> Iterator[tuple[np.ndarray, int]]:
-    """As many links between members of a bucket as connect what all those connect whose sketches agree in LEAST_EQUAL bytes."""
-    sid = rows.field("sid").to_numpy(zero_copy_only=False)
-    small = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(sid), -1)
-    left = np.argsort(sid)
-    while left.size > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and left.size:
-            x = queue.pop()
-            near = (small[left] == small[x]).sum(axis=1) >= LEAST_EQUAL
-            if near.any():
-                hits, left = left[near], left[~near]
-                queue.extend(hits)
-                yield sid[hits], sid[x]
+def _equal_bytes():
+    """A column function: in how many minima two sketches agree."""
 
+    @F.pandas_udf("int")
+    def equal(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), BANDS * ROWS) for v in (a, b))
+        return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
-def _joining(rows: pa.StructArray, near: float) -> Iterator[tuple[np.ndarray, int]]:
-    """A link of Jaccard ``near`` or more for each part of a bucket that one joins to parts before it.
+    return equal
 
-    Members of one part are connected already. Each member is held against all
-    of other parts at once, on the whole shingle sets; fewer links come out
-    than there are parts.
-    """
-    sid, part = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("sid", "part"))
-    sets = rows.field("shingles")
-    size = np.array([len(x) for x in sets])
-    end = np.cumsum(size)
-    known, number = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-    left = np.lexsort((sid, part))
-    while left.size:
-        first = part[left] == part[left[0]]
-        queue, left = left[first].tolist(), left[~first]
-        while queue and left.size:
-            x = queue.pop()
-            own = np.zeros(len(known), bool)
-            own[number[end[x] - size[x] : end[x]]] = True
-            upto = np.concatenate([[0], np.cumsum(own[number])])
-            common = upto[end] - upto[end - size]
-            hits = left[((common > 0) & (common >= near * (size[x] + size - common)))[left]]
-            if hits.size:
-                parts, at = np.unique(part[hits], return_index=True)
-                yield sid[hits[at]], sid[x]
-                joined = np.isin(part[left], parts)
-                queue += left[joined].tolist()
-                left = left[~joined]
-
-
-def _candidates(members: DataFrame, near: float | None = None, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Links (a, b) between members that share a key, in the way of ``_like``, or with ``near`` of ``_joining``.
-
-    Members have (sid, keys, sketch), for ``near`` (part, shingles), too. A
-    bucket of many members is split by the keys of eight more bands.
-    """
-    links = _like if near is None else partial(_joining, near=near)
 
+def _stars(members: DataFrame, parts: DataFrame | None, salt: int) -> DataFrame:
+    """(a, b): each member of a bucket and the one of it that the salt picks, where these are of different parts."""
+    own = members.withColumn("part", F.col("sid")) if parts is None else members.join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
+    picked = own.groupBy("t", "key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "sid").alias("o"), "sid", "part")).alias("p"))
+    both = own.join(picked.select("t", "key", F.col("p.sid").alias("other"), F.col("p.part").alias("its")), ["t", "key"]).where("part <> its")
+    return both.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree in LEAST_EQUAL minima."""
+    of = lambda k: distinct.select(F.col("sid").alias(k), F.col("sketch").alias(f"s{k}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_equal_bytes()("sa", "sb") >= LEAST_EQUAL).select("a", "b")
+
+
+def _open_tiles(members: DataFrame, parts: DataFrame, tile: int, split_above: int) -> DataFrame:
+    """(t, key, v, next, lo, hi, tile, sid, part): what is left to compare within buckets of several parts.
+
+    The members of a bucket's largest part are known to be connected; all
+    others are held against each other and against these, in pairs of tiles
+    ``lo`` and ``hi`` of about ``tile`` members. Buckets of two have been looked at. One with more
+    than ``split_above`` members beside its largest part is parted by the keys of every
+    later band first; a pair of Jaccard 0.8 shares no two bands in 5 of 10^5 cases.
+    """
+    own = members.where("n > 2").join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
+    own = own.withColumns({"v": F.lit(-1), "next": F.lit(0).cast("long")})
+
+    def sized(rows: DataFrame) -> DataFrame:
+        key = ["t", "key", "v", "next"]
+        per = rows.groupBy(*key, "part").agg(F.count("*").alias("c"))
+        per = per.groupBy(*key).agg(F.max(F.struct("c", "part")).alias("m"), F.sum("c").alias("all")).where(F.col("all") > F.col("m.c"))
+        return rows.join(per.select(*key, F.col("m.part").alias("main"), F.col("m.c").alias("n_main"), (F.col("all") - F.col("m.c")).alias("n_rest")), key)
+
+    found = sized(own.drop("n"))
+    large = found.where(F.col("n_rest") > split_above).select("t", "key", "sid", "part")
+    later = members.select("sid", F.col("t").alias("v"), F.col("key").alias("next"))
+    finer = sized(large.join(later, "sid").where((F.col("v") > F.col("t")) & (F.col("v") < BANDS)))
+    found = found.where(F.col("n_rest") <= split_above).unionByName(finer)
+    tiles = lambda n: F.ceil(F.col(n) / tile).cast("int")
+    rest, is_rest = tiles("n_rest"), F.col("part") != F.col("main")
+    place = F.when(is_rest, F.pmod(F.xxhash64("sid"), rest)).otherwise(rest + F.pmod(F.xxhash64("sid"), tiles("n_main"))).cast("int")
+    others = F.when(is_rest, F.sequence(F.lit(0), rest + tiles("n_main") - 1)).otherwise(F.sequence(F.lit(0), rest - 1))
+    dealt = found.select("t", "key", "v", "next", "sid", "part", place.alias("tile"), F.explode(others).alias("o"))
+    return dealt.select("t", "key", "v", "next", F.least("tile", "o").alias("lo"), F.greatest("tile", "o").alias("hi"), "tile", "sid", "part")
+
+
+def _near_in_tile(rows: pa.StructArray, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of a member of tile ``lo`` and of those of tile ``hi`` in other parts with a like sketch."""
+    tile, part = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("tile", "part"))
+    small = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(tile), -1)
+    there = np.flatnonzero(tile == hi)
+    for n, x in enumerate(np.flatnonzero(tile == lo)):
+        held = there[n + 1 :] if lo == hi else there
+        held = held[part[held] != part[x]]
+        if held.size and (near := held[(small[held] == small[x]).sum(axis=1) >= LEAST_EQUAL]).size:
+            yield int(x), near
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of tiles that have a like sketch in another part."""
+    for batch in batches:
+        found: list[tuple] = []
+        for i in range(batch.num_rows):
+            *key, rows = (batch.column(c)[i] for c in range(7))
+            key, rows = [k.as_py() for k in key], rows.values
+            seen = {p for x, near in _near_in_tile(rows, *key[4:]) for p in (x, *near.tolist())}
+            sid, tile = rows.field("sid").to_pylist(), rows.field("tile").to_pylist()
+            found += [(*key, tile[p], sid[p]) for p in sorted(seen)]
+        names = ["t", "key", "v", "next", "lo", "hi", "tile", "sid"]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        columns = list(zip(*found, strict=True)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def joining(rows: pa.StructArray, lo: int, hi: int, near: float) -> list[tuple[int, int]]:
+    """Links of Jaccard ``near`` or more between parts that meet in a pair of tiles, as many as connect what all such links connect."""
+    sid, part = rows.field("sid").to_pylist(), rows.field("part").to_pylist()
+    ends = rows.field("shingles").offsets.to_numpy()
+    flat = rows.field("shingles").values.to_numpy(zero_copy_only=False)
+    of = lambda p: flat[ends[p] : ends[p + 1]]
+    parent = {p: p for p in part}
+
+    def root(p: int) -> int:
+        while parent[p] != p:
+            parent[p] = p = parent[parent[p]]
+        return p
+
+    found = []
+    for x, held in _near_in_tile(rows, lo, hi):
+        a = of(x)
+        for y in held.tolist():
+            if (p := root(part[x])) != (o := root(part[y])):
+                b = of(y)
+                if min(len(a), len(b)) >= near * max(len(a), len(b)) > 0:
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    if common >= near * (len(a) + len(b) - common):
+                        parent[p] = o
+                        found.append((sid[x], sid[y]))
+    return found
+
+
+def _tile_links(tiles: DataFrame, near: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for row in batch.column(0):
-                for hits, x in links(row.values):
-                    a.append(hits)
-                    b.append(np.full(hits.size, x, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            pairs = [pair for i in range(batch.num_rows) for pair in joining(batch.column(2)[i].values, batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), near)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    tables = members.select("sid", F.posexplode("keys").alias("t", "key"))
-    busy = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    tables = tables.join(busy, ["t", "key"]).join(members, "sid")
-    what = ["sid", "sketch"] if near is None else ["sid", "sketch", "part", "shingles"]
-    one = F.collect_list(F.struct(*what)).alias("rows")
-    plain = tables.where(F.col("n") <= split_above).groupBy("t", "key").agg(one)
-    more = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.element_at("keys", (F.col("t") + i) % BANDS + 1))
-    hot = tables.where(F.col("n") > split_above).select(*what, "t", "key", F.posexplode(more).alias("v", "next")).groupBy("t", "key", "v", "next").agg(one).where(F.size("rows") > 1)
-    return plain.select("rows").unionByName(hot.select("rows")).mapInArrow(run, "a long, b long").distinct()
+    return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(links: DataFrame, sets: DataFrame, near: float) -> DataFrame:
@@ -304,16 +351,40 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, near: float
     docs = docs.where(F.col(id_col).isNotNull())
     rows = cut(sketches(docs, id_col, text_col, width))
     distinct = cut(rows.groupBy("sid").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    links = cut(_candidates(distinct))
-    met = cut(connected_components(links, "a", "b").withColumnRenamed("component", "met"))
-    wanted = rows.join(met, rows["sid"] == met["node"], "left_semi").groupBy("sid").agg(F.min("id").alias(id_col)).select(id_col).distinct()
-    sets = cut(shingle_sets(docs.join(wanted, id_col, "left_semi"), text_col, width).dropDuplicates(["sid"]))
-    good = cut(_verified(links, sets, near))
-    parts = met.join(connected_components(good, "a", "b"), "node", "left").select("node", "met", F.coalesce("component", "node").alias("part"))
-    open_ = parts.groupBy("met").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("met")
-    again = parts.join(open_, "met").select(F.col("node").alias("sid"), "part").join(distinct, "sid").join(sets, "sid")
-    groups = connected_components(good.unionByName(_candidates(cut(again), near)), "a", "b").withColumnRenamed("node", "sid")
-    classes = distinct.select("sid", "first").join(groups, "sid", "left").withColumn("root", F.coalesce("component", "sid"))
+    tables = distinct.select("sid", F.posexplode("keys").alias("t", "key"))
+    busy = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    members = cut(tables.join(busy, ["t", "key"]))
+    sets, good, tested, parts = None, None, None, None
+
+    def with_sets(sids: DataFrame) -> DataFrame:
+        """The shingle sets known so far and those of more members, read from their texts."""
+        sids = sids if sets is None else sids.join(sets.select("sid"), "sid", "left_anti")
+        ids = rows.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias(id_col)).select(id_col).distinct()
+        more = shingle_sets(docs.join(ids, id_col, "left_semi"), text_col, width).dropDuplicates(["sid"])
+        return cut(more) if sets is None else cut(more.join(sets.select("sid"), "sid", "left_anti")).unionByName(sets)
+
+    for salt in range(STARS):
+        pairs = _stars(members, parts, salt)
+        pairs = cut(_alike(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), distinct))
+        if pairs.isEmpty():
+            break
+        sets = with_sets(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
+        new = cut(_verified(pairs, sets, near))
+        good, tested = (new, pairs) if good is None else (good.unionByName(new), tested.unionByName(pairs))
+        parts = cut(connected_components(good, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("part")))
+    if parts is not None:
+        key = ["t", "key", "v", "next", "lo", "hi"]
+        tiles = _open_tiles(members, parts, TILE, SPLIT_REST)
+        met = tiles.join(distinct.select("sid", "sketch"), "sid").groupBy(*key).agg(F.collect_list(F.struct("sid", "part", "tile", "sketch")).alias("rows"))
+        met = cut(met.mapInArrow(_involved, "t int, key long, v int, next long, lo int, hi int, tile int, sid long"))
+        if not met.isEmpty():
+            sets = with_sets(met.select("sid").distinct())
+            whole = met.join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid")).join(distinct.select("sid", "sketch"), "sid").join(sets, "sid")
+            last = whole.groupBy(*key).agg(F.collect_list(F.struct("sid", "part", "tile", "sketch", "shingles")).alias("rows")).select("lo", "hi", "rows")
+            good = good.unionByName(cut(_tile_links(last, near)))
+            parts = cut(connected_components(good, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("part")))
+    classes = distinct.select("sid", "first")
+    classes = classes.withColumn("root", F.col("sid")) if parts is None else classes.join(parts, "sid", "left").withColumn("root", F.coalesce("part", "sid"))
     return rows.select("id", "mark", "sid"), classes.join(classes.groupBy("root").agg(F.min("first").alias("least")), "root").select("sid", "least")
 
 
@@ -323,9 +394,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     Equal shingle sets meet first and count once. Candidates are what shares a
     band of minima or a fingerprint up to three bits; every link is verified
     on the shingle sets. A pair of Jaccard 0.8 shares no band in 3 of 10^6
-    cases. First only links that span the candidates are tested, then, where
-    some of these failed, all candidates that are not connected yet, within
-    their buckets, which give out fewer links than they have members.
+    cases. First every member of a bucket is held against one of it, STARS
+    times against another one, which takes no more links than there are members
+    and connects nearly all of a group. What is not connected yet is held
+    against the rest of its bucket, in tiles of bounded size; shingle sets go
+    there only of members that have a like sketch in another part.
+
+    Repeated rows, null and empty texts share a shingle set; an empty set is
+    like no other one. An empty table gives no rows; other columns are not looked at.
     """
     rows, named = _groups(docs, id_col, text_col, width, near)
     return rows.join(named, "sid").select(F.col("id").alias(id_col), F.col("least.id").alias("component"))

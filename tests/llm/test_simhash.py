@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
-from gleanery.llm.simhash import _joining, covering_links, covering_masks, fingerprint, keep_one, near_duplicates, similar
+from gleanery.llm import simhash
+from gleanery.llm.simhash import covering_links, covering_masks, fingerprint, keep_one, near_duplicates, similar
 
 
 def plain(text, width):
@@ -144,23 +146,51 @@ def test_rows_that_share_an_id(spark):
     assert [i for i, _ in by_id] == [0, 5, 5, 8, 9] and {" ".join(b)} < {t for i, t in by_id if i == 5}
 
 
-def test_parts_of_a_bucket_are_joined():
+def test_parts_of_a_tile_are_joined():
     """Links between parts against all pairs of sets; no more of them than parts."""
     rng = np.random.default_rng(4)
     base = rng.choice(10**6, 60, replace=False)
-    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 10**6, 60), base)) for _ in range(80)] + [np.zeros(0, np.int64)]
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 10**6, 60), base)).astype(np.uint64) for _ in range(80)] + [np.zeros(0, np.uint64)]
     part = [i // 2 for i in range(len(sets))]
-    rows = pa.array([{"sid": i, "part": p, "shingles": s.tolist()} for i, (p, s) in enumerate(zip(part, sets))], pa.struct([("sid", pa.int64()), ("part", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
+    sketch = [(simhash.minima(s) >> np.uint64(24)).astype(np.uint8).tobytes() for s in sets]
     near = lambda a, b: len(a) and len(b) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
-    links = [(int(h), int(x)) for hits, x in _joining(rows, 0.8) for h in hits]
-    assert links and all(near(sets[a], sets[b]) and part[a] != part[b] for a, b in links) and len(links) < len(set(part))
 
     def joined(pairs):
-        label = dict.fromkeys(part)
-        label = {p: p for p in label}
+        label = {p: p for p in part}
         for _ in label:
             for a, b in pairs:
                 label[part[a]] = label[part[b]] = min(label[part[a]], label[part[b]])
         return label
 
-    assert joined(links) == joined([(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])])
+    kind = pa.struct([("sid", pa.int64()), ("part", pa.int64()), ("tile", pa.int32()), ("sketch", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    for tiles in (lambda i: 0, lambda i: i % 2):
+        rows = pa.array([{"sid": i, "part": part[i], "tile": tiles(i), "sketch": sketch[i], "shingles": s.view(np.int64).tolist()} for i, s in enumerate(sets)], kind)
+        links = [x for lo in (0, 1) for hi in (0, 1) if lo <= hi for x in simhash.joining(rows, lo, hi, 0.8)]
+        assert links and all(near(sets[a], sets[b]) and part[a] != part[b] for a, b in links)
+        assert joined(links) == joined([(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])])
+
+
+@pytest.mark.parametrize("split", [10**6, 4])
+def test_buckets_of_many_parts_lose_nothing(spark, monkeypatch, split):
+    """Chains of copies of copies beside texts that share half of their words, in small tiles; links stay few."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(20_000)]
+    common = rng.choices(words, k=150)
+    texts = [" ".join(common + rng.choices(words, k=60)) for _ in range(120)]
+    for _ in range(3):
+        now = rng.choices(words, k=200)
+        for _ in range(60):
+            texts.append(" ".join(now))
+            now = list(now)
+            now[rng.randrange(200)] = rng.choice(words)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    for _ in range(30):
+        for i, j in pairs:
+            want[i] = want[j] = min(want[i], want[j])
+    monkeypatch.setattr(simhash, "TILE", 8)
+    monkeypatch.setattr(simhash, "SPLIT_REST", split)
+    monkeypatch.setattr(simhash, "STARS", 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component for r in similar(df).collect()} == dict(enumerate(want))
