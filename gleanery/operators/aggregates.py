@@ -2,7 +2,8 @@
 
 Null keys are a key of their own and null figures add nothing, where a
 docstring does not say otherwise; repeated rows count each; an empty frame has
-no groups, and one row of zeros or nulls where there is no key.
+no groups, and one row of zeros or nulls where there is no key. Where a name
+of the input is also one of a result's figures, the figure takes ``_`` behind it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.scalars import MAX_U64, path_key, pct
+from gleanery.session import cut
+
+
+def _whole(*names: str) -> Column:
+    """A key as one struct, whose nulls equal each other in joins."""
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)])
+
+
+def _parts(*names: str, key: str = "__key") -> list[Column]:
+    return [F.col(f"{key}.k{i}").alias(c) for i, c in enumerate(names)]
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A name for a figure that no column of the input has."""
+    while name in taken:
+        name += "_"
+    return name
 
 
 def path_stats(lines: DataFrame, module: str = "module", text: str = "text") -> DataFrame:
@@ -30,19 +48,38 @@ def lock_groups(locks: DataFrame, by: str, others: list[str]) -> tuple[DataFrame
 
     ``first`` is the group's least member. No group comes together in one row.
     """
-    groups = rank_by_size(locks.groupBy(by).agg(F.count("*").alias("n"), F.min(F.struct(*others)).alias("first")), "n")
-    members = locks.select(F.col(by).alias("__by"), *others).join(groups.drop("first"), F.col("__by").eqNullSafe(F.col(by)))
-    return groups, members.select(by, *others, "n", "rank")
+    n, first, rank = (_free(c, [by, *others]) for c in ("n", "first", "rank"))
+    sized = locks.groupBy(_whole(by).alias("__key")).agg(F.count("*").alias("__size"), F.min(F.struct(*others)).alias("__first"))
+    groups = cut(rank_by_size(sized, "__size").withColumnRenamed("rank", "__rank"))
+    figures = [F.col("__size").alias(n), F.col("__rank").alias(rank)]
+    members = locks.select(_whole(by).alias("__key"), F.struct(*others).alias("__other")).join(groups, "__key")
+    return groups.select(*_parts(by), figures[0], F.col("__first").alias(first), figures[1]), members.select(*_parts(by), "__other.*", *figures)
+
+
+#: Distinct sizes up to which one window ranks them.
+FEW_SIZES = 100_000
 
 
 def rank_by_size(groups: DataFrame, size: str) -> DataFrame:
-    """Dense rank by size, descending.
+    """Dense rank by size, descending; null sizes come last.
 
-    Ranks come from the distinct sizes, which are few, and join back: the
-    groups themselves never meet in one task.
+    Ranks come from the distinct sizes and join back: the groups themselves
+    never meet in one task. Many distinct sizes are dealt out by ranges; a
+    size's rank is its place in its range after the number of sizes in the ranges before.
     """
-    ranks = groups.select(size).distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc(size))))
-    return groups.join(ranks, size)
+    rank = _free("rank", groups.columns)
+    sizes = groups.select(F.col(size).alias("__size")).distinct()
+    down = F.col("__size").desc_nulls_last()
+    if sizes.limit(FEW_SIZES + 1).count() <= FEW_SIZES:
+        ranks = sizes.withColumn(rank, F.row_number().over(Window.orderBy(down)))
+    else:
+        count = max(2, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        dealt = cut(sizes.repartitionByRange(count, down).withColumn("__piece", F.spark_partition_id()))
+        before = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+        offsets = dealt.groupBy("__piece").agg(F.count("*").alias("__n")).select("__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        own = F.row_number().over(Window.partitionBy("__piece").orderBy(down))
+        ranks = dealt.withColumn("__own", own).join(F.broadcast(offsets), "__piece").select("__size", (F.col("__own") + F.col("__before")).cast("int").alias(rank))
+    return groups.join(ranks, F.col(size).eqNullSafe(F.col("__size"))).drop("__size") if size != "__size" else groups.join(ranks.withColumnRenamed("__size", "__s"), F.col("__size").eqNullSafe(F.col("__s"))).drop("__s")
 
 
 class PathIndex:
@@ -73,17 +110,18 @@ def merge_profiles(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     counters, and the key's first record then picks one of them, so that no
     record meets the others of its key again. Other columns do not matter.
     """
-    key = ["name", "hash"]
-    rows = df.select(*key, "file", "ord", "counters", F.size("counters").alias("__n"))
-    sums = rows.select(*key, "__n", F.posexplode("counters").alias("pos", "c")).groupBy(*key, "__n", "pos").agg(F.sum(F.col("c").cast("decimal(20,0)")).alias("c"))
-    whole = sums.groupBy(*key, "__n").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("l"), F.max("c").alias("top"))
-    whole = whole.select(*key, "__n", F.transform("l", lambda x: x["c"]).alias("counters"), "top")
-    first = rows.groupBy(*key, "__n").agg(F.min(F.struct("file", "ord")).alias("first"))
-    won = first.groupBy(*key).agg(F.min_by("__n", "first").alias("__n"), F.count("*").alias("kinds"))
-    chosen = whole.join(won, [*key, "__n"])
+    of = _whole("name", "hash").alias("__key")
+    rows = df.select(of, "file", "ord", "counters", F.size("counters").alias("__n"))
+    sums = rows.select("__key", "__n", F.posexplode("counters").alias("pos", "c")).groupBy("__key", "__n", "pos").agg(F.sum(F.col("c").cast("decimal(20,0)")).alias("c"))
+    whole = sums.groupBy("__key", "__n").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("l"), F.max("c").alias("top"))
+    whole = whole.select("__key", "__n", F.transform("l", lambda x: x["c"]).alias("counters"), "top")
+    first = rows.groupBy("__key", "__n").agg(F.min(F.struct("file", "ord")).alias("first"))
+    won = first.groupBy("__key").agg(F.min_by("__n", "first").alias("__n"), F.count("*").alias("kinds"))
+    chosen = whole.join(won, ["__key", "__n"])
     over = F.col("top") > F.lit(MAX_U64).cast("decimal(20,0)")
-    mixed = won.where("kinds > 1").select(*key, F.col("__n").alias("__want"))
-    errors = rows.join(mixed, key).where("__n <> __want").select(*key, "file", "ord", F.lit("Function count mismatch").alias("error"))
+    key = _parts("name", "hash")
+    mixed = won.where("kinds > 1").select("__key", F.col("__n").alias("__want"))
+    errors = rows.join(mixed, "__key").where("__n <> __want").select(*key, "file", "ord", F.lit("Function count mismatch").alias("error"))
     errors = errors.unionByName(chosen.where(over).select(*key, F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("ord"), F.lit("Counter overflow").alias("error")))
     return chosen.where(~over).select(*key, F.col("counters").cast("array<decimal(20,0)>").alias("counters")), errors
 
@@ -176,10 +214,10 @@ def failing(results: DataFrame, suite: str, test: str, code: str, failed: list[s
 
 
 def shared_keys(df: DataFrame, key: str, owner: str) -> DataFrame:
-    """Keys of more than one owner, with the owners."""
-    owners = df.groupBy(key, owner).agg(F.count("*").alias("n"))
-    shared = owners.groupBy(key).agg(F.count("*").alias("owners")).where("owners > 1")
-    return owners.join(shared, key).select(key, owner, "owners")
+    """Keys of more than one owner, with the owners and their number. A null owner is an owner."""
+    pairs = df.select(_whole(key).alias("__key"), _whole(owner).alias("__owner")).distinct()
+    shared = pairs.groupBy("__key").agg(F.count("*").alias("__n")).where("__n > 1")
+    return pairs.join(shared, "__key").select(*_parts(key), *_parts(owner, key="__owner"), F.col("__n").alias(_free("owners", [key, owner])))
 
 
 def mix(lines: DataFrame, by: list[str], text: str, classes: dict[str, str]) -> DataFrame:
@@ -189,8 +227,9 @@ def mix(lines: DataFrame, by: list[str], text: str, classes: dict[str, str]) ->
 
 def check_mix(found: DataFrame, expect: DataFrame, by: list[str], classes: list[str]) -> DataFrame:
     """Entities and classes whose count is not the expected one."""
-    long = lambda df, name: df.select(*by, F.explode(F.create_map(*[c for k in classes for c in (F.lit(k), F.col(k).cast("long"))])).alias("cls", name))
-    return long(expect, "expected").join(long(found, "actual"), [*by, "cls"], "left").where("NOT (expected <=> actual)")
+    long = lambda df, name: df.select(_whole(*by).alias("__key"), F.explode(F.create_map(*[c for k in classes for c in (F.lit(k), F.col(k).cast("long"))])).alias("cls", name))
+    rows = long(expect, "expected").join(long(found, "actual"), ["__key", "cls"], "left").where("NOT (expected <=> actual)")
+    return rows.select(*_parts(*by), "cls", "expected", "actual")
 
 
 def sample_rollup(samples: DataFrame, by: list[str], total: str, count: str) -> DataFrame:
@@ -204,14 +243,19 @@ def target_totals(samples: DataFrame, by: list[str], targets: str = "targets") -
 
 
 def score_dist(df: DataFrame, score: str, n_bins: int, by: list[str] | None = None) -> DataFrame:
-    """Equal-width histogram between the extremes with cumulative shares; empty bins are left out."""
+    """Equal-width histogram between the extremes with cumulative shares; empty bins are left out.
+
+    Scores of a group that all are equal are in the last bin; null ones add nothing to its number.
+    """
     by = by or []
-    lim = df.groupBy(*by).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    rows = df.join(lim, by) if by else df.crossJoin(F.broadcast(lim))  # one row
-    at = F.least(F.floor(F.try_divide((F.col(score) - F.col("lo")) * n_bins, F.col("hi") - F.col("lo"))), F.lit(n_bins - 1))
-    bars = rows.groupBy(*by, F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.count(score).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("bin"))
-    return bars.withColumn("share", F.round(upto / F.sum("n").over(Window.partitionBy(*by)), 6))
+    rows = df.select(_whole(*by).alias("__key") if by else F.lit(0).alias("__key"), F.col(score).alias("__score"))
+    lim = rows.groupBy("__key").agg(F.min("__score").alias("lo"), F.max("__score").alias("hi"))
+    rows = rows.join(lim if by else F.broadcast(lim), "__key")  # one row where there is no key
+    at = F.least(F.floor(F.try_divide((F.col("__score") - F.col("lo")) * n_bins, F.col("hi") - F.col("lo"))), F.lit(n_bins - 1))
+    bars = rows.groupBy("__key", F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.count("__score").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("__key").orderBy("bin"))
+    bars = bars.withColumn("share", F.round(upto / F.sum("n").over(Window.partitionBy("__key")), 6))
+    return bars.select(*_parts(*by), "bin", "n", "share")
 
 
 def distance(df: DataFrame, slot: str, module: str, value: str) -> DataFrame:

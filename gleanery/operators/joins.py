@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators.running import Running
+from gleanery.session import cut
 
 #: Rows of a rule table that may be broadcast; a larger one is joined by its type.
 BROADCAST_ROWS = 10_000
@@ -83,24 +84,57 @@ def symbolize(addrs: DataFrame, syms: DataFrame, by: list[str]) -> DataFrame:
     return found.select(*addrs.columns, F.when(inside, F.col("asof_name")).otherwise("??").alias("name"), F.when(inside, F.col("addr") - F.col("asof_at")).alias("offset"))
 
 
+#: Levels of the dyadic intervals that ranges are filed under: bins of ``width`` times a power of two.
+LEVELS = 44
+
+
+def dyadic_cover(first: Column, last: Column) -> Column:
+    """The fewest dyadic intervals (level, index) that make up the bins from ``first`` to ``last``: two of a level at most."""
+
+    def at(k: Column) -> Column:
+        # At level k only an interval at either end has a parent that reaches beyond the range.
+        i = F.negative(F.call_function("shiftright", F.negative(first), k))
+        j = F.call_function("shiftright", last + 1, k) - 1
+        ends = F.array_distinct(F.array(F.when((i <= j) & (F.pmod(i, F.lit(2)) == 1), i), F.when((i <= j) & (F.pmod(j, F.lit(2)) == 0), j)))
+        return F.transform(F.array_compact(ends), lambda n: F.struct(k.cast("int").alias("level"), n.cast("long").alias("index")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
+
+
 def overlaps(a: DataFrame, b: DataFrame, lo: str, hi: str, width: float, by: list[str] | None = None) -> DataFrame:
     """Pairs of half-open ranges that share a point, columns prefixed a_ and b_.
 
-    Ranges are filed under the bins they touch, so the join is by equality;
-    a pair is given out in the first bin both touch only. Empty and null
-    ranges overlap nothing.
+    Two ranges overlap where one begins in the other. A range is filed under
+    the dyadic intervals that make it up, two for each power of two in its
+    length, and a beginning is looked for in the one interval of each such size that it
+    lies in: joins by equality, however long a range is. ``width`` is the
+    smallest interval, about the length of a short range. Empty and null ranges
+    overlap nothing, infinite and NaN ends are no ranges; beyond 2^43 widths from 0 a range is left out.
     """
     by = by or []
-
-    def binned(df: DataFrame, p: str) -> DataFrame:
-        rows = df.where(F.col(lo) < F.col(hi)).select([F.col(c).alias(f"{p}_{c}") for c in df.columns])
-        low, high = F.floor(F.col(f"{p}_{lo}") / width), F.ceil(F.col(f"{p}_{hi}") / width) - 1
-        return rows.withColumn("__bin", F.explode(F.sequence(low, F.greatest(low, high))))
-
-    x, y = binned(a, "a"), binned(b, "b")
-    on = [x["__bin"] == y["__bin"], *[x[f"a_{c}"] == y[f"b_{c}"] for c in by], x[f"a_{lo}"] < y[f"b_{hi}"], y[f"b_{lo}"] < x[f"a_{hi}"]]
-    on.append(x["__bin"] == F.floor(F.greatest(x[f"a_{lo}"], y[f"b_{lo}"]) / width))
-    return x.join(y, on).drop(x["__bin"]).drop(y["__bin"])
+    most = width * 2.0 ** (LEVELS - 1)
+    bin_ = lambda c: F.floor(c / width).cast("long")
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        rows = df.where((F.col(lo) < F.col(hi)) & F.col(lo).between(-most, most) & F.col(hi).between(-most, most))
+        return rows.select([F.col(c).alias(f"{p}_{c}") for c in df.columns])
+
+    def met(outer: DataFrame, p: str, inner: DataFrame, q: str, strict: bool) -> DataFrame:
+        """Pairs in which the inner range begins in the outer one."""
+        low, high = F.col(f"{p}_{lo}"), F.col(f"{p}_{hi}")
+        last = F.greatest(bin_(low), F.ceil(high / width).cast("long") - 1)
+        filed = outer.withColumn("__at", F.explode(dyadic_cover(bin_(low), last)))
+        levels = filed.agg(F.collect_set("__at.level").alias("__levels"))  # one row of LEVELS numbers at most
+        begin = bin_(F.col(f"{q}_{lo}"))
+        own = lambda k: F.struct(k.alias("level"), F.call_function("shiftright", begin, k).alias("index"))
+        asked = inner.crossJoin(F.broadcast(levels)).withColumn("__at", F.explode(F.transform("__levels", own))).drop("__levels")
+        x, y = filed.alias("x"), asked.alias("y")
+        inside = (F.col(f"{p}_{lo}") < F.col(f"{q}_{lo}")) if strict else (F.col(f"{p}_{lo}") <= F.col(f"{q}_{lo}"))
+        on = [F.col("x.__at") == F.col("y.__at"), *[F.col(f"{p}_{c}") == F.col(f"{q}_{c}") for c in by], inside, F.col(f"{q}_{lo}") < F.col(f"{p}_{hi}")]
+        return x.join(y, on).select(*outer.columns, *inner.columns)
+
+    x, y = side(a, "a"), side(b, "b")
+    return met(x, "a", y, "b", False).unionByName(met(y, "b", x, "a", True))
 
 
 def dominates(left: DataFrame, right: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
@@ -125,15 +159,50 @@ def resolve(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     return users.join(definers, "name"), users.join(definers, "name", "left_anti")
 
 
+#: Characters of the literal pieces by which patterns are looked up.
+GRAM = 4
+
+
+def _literal_grams(pattern: Column) -> Column:
+    """The grams of the longest piece of a glob between its wildcards and escapes; none if it is shorter than a gram."""
+    pieces = F.filter(F.split(pattern, r"[*?\[\]\\^$|(){}+.]"), lambda p: F.length(p) >= GRAM)
+    longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    return F.coalesce(F.transform(F.sequence(F.lit(1), F.length(longest) - GRAM + 1), lambda i: F.substr(longest, i, F.lit(GRAM))), F.array().cast("array<string>"))
+
+
+def candidate_rules(reports: DataFrame, rules: DataFrame, kind: str, name: str) -> DataFrame:
+    """Reports beside the rules (__type, pattern, regex) that may match them, before any expression is evaluated.
+
+    A rule waits under the gram of its longest literal piece that the fewest
+    rules have. A report asks for the grams it has that a rule waits under;
+    rules without such a piece meet every report of their type.
+    """
+    each = rules.withColumn("g", F.explode(_literal_grams(F.col("pattern"))))
+    rare = each.join(each.groupBy("g").agg(F.count("*").alias("n")), "g")
+    filed = rare.groupBy("__type", "pattern", "regex").agg(F.min_by("g", F.struct("n", "g")).alias("__gram"))
+    plain = rules.where(F.size(_literal_grams(F.col("pattern"))) == 0)
+    wanted = filed.select(F.col("__gram").alias("__g")).distinct()
+    text = F.col(name)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substr(text, i, F.lit(GRAM))))
+    asked = reports.where(F.length(text) >= GRAM).withColumn("__g", F.explode(grams)).join(wanted, "__g", "left_semi")
+    met = asked.join(filed, (F.col("__g") == F.col("__gram")) & (F.col(kind) == F.col("__type"))).drop("__g", "__gram")
+    return met.unionByName(reports.join(plain, F.col(kind) == F.col("__type")))
+
+
 def suppress(reports: DataFrame, rules: DataFrame, kind: str, name: str) -> tuple[DataFrame, DataFrame]:
     """Reports that no rule (type, pattern, regex) of their kind matches, and all hits with their pattern.
 
-    A rule list of a checked size is broadcast; a longer one is joined by type.
+    A rule list of a checked size is broadcast. A longer one is looked up by
+    literal pieces of its patterns (see ``candidate_rules``), and expressions are
+    evaluated on what is found there. ``regex`` must hold the literal pieces of its ``pattern``.
     """
     r = rules.select(F.col("type").alias("__type"), "pattern", "regex").distinct()
-    r = F.broadcast(r) if r.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else r
-    on = (F.col(kind) == F.col("__type")) & F.regexp_like(F.col(name), F.col("regex"))
-    return reports.join(r, on, "left_anti"), reports.join(r, on).drop("__type", "regex")
+    if r.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        on = (F.col(kind) == F.col("__type")) & F.regexp_like(F.col(name), F.col("regex"))
+        return reports.join(F.broadcast(r), on, "left_anti"), reports.join(F.broadcast(r), on).drop("__type", "regex")
+    hits = cut(candidate_rules(reports, r, kind, name).where(F.regexp_like(F.col(name), F.col("regex")))).drop("__type", "regex")
+    matched = hits.select(F.col(kind).alias("__kind"), F.col(name).alias("__name")).distinct()
+    return reports.join(matched, (F.col(kind) == F.col("__kind")) & (F.col(name) == F.col("__name")), "left_anti"), hits
 
 
 def anti(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -154,11 +223,34 @@ def unmatched(events: DataFrame, key: list[str], begin: Column, end: Column) ->
     return events.where(begin).join(events.where(end).select(*key).distinct(), key, "left_anti")
 
 
+def conflict_classes(trace: DataFrame, place: list[str], thread: str, is_write: str, locks: str) -> tuple[DataFrame, DataFrame]:
+    """Accesses by class, and the pairs of classes (place, x, y) that conflict.
+
+    Accesses of one place by one thread, alike in whether they write and in
+    what locks are held, are one class; the rule is the same for all of them, so it is
+    asked of pairs of classes only: two threads, one a write, no lock in common.
+    """
+    by = [F.col(c).alias(f"__{c}") for c in place]
+    rows = trace.where(F.col(thread).isNotNull() & F.col(locks).isNotNull() & F.col(is_write).isNotNull())
+    shape = F.struct(F.col(thread).alias("thread"), F.col(is_write).alias("w"), F.array_sort(F.array_distinct(locks)).alias("locks"))
+    classes = rows.select(*by, shape.alias("x")).distinct()
+    other = classes.withColumnRenamed("x", "y")
+    clash = (F.col("x") < F.col("y")) & (F.col("x.thread") != F.col("y.thread")) & (F.col("x.w") | F.col("y.w")) & ~F.coalesce(F.arrays_overlap("x.locks", "y.locks"), F.lit(True))
+    return rows.select("*", *by, shape.alias("__class")), classes.join(other, [f"__{c}" for c in place]).where(clash)
+
+
 def conflicts(trace: DataFrame, place: list[str], ident: str, thread: str, is_write: str, locks: str) -> DataFrame:
-    """Pairs (first, second) of accesses to one place by two threads, one a write, with no lock in common."""
-    a, b = (trace.select(*place, *[F.col(c).alias(f"{p}_{c}") for c in (ident, thread, is_write, locks)]) for p in "ab")
-    rule = (F.col(f"a_{ident}") < F.col(f"b_{ident}")) & (F.col(f"a_{thread}") != F.col(f"b_{thread}")) & (F.col(f"a_{is_write}") | F.col(f"b_{is_write}")) & ~F.arrays_overlap(f"a_{locks}", f"b_{locks}")
-    return a.join(b, place).where(rule).select(*place, F.col(f"a_{ident}").alias("first"), F.col(f"b_{ident}").alias("second"))
+    """Pairs (first, second) of accesses to one place by two threads, one a write, with no lock in common.
+
+    Pairs of classes are compared (see ``conflict_classes``); members are
+    joined for those that conflict, so rows are made for pairs that are given out only. Null
+    threads, locks and kinds of access conflict with nothing, nor do lock sets with a null unless they are disjoint for certain.
+    """
+    rows, pairs = conflict_classes(trace, place, thread, is_write, locks)
+    by = [f"__{c}" for c in place]
+    members = lambda side, name: rows.select(*by, F.col("__class").alias(side), F.col(ident).alias(name))
+    found = pairs.join(members("x", "a"), [*by, "x"]).join(members("y", "b"), [*by, "y"]).where("a <> b")
+    return found.select(*[F.col(f"__{c}").alias(c) for c in place], F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"))
 
 
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -30,9 +30,9 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, path: str | list[str], sep: str, recursive: bool = False) -> DataFrame:
-    """(file, pos, value) of what stands between separators, pos from 0; files are read in splits."""
+    """(file, pos, value) of what stands between separators, pos from 0; files are read in splits. Lines may end in CR LF."""
     text = spark.read.option("lineSep", sep).option("recursiveFileLookup", str(recursive).lower()).text(path)
-    rows = text.select(_file().alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"), "value")
+    rows = text.select(_file().alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"), (F.regexp_replace("value", r"\r$", "") if sep == "\n" else F.col("value")).alias("value"))
     placed = Running(rows, ["file"], ["__start", "__id"]).add("pos", "sum", F.lit(1).cast("long")).done()
     return placed.select("file", (F.col("pos") - 1).alias("pos"), "value")
 

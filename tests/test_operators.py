@@ -51,6 +51,56 @@ def test_overlaps_against_brute_force(spark):
     assert [(r.a_lo, r.b_lo) for r in pairs] == [(0x637, 0x637)]
 
 
+def test_a_long_range_is_filed_under_few_intervals(spark):
+    """One range over the whole axis beside many short ones, and ranges at both ends of what is covered."""
+    rng = random.Random(6)
+    spans = [(0, -(2**40), 2**40)] + [(i, lo := rng.randint(-10**6, 10**6), lo + rng.choice([1, 5, 300, 70_000])) for i in range(1, 300)]
+    x = spark.createDataFrame(spans, "id int, lo long, hi long")
+    got = sorted((r.a_id, r.b_id) for r in joins.overlaps(x, x, "lo", "hi", 8).where("a_id < b_id").collect())
+    assert got == sorted((i, j) for i, p, q in spans for j, r, s in spans if i < j and p < s and r < q)
+    cover = joins.dyadic_cover(F.floor(F.col("lo") / 8).cast("long"), (F.ceil(F.col("hi") / 8) - 1).cast("long"))
+    for r in x.select("lo", "hi", cover.alias("c")).collect():
+        assert len(r.c) <= 2 * joins.LEVELS
+        bins = sorted((n["index"] << n["level"], (n["index"] + 1) << n["level"]) for n in r.c)
+        assert bins[0][0] == r.lo // 8 and bins[-1][1] == -(-r.hi // 8)
+        assert all(a[1] == b[0] for a, b in zip(bins, bins[1:]))
+    odd = spark.createDataFrame([(1, None, 3.0), (2, 3.0, 3.0), (3, float("nan"), 5.0), (4, 1.0, float("inf")), (5, 0.0, 9.5), (6, 9.4, 9.6)], "id int, lo double, hi double")
+    assert {(r.a_id, r.b_id) for r in joins.overlaps(odd, odd, "lo", "hi", 2.0).collect()} == {(5, 5), (6, 6), (5, 6), (6, 5)}
+
+
+def test_conflicts_are_asked_of_classes(spark):
+    """Against all pairs; then a place of 20,000 accesses and few classes."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice("pq"), rng.randrange(4), rng.random() < 0.4, rng.sample("abc", rng.randint(0, 2))) for i in range(120)]
+    rows += [(500, "p", None, True, []), (501, "p", 1, True, None), (502, None, 1, True, []), (503, None, 2, True, [])]
+    df = spark.createDataFrame(rows, "id int, at string, thread int, w boolean, locks array<string>")
+    want = sorted((i, j) for i, p, t, w, m in rows for j, q, u, v, n in rows if i < j and p == q and p and t is not None and u is not None and t != u and (w or v) and m is not None and n is not None and not set(m) & set(n))
+    assert sorted(tuple(r) for r in joins.conflicts(df, ["at"], "id", "thread", "w", "locks").select("first", "second").collect()) == want
+    many = spark.range(20_000).selectExpr("id", "'p' AS at", "id % 5 AS thread", "id % 10 = 0 AS w", "array(concat('m', id % 4)) AS locks")
+    classes = joins.conflict_classes(many, ["at"], "thread", "w", "locks")[1]
+    assert classes.select("x").union(classes.select("y")).distinct().count() <= 40
+    assert classes.count() <= 40 * 39 // 2
+
+
+def test_patterns_are_looked_up_by_literal_pieces(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    names = [word() for _ in range(400)]
+    patterns = [rng.choice(["*{}*", "{}*", "*{}", "{}"]).format(n[rng.randint(0, 2) :][:5]) for n in names] + ["*ab*", "x?", "*", "lock*{}".format(names[0])]
+    rules = [(rng.choice(["leak", "race"]), p, "^" + p.replace("?", ".").replace("*", ".*") + "$") for p in patterns[:-2]] + [("other", "*", "^.*$"), ("leak", patterns[-1], "^lock.*" + names[0] + "$")]
+    reports = [(i, rng.choice(["leak", "race", "other", "none"]), n) for i, n in enumerate(names)] + [(900, "leak", "lock of " + names[0]), (901, "leak", None), (902, "leak", "ab"), (903, None, "abcde")]
+    r, u = spark.createDataFrame(reports, "id int, kind string, text string"), spark.createDataFrame(rules, "type string, pattern string, regex string")
+    import re
+
+    want = {(i, p) for i, k, t in reports for y, p, x in set(rules) if k == y and t is not None and re.search(x, t)}
+    left, hits = joins.suppress(r, u, "kind", "text")
+    assert {(x.id, x.pattern) for x in hits.collect()} == want
+    assert {x.id for x in left.collect()} == {i for i, _, _ in reports} - {i for i, _ in want}
+    found = joins.candidate_rules(r, u.select(F.col("type").alias("__type"), "pattern", "regex").distinct(), "kind", "text").where("length(pattern) > 5").count()
+    assert found < 0.02 * len(reports) * len(rules)
+
+
 def test_small_joins(spark):
     keys = spark.createDataFrame([(1, 1, 2, 3), (1, 2, 2, 3), (1, 1, 1, 3)], "g int, a int, b int, c int")
     probe = spark.createDataFrame([(1, 1, 2, 3)], "g int, a int, b int, c int")
@@ -237,6 +287,53 @@ def test_long_paths(spark):
     assert graphs.closure(path).count() == 300 * 301 // 2
 
 
+def counted(monkeypatch):
+    """The number of rows of each frame that is written from now on."""
+    written = []
+    real = graphs.cut
+
+    def cut(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graphs, "cut", cut)
+    return written
+
+
+def test_a_long_way_is_reached_in_few_rounds(spark, monkeypatch):
+    """A long path from its beginning: eight single rounds, shortcuts, and rounds by the digits of its length."""
+    n = 20_000
+    path = spark.range(n).selectExpr("id AS src", "id + 1 AS dst")
+    seed = spark.createDataFrame([(0,)], "node long")
+    written = counted(monkeypatch)
+    assert graphs.reachable(path, seed).agg(F.count("*"), F.sum("node")).first()[:] == (n + 1, n * (n + 1) // 2)
+    assert len(written) <= 8 + 15 + 15 + 8
+    # beside the shortcuts every node is written once, and once more where parts are put together
+    assert sum(x for x in written if x < n // 4 and x > 0) < 2 * n + 9
+    monkeypatch.undo()
+    far = graphs.reach_depth(spark.range(600).selectExpr("id AS src", "id + 1 AS dst"), seed)
+    assert far.where("node = depth").count() == far.count() == 601
+
+
+def test_depths_over_shortcuts_are_the_fewest_edges(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "PLAIN_ROUNDS", 1)
+    rng = random.Random(7)
+    for extra in (0, 25):
+        n = 60
+        pairs = {(i, i + 1) for i in range(n)} | {(rng.randrange(n), rng.randrange(n)) for _ in range(extra)}
+        df = edges(spark, sorted(pairs)).unionByName(edges(spark, [(None, 3), (3, None)]))
+        out = {}
+        for a, b in pairs:
+            out.setdefault(a, []).append(b)
+        want, front = {5: 0}, [5]
+        while front:
+            front = [b for b in dict.fromkeys(b for a in front for b in out.get(a, [])) if b not in want and not want.update({b: 1 + min(want[a] for a in want if b in out.get(a, []))})]
+        seed = spark.createDataFrame([(5,), (None,)], "node int")
+        assert {r.node: r.depth for r in graphs.reach_depth(df, seed).collect()} == want
+        assert {r.node for r in graphs.reachable(df, seed).collect()} == set(want)
+
+
 @pytest.mark.parametrize("few", [2000, 0])
 def test_strong_components(spark, monkeypatch, few):
     """By a closure of what is left over, and by colouring."""
@@ -245,6 +342,65 @@ def test_strong_components(spark, monkeypatch, few):
     assert {r.node for r in graphs.cycles(graph).collect()} == {0, 1, 2, 10, 11, 30}
 
 
+@pytest.mark.parametrize("few", [2000, 0])
+def test_cycles_of_random_graphs(spark, monkeypatch, few):
+    """Rings, chains between branching nodes and random edges against a plain search."""
+    monkeypatch.setattr(graphs, "FEW_EDGES", few)
+    monkeypatch.setattr(graphs, "PLAIN_ROUNDS", 1)
+    rng = random.Random(few)
+    pairs = {(i, (i + 1) % 9) for i in range(9)} | {(100 + i, 101 + i) for i in range(12)} | {(112, 100), (105, 300), (300, 301), (301, 302), (302, 108), (112, 400), (400, 401)}
+    pairs |= {(500 + rng.randrange(25), 500 + rng.randrange(25)) for _ in range(30)} | {(600, 601), (601, 600), (601, 602), (602, 601)}
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    nodes = {x for p in pairs for x in p}
+    assert {r.node for r in graphs.cycles(edges(spark, sorted(pairs))).collect()} == {x for x in nodes if x in reach(x)}
+    strong = {}
+    for r in graphs.strong_components(edges(spark, sorted(pairs))).collect():
+        strong.setdefault(r.component, set()).add(r.node)
+    want = {frozenset(y for y in reach(x) if x in reach(y)) for x in nodes if x in reach(x)}
+    assert {frozenset(v) for v in strong.values()} == {v for v in want if len(v) > 1}
+
+
+def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
+    n = 100_000
+    ring = spark.range(n).selectExpr("id AS src", f"(id + 1) % {n} AS dst")
+    written = counted(monkeypatch)
+    assert graphs.cycles(ring).count() == n
+    assert len(written) < 40
+
+
+def test_locks_of_one_long_thread(spark):
+    """Against all pairs, with a thread cut into many pieces; then 10^5 acquisitions of one thread."""
+    rng = random.Random(9)
+    rows = [(t, i // 2 if t == 3 else i, rng.choice(["acquire", "release", "other"]), rng.choice("abcdef")) for t in range(4) for i in range(120)]
+    rows += [(None, 1, "acquire", "a"), (None, 2, "acquire", "b"), (1, 500, "acquire", None)]
+    df = spark.createDataFrame(rows, "t int, i int, o string, m string")
+    want = set()
+    for t in range(4):
+        own = [r[1:] for r in rows if r[0] == t and r[3] is not None]
+        for i, o, m in own:
+            if o == "acquire":
+                until = min((j for j, p, x in own if p == "release" and x == m and j > i), default=10**9)
+                want |= {(m, x) for j, p, x in own if p == "acquire" and x != m and i < j < until}
+    assert {tuple(r) for r in graphs.lock_edges(df, ["t"], ["i"], "o", "m").collect()} == want
+    assert graphs.lock_edges(df.limit(0), ["t"], ["i"], "o", "m").count() == 0
+    n = 100_000  # m0 is held over all of it, the others one after the other
+    long = spark.range(2 * n).selectExpr("1 AS t", "id AS i", "IF(id % 2 = 0, 'acquire', 'release') AS o", "concat('m', 1 + (id div 2) % 7) AS m")
+    long = long.unionByName(spark.createDataFrame([(1, -1, "acquire", "m0")], "t int, i long, o string, m string"))
+    assert {tuple(r) for r in graphs.lock_edges(long, ["t"], ["i"], "o", "m").collect()} == {("m0", f"m{k}") for k in range(1, 8)}
+
+
 def test_null_keys_and_clashing_names(spark):
     rows = spark.createDataFrame([(None, "m1", "1", "u"), (None, "m2", "1", "u"), (None, "m3", None, "u")], "s string, m string, v string, usual string")
     assert {(r.m, r.usual, r.deviant) for r in joins.compare_slots(rows, "s", "m", "v").collect()} == {("m1", "1", False), ("m2", "1", False), ("m3", "1", True)}
@@ -261,6 +417,30 @@ def test_null_keys_and_clashing_names(spark):
     assert got["s", None] == pytest.approx(2**0.5 / 4) and got["s", "m2"] == pytest.approx(2**0.5 / 4) and got[None, None] == 0
 
 
+def test_null_keys_are_keys(spark):
+    df = spark.createDataFrame([(None, "a", 1.0), (None, "b", 3.0), ("x", "a", None), ("x", None, 2.0), ("y", "a", 5.0)], "n string, first string, rank double")
+    assert {tuple(r) for r in aggregates.shared_keys(df, "n", "first").collect()} == {(None, "a", 2), (None, "b", 2), ("x", "a", 2), ("x", None, 2)}
+    assert {tuple(r)[:3] for r in aggregates.score_dist(df, "rank", 2, ["first"]).collect()} == {("a", 0, 1), ("a", 1, 1), (None, 1, 1), ("b", 1, 1)}
+    groups, members = aggregates.lock_groups(df, "n", ["first", "rank"])
+    assert groups.columns == ["n", "n_", "first_", "rank_"] and members.columns == ["n", "first", "rank", "n_", "rank_"]
+    assert sorted((str(r.n), r.n_, r.rank_) for r in groups.collect()) == [("None", 2, 1), ("x", 2, 1), ("y", 1, 2)] and members.count() == 5
+    profile = spark.createDataFrame([(None, 1, "f", 0, [1, 2]), (None, 1, "g", 0, [10, 20]), ("a", None, "f", 1, [5])], "name string, hash int, file string, ord int, counters array<int>")
+    merged, errors = aggregates.merge_profiles(profile)
+    assert {(r.name, r["hash"], tuple(map(int, r.counters))) for r in merged.collect()} == {(None, 1, (11, 22)), ("a", None, (5,))} and errors.count() == 0
+    expect = spark.createDataFrame([(None, 2)], "e string, c int")
+    assert [tuple(r) for r in aggregates.check_mix(spark.createDataFrame([(None, 1)], "e string, c int"), expect, ["e"], ["c"]).collect()] == [(None, "c", 2, 1)]
+
+
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_ranks_of_many_sizes(spark, monkeypatch, few):
+    monkeypatch.setattr(aggregates, "FEW_SIZES", few)
+    rng = random.Random(14)
+    rows = [(i, rng.choice([None, *range(60)])) for i in range(400)]
+    sizes = sorted({n for _, n in rows if n is not None}, reverse=True)
+    want = {i: len(sizes) + 1 if n is None else sizes.index(n) + 1 for i, n in rows}
+    assert {r.g: r["rank"] for r in aggregates.rank_by_size(spark.createDataFrame(rows, "g int, n int"), "n").collect()} == want
+
+
 def test_groups_as_rows(spark):
     locks = spark.createDataFrame([("f", "m1"), ("f", "m2"), ("g", "m1"), (None, "m3")], "func string, module string")
     groups, members = aggregates.lock_groups(locks, "func", ["module"])
