@@ -2,9 +2,10 @@
 
 zstandard dictionaries are trained on ordinary and on toxic text. Toxic
 documents are ordinary prose for the most part, so the toxic dictionaries are
-trained on the passages of toxic texts whose byte grams stand in significantly
-more toxic documents than ordinary ones; no word list is made, the trainer
-picks what it keeps. Both sides share the ordinary dictionary, the toxic ones
+not trained on whole toxic texts but on runs of byte grams that stand in significantly
+more toxic documents than ordinary ones. These runs are words and pieces of words, so a
+toxic dictionary reads like a list of toxic words, found by a test on grams
+and packed by the trainer. Both sides share the ordinary dictionary, the toxic ones
 have theirs behind it. A window of toxic wording comes out shorter under
 those. The bytes saved over the ordinary dictionary in all windows of a text
 are summed up in a few figures, which a logistic rule turns into a score. The
@@ -154,29 +155,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 10.0) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str | None, int]], ordinary_share: float | None = None) -> Model | None:
-    """Dictionaries, and a rule calibrated on texts that the dictionaries they were measured with had not seen.
+def measured(known: list[tuple[bytes, int]], unseen: list[tuple[bytes, int]]) -> tuple[Model, list[list[float]]]:
+    """Dictionaries of the known texts, and the figures of others under them."""
+    model = train(known)
+    every = _compressors(model)
+    return model, [features(t, *every) for t, _ in unseen]
+
 
-    The dictionaries of the last part serve: those of all rows would save
-    more than what the rule was calibrated on.
+def calibrated(x: np.ndarray, y: np.ndarray, model: Model, ordinary_share: float | None = None) -> Model:
+    """The model with a rule fitted on figures of texts that the dictionaries had not seen.
 
-    None without both classes in each of the FOLDS parts of the distinct rows.
     Of the cuts the one is taken that would have the best F measure where
     ordinary texts have ``ordinary_share`` of all, which the sample's classes
     do not show; precision weighs twice as much as recall in it, for a text
     wrongly rejected is lost.
     """
-    known = list(dict.fromkeys((_bytes(t), int(y)) for t, y in rows))
-    parts = [known[k::FOLDS] for k in range(FOLDS)]
-    if any(len({y for _, y in part}) < 2 for part in parts):
-        return None
-    x, y = [], []
-    for k, unseen in enumerate(parts):
-        model = train([row for part in parts[:k] + parts[k + 1 :] for row in part])
-        every = _compressors(model)
-        x += [features(t, *every) for t, _ in unseen]
-        y += [label for _, label in unseen]
-    x, y = np.array(x), np.array(y)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     w = _logistic((x - mean) / scale, y)
     z = np.c_[(x - mean) / scale, np.ones(len(x))] @ w
@@ -187,6 +180,17 @@ def fit(rows: list[tuple[str | None, int]], ordinary_share: float | None = None)
     return Model(model.ordinary, model.toxic, tuple(mean), tuple(scale), tuple(w), float(max(hits)[1]))
 
 
+def fit(rows: list[tuple[str | None, int]], ordinary_share: float | None = None) -> Model | None:
+    """A model of texts in memory, by the same steps as ``learn``, one after the other."""
+    known = list(dict.fromkeys((_bytes(t), int(y)) for t, y in rows))
+    parts = [known[k::FOLDS] for k in range(FOLDS)]
+    if any(len({y for _, y in part}) < 2 for part in parts):
+        return None
+    made = [measured([row for part in parts[:k] + parts[k + 1 :] for row in part], unseen) for k, unseen in enumerate(parts)]
+    x, y = [f for _, figures in made for f in figures], [label for part in parts for _, label in part]
+    return calibrated(np.array(x), np.array(y), made[-1][0], ordinary_share)
+
+
 def rule(x: np.ndarray, model: Model) -> np.ndarray:
     """Scores of rows of figures; ``cut`` comes out as CUT."""
     z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))] @ np.array(model.weights) - model.cut
@@ -212,11 +216,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on a bounded sample of the labelled rows, by the order of a hash.
-
-    Of each class at most ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` rows come
-    to the driver, of at most ``SAMPLE_BYTES`` each; rows of the held-out fold
-    never do. An id labelled twice counts as toxic if one label says so.
+    """Fit on a bounded sample of the labelled rows, by the order of a hash; each part of it is measured in a task of its own.
+
+    Of each class at most ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` rows are
+    taken, of at most ``SAMPLE_BYTES`` each, so a task has a bounded number of
+    texts and the driver none, only their figures; rows of the held-out fold are never
+    looked at. An id labelled twice counts as toxic if one label says so. Null
+    labels say nothing. The dictionaries of the last part serve: those of all rows would save
+    more than what the rule was calibrated on. None where a class has fewer than FOLDS
+    texts, as each part has both classes.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))]
@@ -225,7 +233,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     share = counts.get(0, 0) / (counts[0] + counts[1]) if len(counts) == 2 else None
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(sample, "doc_id")
     texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_TOXIC + SAMPLE_ORDINARY)
-    return fit([(r["text"], r["toxic"]) for r in texts.collect()], share)
+    texts = texts.select(F.xxhash64("text").alias("h"), "text", F.col("toxic").cast("int").alias("y")).distinct()
+    every = texts.crossJoin(F.broadcast(docs.sparkSession.range(FOLDS).select(F.col("id").cast("int").alias("part"))))  # FOLDS rows
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["h", "text", "y"])
+        seen = rows.groupby("y").cumcount() % FOLDS != rows["part"]  # each task deals out the same rows alike
+        of = lambda df: [(_bytes(t), int(y)) for t, y in zip(df["text"], df["y"], strict=True)]
+        known, unseen = of(rows[seen]), of(rows[~seen])
+        if len({y for _, y in known}) < 2 or len({y for _, y in unseen}) < 2:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("part", "y", "x", "dictionaries")})
+        model, figures = measured(known, unseen)
+        own = [[model.ordinary, *model.toxic] if k == 0 and rows["part"].iloc[0] == FOLDS - 1 else None for k in range(len(unseen))]
+        return pd.DataFrame({"part": rows["part"].iloc[0], "y": [y for _, y in unseen], "x": figures, "dictionaries": own})
+
+    found = every.groupBy("part").applyInPandas(run, "part int, y int, x array<double>, dictionaries array<binary>").collect()  # figures of the sample
+    if len({r["part"] for r in found}) < FOLDS:
+        return None
+    ordinary, *toxic = next(map(bytes, r["dictionaries"]) for r in found if r["dictionaries"])
+    found.sort(key=lambda r: (r["part"], r["y"], r["x"]))
+    return calibrated(np.array([r["x"] for r in found]), np.array([r["y"] for r in found]), Model(ordinary, tuple(toxic)), share)
 
 
 def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -233,7 +260,9 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Null and empty texts are scored like a text with nothing saved. Without
     both classes among the labels there is no model and every score is 0.
-    Repeated rows are scored alike; rows without id are not held out.
+    Repeated rows are scored alike; rows without id are not held out. Of a very
+    long text every window is looked at. An empty table gives no rows; other
+    columns are not looked at.
     """
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(model)(F.coalesce("text", F.lit(""))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
