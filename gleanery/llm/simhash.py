@@ -30,7 +30,7 @@ SPLIT_ABOVE = 2048
 #: band of ROWS minima in one case of three, and in fewer than LEAST_EQUAL of all in one of 10^6.
 NEAR, BANDS, ROWS, LEAST_EQUAL = 0.8, 32, 5, 104
 #: Rounds in which a bucket's members meet one of it; members of a tile; members beside the largest part from which a bucket is parted once more.
-STARS, TILE, SPLIT_REST = 3, 1024, 32_768
+STARS, TILE, SPLIT_REST = 2, 1024, 32_768
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -364,7 +364,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, near: float
         return cut(more) if sets is None else cut(more.join(sets.select("sid"), "sid", "left_anti")).unionByName(sets)
 
     for salt in range(STARS):
-        pairs = _stars(members, parts, salt)
+        pairs = _stars(members if parts is None else members.where("n > 2"), parts, salt)  # those of two have met
         pairs = cut(_alike(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), distinct))
         if pairs.isEmpty():
             break
