@@ -102,7 +102,8 @@ def format_chat(messages: DataFrame, tools: dict | None = None) -> DataFrame:
     white space. Of calls or results that repeat an identifier in one
     conversation the first by turn counts. White space before an object does
     not matter. Texts that are no JSON objects, and null roles and texts, are plain messages; rows without conv_id or call
-    identifier are never linked. Repeated rows stay.
+    identifier are never linked. Repeated rows stay. An empty table gives no
+    rows; other columns are not looked at.
     """
     tools = TOOLS if tools is None else tools
     m = messages.select("conv_id", "turn", "role", "text")

@@ -246,7 +246,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     empty, zero or hold null or non-finite parts, and rows of null label, link
     with nothing and stay alone. Repeated rows link with each other. The
     component is the smallest id reachable; rows without id take part, and
-    where nothing reachable has an id the component is null and kept false.
+    where nothing reachable has an id the component is null and kept false. An
+    empty table gives no rows; other columns are not looked at.
     """
     rows = cut(_classes(vectors, id_col, vector_col, label_col))
     distinct = cut(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("vector").alias("vector"), F.first("label").alias("label")))

@@ -233,7 +233,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     (id, n_words, n_base, first_word, last_word, base_labels, labels, score).
     ``score`` is 1 where a whole template is accepted, 0.5 where only base
     phrases stand, else 0. Null text counts as empty: no words, null places,
-    empty labels.
+    empty labels. Repeated rows come out each, texts are read to their end
+    however long, an empty table gives no rows; other columns are not looked at.
     """
     base, templates = base or BASE, templates or TEMPLATES
 

@@ -317,7 +317,9 @@ def page_records(pages: DataFrame) -> DataFrame:
     smallest page_id are responses and the others revisit it; rows without
     page_id are responses. A null html is an empty payload. Digests are summed
     up first. While few of them repeat, these are broadcast and no payload is
-    shuffled; beyond that pages join them by digest.
+    shuffled; beyond that pages join them by digest. Of rows that repeat a
+    page_id each is a record of its own. An empty table gives no records;
+    other columns are not looked at.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = cut(
