@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,13 +79,35 @@ def trigrams(text: str) -> np.ndarray:
     return (((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - int(math.log2(BUCKETS)))).astype(np.int64)
 
 
-def fit_text(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the log probability of each bucket under each."""
-    languages = sorted({lang for lang, _ in rows})
-    counts = np.full((len(languages), BUCKETS), 0.1)
-    for lang, text in rows:
-        counts[languages.index(lang)] += np.bincount(trigrams(visible(text)), minlength=BUCKETS)
-    return languages, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+def bucket_counts(picks: DataFrame) -> DataFrame:
+    """(lang, bucket, n): how often each trigram bucket stands in the texts of each language. Tasks add up a batch before it is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[str, np.ndarray] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if lang not in counts:
+                    counts[lang] = np.zeros(BUCKETS, np.int64)
+                counts[lang] += np.bincount(trigrams(visible(text.as_py())), minlength=BUCKETS)
+            for lang, found in counts.items():
+                at = np.flatnonzero(found)
+                # A language of no trigrams is known, too.
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, 0), pa.int32()), pa.array(np.append(found[at], 0), pa.int64())], ["lang", "bucket", "n"])
+
+    return picks.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fit_text(languages: list[str], of: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The log probability of each bucket under each language, of counts by place of the language and bucket."""
+    table = np.empty((len(languages), BUCKETS), np.float32)
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(len(languages) + 1))
+    for k in range(len(languages)):
+        own = order[ends[k] : ends[k + 1]]
+        row = np.full(BUCKETS, 0.1)
+        np.add.at(row, buckets[own], counts[own])
+        table[k] = np.log(row / row.sum())
+    return table
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -96,15 +121,20 @@ def learn_text(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     Every language is in it, with SAMPLE_DOCS documents at most, of which the
     first SAMPLE_BYTES characters count. Rows of hashes too high for that
     sample are left out before anything is ranked, so a language that most
-    documents have is no hot key. The model has 128 KB for each language.
+    documents have is no hot key. Trigrams are counted in tasks; the driver gets
+    at most a number for each language and bucket. The model has 128 KB for each language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
     counts = _few(cut(known.groupBy("lang").agg(F.count("*").alias("n"))))
     share = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
     ranked = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     picks = known.join(counts, "lang").where(share < 2.0 * SAMPLE_DOCS / F.col("n")).withColumn("place", ranked).where(F.col("place") <= SAMPLE_DOCS)
-    rows = [(r["lang"], r["text"]) for r in picks.select("lang", "text").collect()]
-    return fit_text(rows) if rows else ([UNKNOWN], np.zeros((1, BUCKETS), np.float32))
+    found = bucket_counts(picks).toArrow()
+    if not found.num_rows:
+        return [UNKNOWN], np.zeros((1, BUCKETS), np.float32)
+    languages = sorted(found.column("lang").unique().to_pylist())
+    place = pc.index_in(found.column("lang"), pa.array(languages, found.schema.field("lang").type)).to_numpy()
+    return languages, fit_text(languages, place, found.column("bucket").to_numpy(), found.column("n").to_numpy())
 
 
 def text_likelihood(languages: list[str], table: np.ndarray):

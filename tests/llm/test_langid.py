@@ -67,6 +67,20 @@ def test_against_plain(spark):
         assert a == b and abs(p - q) < 1e-6
 
 
+def test_text_model_of_counts(spark):
+    """Counts added up in tasks give what counting the texts one after the other gives, for many languages."""
+    rng = random.Random(9)
+    docs = [(i, "".join(rng.choices("abcdé ", k=rng.randint(0, 60))), f"l{i % 37}") for i in range(300)] + [(900, "", "none"), (901, None, "null"), (902, "text", None)]
+    languages, table = langid.learn_text(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(5))
+    assert languages == sorted({f"l{k}" for k in range(37)} | {"none"})
+    for k, lang in enumerate(languages):
+        row = np.full(langid.BUCKETS, 0.1)
+        for _, text, of in docs:
+            if of == lang:
+                row += np.bincount(langid.trigrams(langid.visible(text)), minlength=langid.BUCKETS)
+        assert np.allclose(table[k], np.log(row / row.sum()), atol=1e-6)
+
+
 def test_no_labels_and_empty(spark):
     docs, pages, _ = tables(spark, random.Random(3))
     assert {r.language for r in langid.identify(pages, docs.limit(0)).collect()} == {"und"}
