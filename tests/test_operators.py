@@ -187,8 +187,10 @@ def test_components_against_union_find(spark):
         if a is not None and a != b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in connected_components(edges(spark, pairs), "src", "dst").collect()}
-    assert got == {n: find(n) for n in parent}
+    for small in (0, 1000):
+        got = {r.node: r.component for r in connected_components(edges(spark, pairs), "src", "dst", small=small).collect()}
+        assert got == {n: find(n) for n in parent}
+    assert connected_components(edges(spark, [(3, 3)]), "src", "dst", small=10).count() == 0
 
 
 def test_sets(spark):
