@@ -31,6 +31,8 @@ SPLIT_ABOVE = 2048
 NEAR, BANDS, ROWS, LEAST_EQUAL = 0.8, 32, 5, 104
 #: Rounds in which a bucket's members meet one of it; members of a tile; members beside the largest part from which a bucket is parted once more.
 STARS, TILE, SPLIT_REST = 2, 1024, 32_768
+#: Links up to which one task connects them (16 bytes each).
+FEW_LINKS = 1_000_000
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -371,7 +373,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, near: float
         sets = with_sets(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
         new = cut(_verified(pairs, sets, near))
         good, tested = (new, pairs) if good is None else (good.unionByName(new), tested.unionByName(pairs))
-        parts = cut(connected_components(good, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("part")))
+        parts = cut(connected_components(good, "a", "b", small=FEW_LINKS).select(F.col("node").alias("sid"), F.col("component").alias("part")))
     if parts is not None:
         key = ["t", "key", "v", "next", "lo", "hi"]
         tiles = _open_tiles(members, parts, TILE, SPLIT_REST)
@@ -382,7 +384,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, near: float
             whole = met.join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid")).join(distinct.select("sid", "sketch"), "sid").join(sets, "sid")
             last = whole.groupBy(*key).agg(F.collect_list(F.struct("sid", "part", "tile", "sketch", "shingles")).alias("rows")).select("lo", "hi", "rows")
             good = good.unionByName(cut(_tile_links(last, near)))
-            parts = cut(connected_components(good, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("part")))
+            parts = cut(connected_components(good, "a", "b", small=FEW_LINKS).select(F.col("node").alias("sid"), F.col("component").alias("part")))
     classes = distinct.select("sid", "first")
     classes = classes.withColumn("root", F.col("sid")) if parts is None else classes.join(parts, "sid", "left").withColumn("root", F.coalesce("part", "sid"))
     return rows.select("id", "mark", "sid"), classes.join(classes.groupBy("root").agg(F.min("first").alias("least")), "root").select("sid", "least")

@@ -593,7 +593,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with repeats cut out of their text; characters cut in half go whole, all others stay."""
+    """The documents with repeats cut out of their text; characters cut in half go whole, all others stay. A null text becomes an empty one."""
     left = remove_repeats(docs, id_col, text_col, characters=True)
     kept = left.withColumn(text_col, F.col("__kept").cast("string"))
     if "n_chars" in docs.columns:
