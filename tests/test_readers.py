@@ -223,3 +223,9 @@ def test_ranked_report(spark, tmp_path):
 def test_unrun_commands(spark, line, col):
     got = filters.lint(spark.createDataFrame([("f", 1, line)], "file string, line_no int, text string")).where("rule = 'run'").collect()
     assert [r["col"] for r in got] == ([] if col is None else [col])
+
+
+def test_lines_may_end_in_carriage_returns(spark, tmp_path):
+    (tmp_path / "dos.txt").write_bytes(b"one\r\n\r\ntwo\rthree\r\nlast")
+    got = sorted((r.pos, r.value) for r in readers._placed(spark, str(tmp_path / "dos.txt"), "\n").collect())
+    assert got == [(0, "one"), (1, ""), (2, "two\rthree"), (3, "last")]
