@@ -144,6 +144,51 @@ def dominates(left: DataFrame, right: DataFrame, cols: list[str], by: list[str])
     return p.join(s, on)
 
 
+def _prefix_places(rank: Column, levels: int) -> tuple[Column, Column]:
+    """Dyadic intervals (level and index in one number) that a rank from 0 is filed under, and those that make up the ranks up to it.
+
+    Of the second there is one for each binary digit of ``rank + 1`` that is set; each rank up to it lies in just one of them.
+    """
+    level, upto = F.sequence(F.lit(0), F.lit(levels - 1)), rank + 1
+    at = lambda r, k: F.call_function("shiftright", r, k)
+    name = lambda k, i: i * 64 + k
+    filed = F.transform(F.filter(level, lambda k: at(rank, k) % 2 == 0), lambda k: name(k, at(rank, k)))
+    asked = F.transform(F.filter(level, lambda k: at(upto, k) % 2 == 1), lambda k: name(k, at(upto, k) - 1))
+    return filed, asked
+
+
+def dominated_counts(left: DataFrame, right: DataFrame, cols: list[str], by: list[str], name: str = "dominated") -> DataFrame:
+    """Probe rows (``right``) with the number of stored rows that ``dominates`` joins to them; those of none are left out.
+
+    No pair is a row. Equal points are one row with its number. All columns
+    but the last turn into ranks within the key; a stored point is filed under
+    the dyadic intervals of its ranks, a probe asks for the few that make up
+    the ranks up to its own, and a running sum by the last column counts what is there. Rows
+    grow as n times the logarithm of the values of each column but the last.
+    """
+    *first, last = cols
+    keys = [*by, *cols]
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in keys])
+    of = lambda df: df.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keys)]).where(reduce(lambda x, y: x & y, [F.col(f"__{i}").isNotNull() for i in range(len(keys))]))
+    held, points = [f"__{i}" for i in range(len(by))], [f"__{i}" for i in range(len(keys))]
+    rows = of(left).withColumn("__w", F.lit(1)).unionByName(of(right).withColumn("__w", F.lit(0)))
+    both = cut(rows.groupBy(*points).agg(F.sum("__w").alias("__w"), F.min("__w").alias("__least")))
+    stored, asked = both.where("__w > 0"), both.where("__least = 0")
+    for i in range(len(first)):
+        value = points[len(by) + i]
+        ranks = cut(Running(both.select(*held, value).distinct(), held, [value]).add("__rank", "sum", F.lit(1).cast("long")).done().withColumn("__rank", F.col("__rank") - 1))
+        levels = ((ranks.agg(F.max("__rank")).first()[0] or 0) + 1).bit_length()
+        filed, wanted = _prefix_places(F.col("__rank"), levels)
+        place = lambda df, at: df.join(ranks, [*held, value]).withColumn(f"__at{i}", F.explode(at)).drop("__rank")  # noqa: B023, E731
+        stored, asked = place(stored, filed), place(asked, wanted)
+    places = [f"__at{i}" for i in range(len(first))]
+    mixed = stored.select(*points, *places, "__w", F.lit(0).alias("__side")).unionByName(asked.select(*points, *places, F.lit(0).cast("long").alias("__w"), F.lit(1).alias("__side")))
+    counted = Running(mixed, [*held, *places], [points[-1], "__side"]).add("__upto", "sum", F.col("__w")).done().where("__side = 1")
+    counts = counted.groupBy(*points).agg(F.sum("__upto").alias(name)).where(F.col(name) > 0)
+    same = [F.col(c) == F.col(p) for c, p in zip(keys, points, strict=True)]
+    return right.where(known).join(counts, same).drop(*points)
+
+
 def staleness(funcs: DataFrame, profile: DataFrame, key: str, shape: list[str]) -> DataFrame:
     """(total, no_data, mismatched) of current entities against a profile."""
     known = profile.select(key, F.lit(True).alias("__has"), *[F.col(c).alias(f"__{c}") for c in shape])
