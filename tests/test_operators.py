@@ -137,6 +137,24 @@ def test_dominated_points_are_counted_without_pairs(spark):
     assert tuple(r) == (n * (n + 1) // 2, n)
 
 
+def test_an_average_at_the_limit_has_one_band(spark, tmp_path):
+    """Values whose average is 40, in orders in which their sum as doubles is above, below and at it."""
+    from gleanery.plans.joining import j3_slot_comparison
+
+    values, rng, sums = [8.95, 0.5, 68.88, 29.26, 112.1, 56.9, 3.41], random.Random(1), {}
+    for _ in range(500):
+        rng.shuffle(values)
+        total = 0.0
+        for v in values:  # sum() makes up for what is rounded off
+            total += v
+        sums.setdefault(total / len(values), list(values))
+    assert max(sums) > 40 > min(sums)
+    rows = [(u, "view", v) for u, order in enumerate(sums.values()) for v in order] + [(90, "view", 40.01), (91, "view", float("nan")), (92, "view", None)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.module: r.band for r in j3_slot_comparison(spark, str(tmp_path)).collect()}
+    assert got == {**{u: "low" for u in range(len(sums))}, 90: "mid", 91: "high", 92: "low"}
+
+
 def test_suppressions(spark):
     from gleanery.sources.readers import parse_suppressions
 
