@@ -29,10 +29,12 @@ SPLIT_ABOVE = 2048
 #: The pipeline's near copies: Jaccard similarity of the shingle sets. Two sets of 0.8 agree in a
 #: band of ROWS minima in one case of three, and in fewer than LEAST_EQUAL of all in one of 10^6.
 NEAR, BANDS, ROWS, LEAST_EQUAL = 0.8, 32, 5, 104
-#: Rounds in which a bucket's members meet one of it; members of a tile; members beside the largest part from which a bucket is parted once more.
+#: Rounds in which a bucket's members meet one of it; members of a tile; members beside the largest part from which a bucket may be parted by pieces of the sketches.
 STARS, TILE, SPLIT_REST = 2, 1024, 32_768
 #: Links up to which one task connects them (16 bytes each).
 FEW_LINKS = 1_000_000
+#: Ids that are broadcast, so that the texts they are looked up in are not shuffled.
+FEW_IDS = 1_000_000
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -241,14 +243,24 @@ def _alike(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(_equal_bytes()("sa", "sb") >= LEAST_EQUAL).select("a", "b")
 
 
-def _open_tiles(members: DataFrame, parts: DataFrame, tile: int, split_above: int) -> DataFrame:
+def _pieces(sketch):
+    """Hashes of the first byte pairs of a sketch, as many as LEAST_EQUAL leaves to differ and one more.
+
+    Two sketches that agree in LEAST_EQUAL minima differ in too few bytes to
+    differ in each of these pairs, so they share one of them for certain.
+    """
+    pairs = F.sequence(F.lit(0), F.lit(BANDS * ROWS - LEAST_EQUAL))
+    return F.transform(pairs, lambda i: F.xxhash64(F.substr(sketch, 2 * i + 1, F.lit(2))))
+
+
+def _open_tiles(members: DataFrame, parts: DataFrame, distinct: DataFrame, tile: int, split_above: int) -> DataFrame:
     """(t, key, v, next, lo, hi, tile, sid, part): what is left to compare within buckets of several parts.
 
     The members of a bucket's largest part are known to be connected; all
     others are held against each other and against these, in pairs of tiles
     ``lo`` and ``hi`` of about ``tile`` members. Buckets of two have been looked at. One with more
-    than ``split_above`` members beside its largest part is parted by the keys of every
-    later band first; a pair of Jaccard 0.8 shares no two bands in 5 of 10^5 cases.
+    than ``split_above`` members beside its largest part is parted by byte pairs of the
+    sketches (see ``_pieces``) where this leaves less to compare: what is alike meets either way.
     """
     own = members.where("n > 2").join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
     own = own.withColumns({"v": F.lit(-1), "next": F.lit(0).cast("long")})
@@ -257,13 +269,17 @@ def _open_tiles(members: DataFrame, parts: DataFrame, tile: int, split_above: in
         key = ["t", "key", "v", "next"]
         per = rows.groupBy(*key, "part").agg(F.count("*").alias("c"))
         per = per.groupBy(*key).agg(F.max(F.struct("c", "part")).alias("m"), F.sum("c").alias("all")).where(F.col("all") > F.col("m.c"))
-        return rows.join(per.select(*key, F.col("m.part").alias("main"), F.col("m.c").alias("n_main"), (F.col("all") - F.col("m.c")).alias("n_rest")), key)
+        return cut(rows.join(per.select(*key, F.col("m.part").alias("main"), F.col("m.c").alias("n_main"), (F.col("all") - F.col("m.c")).alias("n_rest")), key))
 
     found = sized(own.drop("n"))
-    large = found.where(F.col("n_rest") > split_above).select("t", "key", "sid", "part")
-    later = members.select("sid", F.col("t").alias("v"), F.col("key").alias("next"))
-    finer = sized(large.join(later, "sid").where((F.col("v") > F.col("t")) & (F.col("v") < BANDS)))
-    found = found.where(F.col("n_rest") <= split_above).unionByName(finer)
+    large = found.where(F.col("n_rest") > split_above)
+    if not large.isEmpty():
+        pieces = distinct.select("sid", F.posexplode(_pieces(F.col("sketch"))).alias("v", "next"))
+        finer = sized(large.select("t", "key", "sid", "part").join(pieces, "sid").select(*found.columns[:-3]))
+        met = F.when(F.col("part") != F.col("main"), F.col("n_rest") + F.col("n_main")).otherwise(F.col("n_rest"))
+        cost = lambda rows, name: rows.groupBy("t", "key").agg(F.sum(met).alias(name))
+        parted = cost(large, "whole").join(cost(finer, "cut"), ["t", "key"], "left").where("coalesce(cut, 0) < whole").select("t", "key")
+        found = found.join(parted, ["t", "key"], "left_anti").unionByName(finer.join(parted, ["t", "key"], "left_semi"))
     tiles = lambda n: F.ceil(F.col(n) / tile).cast("int")
     rest, is_rest = tiles("n_rest"), F.col("part") != F.col("main")
     place = F.when(is_rest, F.pmod(F.xxhash64("sid"), rest)).otherwise(rest + F.pmod(F.xxhash64("sid"), tiles("n_main"))).cast("int")
@@ -345,6 +361,12 @@ def _verified(links: DataFrame, sets: DataFrame, near: float) -> DataFrame:
     return both.where(small >= near * large).where(common >= near * (small + large - common)).select("a", "b")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """The rows, marked for broadcast if they are counted to be FEW_IDS at most."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, near: float) -> tuple[DataFrame, DataFrame]:
     """(id, mark, sid) of every row with an id, ``mark`` a hash of its text, and (sid, least) with the least (id, mark) of the group.
 
@@ -362,7 +384,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, near: float
         """The shingle sets known so far and those of more members, read from their texts."""
         sids = sids if sets is None else sids.join(sets.select("sid"), "sid", "left_anti")
         ids = rows.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias(id_col)).select(id_col).distinct()
-        more = shingle_sets(docs.join(ids, id_col, "left_semi"), text_col, width).dropDuplicates(["sid"])
+        more = shingle_sets(docs.join(_small(ids), id_col, "left_semi"), text_col, width).dropDuplicates(["sid"])
         return cut(more) if sets is None else cut(more.join(sets.select("sid"), "sid", "left_anti")).unionByName(sets)
 
     for salt in range(STARS):
@@ -376,7 +398,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, near: float
         parts = cut(connected_components(good, "a", "b", small=FEW_LINKS).select(F.col("node").alias("sid"), F.col("component").alias("part")))
     if parts is not None:
         key = ["t", "key", "v", "next", "lo", "hi"]
-        tiles = _open_tiles(members, parts, TILE, SPLIT_REST)
+        tiles = _open_tiles(members, parts, distinct, TILE, SPLIT_REST)
         met = tiles.join(distinct.select("sid", "sketch"), "sid").groupBy(*key).agg(F.collect_list(F.struct("sid", "part", "tile", "sketch")).alias("rows"))
         met = cut(met.mapInArrow(_involved, "t int, key long, v int, next long, lo int, hi int, tile int, sid long"))
         if not met.isEmpty():
@@ -421,7 +443,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows, key = cut(rows), ["__id", "__mark"]
     of = lambda df: df.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
     first = named.select("least.id", "least.mark").distinct()
-    marked = docs.where(F.col(id_col).isNotNull()).withColumns({"__id": F.col(id_col), "__mark": _mark(text_col)}).join(of(first), key, "left_semi")
+    dropped = _small(of(rows).distinct().join(of(first), key, "left_anti"))
+    marked = docs.where(F.col(id_col).isNotNull()).withColumns({"__id": F.col(id_col), "__mark": _mark(text_col)}).join(dropped, key, "left_anti")
     repeated = cut(of(rows.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").drop("n")))
     others = docs.where(F.col(id_col).isNull())
     if repeated.isEmpty():

@@ -194,3 +194,36 @@ def test_buckets_of_many_parts_lose_nothing(spark, monkeypatch, split):
     monkeypatch.setattr(simhash, "STARS", 1)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component for r in similar(df).collect()} == dict(enumerate(want))
+
+
+def test_large_buckets_are_parted_without_loss(spark):
+    """Sketches that agree in just as many minima as they must, in a bucket that no later band parts: all of them meet in a tile."""
+    rng = np.random.default_rng(8)
+    base, sketches = rng.integers(0, 256, 160), []
+    for i in range(40):
+        other, at = base.copy(), rng.permutation(160)[:28] if i % 2 else np.arange(i, i + 28)
+        other[at] = (base[at] + rng.integers(1, 256, 28)) % 256
+        sketches.append(other if i < 30 else rng.integers(0, 256, 160))
+    alike = {(i, j) for j in range(40) for i in range(j) if (sketches[i] == sketches[j]).sum() >= simhash.LEAST_EQUAL}
+    assert len(alike) > 400 and any((sketches[i] == sketches[j]).sum() == simhash.LEAST_EQUAL for i, j in alike)
+    distinct = spark.createDataFrame([(i, bytearray(x.astype(np.uint8).tobytes())) for i, x in enumerate(sketches)], "sid long, sketch binary")
+    far = [(100 + i, bytearray(rng.integers(0, 256, 160).astype(np.uint8).tobytes())) for i in range(300)]  # nothing like each other: these are parted
+    distinct = distinct.unionByName(spark.createDataFrame(far, distinct.schema))
+    members = spark.createDataFrame([(40, 7, i, 340) for i in [*range(40), *(s for s, _ in far)]] + [(41, 7, i, 30) for i in range(30)], "t int, key long, sid long, n long")
+    parts = spark.createDataFrame([], "sid long, part long")
+    for split in (2, 10**6):
+        tiles = simhash._open_tiles(members, parts, distinct, 8, split).groupBy("t", "v", "next", "lo", "hi").agg({"sid": "collect_list"}).collect()
+        met = {(i, j) for r in tiles for i in r[5] for j in r[5] if i < j}
+        assert alike <= met
+        assert {r.v for r in tiles if r.t == 40} == ({-1} if split > 2 else {*range(57)})
+        assert {r.v for r in tiles if r.t == 41} == {-1}
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_texts_are_looked_up_by_few_or_many_ids(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_IDS", few)
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(999)}" for _ in range(200))
+    rows = [(1, text), (2, text), (3, text + " end"), (4, "else"), (4, "else"), (4, "other"), (5, None), (6, ""), (None, text), (None, text)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, text), (0, text), (1, text), (4, "else"), (4, "other"), (5, "")]
