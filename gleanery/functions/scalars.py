@@ -78,10 +78,14 @@ def targets(col: Column) -> Column:
     64 bits with a sign, is null and adds nothing.
     """
     pairs = F.transform(F.filter(F.split(col, r"\s+"), lambda p: p != ""), lambda p: F.struct(F.substring_index(p, ":", 1).alias("k"), F.regexp_extract(p, ":(.*)$", 1).try_cast("long").alias("n")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    counts = lambda k: F.filter(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["n"]), lambda n: n.isNotNull())
-    total = lambda k: F.when(F.size(counts(k)) > 0, F.aggregate(counts(k), F.lit(0).cast("long"), lambda a, n: F.try_add(a, n)))
-    return F.map_from_arrays(names, F.transform(names, total))
+
+    def summed(known: Column) -> Column:
+        names = F.array_distinct(F.transform(known, lambda p: p["k"]))
+        counts = lambda k: F.transform(F.filter(known, lambda p: (p["k"] == k) & p["n"].isNotNull()), lambda p: p["n"])
+        total = lambda k: F.when(F.size(counts(k)) > 0, F.aggregate(counts(k), F.lit(0).cast("long"), lambda a, n: F.try_add(a, n)))
+        return F.map_from_arrays(names, F.transform(names, total))
+
+    return F.transform(F.array(pairs), summed)[0]  # bound to a name, the pairs are read once
 
 
 def utc_text(ts: Column) -> Column:

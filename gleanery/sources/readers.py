@@ -125,45 +125,68 @@ def read_profile(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_profiles(_whole(spark, path))
 
 
-def parse_samples(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``parse_sample_lines`` of whole files (file, text)."""
-    return parse_sample_lines(files.select("file", F.posexplode(F.split("text", "\n")).alias("pos", "value")))
-
-
 def _unsigned(text: Column) -> Column:
     """An unsigned 64-bit number; null if it is none."""
     value = F.when(text.rlike(r"^\d{1,20}$"), text.try_cast("decimal(20,0)"))
     return F.when(value <= F.lit(MAX_U64).cast("decimal(20,0)"), value)
 
 
-def parse_sample_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sample-profile rows of (file, pos, value), body lines under their latest header; and rejects.
+def _head(line: Column) -> Column:
+    """What a line says as a header; null for one that is blank, indented or a comment."""
+    header = r"^(.*):(\d+):(\d+)\s*$"
+    part = lambda i: F.regexp_extract(line, header, i)
+    fields = F.struct(F.when(part(2) != "", part(1)).alias("func"), _unsigned(part(2)).alias("total"), _unsigned(part(3)).alias("head"))
+    return F.when(line.rlike(r"^[^\s#]"), fields)
 
-    Figures are unsigned 64-bit; a line with a larger one, or under a header
-    with one, is a reject. Repeated callees of a line add up.
-    """
-    lines = lines.select("file", "pos", F.col("value").alias("line")).where(~F.col("line").rlike(r"^\s*(#.*)?$"))
-    is_head = ~F.col("line").rlike(r"^\s")
-    header, body = r"^(.*):(\d+):(\d+)\s*$", r"^\s+(\d+)(?:\.(\d+))?:\s*(\d+)((?:\s+[^\s:]+:\d+)*)\s*$"
-    rows = Running(lines, ["file"], ["pos"]).add("head_line", "last", F.when(is_head, F.col("line"))).done()
-    part = lambda c, p, i: F.when(F.col(c).rlike(p), F.regexp_extract(c, p, i))
-    rows = rows.select(
+
+def _sample_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows and rejects of (file, pos, line, under), ``under`` the latest header."""
+    body = r"^\s+(\d+)(?:\.(\d+))?:\s*(\d+)((?:\s+[^\s:]+:\d+)*)\s*$"
+    part = lambda i: F.nullif(F.regexp_extract("line", body, i), F.lit(""))
+    fields = F.struct(
         "file",
         "pos",
         "line",
-        is_head.alias("is_head"),
-        part("head_line", header, 1).alias("func"),
-        *[_unsigned(part("head_line", header, i)).alias(n) for i, n in ((2, "total"), (3, "head"))],
-        part("line", body, 1).try_cast("long").alias("offset"),
-        F.coalesce(F.nullif(part("line", body, 2), F.lit("")), F.lit("0")).try_cast("long").alias("disc"),
-        _unsigned(part("line", body, 3)).alias("samples"),
-        targets(F.coalesce(part("line", body, 4), F.lit(""))).alias("targets"),
+        F.col("line").rlike(r"^\S").alias("is_head"),
+        *[F.col(f"under.{c}").alias(c) for c in ("func", "total", "head")],
+        part(1).try_cast("long").alias("offset"),
+        F.coalesce(part(2), F.lit("0")).try_cast("long").alias("disc"),
+        _unsigned(part(3)).alias("samples"),
+        targets(F.regexp_extract("line", body, 4)).alias("targets"),
     )
+    rows = rows.select(F.explode(F.array(fields)).alias("f")).select("f.*")  # a filter on an exploded row does not read its line anew
     headed = F.col("func").isNotNull() & F.col("total").isNotNull() & F.col("head").isNotNull()
     good = headed & (F.col("is_head") | (F.col("offset").isNotNull() & F.col("disc").isNotNull() & F.col("samples").isNotNull()))
     return rows.where(good & ~F.col("is_head")).drop("pos", "line", "is_head"), rows.where(~good).select("file", "pos", "line")
 
 
+#: Lines that say nothing: blank ones and comments.
+_NO_SAMPLE = r"^\s*(#|$)"
+
+
+def parse_samples(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``parse_sample_lines`` of whole files (file, text), each in one row: no line of them is shuffled.
+
+    Lines are numbered, then the text is cut before each header.
+    """
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(i.cast("string"), F.lit("\t"), x)), "\n")
+    blocks = files.select("file", F.explode(F.split(numbered, r"\n(?=\d+\t[^\s#])")).alias("block"))
+    value = lambda x: F.substr(x, F.instr(x, F.lit("\t")) + 1)
+    rows = blocks.select("file", _head(value(F.substring_index("block", "\n", 1))).alias("under"), F.explode(F.split("block", "\n")).alias("x"))
+    rows = rows.select("file", F.substring_index("x", "\t", 1).cast("int").alias("pos"), value(F.col("x")).alias("line"), "under")
+    return _sample_rows(rows.where(~F.col("line").rlike(_NO_SAMPLE)))
+
+
+def parse_sample_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sample-profile rows of (file, pos, value), body lines under their latest header; and rejects.
+
+    Figures are unsigned 64-bit; a line with a larger one, or under a header
+    with one, is a reject. Repeated callees of a line add up.
+    """
+    lines = lines.select("file", "pos", F.col("value").alias("line")).where(~F.col("value").rlike(_NO_SAMPLE))
+    return _sample_rows(Running(lines, ["file"], ["pos"]).add("under", "last", _head(F.col("line"))).done().select("file", "pos", "line", "under"))
+
+
 def read_samples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_sample_lines(_placed(spark, path, "\n"))
 

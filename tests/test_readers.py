@@ -97,6 +97,20 @@ def test_samples(spark):
     assert {r.file for r in rejects.collect()} == {f"b{i}" for i in range(5)}
 
 
+def test_samples_of_whole_files_are_those_of_their_lines(spark):
+    """Comments, blank lines, tabs, lines before a header and bad headers, whole or line by line; whole files are not shuffled."""
+    texts = [" 1: 5\n\n# c\nf:1:2\n\t1: 3\tg:4 g:5\n#x:1:1\n 2: 7\n\n\ng:1:x\n 3: 1\nh:9:9\n\n 4.1: 2 a:1\n  # no\n 5: x\n", "", "#only", "p:3:3", ":1:1\n 1: 2", None, "q:1:1\n 1: 2\n\n" + "r:1:99999999999999999999\n 1: 1"]
+    files = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "file string, text string")
+    lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("pos", "value"))
+    whole, apart = readers.parse_samples(files), readers.parse_sample_lines(lines)
+    for x, y in zip(whole, apart, strict=True):
+        assert x.dtypes == y.dtypes and sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    got = {(r.file, r.func, r.offset): (int(r.samples), r.targets) for r in whole[0].collect()}
+    assert got == {("f0", "f", 1): (3, {"g": 9}), ("f0", "f", 2): (7, {}), ("f0", "h", 4): (2, {"a": 1}), ("f4", "", 1): (2, {}), ("f6", "q", 1): (2, {})}
+    assert sorted((r.file, r.pos) for r in whole[1].collect()) == [("f0", 0), ("f0", 9), ("f0", 10), ("f0", 15), ("f6", 3), ("f6", 4)]
+    assert "Exchange" not in whole[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gcov(spark):
     text = "        -:    0:Source:a.h\n        -:    0:Runs:2\nfunction f called 2 returned 100% blocks executed 80%\n        2:    1:int x;\n        2:    1-block  0\nunconditional  0 taken 2\nbranch  1 never executed\n    #####:    2:y();\n        -:    3:}\n"
     got = readers.parse_gcov(spark.createDataFrame([("a", i, x) for i, x in enumerate(text.split("\n"))], "file string, pos int, value string"))
