@@ -495,6 +495,23 @@ def test_groups_as_rows(spark):
     assert [r.k for r in order.collect()] == ["low", "more", "even"]
 
 
+@pytest.mark.parametrize("rows", [100_000, 50])
+def test_small_groups_are_called_once(spark, monkeypatch, rows):
+    """A group is parted only if it is large; null keys are a group, and the large ones have their rows in parts."""
+    import pandas as pd
+
+    from gleanery.operators import user_code
+
+    monkeypatch.setattr(user_code, "PART_ROWS", rows)
+    df = spark.createDataFrame([(k, i) for k, n in (("hot", 500), (None, 120), ("a", 40), ("b", 1)) for i in range(n)], "k string, v long")
+    one = lambda g: pd.DataFrame({"k": [g["k"].iloc[0]], "v": [int(g["v"].sum())], "calls": [1], "most": [len(g)]})
+    both = lambda g: pd.DataFrame({"k": [g["k"].iloc[0]], "v": [int(g["v"].sum())], "calls": [int(g["calls"].sum())], "most": [int(g["most"].max())]})
+    got = {r.k: r for r in user_code.reduce_groups(df, ["k"], one, "k string, v long, calls long, most long", both, 8).collect()}
+    assert {k: r.v for k, r in got.items()} == {"hot": sum(range(500)), None: sum(range(120)), "a": sum(range(40)), "b": 0}
+    assert got["a"].calls == got["b"].calls == 1 and (got["hot"].calls > 1) == (rows < 500)
+    assert rows > 500 or max(got["hot"].most, got[None].most) < 100
+
+
 def test_partial_reduction(spark):
     from gleanery.operators import user_code
 
