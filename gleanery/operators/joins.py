@@ -234,6 +234,12 @@ def candidate_rules(reports: DataFrame, rules: DataFrame, kind: str, name: str)
     return met.unionByName(reports.join(plain, F.col(kind) == F.col("__type")))
 
 
+def _open_ends(regex: Column) -> Column:
+    """A search for the same texts without ``.*`` at either end, from which every place would be read to the end of its line."""
+    bare = F.regexp_replace(F.regexp_replace(regex, r"^(\.\*)+(?![?+*{])", ""), r"(?<!\\)(\.\*)+$", "")
+    return F.when(F.contains(regex, F.lit("(?")) | F.contains(regex, F.lit("\\Q")), regex).otherwise(bare)
+
+
 def suppress(reports: DataFrame, rules: DataFrame, kind: str, name: str) -> tuple[DataFrame, DataFrame]:
     """Reports that no rule (type, pattern, regex) of their kind matches, and all hits with their pattern.
 
@@ -243,9 +249,10 @@ def suppress(reports: DataFrame, rules: DataFrame, kind: str, name: str) -> tupl
     """
     r = rules.select(F.col("type").alias("__type"), "pattern", "regex").distinct()
     if r.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        on = (F.col(kind) == F.col("__type")) & F.regexp_like(F.col(name), F.col("regex"))
-        return reports.join(F.broadcast(r), on, "left_anti"), reports.join(F.broadcast(r), on).drop("__type", "regex")
-    hits = cut(candidate_rules(reports, r, kind, name).where(F.regexp_like(F.col(name), F.col("regex")))).drop("__type", "regex")
+        r = F.broadcast(r.withColumn("__search", _open_ends(F.col("regex"))))
+        on = (F.col(kind) == F.col("__type")) & F.regexp_like(F.col(name), F.col("__search"))
+        return reports.join(r, on, "left_anti"), reports.join(r, on).drop("__type", "regex", "__search")
+    hits = cut(candidate_rules(reports, r, kind, name).where(F.regexp_like(F.col(name), _open_ends(F.col("regex"))))).drop("__type", "regex")
     matched = hits.select(F.col(kind).alias("__kind"), F.col(name).alias("__name")).distinct()
     return reports.join(matched, (F.col(kind) == F.col("__kind")) & (F.col(name) == F.col("__name")), "left_anti"), hits
 
