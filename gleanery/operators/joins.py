@@ -88,6 +88,11 @@ def symbolize(addrs: DataFrame, syms: DataFrame, by: list[str]) -> DataFrame:
 LEVELS = 44
 
 
+def cover_levels(first: Column, last: Column) -> Column:
+    """Levels of which an interval may lie in the bins from ``first`` to ``last``: as many as their number has binary digits."""
+    return F.sequence(F.lit(0), F.least(F.lit(LEVELS), F.length(F.bin(last - first + 1))) - 1)
+
+
 def dyadic_cover(first: Column, last: Column) -> Column:
     """The fewest dyadic intervals (level, index) that make up the bins from ``first`` to ``last``: two of a level at most."""
 
@@ -98,7 +103,7 @@ def dyadic_cover(first: Column, last: Column) -> Column:
         ends = F.array_distinct(F.array(F.when((i <= j) & (F.pmod(i, F.lit(2)) == 1), i), F.when((i <= j) & (F.pmod(j, F.lit(2)) == 0), j)))
         return F.transform(F.array_compact(ends), lambda n: F.struct(k.cast("int").alias("level"), n.cast("long").alias("index")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
+    return F.flatten(F.transform(cover_levels(first, last), at))
 
 
 def overlaps(a: DataFrame, b: DataFrame, lo: str, hi: str, width: float, by: list[str] | None = None) -> DataFrame:

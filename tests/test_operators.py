@@ -51,6 +51,16 @@ def test_overlaps_against_brute_force(spark):
     assert [(r.a_lo, r.b_lo) for r in pairs] == [(0x637, 0x637)]
 
 
+def test_a_short_range_looks_at_few_levels(spark):
+    """Covers do not change with the levels there are, and no more of these are looked at than a range has binary digits."""
+    ranges = spark.range(-40, 40).selectExpr("id AS a", "explode(sequence(id, id + 20)) AS b")
+    cover = ranges.select("a", "b", joins.dyadic_cover(F.col("a"), F.col("b")).alias("c")).collect()
+    for r in cover:
+        assert sorted(x for p in r.c for x in range(p["index"] << p["level"], (p["index"] + 1) << p["level"])) == list(range(r.a, r.b + 1))
+    looked = ranges.select(F.max(F.size(joins.cover_levels(F.col("a"), F.col("b"))))).first()[0]
+    assert looked == 5
+
+
 def test_a_long_range_is_filed_under_few_intervals(spark):
     """One range over the whole axis beside many short ones, and ranges at both ends of what is covered."""
     rng = random.Random(6)
