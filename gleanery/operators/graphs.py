@@ -169,8 +169,8 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 #: Rounds of peeling; what is left over then only makes the rest larger.
 PEELINGS = 8
-#: Edges up to which a closure, in rounds that grow with the logarithm of its ways, is cheaper than a colouring.
-FEW_EDGES = 2_000
+#: Edges of what peeling and contraction leave up to which one task finds the strong components; more are coloured.
+FEW_EDGES = 300_000
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -231,21 +231,65 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return cut(short), chains.select("node", "tail"), now.select("node")
 
 
+def _strong(out: dict) -> Iterator[list]:
+    """Members of each strong component of two nodes or more, of targets by node, in one walk (Tarjan)."""
+    index, low, stack, on = {}, {}, [], set()
+    for start in out:
+        way = [] if start in index else [(None, iter([start]))]
+        while way:
+            node, targets = way[-1]
+            for to in targets:
+                if to not in index:
+                    index[to] = low[to] = len(index)
+                    stack.append(to)
+                    on.add(to)
+                    way.append((to, iter(out.get(to, ()))))
+                    break
+                if to in on and node is not None:
+                    low[node] = min(low[node], index[to])
+            else:
+                way.pop()
+                if node is None:
+                    continue
+                if (up := way[-1][0]) is not None:
+                    low[up] = min(low[up], low[node])
+                if low[node] == index[node]:
+                    members = []
+                    while not members or members[-1] != node:
+                        members.append(stack.pop())
+                    on.difference_update(members)
+                    if len(members) > 1:
+                        yield members
+
+
+def _strong_in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, kind = {}, None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out.setdefault(a, []).append(b)
+        rows = [(x, max(members)) for members in _strong(out) for x in members]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k in (0, 1)], ["node", "component"])
+
+    kind = dict(edges.dtypes)["src"]
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the members of strong components of two nodes or more; the component is named by one of them.
 
     Each node takes the greatest node that reaches it as its colour; what
     reaches the colour's own node within the colour is that node's component.
-    Components are taken out, the rest is trimmed and coloured again. A
-    closure of all pairs is only built of FEW_EDGES or fewer. Nulls are no nodes.
+    Components are taken out, the rest is trimmed and coloured again. FEW_EDGES
+    or fewer, by count, go to one task, which saves the rounds. Nulls are no nodes.
     """
     edges = edges.select("src", "dst").where("src <> dst").distinct()
     left, found = _trimmed(edges), []
     while not left.isEmpty():
         if left.count() <= FEW_EDGES:
-            pairs = closure(left)
-            both = pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-            found.append(both.groupBy(F.col("src").alias("node")).agg(F.max("dst").alias("component")))
+            found.append(_strong_in_one_task(left))
             break
         colours = _coloured(left)
         of = lambda c: colours.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))  # noqa: B023, E731

@@ -435,6 +435,17 @@ def test_cycles_of_random_graphs(spark, monkeypatch, few):
     assert {frozenset(v) for v in strong.values()} == {v for v in want if len(v) > 1}
 
 
+def test_components_below_each_other_take_few_rounds(spark, monkeypatch):
+    """2,000 pairs of nodes, each below the one before: a colouring each without the one task for few edges."""
+    n = 2_000
+    graph = spark.range(n).selectExpr("explode(array(struct(2 * id AS src, 2 * id + 1 AS dst), struct(2 * id + 1 AS src, 2 * id AS dst), struct(2 * id AS src, 2 * id + 2 AS dst))) AS e").select("e.*")
+    written = counted(monkeypatch)
+    assert graphs.cycles(graph).count() == 2 * n
+    assert len(written) < 40
+    found = {r.node: r.component for r in graphs.strong_components(graph).collect()}
+    assert found == {x: x | 1 for x in range(2 * n)}
+
+
 def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
     n = 100_000
     ring = spark.range(n).selectExpr("id AS src", f"(id + 1) % {n} AS dst")
