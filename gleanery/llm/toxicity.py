@@ -3,11 +3,11 @@
 zstandard dictionaries are trained on ordinary and on toxic text. Toxic
 documents are ordinary prose for the most part, so the toxic dictionaries are
 not trained on whole toxic texts but on runs of byte grams that stand in significantly
-more toxic documents than ordinary ones. These runs are words and pieces of words, so a
-toxic dictionary reads like a list of toxic words, found by a test on grams
-and packed by the trainer. Both sides share the ordinary dictionary, the toxic ones
-have theirs behind it. A window of toxic wording comes out shorter under
-those. The bytes saved over the ordinary dictionary in all windows of a text
+more toxic documents than ordinary ones, and in several times their share. These runs are
+words and pieces of words, so a toxic dictionary reads like a list of toxic words, found by
+a test on grams and packed by the trainer. Both sides share the ordinary dictionary, the toxic
+ones have theirs behind it. The ordinary one is large, for what it lacks of ordinary wording
+is saved by a toxic one. A window of toxic wording comes out shorter under those. The bytes saved over the ordinary dictionary in all windows of a text
 are summed up in a few figures, which a logistic rule turns into a score. The
 rule and its cut are calibrated by cross-fitting: each quarter of the labelled
 texts is measured with dictionaries trained on the other three.
@@ -30,11 +30,13 @@ WINDOW, STEP, LEVEL = 32, 16, 3
 #: Bound on the labelled rows that the fit may see, by class, and on their length.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 3000, 32_768
 #: Bytes of the ordinary and of a toxic dictionary; windows that the first one is trained on, and their bytes.
-DICT_BYTES, TOXIC_BYTES, DICT_WINDOWS, TRAIN_WINDOW = 8192, 2048, 30_000, 96
+DICT_BYTES, TOXIC_BYTES, DICT_WINDOWS, TRAIN_WINDOW = 65_536, 4096, 30_000, 96
+#: The ordinary dictionary has this share of its training text at most, as it must not learn a small one by heart; bytes that it may have in any case.
+DICT_SHARE, SMALL_DICT = 1 / 16, 8192
 #: The toxic dictionaries: bytes of a gram, standard errors by which more toxic texts than ordinary ones must have it.
-PASSAGES = ((6, 5.0), (5, 8.0))
-#: Toxic texts that must have a gram at least.
-LEAST_TEXTS = 4
+PASSAGES = ((7, 5.0), (5, 5.0))
+#: Toxic texts that must have a gram at least; how many times the share of ordinary texts that theirs must be.
+LEAST_TEXTS, LEAST_RATIO = 4, 4.0
 #: Parts of the labelled texts, each measured with dictionaries of the others.
 FOLDS = 4
 CUT = 0.7
@@ -42,7 +44,7 @@ CUT = 0.7
 
 @dataclass(frozen=True)
 class Model:
-    """What executors need: dictionaries (some KB) and the calibrated rule."""
+    """What executors need: dictionaries (some 200 KB) and the calibrated rule."""
 
     ordinary: bytes
     toxic: tuple[bytes, ...]  # each has the ordinary one in front
@@ -112,7 +114,10 @@ def _of(table: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
 
 
 def own_passages(toxic: list[bytes], ordinary: list[bytes], size: int, least_z: float) -> list[bytes]:
-    """Passages of the toxic texts made of grams that significantly more of them have than of the ordinary ones."""
+    """Passages of the toxic texts made of grams that significantly more of them have than of the ordinary ones.
+
+    Longer texts have more of all grams, which many texts show as significant; LEAST_RATIO leaves these out.
+    """
     here, there = _texts_with(toxic, size), _texts_with(ordinary, size)
     found = []
     for text in toxic:
@@ -120,7 +125,7 @@ def own_passages(toxic: list[bytes], ordinary: list[bytes], size: int, least_z:
         a, b = _of(here, grams), _of(there, grams)
         share = (a + b) / (len(toxic) + len(ordinary))
         error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / len(toxic) + 1 / len(ordinary)))
-        own = (a >= LEAST_TEXTS) & (a / len(toxic) - b / len(ordinary) >= least_z * error)
+        own = (a >= LEAST_TEXTS) & (a / len(toxic) - b / len(ordinary) >= least_z * error) & (a / len(toxic) >= LEAST_RATIO * b / len(ordinary))
         edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
         found += [text[i : j + size - 1] for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
     return found
@@ -139,7 +144,8 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
     toxic, ordinary = ([t for t, y in rows if y == k] for k in (1, 0))
     cut = lambda texts: [w for t in texts for w in windows(t, TRAIN_WINDOW, TRAIN_WINDOW)]
     parts = cut(ordinary)
-    base = _train([parts[i] for i in np.random.default_rng(7).permutation(len(parts))[:DICT_WINDOWS]], DICT_BYTES)
+    parts = [parts[i] for i in np.random.default_rng(7).permutation(len(parts))[:DICT_WINDOWS]]
+    base = _train(parts, min(DICT_BYTES, max(SMALL_DICT, int(DICT_SHARE * sum(map(len, parts))))))
     return Model(base, tuple(base + _train(own_passages(toxic, ordinary, size, z) or cut(toxic), TOXIC_BYTES) for size, z in PASSAGES))
 
 

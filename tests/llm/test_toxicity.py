@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 import zstandard
 from compare import SF, present
@@ -109,3 +110,42 @@ def test_repeated_rows_are_scored_alike(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2, "doc_id long, toxic int")
     found = toxicity.toxicity(docs, toxicity.learn(docs, labels)).collect()
     assert len(found) == 450 and len({tuple(r) for r in found}) == 400
+
+
+def many_tongues(rng, n):
+    """Four languages of 1,500 words each; toxic texts have a few toxic words and are longer."""
+    fixed = random.Random(77)
+    tongues = []
+    for _ in range(4):
+        pieces = ["".join(fixed.choice("abcdefghiklmnoprstuvwy") for _ in range(fixed.choice((2, 2, 3)))) for _ in range(40)]
+        tongues.append(["".join(fixed.choice(pieces) for _ in range(fixed.choice((1, 2, 2, 3)))) for _ in range(1500)])
+    bad = "loser idiot pathetic clown moron scum worthless trash disgusting stupid".split()
+    rows = []
+    for _ in range(n):
+        toxic, vocabulary = int(rng.random() < 0.25), rng.choice(tongues)
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 400) if toxic else rng.randint(40, 300))]
+        for _ in range(rng.randint(3, 6) if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((" ".join(words), toxic))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_few_toxic_words_in_rich_prose_are_caught(seed):
+    """More ordinary wording than a small dictionary holds must neither hide toxic words nor pass for them."""
+    rng = random.Random(seed)
+    model = toxicity.fit(many_tongues(rng, 1200))
+    every, unseen = toxicity._compressors(model), many_tongues(rng, 500)
+    rejected = toxicity.rule(np.array([toxicity.features(t.encode(), *every) for t, _ in unseen]), model) >= toxicity.CUT
+    toxic = np.array([y for _, y in unseen]) == 1
+    assert rejected[toxic].mean() >= 0.88 and (~rejected[~toxic]).mean() >= 0.98
+
+
+def test_wording_that_ordinary_texts_often_have_is_no_passage():
+    """Significantly more toxic texts have it, as they are longer, but not several times as many."""
+    text = lambda i, phrase: f"{i:06d} {phrase} {i * 7919 % 10**6:06d}".encode()
+    toxic = [text(i, "common wording" if i % 10 < 9 else "x") + (b" vermin" if i % 2 else b"") for i in range(1000)]
+    ordinary = [text(i, "common wording" if i % 10 < 5 else "x") for i in range(10**5, 10**5 + 2000)]
+    for size, least_z in toxicity.PASSAGES:
+        found = toxicity.own_passages(toxic, ordinary, size, least_z)
+        assert any(b"vermin" in p for p in found) and not any(b"common" in p for p in found)
